@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from tickloom.core.series import Carry, Series, Step, add, rolling
 from tickloom.functions.scalar import clip, flag
@@ -199,10 +202,6 @@ def correlation_regime(returns: Sequence[str], window: int = 60) -> list[Step]:
 
 def eigen_ratio(df: DataFrame, n_assets: int) -> DataFrame:
     """Largest over second-largest absolute eigenvalue of each row's correlation matrix, in Arrow batches."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     upper = np.triu_indices(n_assets, 1)
 
     @pandas_udf("double")

@@ -103,7 +103,7 @@ def in_hours(ts: Column, hours: Sequence[int] = tuple(range(7, 18))) -> Column:
 def quality_report(ticks: Series) -> DataFrame:
     gap = add(1, lambda w: {"_gap": seconds(F.col("ts")) - seconds(F.lag("ts").over(w))})
     pip = F.first(pip_size(F.col("pair")))
-    bad = F.count_if("spread <= 0") + F.count_if("bid >= ask")
+    bad = F.count_if(F.expr("spread <= 0")) + F.count_if(F.expr("bid >= ask"))
     return (ticks.apply(gap).df.groupBy("pair").agg(
         F.count(F.lit(1)).alias("n_ticks"),
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
@@ -112,9 +112,9 @@ def quality_report(ticks: Series) -> DataFrame:
         F.round(F.max("spread") / pip, 3).alias("max_spread_pips"),
         F.round(F.avg("_gap"), 3).alias("avg_gap_seconds"),
         F.round(F.max("_gap"), 1).alias("max_gap_seconds"),
-        F.count_if("_gap > 60").alias("n_gaps_over_1min"),
-        F.count_if("spread <= 0").alias("n_spread_anomalies"),
-        F.count_if("bid >= ask").alias("n_bid_ask_inversions"),
+        F.count_if(F.expr("_gap > 60")).alias("n_gaps_over_1min"),
+        F.count_if(F.expr("spread <= 0")).alias("n_spread_anomalies"),
+        F.count_if(F.expr("bid >= ask")).alias("n_bid_ask_inversions"),
         F.round(100 * (1 - bad / F.count(F.lit(1))), 2).alias("quality_score"),
     ))
 

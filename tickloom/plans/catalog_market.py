@@ -111,7 +111,7 @@ def pick_source(spark, sf):
   b AS (SELECT s.* FROM s JOIN (SELECT asset, min(prio) AS prio FROM s GROUP BY asset) USING (asset, prio)),
   r AS (SELECT *, ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' AS inside,
                bool_or(ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20') OVER (PARTITION BY asset) AS any_in FROM b)
-  SELECT asset, provider, ts, value FROM r WHERE inside OR NOT any_in""", "asset, provider, ts", 6)
+  SELECT asset, provider, ts, value FROM r WHERE inside OR NOT any_in""", "asset, provider, ts")
 def daily_panel(spark, sf):
     """Cached daily files of two providers; the first one lacks an asset."""
     path = fresh_path(spark, "daily")
@@ -178,7 +178,7 @@ def append_decisions(spark, sf):
         "pair", "ts", F.when(F.col("ret_5") > 0, "BUY").otherwise("SELL").alias("action"), "ret_5")
     tables.append_decisions(d, path)
     schema = "pair string, ts timestamp_ntz, action string, ret_5 double"
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).json(path).drop("date")
 
 
 # --- quality and filters ------------------------------------------------------------
@@ -365,10 +365,10 @@ DIST = f"""WITH {A.BARS}, {A.RELEASES}, d AS (
     FROM bars b ASOF LEFT JOIN releases n ON b.ts < n.ts ASOF LEFT JOIN releases p ON b.ts >= p.ts)"""
 
 
-@query("event_distances", DIST + """ SELECT pair, ts, coalesce(least(greatest(ahead, 0), 1440), 1440) AS eco_minutes_to_next,
-    coalesce(least(greatest(since, 0), 1440), 1440) AS eco_minutes_since_last,
+@query("event_distances", DIST + """ SELECT pair, ts, CASE WHEN ahead < 1440 THEN ahead ELSE 1440 END AS eco_minutes_to_next,
+    CASE WHEN since < 1440 THEN since ELSE 1440 END AS eco_minutes_since_last,
     CASE WHEN abs(prior) > 1e-9 THEN least(greatest((actual - forecast) / abs(prior), -5), 5) ELSE 0 END AS eco_surprise_norm,
-    CASE WHEN ahead <= 15 OR since <= 15 THEN 1.0 ELSE 0.0 END::DOUBLE AS eco_release_flag FROM d""", "pair, ts", 7)
+    CASE WHEN ahead <= 15 OR since <= 15 THEN 1.0 ELSE 0.0 END::DOUBLE AS eco_release_flag FROM d""", "pair, ts")
 def event_distances(spark, sf):
     return asof.event_distances(A.bars(spark, sf).select("pair", "ts"), A.releases(spark, sf))
 

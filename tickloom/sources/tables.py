@@ -82,7 +82,7 @@ def check_sequences(spark: SparkSession, path: str, length: int) -> DataFrame:
     """Stored rows per pair against the manifest, with windows of a wrong length counted."""
     found = spark.read.parquet(path).groupBy("pair").agg(
         F.count(F.lit(1)).alias("found"), F.count_if(F.size("X") != length).alias("wrong_length"),
-        F.count_if("y is null").alias("missing_y"))
+        F.count_if(F.expr("y is null")).alias("missing_y"))
     both = spark.read.parquet(f"{path}_manifest").join(found, "pair", "full")
     ok = (F.col("rows") == F.col("found")) & (F.col("wrong_length") == 0) & (F.col("missing_y") == 0)
     return both.withColumn("ok", F.coalesce(ok, F.lit(False)))
