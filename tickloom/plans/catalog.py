@@ -2,6 +2,7 @@
 
 from tickloom.plans import (  # noqa: F401
     catalog_features,
+    catalog_labels,
     catalog_market,
 )
 from tickloom.plans.registry import ORACLES, QUERIES  # noqa: F401
