@@ -406,3 +406,44 @@ def importance_shift(importance: DataFrame, k: int = 5, threshold: float = 0.3,
     return f.select(*by, "cycle", "top", F.when(F.col("_prev").isNotNull(), shift).alias("shift"),
                     F.array_except("top", "_prev").alias("entered"), F.array_except("_prev", "top").alias("left"),
                     F.coalesce(shift > threshold, F.lit(False)).alias("alert"))
+
+
+# --- ensembles, logs, histograms -------------------------------------------------------
+
+def ensemble_confidence(predictions: DataFrame, keys: Sequence[str], threshold: float = 0.5) -> DataFrame:
+    """Mean and deviation over models per row; confidence is 1 - deviation over the largest deviation."""
+    per = predictions.groupBy(*keys).agg(F.avg("pred").alias("mean"), F.stddev_samp("pred").alias("std"))
+    # The largest deviation is one row, so it is broadcast.
+    top = per.agg(F.greatest(F.max("std"), F.lit(1e-6)).alias("_top"), F.lit(1).alias("_one"))
+    f = per.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one").drop("_one")
+    f = f.withColumn("confidence", 1 - F.col("std") / F.col("_top"))
+    return f.withColumn("signal", F.when(F.col("confidence") > threshold, F.col("mean")).otherwise(0.0)).drop("_top")
+
+
+def ensemble_diversity(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean pairwise correlation of model outputs, from the variance of the summed z-scores."""
+    stats = predictions.groupBy("model").agg(F.avg("pred").alias("_m"), F.stddev_samp("pred").alias("_s"))
+    z = predictions.join(stats, "model").groupBy(*keys).agg(
+        F.sum((F.col("pred") - F.col("_m")) / F.col("_s")).alias("_z"), F.count(F.lit(1)).alias("_k"))
+    k = F.max("_k")
+    return z.agg(((F.var_samp("_z") - k) / (k * (k - 1))).alias("mean_correlation"))
+
+
+def trade_log(trades: DataFrame) -> DataFrame:
+    """Readable direction, number of scale-ins, and P&L in dollars from pips."""
+    return trades.withColumns({
+        "direction": F.when(F.col("direction") > 0, "Long").otherwise("Short"),
+        "n_scale_adds": F.size("scale_additions").cast("bigint"),
+        "pnl_usd": F.col("pnl_pips") * F.col("lots") * 10})
+
+
+# Upper bounds of the latency histogram, in milliseconds.
+LATENCY_BOUNDS = (1, 2, 3, 5, 8, 13, 21, 34, 55)
+
+
+def histogram(df: DataFrame, value: Column, by: Sequence[str], bounds: Sequence[float] = LATENCY_BOUNDS) -> DataFrame:
+    """Cumulative counts per upper bound; every bound appears, the last one is infinite."""
+    edges = [*map(float, bounds), float("inf")]
+    one = df.groupBy(*by).agg(*[F.count_if(value <= b).alias(f"_{i}") for i, b in enumerate(edges)])
+    rows = F.array(*[F.struct(F.lit(b).alias("upper"), F.col(f"_{i}").alias("n")) for i, b in enumerate(edges)])
+    return one.select(*by, F.inline(rows))

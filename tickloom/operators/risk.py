@@ -40,6 +40,11 @@ def _recent_deviation(ret: str, rows: int, least: int) -> Step:
         "_dev": F.when(F.count(ret).over(frame(w)) >= least, F.stddev_pop(ret).over(frame(w)))})
 
 
+def _hundredths(x: Column) -> Column:
+    """Nearest hundredth, halves to even."""
+    return F.rint(x * 100) / 100
+
+
 @dataclass(frozen=True)
 class SizeRule:
     equity: float = 10_000.0
@@ -60,7 +65,7 @@ def kelly_positions(s: Series, rule: SizeRule = SizeRule(), ret: str = "ret", lo
     f = f.withColumn("risk_usd", rule.equity * F.least(F.col("frac_kelly") * F.col("vol_scalar"), F.lit(rule.max_pct)))
     pip_value = rule.lot_size * 0.0001
     stop = F.greatest(F.lit(rule.pip_risk), F.col("atr") / 0.0001 * 1.5)
-    lots = F.round(clip(F.col("risk_usd") / (stop * pip_value), 0.01, rule.equity / rule.lot_size * 0.2), 2)
+    lots = _hundredths(clip(F.col("risk_usd") / (stop * pip_value), 0.01, rule.equity / rule.lot_size * 0.2))
     return (f.withColumn("lots", lots)
              .withColumn("impact_usd", square_root_impact(F.col("lots")) * pip_value * F.col("lots")).drop("_dev"))
 
@@ -100,7 +105,7 @@ def regime_positions(s: Series, rule: RegimeRule = RegimeRule(), ret: str = "ret
     lots = F.greatest(F.least(F.col("risk_usd") / (stop * rule.lot_size * rule.pip), most), F.lit(0.01))
     name = (F.when(F.col("corr_avg") > rule.crisis_corr, "crisis").when(h > rule.trending, "trending")
              .when(h < rule.mean_reverting, "mean_rev").otherwise("normal"))
-    return f.withColumns({"lots": F.round(F.least(lots, most), 2), "regime": name}).drop("_dev")
+    return f.withColumns({"lots": _hundredths(F.least(lots, most)), "regime": name}).drop("_dev")
 
 
 # --- execution ------------------------------------------------------------------

@@ -228,17 +228,21 @@ def load_indicators(spark: SparkSession, path: str, start: str, end: str) -> Dat
     return indicator_events(docs, start, end)
 
 
+def fold_rows(logs: DataFrame) -> DataFrame:
+    """(run, model, fold, best_metric, history) to epochs and best accuracy per fold."""
+    acc = F.try_element_at("history", F.lit("dir_acc"))
+    loss = F.try_element_at("history", F.lit("train_loss"))
+    return logs.select("run", "model", "fold", "best_metric", F.coalesce(F.size(loss), F.lit(0)).alias("epochs"),
+                       F.coalesce(F.array_max(acc), F.lit(0.0)).alias("best_acc"))
+
+
 def load_run_logs(spark: SparkSession, path: str) -> DataFrame:
     """``<run>_<model>_cv.json`` fold logs, one row per fold with its epochs and best accuracy."""
     schema = "fold int, best_metric double, history map<string, array<double>>"
     logs = spark.read.schema(schema).json(path, multiLine=True, pathGlobFilter="*_cv.json").withColumn(
         "_f", F.col("_metadata.file_name"))
-    acc = F.try_element_at("history", F.lit("dir_acc"))
-    loss = F.try_element_at("history", F.lit("train_loss"))
-    return logs.select(F.regexp_extract("_f", r"^(.*)_[^_]+_cv\.json$", 1).alias("run"),
-                       F.regexp_extract("_f", r"([^_]+)_cv\.json$", 1).alias("model"), "fold", "best_metric",
-                       F.coalesce(F.size(loss), F.lit(0)).alias("epochs"),
-                       F.coalesce(F.array_max(acc), F.lit(0.0)).alias("best_acc"))
+    return fold_rows(logs.withColumns({"run": F.regexp_extract("_f", r"^(.*)_[^_]+_cv\.json$", 1),
+                                       "model": F.regexp_extract("_f", r"([^_]+)_cv\.json$", 1)}))
 
 
 def load_fold_configs(spark: SparkSession, path: str) -> DataFrame:
