@@ -54,30 +54,54 @@ def asset_returns(assets: Sequence[str], lags: Sequence[int] = (1, 5, 15)) -> li
         f"{a}_ret_l{n}": F.lag(f"{a}_ret", n).over(w) for a in assets for n in lags})]
 
 
-def rolling_corr(x: Column, y: Column, w, rows: int, min_periods: int) -> Column:
-    """Correlation of the complete pairs among the last ``rows`` rows."""
+def _moments(x: Column, y: Column, w, rows: int) -> dict[str, Column]:
+    """Sums over the complete pairs of the last ``rows`` rows.
+
+    Returns centre on zero, so plain sums lose nothing, and a window of sums stays small
+    enough as generated code to be compiled for a dozen assets at once.
+    """
     frame = w.rowsBetween(-(rows - 1), 0)
-    pairs = F.when(x.isNotNull() & y.isNotNull(), 1)
-    corr = F.corr(x, y).over(frame)
-    return F.when((F.count(pairs).over(frame) >= min_periods) & ~F.isnan(corr), corr)
+    px, py = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    total = lambda c: F.sum(c).over(frame)
+    return {"n": F.count(x * y).over(frame), "x": total(px), "y": total(py),
+            "xx": total(px * px), "yy": total(py * py), "xy": total(x * y)}
+
+
+def _corr_of(m: dict[str, Column], least: int) -> Column:
+    """Correlation from the sums; null with too few pairs or when one side does not vary."""
+    vx, vy = m["n"] * m["xx"] - m["x"] * m["x"], m["n"] * m["yy"] - m["y"] * m["y"]
+    varies = (vx > 1e-12 * m["n"] * m["xx"]) & (vy > 1e-12 * m["n"] * m["yy"])
+    return F.when((m["n"] >= least) & varies, (m["n"] * m["xy"] - m["x"] * m["y"]) / (F.sqrt(vx) * F.sqrt(vy)))
+
+
+def rolling_corr(x: str, y: str, out: str, rows: int, least: int) -> list[Step]:
+    """Correlation of the complete pairs among the last ``rows`` rows."""
+    names = ("n", "x", "y", "xx", "yy", "xy")
+    col = {k: F.col(f"_m_{k}") for k in names}
+    return [add(rows - 1, lambda w: {f"_m_{k}": c for k, c in _moments(F.col(x), F.col(y), w, rows).items()}),
+            Step(lambda f, w: f.withColumn(out, _corr_of(col, least)).drop(*[f"_m_{k}" for k in names]))]
 
 
-def asset_links(assets: Sequence[str], window: int = 60) -> Step:
+def asset_links(assets: Sequence[str], window: int = 60) -> list[Step]:
     """Rolling correlation and beta of each asset's return against the pair's own return."""
     least = max(5, window // 4)
+    names = ("n", "x", "y", "xx", "yy", "xy")
     fx = F.col("_fx")
 
-    def fn(w):
-        frame = w.rowsBetween(-(window - 1), 0)
-        var = rolling(F.var_samp, fx, w, window, least)
-        out = {}
+    def sums(w):
+        out = {"_fx_var": rolling(F.var_samp, fx, w, window, least)}
         for a in assets:
-            x = F.col(f"{a}_ret")
-            pairs = F.count(F.when(x.isNotNull() & fx.isNotNull(), 1)).over(frame)
-            out[f"{a}_corr"] = rolling_corr(x, fx, w, window, least)
-            out[f"{a}_beta"] = F.when(pairs >= least, F.covar_samp(x, fx).over(frame)) / (var + EPS)
+            out.update({f"_{k}_{a}": c for k, c in _moments(F.col(f"{a}_ret"), fx, w, window).items()})
         return out
-    return add(window - 1, fn)
+
+    def links(f: DataFrame, w):
+        out = {}
+        for a in assets:
+            m = {k: F.col(f"_{k}_{a}") for k in names}
+            cov = F.when(m["n"] >= least, (m["xy"] - m["x"] * m["y"] / m["n"]) / (m["n"] - 1))
+            out[f"{a}_corr"], out[f"{a}_beta"] = _corr_of(m, least), cov / (F.col("_fx_var") + EPS)
+        return f.withColumns(out).drop("_fx_var", *[f"_{k}_{a}" for k in names for a in assets])
+    return [add(window - 1, sums), Step(links)]
 
 
 def macro_links(window: int = 60, regime_window: int = 240) -> list[Step]:
@@ -92,13 +116,12 @@ def macro_links(window: int = 60, regime_window: int = 240) -> list[Step]:
             "yield_spread_us_de_10y_chg": diff("yield_spread_us_de_10y"),
             "us_2s10s_spread_chg": diff("us_2s10s_spread"),
             "risk_off_signal": (flag(F.col("SPX_ret") < 0) + flag(F.col("VIX_ret") > 0)) / 2,
-            "gold_dxy_corr": rolling_corr(F.col("GOLD_ret"), F.col("DXY_ret"), w, window, least),
             "commodity_fx_lead": 0.6 * F.lag("COPPER_ret").over(w) + 0.4 * F.lag("WTI_ret").over(w)})
 
     corr = F.col("gold_dxy_corr")
     second = add(regime_window - 1, lambda w: {
         "gold_dxy_corr_break": F.abs(corr - rolling(F.avg, corr, w, regime_window, regime_least))})
-    return [Step(first, before=window - 1), second]
+    return [Step(first, before=1), *rolling_corr("GOLD_ret", "DXY_ret", "gold_dxy_corr", window, least), second]
 
 
 def break_scores(lookback: int = 60, risk_lookback: int = 30) -> Step:
@@ -175,14 +198,25 @@ def correlation_regime(returns: Sequence[str], window: int = 60) -> list[Step]:
     for c in returns:
         whole = whole & F.col(c).isNotNull()
 
-    def corr(w):
+    def sums(w):
         frame = w.rowsBetween(-window, -1)
-        rows = F.count(F.when(whole, 1)).over(frame)
-        full = (rows >= window // 2) & (F.count(F.lit(1)).over(frame) == window)
-        return {f"_c{i}": F.when(full, F.try_divide(
-            F.covar_pop(F.when(whole, F.col(a)), F.when(whole, F.col(b))).over(frame),
-            F.stddev_pop(F.when(whole, F.col(a))).over(frame) * F.stddev_pop(F.when(whole, F.col(b))).over(frame)))
-            for i, (a, b) in enumerate(pairs)}
+        part = {a: F.when(whole, F.col(a)) for a in returns}
+        out = {"_n": F.count(F.when(whole, 1)).over(frame), "_rows": F.count(F.lit(1)).over(frame)}
+        for a in returns:
+            out[f"_x_{a}"], out[f"_xx_{a}"] = F.sum(part[a]).over(frame), F.sum(part[a] * part[a]).over(frame)
+        out.update({f"_xy{i}": F.sum(part[a] * part[b]).over(frame) for i, (a, b) in enumerate(pairs)})
+        return out
+
+    def corr(f: DataFrame, w):
+        full = (F.col("_n") >= window // 2) & (F.col("_rows") == window)
+
+        def one(i, a, b):
+            m = {"n": F.col("_n"), "x": F.col(f"_x_{a}"), "y": F.col(f"_x_{b}"), "xx": F.col(f"_xx_{a}"),
+                 "yy": F.col(f"_xx_{b}"), "xy": F.col(f"_xy{i}")}
+            return F.when(full, _corr_of(m, 2))
+        f = f.withColumns({f"_c{i}": one(i, a, b) for i, (a, b) in enumerate(pairs)})
+        return f.drop("_n", "_rows", *[f"_x_{a}" for a in returns], *[f"_xx_{a}" for a in returns],
+                      *[f"_xy{i}" for i in range(len(pairs))])
 
     def stats(f: DataFrame, w):
         cs = F.array(*[F.col(f"_c{i}") for i in range(len(pairs))])
@@ -197,7 +231,7 @@ def correlation_regime(returns: Sequence[str], window: int = 60) -> list[Step]:
         f = f.withColumn("corr_zscore", (x - rolling(F.avg, x, w, 3 * window))
                          / (rolling(F.stddev_samp, x, w, 3 * window) + EPS))
         return f.withColumn("corr_break", flag(F.abs("corr_zscore") > 2.0))
-    return [add(window, corr), Step(stats), Step(z, before=3 * window - 1)]
+    return [add(window, sums), Step(corr), Step(stats), Step(z, before=3 * window - 1)]
 
 
 def eigen_ratio(df: DataFrame, n_assets: int) -> DataFrame:

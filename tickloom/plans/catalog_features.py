@@ -140,7 +140,7 @@ def _link_sql() -> str:
 
 @query("cross_asset", f"WITH {A.BARS}, {RETS} {_link_sql()}", "pair, ts", 7)
 def cross_asset(spark, sf):
-    s = panel_on_bars(spark, sf).apply(*X.asset_returns(A.PANEL_ASSETS), X.asset_links(A.PANEL_ASSETS))
+    s = panel_on_bars(spark, sf).apply(*X.asset_returns(A.PANEL_ASSETS), *X.asset_links(A.PANEL_ASSETS))
     out = [f"{n}_{c}" for n in A.PANEL_ASSETS for c in ("ret", "ret_l1", "ret_l5", "ret_l15", "corr", "beta")]
     return s.df.select("pair", "ts", *out)
 

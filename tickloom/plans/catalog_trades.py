@@ -290,8 +290,8 @@ IMPORTANCE = f"""{A.BASIC}, il AS (SELECT pair AS model, (day(ts) - 1) // 7 AS c
   lg AS (SELECT *, lag(top) OVER (PARTITION BY model ORDER BY cycle) AS prev FROM tp)"""
 
 
-@query("importance_shift", f"""WITH {IMPORTANCE} SELECT model, cycle, array_to_string(top, ',') AS top, 1 - len(list_intersect(top, prev)) / len(top) AS shift,
-    CASE WHEN prev IS NOT NULL THEN array_to_string(list_sort(list_filter(top, lambda f: NOT list_contains(prev, f))), ',') END AS entered, coalesce(1 - len(list_intersect(top, prev)) / len(top) > 0.3, false) AS alert FROM lg""",
+@query("importance_shift", f"""WITH {IMPORTANCE} SELECT model, cycle, array_to_string(top, ',') AS top, CASE WHEN prev IS NOT NULL THEN 1 - len(list_intersect(top, prev)) / len(top) END AS shift,
+    CASE WHEN prev IS NOT NULL THEN array_to_string(list_sort(list_filter(top, lambda f: NOT list_contains(prev, f))), ',') END AS entered, prev IS NOT NULL AND 1 - len(list_intersect(top, prev)) / len(top) > 0.3 AS alert FROM lg""",
        "model, cycle, top, entered, alert", 6)
 def importance_shift(spark, sf):
     cols = ["ofi", "atr_6", "ret_5", "ret_20", "volume", "spread_avg"]

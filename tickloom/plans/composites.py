@@ -92,7 +92,7 @@ def core_features(bars: DataFrame, panel: DataFrame, releases: DataFrame | None
     s = Series.of(f)
     s = s.apply(W.order_flow_imbalance(spec.ofi), *W.arrival_rate(spec.arrival), *W.true_range_average(spec.atr),
                 W.log_return("_lr"), W.realised_volatility(20, "_lr"), W.bollinger(spec.bands), *W.rsi(spec.rsi),
-                W.lagged_returns(spec.lags), *X.asset_returns(spec.assets), X.asset_links(spec.assets, spec.corr_window),
+                W.lagged_returns(spec.lags), *X.asset_returns(spec.assets), *X.asset_links(spec.assets, spec.corr_window),
                 *X.macro_links(spec.corr_window, spec.regime_window), X.break_scores(),
                 Q.vol_ok(f"atr_{spec.atr}", spec.vol_mult))
     if articles is not None:
