@@ -185,6 +185,27 @@ def rolling(agg: Callable[[Column], Column], x: Column, w: WindowSpec, rows: int
                   agg(x).over(frame))
 
 
+def windowed_sums(s: Series, sums: dict[str, tuple[Column, int]]) -> Series:
+    """Sums over the last ``rows`` rows, fewer at the start: name -> (expression, rows); nulls count 0.
+
+    A window is the tail of one run of ``rows`` rows plus the head of the next, both read from
+    running sums inside the run, so the cost per row does not grow with the window and the
+    error does not grow with the series.
+    """
+    s = s.indexed("_at")
+    for rows in sorted({n for _, n in sums.values()}):
+        names = {name: F.coalesce(x, F.lit(0)) for name, (x, n) in sums.items() if n == rows}
+        run = Window.partitionBy(*s.keys, "_run")
+        head = run.orderBy(*s.order).rowsBetween(Window.unboundedPreceding, 0)
+        s = s.map(lambda f: f.withColumn("_run", F.floor((F.col("_at") - 1) / rows)).withColumns(
+            {f"_h_{n}": F.sum(x).over(head) for n, x in names.items()}).withColumns(
+            {f"_t_{n}": F.sum(x).over(run) for n, x in names.items()}))
+        tail = lambda w, n: F.lag(F.col(f"_t_{n}") - F.col(f"_h_{n}"), rows).over(w)
+        s = s.apply(add(rows, lambda w: {n: F.col(f"_h_{n}") + F.coalesce(tail(w, n), F.lit(0)) for n in names}))
+        s = s.map(lambda f: f.drop("_run", *[f"_{p}_{n}" for n in names for p in "ht"]))
+    return s.map(lambda f: f.drop("_at"))
+
+
 def add(before: int, fn: Callable[[WindowSpec], dict[str, Column]], after: int = 0) -> Step:
     """Step that only adds columns."""
     return Step(lambda f, w: f.withColumns(fn(w)), before, after)

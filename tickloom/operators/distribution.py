@@ -115,11 +115,12 @@ def simulated_paths(trades: DataFrame, keys: Sequence[str], trade_id: str, value
     """
     keys = list(keys)
     sims = F.explode(F.sequence(F.lit(1), F.lit(n_sims))).alias("sim")
+    rows = Series.of(trades.select(*keys, F.col(trade_id), F.col(value).alias("pnl")), keys, [trade_id])
+    rows = rows.indexed("_i").df.drop(trade_id)
     if method == "shuffle":
-        u = unit_hash(F.lit(seed), F.col("sim"), F.col(trade_id))
-        fan = trades.select(*keys, F.col(trade_id), F.col(value).alias("pnl"), sims).withColumn("_u", u)
-        return Series.of(fan, [*keys, "sim"], ["_u", trade_id])
-    rows = Series.of(trades.select(*keys, F.col(trade_id), F.col(value).alias("pnl")), keys, [trade_id]).indexed("_i").df
+        u = unit_hash(F.lit(seed), F.col("sim"), F.col("_i"))
+        fan = rows.select(*keys, "_i", "pnl", sims).withColumn("_u", u)
+        return Series.of(fan, [*keys, "sim"], ["_u", "_i"])
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     u = unit_hash(F.lit(seed), F.col("sim"), F.col("_slot"))
     draws = (rows.select(*keys, F.col("_i").alias("_slot")).join(sizes, keys)

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.core.series import Carry, Series, Step, add
+from tickloom.core.series import Carry, Series, Step, add, windowed_sums
 from tickloom.functions.scalar import normal_cdf, seconds
 
 MINUTES_A_YEAR = 252 * 24 * 60
@@ -216,19 +216,35 @@ def shadow_comparison(signals: Series, rule: ShadowRule = ShadowRule()) -> DataF
 
 # --- rolling monitoring ---------------------------------------------------------
 
-def rolling_trade_stats(win: int = 100, sharpe_rows: int = 200, rate_rows: int = 200, min_rows: int = 10) -> Step:
+def _recent(prefix: str, value: Column, rows: int) -> dict[str, tuple[Column, int]]:
+    return {f"{prefix}n": (F.when(value.isNotNull(), 1), rows), f"{prefix}s": (value, rows),
+            f"{prefix}q": (value * value, rows)}
+
+
+def _mean_dev(prefix: str) -> tuple[Column, Column, Column]:
+    """Count, mean and population deviation from the sums of ``_recent``."""
+    n, total, square = (F.col(f"{prefix}{k}") for k in "nsq")
+    mean = total / F.nullif(n, F.lit(0))
+    var = square / F.nullif(n, F.lit(0)) - mean * mean
+    return n, mean, F.sqrt(F.greatest(var, F.lit(0.0)))
+
+
+def rolling_trade_stats(s: Series, win: int = 100, sharpe_rows: int = 200, rate_rows: int = 200,
+                        min_rows: int = 10) -> Series:
     """Win rate, Sharpe and trades per hour over the last trades; partial windows count."""
-    def fn(w):
-        last = lambda n: w.rowsBetween(-(n - 1), 0)
-        n = F.count("pnl").over(last(sharpe_rows))
-        dev = F.stddev_pop("pnl").over(last(sharpe_rows))
-        mean = F.avg("pnl").over(last(sharpe_rows))
-        k = F.count(F.lit(1)).over(last(rate_rows))
-        hours = (seconds(F.col("ts")) - seconds(F.first("ts").over(last(rate_rows)))) / 3600
-        return {"win_rate": F.avg(F.when(F.col("pnl") > 0, 1.0).otherwise(0.0)).over(last(win)),
-                "rolling_sharpe": F.when((n >= min_rows) & (dev > 1e-9), mean / dev * math.sqrt(252)).otherwise(0.0),
-                "trades_per_hour": F.when(k >= 2, k / F.greatest(hours, F.lit(1 / 60)))}
-    return add(max(win, sharpe_rows, rate_rows) - 1, fn)
+    won = F.when(F.col("pnl") > 0, 1).otherwise(0)
+    s = s.indexed("_i")
+    s = windowed_sums(s, {"_won": (won, win), **_recent("_p", F.col("pnl"), sharpe_rows)})
+    s = s.apply(Carry({"_first": ("min", F.col("ts"))}),
+                add(rate_rows - 1, lambda w: {"_from": F.coalesce(F.lag("ts", rate_rows - 1).over(w), F.col("_first"))}))
+    n, mean, dev = _mean_dev("_p")
+    k = F.least(F.col("_i"), F.lit(rate_rows))
+    hours = (seconds(F.col("ts")) - seconds(F.col("_from"))) / 3600
+    return s.map(lambda f: f.withColumns({
+        "win_rate": F.col("_won") / F.least(F.col("_i"), F.lit(win)),
+        "rolling_sharpe": F.when((n >= min_rows) & (dev > 1e-9), mean / dev * math.sqrt(252)).otherwise(0.0),
+        "trades_per_hour": F.when(k >= 2, k / F.greatest(hours, F.lit(1 / 60)))})
+        .drop("_i", "_won", "_pn", "_ps", "_pq", "_first", "_from"))
 
 
 def risk_adjusted_reward(s: Series, window: int = 100, risk_free: float = 0.05 / 252, annual: float = 252.0,
@@ -240,15 +256,13 @@ def risk_adjusted_reward(s: Series, window: int = 100, risk_free: float = 0.05 /
     s = s.map(lambda f: f.withColumn("_net", F.col("pnl") - F.col("cost")))
     s = s.apply(Carry({"_peak": ("max", F.greatest(F.col("equity"), F.lit(1.0)))}))
 
-    def fn(w):
-        frame = w.rowsBetween(-(window - 1), 0)
-        ratio = ((F.avg("_net").over(frame) - risk_free)
-                 / (F.stddev_pop("_net").over(frame) + 1e-9) * math.sqrt(annual))
-        dd = F.greatest((F.col("_peak") - F.col("equity")) / F.col("_peak"), F.lit(0.0))
-        value = ratio - dd_penalty * dd - cost_penalty * F.abs("cost")
-        return {"reward": F.when(F.count("_net").over(frame) < 2, 0.0).otherwise(value)}
-    s = s.apply(add(window - 1, fn))
-    return s.map(lambda f: f.drop("_net", "_peak"))
+    s = windowed_sums(s, _recent("_w", F.col("_net"), window))
+    n, mean, dev = _mean_dev("_w")
+    ratio = (mean - risk_free) / (dev + 1e-9) * math.sqrt(annual)
+    dd = F.greatest((F.col("_peak") - F.col("equity")) / F.col("_peak"), F.lit(0.0))
+    value = ratio - dd_penalty * dd - cost_penalty * F.abs("cost")
+    return s.map(lambda f: f.withColumn("reward", F.when(n < 2, 0.0).otherwise(value))
+                            .drop("_net", "_peak", "_wn", "_ws", "_wq"))
 
 
 @dataclass(frozen=True)
@@ -267,15 +281,22 @@ def demotion(s: Series, rule: DemotionRule = DemotionRule()) -> DataFrame:
     the equity of the last window/2 trades, with the peak taken inside that window.
     """
     half = -(-rule.window // 2)
+    won = F.when(F.col("pnl") > 0, 1).otherwise(0)
+    s = windowed_sums(s.indexed("_i"), {"_won": (won, rule.window), **_recent("_p", F.col("pnl"), rule.window)})
+    n, mean, dev = _mean_dev("_p")
+    s = s.map(lambda f: f.withColumns({
+        "_n": n, "sharpe": F.when((n >= 10) & (dev > 1e-9), mean / dev * math.sqrt(252)).otherwise(0.0),
+        "win_rate": F.col("_won") / n}))
+    low_sharpe = F.col("sharpe") < rule.sharpe_floor
+    low_wins = F.col("win_rate") < rule.win_rate_floor
+    ready = F.col("_n") >= min(rule.min_trades, rule.window)
+
+    # Rows after the first low Sharpe or win rate cannot fire first, so their drawdown is not needed.
+    stop = s.frame.where(ready & (low_sharpe | low_wins)).groupBy(*s.keys).agg(F.min("_i").alias("_stop"))
+    s = s.with_frame(s.frame.join(stop, s.keys, "left").where("_stop is null or _i <= _stop").drop("_stop"))
 
     def fn(f: DataFrame, w):
-        last = w.rowsBetween(-(rule.window - 1), 0)
-        n, dev = F.count("pnl").over(last), F.stddev_pop("pnl").over(last)
-        ratio = F.avg("pnl").over(last) / dev * math.sqrt(252)
-        f = f.withColumns({
-            "_n": n, "sharpe": F.when((n >= 10) & (dev > 1e-9), ratio).otherwise(0.0),
-            "win_rate": F.avg(F.when(F.col("pnl") > 0, 1.0).otherwise(0.0)).over(last),
-            "_eq": F.collect_list("equity").over(w.rowsBetween(-(half - 1), 0))})
+        f = f.withColumn("_eq", F.collect_list("equity").over(w.rowsBetween(-(half - 1), 0)))
         start = F.struct(F.lit(float("-inf")).alias("peak"), F.lit(0.0).alias("dd"))
 
         def fall(acc, e):
@@ -284,11 +305,8 @@ def demotion(s: Series, rule: DemotionRule = DemotionRule()) -> DataFrame:
                             F.greatest(acc.dd, (peak - e) / F.greatest(peak, F.lit(1e-9))).alias("dd"))
         return f.withColumn("max_drawdown", F.aggregate("_eq", start, fall, lambda acc: acc.dd)).drop("_eq")
 
-    checked = s.apply(Step(fn, before=rule.window - 1)).df
-    low_sharpe = F.col("sharpe") < rule.sharpe_floor
-    low_wins = F.col("win_rate") < rule.win_rate_floor
     deep = F.col("max_drawdown") > rule.max_drawdown
-    fired = checked.where((F.col("_n") >= min(rule.min_trades, rule.window)) & (low_sharpe | low_wins | deep))
+    fired = s.apply(Step(fn, before=half - 1)).df.where(ready & (low_sharpe | low_wins | deep))
     order = F.struct(*s.order)
     picked = fired.groupBy(*s.keys).agg(F.min_by(F.struct(
         *s.order, "sharpe", "win_rate", "max_drawdown", low_sharpe.alias("sharpe_low"),
@@ -309,7 +327,8 @@ def first_alarm(s: Series, value: Column, delta: float = 0.005, threshold: float
 
 def monitoring_snapshot(s: Series, start: float = 10_000.0) -> DataFrame:
     """Latest equity, session P&L, drawdown, win rate, Sharpe and trade rate per key."""
-    s = equity_curve(s, start=start, peak_from_start=True).apply(rolling_trade_stats())
+    s = equity_curve(s, start=start, peak_from_start=True)
+    s = rolling_trade_stats(s)
     order = F.struct(*s.order)
     row = F.max_by(F.struct(
         F.col("ts"), "equity", (F.col("equity") - start).alias("pnl_session"),

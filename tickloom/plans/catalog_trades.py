@@ -197,7 +197,7 @@ ROLL = f"""rs AS (SELECT *, avg((pnl > 0)::INT) OVER ({O} ROWS 99 PRECEDING) AS
 @query("rolling_trade_stats", f"WITH {CURVE}, {ROLL} SELECT strategy, ts, trade_id, win_rate, rolling_sharpe, trades_per_hour FROM rt",
        "strategy, ts, trade_id", 6)
 def rolling_trade_stats(spark, sf):
-    return A.trade_series(spark, sf, "pnl").apply(P.rolling_trade_stats()).df.select(
+    return P.rolling_trade_stats(A.trade_series(spark, sf, "pnl")).df.select(
         "strategy", "ts", "trade_id", "win_rate", "rolling_sharpe", "trades_per_hour")
 
 
@@ -367,9 +367,10 @@ def _mc_summary(extra=""):
       avg((sharpe > 1)::INT) AS prob_sharpe_above_1, avg((sharpe > 0)::INT) AS prob_sharpe_above_0{extra}"""
 
 
-@query("monte_carlo_shuffle", f"""WITH {A.TRADES}, fan AS (SELECT strategy, sim, trade_id, pnl, {MC_PICK.format('trade_id')} AS u FROM trades, range(1, {N_SIMS + 1}) t(sim)),
-    c AS (SELECT *, {START} + sum(pnl) OVER (PARTITION BY strategy, sim ORDER BY u, trade_id ROWS UNBOUNDED PRECEDING) AS eq FROM fan),
-    d AS (SELECT *, greatest(max(eq) OVER (PARTITION BY strategy, sim ORDER BY u, trade_id ROWS UNBOUNDED PRECEDING), {START}) AS pk FROM c),
+@query("monte_carlo_shuffle", f"""WITH {A.TRADES}, n AS (SELECT strategy, pnl, row_number() OVER (PARTITION BY strategy ORDER BY trade_id) AS i FROM trades),
+    fan AS (SELECT strategy, sim, i, pnl, {MC_PICK.format('i')} AS u FROM n, range(1, {N_SIMS + 1}) t(sim)),
+    c AS (SELECT *, {START} + sum(pnl) OVER (PARTITION BY strategy, sim ORDER BY u, i ROWS UNBOUNDED PRECEDING) AS eq FROM fan),
+    d AS (SELECT *, greatest(max(eq) OVER (PARTITION BY strategy, sim ORDER BY u, i ROWS UNBOUNDED PRECEDING), {START}) AS pk FROM c),
     s AS (SELECT strategy, sim, avg(pnl / {START}) / (stddev_pop(pnl / {START}) + 1e-9) * sqrt(252) AS sharpe, max((pk - eq) / pk) AS dd, sum(pnl) / {START} AS tr FROM d GROUP BY 1, 2)
     SELECT strategy, {_mc_summary()} FROM s GROUP BY strategy""", "strategy, n_simulations", 6)
 def monte_carlo_shuffle(spark, sf):

@@ -89,7 +89,7 @@ def core_features(bars: DataFrame, panel: DataFrame, releases: DataFrame | None
     if embeddings is not None:
         f = f.join(embeddings, ["pair", "ts"], "left")
 
-    s = Series.of(f)
+    s = W.macd(Series.of(f), *spec.macd)
     s = s.apply(W.order_flow_imbalance(spec.ofi), *W.arrival_rate(spec.arrival), *W.true_range_average(spec.atr),
                 W.log_return("_lr"), W.realised_volatility(20, "_lr"), W.bollinger(spec.bands), *W.rsi(spec.rsi),
                 W.lagged_returns(spec.lags), *X.asset_returns(spec.assets), *X.asset_links(spec.assets, spec.corr_window),
@@ -97,7 +97,6 @@ def core_features(bars: DataFrame, panel: DataFrame, releases: DataFrame | None
                 Q.vol_ok(f"atr_{spec.atr}", spec.vol_mult))
     if articles is not None:
         s = s.map(lambda g: g.withColumn("_articles", F.coalesce("_articles", F.lit(0.0)))).apply(W.buzz("_articles"))
-    s = W.macd(s, *spec.macd)
     f = s.df
     near = F.lit(spec.news_minutes)
     news = (1.0 - S.flag((F.col("eco_minutes_to_next") <= near) | (F.col("eco_minutes_since_last") <= near))
