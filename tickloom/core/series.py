@@ -16,11 +16,12 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tickloom.core.storage import landed, source_bytes
+from tickloom.core.storage import UNKNOWN_BYTES, landed, source_bytes
 
 BLOCK_BYTES = 1 << 30
 BLOCK_ROWS = 1_000_000
 RANGE_BYTES = 256 << 20
+RANGE_LIMIT = 50_000
 BROADCAST_ROWS = 200_000
 
 
@@ -68,8 +69,10 @@ def same(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add ``_rn``, the exact 1-based position in the key, whatever the key skew."""
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-            -(-source_bytes(df) // RANGE_BYTES))
+    size = source_bytes(df)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if size < UNKNOWN_BYTES:
+        n = min(max(n, -(-size // RANGE_BYTES)), RANGE_LIMIT)
     ranged = (df.repartitionByRange(n, *keys, *order)
                 .sortWithinPartitions(*keys, *order)
                 .withColumn("_row", F.monotonically_increasing_id()))

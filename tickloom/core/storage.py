@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Spark reports a size near the largest long for inputs it knows nothing about.
+UNKNOWN_BYTES = 1 << 60
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach; a temporary one only on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,7 +36,7 @@ def landed(df: DataFrame, tag: str = "stage") -> DataFrame:
 
 
 def source_bytes(df: DataFrame) -> int:
-    """Bytes behind the leaves of the plan; needs no job."""
+    """Bytes behind the leaves of the plan, without a job; UNKNOWN_BYTES or more if a leaf has no size."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     return sum(
         int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.core.series import Carry, Series
-from tickloom.functions.scalar import clip, unit_hash
+from tickloom.functions.scalar import clip
+from tickloom.operators.performance import compounded, equity_curve, sharpe
 
 
 def melt(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -108,43 +109,49 @@ def drift_verdict(psi_scores: DataFrame, ks: DataFrame, baseline_ret: DataFrame,
 # --- Monte Carlo ------------------------------------------------------------------
 
 def simulated_paths(trades: DataFrame, keys: Sequence[str], trade_id: str, value: str, n_sims: int,
-                    method: str = "shuffle", seed: int = 42) -> Series:
+                    method: str = "shuffle", seed: int = 42) -> tuple[Series, DataFrame]:
     """Every trade of a key once per simulation, in hashed order, or drawn with replacement.
 
-    A simulation is its own series, so the paths spread over (key, simulation).
+    Returns the paths, keyed by one number per (key, simulation) so that they spread over tasks
+    and sort on numbers alone, and the table that maps path numbers back to key and simulation.
     """
     keys = list(keys)
-    sims = F.explode(F.sequence(F.lit(1), F.lit(n_sims))).alias("sim")
     rows = Series.of(trades.select(*keys, F.col(trade_id), F.col(value).alias("pnl")), keys, [trade_id])
     rows = rows.indexed("_i").df.drop(trade_id)
+    sizes = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    ids = Series.of(sizes, [], keys).indexed("_k").df
+    sims = F.explode(F.sequence(F.lit(1), F.lit(n_sims))).alias("sim")
+    path = (F.col("_k") * (n_sims + 1) + F.col("sim")).alias("path")
+    names = ids.select(*keys, "_k", sims).select(*keys, "sim", path)
+    # Rows multiply by the number of simulations next, so they are first spread evenly by position.
+    tasks = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = rows.join(ids, keys).select("_k", "_n", "_i", "pnl").repartition(tasks, "_i")
+    digits = lambda *k: F.conv(F.substring(F.md5(F.concat_ws(
+        ":", *[c.cast("string") for c in k]).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    fan = numbered.select("_k", "_n", "_i", "pnl", sims).withColumn("_u", digits(F.lit(seed), F.col("sim"), F.col("_i")))
     if method == "shuffle":
-        u = unit_hash(F.lit(seed), F.col("sim"), F.col("_i"))
-        fan = rows.select(*keys, "_i", "pnl", sims).withColumn("_u", u)
-        return Series.of(fan, [*keys, "sim"], ["_u", "_i"])
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    u = unit_hash(F.lit(seed), F.col("sim"), F.col("_slot"))
-    draws = (rows.select(*keys, F.col("_i").alias("_slot")).join(sizes, keys)
-             .select(*keys, "_slot", "_n", sims)
-             .withColumn("_i", F.floor(u * F.col("_n")) + 1))
-    drawn = draws.join(rows.select(*keys, "_i", "pnl"), [*keys, "_i"]).drop("_i", "_n")
-    return Series.of(drawn, [*keys, "sim"], ["_slot"])
-
-
-def simulate(paths: Series, start: float = 10_000.0, annual: float = 252.0, compound: bool = False) -> DataFrame:
-    """Sharpe, largest drawdown and total return of each simulated path."""
-    from tickloom.operators.performance import compounded, equity_curve
+        return Series.of(fan.select(path, "_u", "_i", "pnl"), ["path"], ["_u", "_i"]), names
+    draws = fan.select("_k", path, F.col("_i").alias("_slot"),
+                       (F.floor(F.col("_u") / F.lit(4294967296.0) * F.col("_n")) + 1).alias("_i"))
+    drawn = draws.join(numbered.select("_k", "_i", "pnl"), ["_k", "_i"]).select("path", "_slot", "pnl")
+    return Series.of(drawn, ["path"], ["_slot"]), names
 
+
+def simulate(paths: Series, names: DataFrame, start: float = 10_000.0, annual: float = 252.0,
+             compound: bool = False) -> DataFrame:
+    """Sharpe, largest drawdown and total return of each simulated path."""
+    pnl = F.col("pnl")
     if compound:
         s = compounded(paths, "pnl", "_eq")
-        dd, ret, scale = F.min("drawdown"), F.col("_eq") - 1, 1.0
-        ratio = lambda c: F.when(F.stddev_pop(c) > 0, F.avg(c) / F.stddev_pop(c) * math.sqrt(annual)).otherwise(0.0)
+        out = s.df.groupBy("path").agg(
+            sharpe(pnl, annual, eps=None).alias("sharpe"), F.min("drawdown").alias("max_dd"),
+            (F.max_by("_eq", paths.order[-1]) - 1).alias("total_return"))
     else:
         s = equity_curve(paths, "pnl", start, "_eq", peak_from_start=True)
-        dd, ret, scale = F.max("drawdown"), F.col("_eq") / start - 1, start
-        ratio = lambda c: F.avg(c) / (F.stddev_pop(c) + 1e-9) * math.sqrt(annual)
-    last = F.max_by(ret, F.struct(*paths.order))
-    return s.df.groupBy(*paths.keys).agg(ratio(F.col("pnl") / scale).alias("sharpe"),
-                                         dd.alias("max_dd"), last.alias("total_return"))
+        out = s.df.groupBy("path").agg(
+            sharpe(pnl / start, annual).alias("sharpe"), F.max("drawdown").alias("max_dd"),
+            (F.sum(pnl) / start).alias("total_return"))
+    return out.join(names, "path").drop("path")
 
 
 def simulation_summary(sims: DataFrame, keys: Sequence[str], original: DataFrame | None = None,

@@ -374,8 +374,8 @@ def _mc_summary(extra=""):
     s AS (SELECT strategy, sim, avg(pnl / {START}) / (stddev_pop(pnl / {START}) + 1e-9) * sqrt(252) AS sharpe, max((pk - eq) / pk) AS dd, sum(pnl) / {START} AS tr FROM d GROUP BY 1, 2)
     SELECT strategy, {_mc_summary()} FROM s GROUP BY strategy""", "strategy, n_simulations", 6)
 def monte_carlo_shuffle(spark, sf):
-    paths = D.simulated_paths(A.trades(spark, sf), ["strategy"], "trade_id", "pnl", N_SIMS)
-    return D.simulation_summary(D.simulate(paths, START), ["strategy"])
+    paths, names = D.simulated_paths(A.trades(spark, sf), ["strategy"], "trade_id", "pnl", N_SIMS)
+    return D.simulation_summary(D.simulate(paths, names, START), ["strategy"])
 
 
 @query("monte_carlo_bootstrap", f"""WITH {A.TRADES}, n AS (SELECT strategy, trade_id, pnl / {START} AS pnl, row_number() OVER (PARTITION BY strategy ORDER BY trade_id) AS i, count(*) OVER (PARTITION BY strategy) AS n FROM trades),
@@ -389,9 +389,9 @@ def monte_carlo_shuffle(spark, sf):
     FROM s JOIN o USING (strategy) GROUP BY strategy""", "strategy, n_simulations, robust", 6)
 def monte_carlo_bootstrap(spark, sf):
     t = A.trades(spark, sf).withColumn("pnl", F.col("pnl") / START)
-    paths = D.simulated_paths(t, ["strategy"], "trade_id", "pnl", N_SIMS, "bootstrap")
+    paths, names = D.simulated_paths(t, ["strategy"], "trade_id", "pnl", N_SIMS, "bootstrap")
     orig = t.groupBy("strategy").agg(P.sharpe(F.col("pnl"), 252, eps=None).alias("sharpe"))
-    return D.simulation_summary(D.simulate(paths, compound=True), ["strategy"], orig)
+    return D.simulation_summary(D.simulate(paths, names, compound=True), ["strategy"], orig)
 
 
 # --- slippage --------------------------------------------------------------------------------
