@@ -16,13 +16,11 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tickloom.core.storage import UNKNOWN_BYTES, landed, source_bytes
+from tickloom.core.storage import BROADCAST_ROWS, UNKNOWN_BYTES, block_bytes, landed, source_bytes
 
-BLOCK_BYTES = 1 << 30
 BLOCK_ROWS = 1_000_000
 RANGE_BYTES = 256 << 20
 RANGE_LIMIT = 50_000
-BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -100,7 +98,7 @@ class Series:
     def of(cls, df: DataFrame, keys=("pair",), order=("ts",), block_rows: int | None = None):
         conf = df.sparkSession.conf
         rows = block_rows or int(conf.get("spark.tickloom.blockRows", "0"))
-        if not rows and source_bytes(df) > int(conf.get("spark.tickloom.blockBytes", str(BLOCK_BYTES))):
+        if not rows and source_bytes(df) > block_bytes(df.sparkSession):
             rows = BLOCK_ROWS
         if not rows:
             return cls(df, keys, order, None)

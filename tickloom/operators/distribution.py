@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.core.series import Carry, Series
+from tickloom.core.storage import lookup
 from tickloom.functions.scalar import clip
 from tickloom.operators.performance import compounded, equity_curve, sharpe
 
@@ -34,7 +35,7 @@ def psi(baseline: DataFrame, live: DataFrame, keys: Sequence[str], bins: int = 1
             .unionByName(live.select(*keys, "value", F.lit(0).alias("_b"))).where("value is not null"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     at = F.least(F.floor((F.col("value") - F.col("_lo")) / width), F.lit(bins - 1))
-    counted = (both.join(edges, keys).where("value between _lo and _hi and _hi > _lo")
+    counted = (lookup(both, edges, keys).where("value between _lo and _hi and _hi > _lo")
                .groupBy(*keys, at.alias("_bin"), "_lo", "_hi")
                .agg(F.sum("_b").alias("_e"), F.sum(1 - F.col("_b")).alias("_a")))
     grid = counted.groupBy(*keys, "_lo", "_hi").agg(
@@ -73,7 +74,7 @@ def ks_two_sample(baseline: DataFrame, live: DataFrame, keys: Sequence[str]) ->
     run = Series.of(counts, keys, ["value"]).apply(
         Carry({"_cx": ("sum", F.col("_x")), "_cy": ("sum", F.col("_y"))})).df
     gap = F.abs(F.col("_cx") / F.col("n_baseline") - F.col("_cy") / F.col("n_live"))
-    out = (run.join(sizes.where("n_baseline > 0 and n_live > 0"), keys)
+    out = (lookup(run, sizes.where("n_baseline > 0 and n_live > 0"), keys)
               .groupBy(*keys, "n_baseline", "n_live").agg(F.max(gap).alias("ks")))
     root = F.sqrt(F.col("n_baseline") * F.col("n_live") / (F.col("n_baseline") + F.col("n_live")))
     return out.withColumn("p_value", kolmogorov_tail(root * F.col("ks")))
@@ -125,7 +126,7 @@ def simulated_paths(trades: DataFrame, keys: Sequence[str], trade_id: str, value
     names = ids.select(*keys, "_k", sims).select(*keys, "sim", path)
     # Rows multiply by the number of simulations next, so they are first spread evenly by position.
     tasks = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    numbered = rows.join(ids, keys).select("_k", "_n", "_i", "pnl").repartition(tasks, "_i")
+    numbered = lookup(rows, ids, keys).select("_k", "_n", "_i", "pnl").repartition(tasks, "_i")
     digits = lambda *k: F.conv(F.substring(F.md5(F.concat_ws(
         ":", *[c.cast("string") for c in k]).cast("binary")), 1, 8), 16, 10).cast("bigint")
     fan = numbered.select("_k", "_n", "_i", "pnl", sims).withColumn("_u", digits(F.lit(seed), F.col("sim"), F.col("_i")))

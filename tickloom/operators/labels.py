@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.core.series import Carry, Series, Step, add
+from tickloom.core.storage import lookup
 from tickloom.functions.scalar import unit_hash
 
 
@@ -119,7 +120,7 @@ def fit_scaler(train: DataFrame, columns: Sequence[str], by: Sequence[str] = ("p
 def scale(df: DataFrame, scaler: DataFrame, columns: Sequence[str], by: Sequence[str] = ("pair",)) -> DataFrame:
     """Standardise with a fitted scaler; a constant column is only centred."""
     unit = lambda c: F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}"))
-    return (df.join(scaler, list(by))
+    return (lookup(df, scaler, by)
               .withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / unit(c) for c in columns})
               .drop(*[f"_{p}_{c}" for c in columns for p in "ms"]))
 
@@ -147,7 +148,7 @@ def multi_pair(features: DataFrame, columns: Sequence[str], pairs: Sequence[str]
 
 def _positions(s: Series) -> DataFrame:
     sizes = s.frame.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("_n"))
-    return s.indexed("_rn0").df.join(sizes, s.keys).withColumn("_i", F.col("_rn0") - 1).drop("_rn0")
+    return lookup(s.indexed("_rn0").df, sizes, s.keys).withColumn("_i", F.col("_rn0") - 1).drop("_rn0")
 
 
 def walk_forward_folds(s: Series, folds: int = 5, embargo: int = 60, val_split: float = 0.2,
@@ -237,7 +238,7 @@ def contrastive_partners(df: DataFrame, row_id: str, regime: str = "regime", see
     offsets = Series.of(sizes, [], [regime]).apply(
         Carry({"_upto": ("sum", F.col("_size"))}), Carry({"_from": ("sum", F.col("_size"))}, reverse=True)).df
     offsets = offsets.withColumn("_all", F.col("_upto") + F.col("_from") - F.col("_size")).drop("_from")
-    placed = s.df.join(offsets, regime)
+    placed = lookup(s.df, offsets, [regime])
     start = F.col("_upto") - F.col("_size")
     others = F.col("_all") - F.col("_size")
     pick = F.floor(unit_hash(F.lit(seed), F.col(row_id), F.lit("o")) * others)

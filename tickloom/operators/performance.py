@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.core.series import Carry, Series, Step, add, windowed_sums
+from tickloom.core.storage import lookup
 from tickloom.functions.scalar import normal_cdf, seconds
 
 MINUTES_A_YEAR = 252 * 24 * 60
@@ -293,7 +294,7 @@ def demotion(s: Series, rule: DemotionRule = DemotionRule()) -> DataFrame:
 
     # Rows after the first low Sharpe or win rate cannot fire first, so their drawdown is not needed.
     stop = s.frame.where(ready & (low_sharpe | low_wins)).groupBy(*s.keys).agg(F.min("_i").alias("_stop"))
-    s = s.with_frame(s.frame.join(stop, s.keys, "left").where("_stop is null or _i <= _stop").drop("_stop"))
+    s = s.with_frame(lookup(s.frame, stop, s.keys, "left").where("_stop is null or _i <= _stop").drop("_stop"))
 
     def fn(f: DataFrame, w):
         f = f.withColumn("_eq", F.collect_list("equity").over(w.rowsBetween(-(half - 1), 0)))
@@ -442,7 +443,7 @@ def ensemble_confidence(predictions: DataFrame, keys: Sequence[str], threshold:
 def ensemble_diversity(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean pairwise correlation of model outputs, from the variance of the summed z-scores."""
     stats = predictions.groupBy("model").agg(F.avg("pred").alias("_m"), F.stddev_samp("pred").alias("_s"))
-    z = predictions.join(stats, "model").groupBy(*keys).agg(
+    z = lookup(predictions, stats, ["model"]).groupBy(*keys).agg(
         F.sum((F.col("pred") - F.col("_m")) / F.col("_s")).alias("_z"), F.count(F.lit(1)).alias("_k"))
     k = F.max("_k")
     return z.agg(((F.var_samp("_z") - k) / (k * (k - 1))).alias("mean_correlation"))

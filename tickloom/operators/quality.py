@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.core.series import Carry, Series, Step, add, rolling
-from tickloom.functions.scalar import flag, minute_of_day, pip_size, seconds
+from tickloom.core.storage import lookup
+from tickloom.functions.scalar import flag, pip_size, seconds
 
 TICK_COLUMNS = ("bid", "ask", "mid", "spread", "volume", "pair", "source")
 
@@ -123,7 +124,7 @@ def chronological_split(s: Series, ratio: float = 0.7) -> DataFrame:
     """Tag each row train or test: the first floor(n * ratio) rows of a key are train."""
     sizes = s.frame.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("_n"))
     rows = s.indexed("_pos").df
-    return (rows.join(sizes, s.keys)
+    return (lookup(rows, sizes, s.keys)
                 .withColumn("part", F.when(F.col("_pos") <= F.floor(F.col("_n") * F.lit(ratio)), "train")
                                      .otherwise("test"))
                 .drop("_pos", "_n"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.core.series import Series, Step, add
+from tickloom.core.storage import lookup
 from tickloom.functions.scalar import at_least, clip
 
 # Standard normal quantiles and densities by confidence level.
@@ -194,7 +195,7 @@ def portfolio_var(returns: DataFrame, positions: DataFrame, equity: float, confi
     recent = (times.join(F.broadcast(n), F.col("_have") == F.col("_p")).orderBy(F.col("ts").desc()).limit(rows).select("ts"))
     used = both.join(recent, "ts")
     stats = used.groupBy("pair").agg(F.avg("ret").alias("_m"), F.stddev_pop("ret").alias("_s"))
-    sums = used.join(stats, "pair").groupBy("ts").agg(
+    sums = lookup(used, stats, ["pair"]).groupBy("ts").agg(
         F.sum(F.col("ret") * F.col("lots") * pip_value).alias("_wr"),
         F.sum((F.col("ret") - F.col("_m")) / F.col("_s")).alias("_zz"), F.count(F.lit(1)).alias("_k"))
     spread = F.sqrt(F.greatest(F.var_pop("_wr"), F.lit(0.0)) * horizon)

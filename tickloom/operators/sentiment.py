@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.core.series import Series
+from tickloom.core.storage import lookup
 from tickloom.functions.scalar import clip
 from tickloom.operators.features import decayed
 
@@ -49,10 +50,10 @@ def weighted_score(df: DataFrame, by: Sequence[str], score: str = "score") -> Da
 
 def recency_bias(s: Series, score: str = "score", rate: float = 0.001) -> DataFrame:
     """Mean score per key weighted by exp(-rate * rank from the newest)."""
-    ranked = Series(s.frame, s.keys, s.order, s.block_rows).indexed("_i")
+    ranked = s.indexed("_i")
     sizes = s.frame.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("_n"))
     weight = F.exp(-rate * (F.col("_n") - F.col("_i")))
-    return (ranked.df.join(sizes, s.keys).groupBy(*s.keys)
+    return (lookup(ranked.df, sizes, s.keys).groupBy(*s.keys)
             .agg((F.sum(F.col(score) * weight) / F.sum(weight)).alias("bias")))
 
 

@@ -89,8 +89,9 @@ TRADE_ORDER = ["ts", "trade_id"]
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed trades from order lines. The trade id is a hash of the whole line; equal lines are interchangeable."""
+    """Closed trades from order lines. The order, line, part, supplier and price together name a trade."""
     line = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    line.append(F.rint(F.col("l_extendedprice") * 100).cast("bigint").cast("string"))
     cents = F.rint(F.col("l_extendedprice") * 100)
     points = F.rint(F.col("l_discount") * 100) - 5
     return table(spark, sf_dir, "lineitem").select(
@@ -104,7 +105,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRADES = """trades AS (
   SELECT l_returnflag AS strategy, l_linestatus AS regime, l_shipdate AS ts,
-         concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS trade_id,
+         concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT) AS trade_id,
          round(l_extendedprice * 100) * (round(l_discount * 100) - 5) / 1000000 AS pnl,
          l_tax * l_quantity AS cost, l_quantity / 10 AS lots, l_tax * l_quantity AS commission,
          l_shipdate + to_minutes(l_linenumber * 30) AS exit_ts, 'v' || l_linenumber AS model_ver

@@ -44,7 +44,7 @@ def recency_bias(spark, sf):
 @query("headlines_to_bars", f"""WITH {A.BARS}, {A.HEADLINES}, h AS (SELECT date_trunc('hour', ts) AS ts, avg(score) AS s FROM scored GROUP BY 1),
     j AS (SELECT pair, bars.ts, s FROM bars LEFT JOIN h ON h.ts = bars.ts),
     l AS (SELECT pair, ts, last_value(CASE WHEN s <> 0 THEN s END IGNORE NULLS) OVER w AS v, last_value(CASE WHEN s <> 0 THEN ts END IGNORE NULLS) OVER w AS hit FROM j {W_ALL})
-    SELECT pair, ts, coalesce(least(greatest(v * exp(-0.0001::DOUBLE * date_diff('second', hit, ts)), -1), 1), 0) AS sentiment FROM l""", "pair, ts", 8)
+    SELECT pair, ts, CASE WHEN v IS NULL THEN 0 ELSE least(greatest(v * exp(-0.0001::DOUBLE * date_diff('second', hit, ts)), -1), 1) END AS sentiment FROM l""", "pair, ts", 8)
 def headlines_to_bars(spark, sf):
     return T.headlines_to_bars(A.bars(spark, sf).select("pair", "ts"), _scored(spark, sf), "1 hour", 0.0001)
 

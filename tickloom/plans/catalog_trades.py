@@ -485,9 +485,9 @@ def execution_cost(spark, sf):
                     R.execution_price(d, lots, use_book=False, impact=False).alias("mid_price"), R.commission(lots).alias("commission"))
 
 
-SLICES = """o AS (SELECT l_orderkey * 10 + l_linenumber AS k, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity / 10 AS lots,
+SLICES = """o AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT AS cents, l_quantity / 10 AS lots,
     CASE l_returnflag WHEN 'A' THEN 'urgent' WHEN 'N' THEN 'patient' ELSE 'normal' END AS urgency FROM lineitem),
-  q AS (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS order_id,
+  q AS (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cents) AS order_id,
     CASE WHEN lots > 2 THEN 10 WHEN urgency = 'urgent' THEN 3 WHEN urgency = 'patient' THEN 15 ELSE 5 END AS n_slices FROM o),
   kp AS (SELECT sqrt(1e-6 * pow(0.0001::DOUBLE, 2) / 2.5e-7) AS kappa),
   sl AS (SELECT order_id, lots, n_slices, t.slice, CASE WHEN kappa * n_slices < 1e-6 THEN 1 / n_slices ELSE
@@ -498,6 +498,7 @@ SLICES = """o AS (SELECT l_orderkey * 10 + l_linenumber AS k, l_orderkey, l_line
 
 def _slices(spark, sf):
     line = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    line.append(F.rint(F.col("l_extendedprice") * 100).cast("bigint").cast("string"))
     o = A.table(spark, sf, "lineitem").select(
         F.concat_ws("-", *line).alias("order_id"), (F.col("l_quantity") / 10).alias("lots"),
         F.when(F.col("l_returnflag") == "A", "urgent").when(F.col("l_returnflag") == "N", "patient").otherwise("normal").alias("urgency"))

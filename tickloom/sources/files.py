@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.core.storage import lookup
 from tickloom.operators.quality import enforce_schema, standardise
 
 TICK_SCHEMA = T.StructType([
@@ -160,7 +161,7 @@ def load_hour_blobs(spark: SparkSession, path: str, source: str = "hour_blobs",
 def preferred(rows: DataFrame, key: str, priority: str) -> DataFrame:
     """Rows of the lowest-priority-number provider that has any, per key."""
     best = rows.groupBy(key).agg(F.min(priority).alias("_best"))
-    return rows.join(best, key).where(F.col(priority) == F.col("_best")).drop("_best")
+    return lookup(rows, best, [key]).where(F.col(priority) == F.col("_best")).drop("_best")
 
 
 def pick_source(sources: dict[str, DataFrame], source: str = "auto") -> DataFrame:
@@ -187,7 +188,7 @@ def daily_panel(series: DataFrame, start: str, end: str) -> DataFrame:
     hits = whole.groupBy("asset", "prio").agg(F.max(inside).alias("_any"))
     chosen = best.join(hits, (best["asset"] == hits["asset"]) & (best["_best"] == hits["prio"])).select(
         best["asset"], "_best", "_any")
-    return (whole.join(chosen, "asset").where((F.col("prio") == F.col("_best")) & (inside | ~F.col("_any")))
+    return (lookup(whole, chosen, ["asset"]).where((F.col("prio") == F.col("_best")) & (inside | ~F.col("_any")))
                  .select("asset", "provider", "ts", "value"))
 
 

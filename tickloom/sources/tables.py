@@ -16,6 +16,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def _by_day(df: DataFrame) -> DataFrame:
+    """Rows of a (pair, day) together in few files; a day too big for one task is split."""
+    return df.hint("rebalance", "pair", "date")
+
+
 def _append(df: DataFrame, path: str, key: Sequence[str]) -> None:
     """Append rows whose key is not stored yet; only the touched day partitions are read back."""
     spark = df.sparkSession
@@ -25,7 +30,7 @@ def _append(df: DataFrame, path: str, key: Sequence[str]) -> None:
         days = fresh.select("pair", "date").distinct()
         known = stored.join(F.broadcast(days) if days.count() <= 100_000 else days, ["pair", "date"], "left_semi")
         fresh = fresh.join(known.select(*key), list(key), "left_anti")
-    (fresh.repartition("pair", "date").sortWithinPartitions("pair", "date", "ts")
+    (_by_day(fresh).sortWithinPartitions("pair", "date", "ts")
           .write.mode("append").partitionBy("pair", "date").parquet(path))
 
 
@@ -41,12 +46,12 @@ def write_bars(df: DataFrame, path: str, freq: str) -> None:
 
 def convert_once(df: DataFrame, path: str) -> None:
     """Write the table unless it is there already."""
-    df.withColumn("date", F.to_date("ts")).write.mode("ignore").partitionBy("pair", "date").parquet(path)
+    _by_day(df.withColumn("date", F.to_date("ts"))).write.mode("ignore").partitionBy("pair", "date").parquet(path)
 
 
 def replace_days(df: DataFrame, path: str) -> None:
     """Overwrite exactly the (pair, day) partitions present in the rows."""
-    (df.withColumn("date", F.to_date("ts")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (_by_day(df.withColumn("date", F.to_date("ts"))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("pair", "date").parquet(path))
 
 
