@@ -30,8 +30,21 @@ def _cell(v):
     return (4, str(v))
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+         "timestamp_ntz": "TIMESTAMP", "float": "FLOAT"}
+
+
+def type_differences(con, df, sql: str) -> list[tuple]:
+    want = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    have = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    return [(c, have[c], want.get(c)) for c in have if have[c] != want.get(c)]
+
+
 def compare(spark, con, name: str, fn, sql: str, sf_dir: str) -> tuple[bool, str]:
     df = fn(spark, sf_dir)
+    odd = type_differences(con, df, sql)
+    if odd:
+        return False, f"types {odd}"
     cols = sorted(df.columns)
     mine = sorted(tuple(_cell(r[c]) for c in cols) for r in df.collect())
     cur = con.execute(sql)

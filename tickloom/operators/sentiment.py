@@ -23,10 +23,14 @@ BEARISH = ("fall", "falls", "drop", "drops", "down", "decline",
 
 def lexicon_score(text: Column, bullish: Sequence[str] = BULLISH, bearish: Sequence[str] = BEARISH) -> Column:
     """(bullish - bearish) / (bullish + bearish) over the distinct lower-case words of the whole text."""
-    words = F.split(F.lower(text), r"\s+")
-    count = lambda ws: F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in ws])))
-    up, down = count(bullish), count(bearish)
-    return F.when(up + down > 0, (up - down) / (up + down)).otherwise(0.0)
+    listed = lambda ws: F.array(*[F.lit(w) for w in ws])
+    hits = F.array_intersect(F.split(F.lower(text), r"\s+"), listed(dict.fromkeys([*bullish, *bearish])))
+
+    def score(found):
+        up, down = (F.size(F.array_intersect(found, listed(ws))) for ws in (bullish, bearish))
+        return F.when(up + down > 0, (up - down) / (up + down)).otherwise(0.0)
+    # The text is split once; the lambda reads the few listed words it holds.
+    return F.transform(F.array(hits), score)[0]
 
 
 def score_once(df: DataFrame, text: str, scorer, out: str = "score") -> DataFrame:

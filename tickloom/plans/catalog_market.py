@@ -93,6 +93,54 @@ def load_bar_exports(spark, sf):
     return out
 
 
+@query("decode_hour_blobs", f"""WITH {A.TICKS} SELECT pair, date_trunc('milliseconds', ts) AS ts, round(bid * 100000) / 100000 AS bid, round(ask * 100000) / 100000 AS ask, volume
+    FROM ticks""", "pair, ts")
+def decode_hour_blobs(spark, sf):
+    """Ticks packed into LZMA hour blobs batch by batch, then decoded."""
+    import lzma
+
+    import numpy as np
+    import pandas as pd
+
+    def pack(batches):
+        kind = np.dtype([("ms", ">u4"), ("ask", ">u4"), ("bid", ">u4"), ("av", ">f4"), ("bv", ">f4")])
+        for b in batches:
+            out = []
+            for (pair, hour), g in b.groupby(["pair", "hour"], sort=False):
+                rec = np.zeros(len(g), dtype=kind)
+                rec["ms"] = g["ms"]
+                rec["ask"], rec["bid"] = np.rint(g["ask"] * 100000), np.rint(g["bid"] * 100000)
+                rec["av"] = rec["bv"] = g["volume"]
+                out.append((pair, hour, lzma.compress(rec.tobytes(), preset=0)))
+            yield pd.DataFrame(out, columns=["pair", "hour", "content"])
+    t = A.ticks(spark, sf).select("pair", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"),
+                                  F.floor(F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(3600000000)) / 1000).alias("ms"),
+                                  "bid", "ask", "volume")
+    return files.decode_hours(t.mapInPandas(pack, "pair string, hour timestamp_ntz, content binary"))
+
+
+@query("top_ticks", f"""WITH {A.TICKS}, r AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY spread DESC, tick_id) AS rank FROM ticks)
+    SELECT pair, rank, tick_id, spread FROM r WHERE rank <= 10""", "pair, rank, tick_id")
+def top_ticks(spark, sf):
+    """Ten widest ticks per pair."""
+    return tables.top_per_key(A.ticks(spark, sf).select("pair", "tick_id", "spread"), ["pair"], [("spread", False), ("tick_id", True)], 10)
+
+
+@plain("hour_sets", f"""WITH {A.TICKS}, a AS (SELECT date_trunc('hour', ts) AS ts FROM ticks WHERE pair = 'click'), b AS (SELECT date_trunc('hour', ts) AS ts FROM ticks WHERE pair = 'view')
+    SELECT 'both' AS part, ts FROM (SELECT ts FROM a INTERSECT SELECT ts FROM b) UNION ALL SELECT 'only_first', ts FROM (SELECT ts FROM a EXCEPT SELECT ts FROM b)
+    UNION ALL SELECT 'either', ts FROM (SELECT ts FROM a UNION SELECT ts FROM b)""")
+def hour_sets(spark, sf):
+    """Hours two pairs share, hours only the first has, and hours either has."""
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")
+    a, b = (A.ticks(spark, sf).where(F.col("pair") == p).select(hour) for p in ("click", "view"))
+    parts = {"both": a.intersect(b), "only_first": a.subtract(b), "either": a.union(b).distinct()}
+    out = None
+    for name, df in parts.items():
+        df = df.select(F.lit(name).alias("part"), "ts")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
 @query("pick_source", f"""WITH {A.TICKS}, s AS (
     SELECT pair, ts, bid, ask, 0 AS prio, 'deep' AS src FROM ticks WHERE spread > 0.0095::DOUBLE AND pair < 'purchase'
     UNION ALL SELECT pair, ts, bid, ask, 1, 'broad' FROM ticks)
@@ -126,12 +174,12 @@ def daily_panel(spark, sf):
     o_totalprice * 0.98::DOUBLE AS prior, 'High' AS impact FROM orders WHERE o_orderdate BETWEEN '1996-01-01' AND '1999-12-31'""",
        "ts, event, impact", 4)
 def indicator_events(spark, sf):
-    """Indicator documents built from orders, one per priority and month, items in an array."""
-    item = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
-                    F.format_string("%.2f", "o_totalprice").alias("value"))
-    docs = (A.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("event"), F.trunc("o_orderdate", "MM"),
-                                                 F.pmod("o_orderkey", F.lit(64)))
-            .agg(F.collect_list(item).alias("data")).select("event", "data"))
+    """Indicator documents built from orders, each with a readable item and two broken ones."""
+    item = lambda d, v: F.struct(d.alias("date"), v.alias("value"))
+    day, value = F.date_format("o_orderdate", "yyyy-MM-dd"), F.format_string("%.2f", "o_totalprice")
+    docs = A.table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("event"),
+        F.array(item(F.lit("no date"), value), item(day, value), item(day, F.lit("."))).alias("data"))
     return files.indicator_events(docs, "1996-01-01", "1999-12-31")
 
 

@@ -123,13 +123,28 @@ def _accounts(spark, sf):
     return s.df.select("account", "ts", "event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "equity", "pnl")
 
 
-@query("drawdown_guard")
+GUARD = """WITH RECURSIVE e0 AS (SELECT event_type AS account, ts, event_id, (20 - value) / 8 AS pnl FROM events),
+  e AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day, 20000 + sum(pnl) OVER (PARTITION BY account ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS equity,
+    row_number() OVER (PARTITION BY account ORDER BY ts, event_id) AS rn FROM e0),
+  s AS (SELECT account, 0::BIGINT AS rn, NULL::BIGINT AS event_id, NULL::VARCHAR AS day, 20000::DOUBLE AS equity, 20000::DOUBLE AS peak, 20000::DOUBLE AS base, 0 AS losses, false AS halted, 0 AS lft,
+      ''::VARCHAR AS action, 0::DOUBLE AS dd, 0::DOUBLE AS dl FROM (SELECT DISTINCT account FROM e)
+    UNION ALL SELECT account, rn, event_id, day, equity, peak, CASE WHEN halted AND lft = 1 THEN equity ELSE base END, losses,
+      CASE WHEN halted THEN lft > 1 ELSE action = 'close_all' END, CASE WHEN halted THEN lft - 1 WHEN action = 'close_all' THEN 20 ELSE lft END, action, dd, dl FROM (
+      SELECT *, CASE WHEN halted THEN 'halt' WHEN dd >= 0.1 OR dl >= 0.03 THEN 'close_all' WHEN dd >= 0.05 THEN 'reduce_50' WHEN losses >= 5 THEN 'reduce_size' ELSE 'continue' END AS action FROM (
+        SELECT *, greatest(0, (peak - equity) / peak) AS dd, greatest(0, (base - equity) / base) AS dl FROM (
+          SELECT e.account, e.rn, e.event_id, e.day, e.equity, greatest(s.peak, e.equity) AS peak, CASE WHEN s.day <> e.day THEN s.equity ELSE s.base END AS base,
+            CASE WHEN e.pnl < 0 THEN CASE WHEN s.day <> e.day THEN 0 ELSE s.losses END + 1 WHEN e.pnl > 0 THEN 0 WHEN s.day <> e.day THEN 0 ELSE s.losses END AS losses, s.halted, s.lft
+          FROM s JOIN e ON e.account = s.account AND e.rn = s.rn + 1))))
+  SELECT account, event_id, action, losses AS consec_losses, dd, dl AS daily_loss, CASE action WHEN 'reduce_50' THEN 0.5::DOUBLE WHEN 'reduce_size' THEN greatest(0.25::DOUBLE, 1 - 0.15::DOUBLE * (losses - 4)) WHEN 'continue' THEN 1 ELSE 0 END::DOUBLE AS size_multiplier FROM s WHERE rn > 0"""
+
+
+@query("drawdown_guard", GUARD, "account, event_id, action, consec_losses")
 def drawdown_guard(spark, sf):
     out = G.guard_batch(_accounts(spark, sf), G.drawdown_guard(start=20_000.0), ["account"], ["ts", "event_id"])
     return out.select("account", "event_id", "action", "dd", "daily_loss", "consec_losses", "size_multiplier")
 
 
-@query("drawdown_guard_stream")
+@query("drawdown_guard_stream", GUARD, "account, event_id, action, consec_losses")
 def drawdown_guard_stream(spark, sf):
     """The same guard as a stateful stream over the stored accounts."""
     path = fresh_path(spark, "accounts")

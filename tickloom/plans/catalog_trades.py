@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tickloom.core.series import Series
+from tickloom.core.series import Series, add
 from tickloom.core.storage import fresh_path
 from tickloom.functions import scalar as S
 from tickloom.operators import distribution as D, performance as P, risk as R
@@ -345,7 +345,15 @@ def ks_two_sample(spark, sf):
     return D.ks_two_sample(base, live, ["pair", "feature"])
 
 
-@query("drift_verdict")
+@query("drift_verdict", f"""WITH {DRIFT}, {KS}, ed AS (SELECT pair, feature, min(v) AS lo, max(v) AS hi FROM dv WHERE base GROUP BY 1, 2),
+    bn AS (SELECT pair, feature, base, least(floor((v - lo) / ((hi - lo) / 10)), 9) AS b FROM dv JOIN ed USING (pair, feature) WHERE v BETWEEN lo AND hi),
+    ct AS (SELECT pair, feature, g.b, count(*) FILTER (base AND bn.b = g.b) / count(*) FILTER (base) + 1e-6 AS e, count(*) FILTER (NOT base AND bn.b = g.b) / count(*) FILTER (NOT base) + 1e-6 AS a
+      FROM bn, range(10) g(b) GROUP BY pair, feature, g.b),
+    ps AS (SELECT pair, max(p) AS psi_max FROM (SELECT pair, feature, sum((a - e) * ln(a / e)) AS p FROM ct GROUP BY 1, 2) GROUP BY pair),
+    kk AS (SELECT pair, min(least(greatest(tail, 0), 1)) AS ks_min_pvalue FROM kp GROUP BY pair),
+    sh AS (SELECT pair, avg(fwd) FILTER (base) / (stddev_pop(fwd) FILTER (base) + 1e-9) * sqrt(252) - avg(fwd) FILTER (NOT base) / (stddev_pop(fwd) FILTER (NOT base) + 1e-9) * sqrt(252) AS sharpe_drop FROM pt GROUP BY pair)
+    SELECT pair, psi_max, ks_min_pvalue, sharpe_drop, concat_ws(',', CASE WHEN sharpe_drop > 0.5 THEN 'sharpe_drop' END, CASE WHEN psi_max > 0.2 THEN 'psi' END, CASE WHEN ks_min_pvalue < 0.05 THEN 'ks' END) AS reasons,
+      sharpe_drop > 0.5 OR psi_max > 0.2 OR ks_min_pvalue < 0.05 AS drift_detected FROM ps JOIN kk USING (pair) JOIN sh USING (pair)""", "pair, reasons, drift_detected", 7)
 def drift_verdict(spark, sf):
     base, live, f = _drift_sides(spark, sf)
     ret = lambda part: f.where(F.col("part") == part).select("pair", F.col("fwd").alias("ret"))
@@ -577,15 +585,14 @@ X_GRANGER = ("DXY", "GOLD", "SPX", "VIX", "US10Y")
 
 # --- trade rows and histograms --------------------------------------------------------------------
 
-@query("trade_log", f"""WITH {CURVE}, l AS (SELECT l_orderkey, count(*) AS adds FROM lineitem GROUP BY 1)
+@query("trade_log", f"""WITH {CURVE}, l AS (SELECT *, split_part(trade_id, '-', 2)::BIGINT AS adds FROM c1)
     SELECT strategy, trade_id, CASE WHEN regime = 'O' THEN 'Long' ELSE 'Short' END AS direction, adds AS n_scale_adds, pnl / 10 * lots * 10 AS pnl_usd
-    FROM c1 JOIN l ON l.l_orderkey = split_part(trade_id, '-', 1)::BIGINT""", "strategy, trade_id, direction, n_scale_adds", 8)
+    FROM l""", "strategy, trade_id, direction, n_scale_adds", 8)
 def trade_log(spark, sf):
-    """Trades with their order's lines as nested scale-ins."""
-    t = A.trades(spark, sf).withColumn("k", F.split_part("trade_id", F.lit("-"), F.lit(1)).cast("bigint"))
-    adds = A.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(
-        F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("scale_additions"))
-    f = t.join(adds, "k").withColumn("direction", F.when(F.col("regime") == "O", 1).otherwise(-1)).withColumn("pnl_pips", F.col("pnl") / 10)
+    """Trades with nested scale-ins, as many as the line number says."""
+    n = F.split_part("trade_id", F.lit("-"), F.lit(2)).cast("int")
+    adds = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("step"), (F.col("lots") / i).alias("lots")))
+    f = A.trades(spark, sf).withColumn("scale_additions", adds).withColumn("direction", F.when(F.col("regime") == "O", 1).otherwise(-1)).withColumn("pnl_pips", F.col("pnl") / 10)
     return P.trade_log(f).select("strategy", "trade_id", "direction", "n_scale_adds", "pnl_usd")
 
 
@@ -603,24 +610,22 @@ def regime_normalised(spark, sf):
                                     S.clip((F.col("close") - 1.05) * 40, -1.0, 1.0).alias("sentiment"))
 
 
-BOOKS = """lv AS (SELECT l_orderkey AS order_id, l_linestatus AS side, l_extendedprice / 50000 AS price, l_quantity AS quantity, l_partkey, l_linenumber FROM lineitem),
-  rk AS (SELECT *, row_number() OVER (PARTITION BY order_id, side ORDER BY CASE WHEN side = 'O' THEN -price ELSE price END, l_partkey, l_linenumber) AS k FROM lv),
-  sd AS (SELECT order_id, side, sum(quantity) FILTER (k <= 5) AS depth, max(price) FILTER (k = 1) AS p0, max(quantity) FILTER (k = 1) AS q0,
-     coalesce(max(quantity) FILTER (k <= 5) > 3 * avg(quantity) FILTER (k <= 5), false) AS wall FROM rk GROUP BY 1, 2)"""
+_SIDE = "list_sort(list({{'o': {0}, 'v': volume, 'p': {1}}}) OVER (PARTITION BY pair ORDER BY ts, tick_id ROWS 9 PRECEDING))"
+BOOKS = f"""{A.TICKS}, bk AS (SELECT tick_id, {_SIDE.format('-bid', 'bid')} AS b, {_SIDE.format('ask', 'ask')} AS a FROM ticks),
+  tp AS (SELECT tick_id, b, a, list_sum(list_transform(b[1:5], lambda x: x.v)) AS bd, list_sum(list_transform(a[1:5], lambda x: x.v)) AS ad,
+    list_max(list_transform(b[1:5], lambda x: x.v)) AS bm, list_max(list_transform(a[1:5], lambda x: x.v)) AS am FROM bk)"""
 
 
-@query("order_book", f"""WITH {BOOKS} SELECT b.order_id, b.depth AS ob_bid_depth, a.depth AS ob_ask_depth, (b.depth - a.depth) / (b.depth + a.depth + 1e-9) AS ob_imbalance,
-    (a.p0 - b.p0) / 0.0001::DOUBLE AS ob_spread_pip, b.wall::INT::DOUBLE AS ob_bid_wall, a.wall::INT::DOUBLE AS ob_ask_wall, (b.p0 * a.q0 + a.p0 * b.q0) / (b.q0 + a.q0 + 1e-9) AS microprice
-    FROM sd b JOIN sd a ON a.order_id = b.order_id WHERE b.side = 'O' AND a.side = 'F'""", "order_id", 5)
+@query("order_book", f"""WITH {BOOKS} SELECT tick_id, bd AS ob_bid_depth, ad AS ob_ask_depth, (bd - ad) / (bd + ad + 1e-9) AS ob_imbalance,
+    (a[1].p - b[1].p) / 0.0001::DOUBLE AS ob_spread_pip, (bm > 3 * bd / len(b[1:5]))::INT::DOUBLE AS ob_bid_wall, (am > 3 * ad / len(a[1:5]))::INT::DOUBLE AS ob_ask_wall,
+    (b[1].p * a[1].v + a[1].p * b[1].v) / (b[1].v + a[1].v + 1e-9) AS microprice FROM tp""", "tick_id", 6)
 def order_book(spark, sf):
-    """Each order's open lines as bid levels and filled lines as ask levels."""
+    """A book per tick: the quotes of the last ten ticks, best first on each side."""
     from tickloom.operators import book
 
-    lv = A.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order_id"), (F.col("l_linestatus") == "O").alias("bid"),
-                                               (F.col("l_extendedprice") / 50000).alias("price"), F.col("l_quantity").alias("quantity"),
-                                               "l_partkey", "l_linenumber")
-    side = lambda is_bid: F.transform(F.array_sort(F.collect_list(F.when(F.col("bid") == is_bid, F.struct(
-        ((-1 if is_bid else 1) * F.col("price")).alias("o"), "l_partkey", "l_linenumber", "price", "quantity")))),
-        lambda x: F.struct(x.price.alias("price"), x.quantity.alias("quantity")))
-    books = lv.groupBy("order_id").agg(side(True).alias("bids"), side(False).alias("asks"))
-    return books.where("size(bids) > 0 and size(asks) > 0").select("order_id", *[c.alias(n) for n, c in book.book_features().items()])
+    def side(w, key, price):
+        quotes = F.collect_list(F.struct(key.alias("o"), F.col("volume").alias("v"), F.col(price).alias("price"))).over(w.rowsBetween(-9, 0))
+        return F.transform(F.array_sort(quotes), lambda q: F.struct(q.price.alias("price"), q.v.alias("quantity")))
+    s = Series.of(A.ticks(spark, sf), order=["ts", "tick_id"]).apply(
+        add(9, lambda w: {"bids": side(w, -F.col("bid"), "bid"), "asks": side(w, F.col("ask"), "ask")}))
+    return s.df.select("tick_id", *[c.alias(n) for n, c in book.book_features().items()])

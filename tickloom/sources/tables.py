@@ -70,6 +70,21 @@ def read_range(table: DataFrame, pair: str, start: str | None = None, end: str |
     return rows.orderBy(F.col("ts").desc()).limit(limit).orderBy("ts")
 
 
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], k: int) -> DataFrame:
+    """First ``k`` rows per key by (column, ascending?) order, with their rank.
+
+    Every task keeps its own best ``k`` first, so a hot key sends few rows.
+    """
+    from pyspark.sql import Window
+
+    by = [F.col(c) if up else F.col(c).desc() for c, up in order]
+    local = Window.partitionBy(*keys, "_task").orderBy(*by)
+    near = df.withColumn("_task", F.spark_partition_id()).withColumn("_r", F.row_number().over(local)).where(F.col("_r") <= k)
+    w = Window.partitionBy(*keys).orderBy(*by)
+    return (near.drop("_task", "_r").withColumn("rank", F.row_number().over(w).cast("bigint"))
+                .where(F.col("rank") <= k))
+
+
 def latest(ticks: DataFrame) -> DataFrame:
     """Newest tick of every pair in one pass."""
     rest = [c for c in ticks.columns if c != "pair"]
