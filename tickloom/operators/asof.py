@@ -37,14 +37,15 @@ def as_of(left: DataFrame, right: DataFrame, values: Sequence[str], keys: Sequen
 
 def event_distances(bars: DataFrame, events: DataFrame, buffer_min: float = 15.0,
                     horizon_min: float = 1440.0) -> DataFrame:
-    """Minutes to the next event after, and since the last event at or before, each time.
+    """Minutes to the next event after, and since the last event at or before, each time, and its surprise.
 
     Events concern the whole market, so the work is done once per distinct bar time.
     ``events``: ts, actual, forecast, prior, event_id; of equal times the highest id counts.
     """
     times = bars.select("ts").distinct()
     surprise = F.when(F.abs("prior") > 1e-9, clip((F.col("actual") - F.col("forecast")) / F.abs("prior"), -5.0, 5.0))
-    hits = events.select("ts", "event_id", F.struct(F.col("ts").alias("at"), surprise.alias("s")).alias("hit"))
+    hits = events.select("ts", "event_id", F.struct(
+        F.col("ts").alias("at"), surprise.alias("s"), (F.col("actual") - F.col("forecast")).alias("raw")).alias("hit"))
     stacked = (times.withColumn("_side", F.lit(1))
                     .unionByName(hits.withColumn("_side", F.lit(0)), allowMissingColumns=True))
     s = Series.of(stacked, [], ["ts", "_side", "event_id"]).apply(
@@ -58,6 +59,7 @@ def event_distances(bars: DataFrame, events: DataFrame, buffer_min: float = 15.0
         F.coalesce(clip(ahead, 0.0, horizon_min), far).alias("eco_minutes_to_next"),
         F.coalesce(clip(since, 0.0, horizon_min), far).alias("eco_minutes_since_last"),
         F.coalesce("_last.s", F.lit(0.0)).alias("eco_surprise_norm"),
+        F.coalesce("_last.raw", F.lit(0.0)).alias("eco_surprise"),
         flag((ahead <= buffer_min) | (since <= buffer_min)).alias("eco_release_flag"))
     return bars.join(near, "ts")
 

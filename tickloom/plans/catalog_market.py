@@ -415,7 +415,7 @@ DIST = f"""WITH {A.BARS}, {A.RELEASES}, d AS (
 
 @query("event_distances", DIST + """ SELECT pair, ts, CASE WHEN ahead < 1440 THEN ahead ELSE 1440 END AS eco_minutes_to_next,
     CASE WHEN since < 1440 THEN since ELSE 1440 END AS eco_minutes_since_last,
-    CASE WHEN abs(prior) > 1e-9 THEN least(greatest((actual - forecast) / abs(prior), -5), 5) ELSE 0 END AS eco_surprise_norm,
+    CASE WHEN abs(prior) > 1e-9 THEN least(greatest((actual - forecast) / abs(prior), -5), 5) ELSE 0 END AS eco_surprise_norm, coalesce(actual - forecast, 0) AS eco_surprise,
     CASE WHEN ahead <= 15 OR since <= 15 THEN 1.0 ELSE 0.0 END::DOUBLE AS eco_release_flag FROM d""", "pair, ts")
 def event_distances(spark, sf):
     return asof.event_distances(A.bars(spark, sf).select("pair", "ts"), A.releases(spark, sf))

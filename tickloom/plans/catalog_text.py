@@ -10,7 +10,7 @@ from tickloom.functions import scalar as S
 from tickloom.operators import cross_asset as X, sentiment as T
 from tickloom.plans import adapters as A, composites as C
 from tickloom.plans.catalog_features import BB, RETS, TR, W_ALL, roll
-from tickloom.plans.registry import plain, query
+from tickloom.plans.registry import UNROUNDED, plain, query
 from tickloom.streaming import guards as G, ticks as L
 
 
@@ -138,13 +138,13 @@ GUARD = """WITH RECURSIVE e0 AS (SELECT event_type AS account, ts, event_id, (20
   SELECT account, event_id, action, losses AS consec_losses, dd, dl AS daily_loss, CASE action WHEN 'reduce_50' THEN 0.5::DOUBLE WHEN 'reduce_size' THEN greatest(0.25::DOUBLE, 1 - 0.15::DOUBLE * (losses - 4)) WHEN 'continue' THEN 1 ELSE 0 END::DOUBLE AS size_multiplier FROM s WHERE rn > 0"""
 
 
-@query("drawdown_guard", GUARD, "account, event_id, action, consec_losses")
+@query("drawdown_guard", GUARD, "account, event_id, action, consec_losses", 11)
 def drawdown_guard(spark, sf):
     out = G.guard_batch(_accounts(spark, sf), G.drawdown_guard(start=20_000.0), ["account"], ["ts", "event_id"])
     return out.select("account", "event_id", "action", "dd", "daily_loss", "consec_losses", "size_multiplier")
 
 
-@query("drawdown_guard_stream", GUARD, "account, event_id, action, consec_losses")
+@query("drawdown_guard_stream", GUARD, "account, event_id, action, consec_losses", 11)
 def drawdown_guard_stream(spark, sf):
     """The same guard as a stateful stream over the stored accounts."""
     path = fresh_path(spark, "accounts")
@@ -204,7 +204,19 @@ def _core(spark, sf):
     return C.core_features(A.bars(spark, sf), panel, A.releases(spark, sf), score, arts, spec=SPEC)
 
 
-@query("core_features")
+def _core_sql() -> str:
+    parts = ["order_flow", "arrival_rate", "true_range", "realised_volatility", "bollinger", "rsi", "macd", "lagged_returns",
+             "cross_asset", "macro_links", "regime_break_closed", "event_distances", "blackout", "vol_filters", "range_position"]
+    joins = " ".join(f"JOIN ({UNROUNDED[p]}) q_{p} USING (pair, ts)" for p in parts)
+    own = f"""WITH {A.BARS} SELECT pair, ts, round("close" - open, 5) AS sentiment_decayed, coalesce({roll('sum', 'n_ticks', 5)}, 0)::DOUBLE AS buzz,
+      sin(2 * pi() * (hour(ts) * 60 + minute(ts)) / 1440) AS time_sin, cos(2 * pi() * (hour(ts) * 60 + minute(ts)) / 1440) AS time_cos,
+      sin(2 * pi() * (isodow(ts) - 1) / 5) AS day_sin, cos(2 * pi() * (isodow(ts) - 1) / 5) AS day_cos, (hour(ts) BETWEEN 13 AND 17)::INT::DOUBLE AS london_ny FROM bars"""
+    cols = [c if not c.startswith("fb_") else f"0.0::DOUBLE AS {c}" for c in C.feature_columns(SPEC)]
+    return f"""SELECT * FROM (SELECT pair, ts, {', '.join(f'"{c}"' if '::' not in c else c for c in cols)} FROM ({own}) own {joins}) WHERE COLUMNS(*) IS NOT NULL"""
+
+
+# A non-zero score is given at nearly every bar; a held one has decayed below any digit an hour later.
+@query("core_features", _core_sql(), "pair, ts", 8)
 def core_features(spark, sf):
     return _core(spark, sf)
 

@@ -107,7 +107,7 @@ def core_features(bars: DataFrame, panel: DataFrame, releases: DataFrame | None
         "obi_proxy": S.range_position(), "spread_pips": S.spread_pips(f.columns), "news_ok": news,
         "regime_break_prob": X.closed_form_break_probability(),
         "sentiment_decayed": F.coalesce(F.col("_score") * fade, F.lit(0.0)) if scores is not None else F.lit(0.0),
-        "eco_surprise": F.col("eco_surprise_norm") if releases is not None else F.lit(0.0),
+        "eco_surprise": F.col("eco_surprise") if releases is not None else F.lit(0.0),
         **({} if articles is not None else {"buzz": F.lit(0.0)}),
         **{f"fb_{i}": F.coalesce(f"fb_{i}", F.lit(0.0)) if f"fb_{i}" in have else F.lit(0.0)
            for i in range(spec.embedding_dims)},

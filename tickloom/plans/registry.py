@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+UNROUNDED: dict[str, str] = {}
 
 
 def rounded(df: DataFrame, digits: int) -> DataFrame:
@@ -27,6 +28,7 @@ def query(name: str, sql: str | None = None, keys: str = "", digits: int = 9):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = run
         if sql:
+            UNROUNDED[name] = sql
             lead = f"{keys}, " if keys else ""
             skip = f" EXCLUDE ({keys})" if keys else ""
             ORACLES[name] = f"SELECT {lead}round(COLUMNS(*{skip}), {digits}) + 0.0 FROM ({sql})" if digits else sql
