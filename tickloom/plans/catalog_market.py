@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tickloom.core.series import Series, add
 from tickloom.core.storage import fresh_path
-from tickloom.functions.scalar import flag
 from tickloom.operators import asof, bars as B, features as W, quality as Q
 from tickloom.plans import adapters as A
 from tickloom.plans.registry import plain, query
@@ -241,7 +240,6 @@ def enforce_schema(spark, sf):
 
 @plain("utc_times", """SELECT event_id, ts AS utc_ts, ts - INTERVAL '5 hours' AS from_fixed_zone FROM events""")
 def utc_times(spark, sf):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return A.table(spark, sf, "events").select(
         "event_id", Q.to_utc(F.col("ts")).cast("timestamp_ntz").alias("utc_ts"),
         Q.to_utc(F.col("ts").cast("timestamp"), "+05:00").cast("timestamp_ntz").alias("from_fixed_zone"))

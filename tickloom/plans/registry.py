@@ -39,7 +39,12 @@ def query(name: str, sql: str | None = None, keys: str = "", digits: int = 9):
 def plain(name: str, sql: str):
     """Register a query whose results hold no floating-point columns."""
     def register(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+        if name in QUERIES:
+            raise ValueError(f"query {name} registered twice")
+        QUERIES[name] = run
         ORACLES[name] = sql
-        return fn
+        return run
     return register
