@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.core.series import Series
-from tickloom.core.storage import fresh_path
+from tickloom.core.storage import fresh_path, landed
 from tickloom.functions import scalar as S
 from tickloom.operators import cross_asset as X, sentiment as T
 from tickloom.plans import adapters as A, composites as C
@@ -221,9 +221,40 @@ def core_features(spark, sf):
     return _core(spark, sf)
 
 
-@query("advanced_features")
+RETURNS = ["GOLD_ret", "DXY_ret", "SPX_ret", "VIX_ret"]
+
+
+def _advanced_sql() -> str:
+    """The second matrix from the parts' SQL, run over the rows of the first one."""
+    from tickloom.plans import catalog_features as CF
+
+    base = f"""bars AS (SELECT b.*, {', '.join(f'"{r}"' for r in RETURNS)} FROM (WITH {A.BARS} SELECT * FROM bars) b JOIN ({UNROUNDED['core_features']}) c USING (pair, ts)),
+      rets AS (SELECT * FROM bars)"""
+    inner = lambda name: UNROUNDED[name].replace(f"WITH {A.BARS}, ", "WITH ").replace(f"WITH {A.BARS}", "")
+    ctes = f"""{CF.TVI}, {CF._regime_sql()}, {CF.OPT.replace('sqrt(g)', 'CASE WHEN g >= 0 THEN sqrt(g) END')},
+      trend AS ({inner('trend_score')}), fract AS ({inner('fractal_dimension')}),
+      pos AS (SELECT pair, ts, volume AS l, n_ticks * 50 AS s FROM (WITH {A.BARS} SELECT * FROM bars) WHERE n_ticks >= 4),
+      cot0 AS (SELECT b.pair, b.ts, (l - s) / (l + s + 1e-9) AS cot_net FROM bars b ASOF LEFT JOIN pos ON b.pair = pos.pair AND b.ts >= pos.ts),
+      cot AS (SELECT *, cot_net AS cot_noncom_net, CASE WHEN abs(cot_net) > 0.7 THEN 1.0 ELSE 0.0 END::DOUBLE AS cot_extreme, coalesce(cot_net - lag(cot_net, 7) OVER w, 0) AS cot_change FROM cot0 {W_ALL})"""
+    filled = ["tvi_buy", "tvi_sell", "tvi_imbalance", "tvi_ratio", "tvi_impact", "corr_avg", "corr_dispersion", "corr_zscore",
+              "parkinson_trend_ratio", "hurst", "fractal_dim", "regime_label", "iv_proxy", "skew_proxy", "term_proxy", "risk_reversal",
+              "cot_net", "cot_noncom_net", "cot_extreme", "cot_change"]
+    raw = """SELECT t2.pair, t2.ts, tvi_buy, tvi_sell, (tvi_buy - tvi_sell) / (tvi_buy + tvi_sell + 1e-9) AS tvi_imbalance,
+      CASE WHEN tvi_buy IS NOT NULL THEN least(greatest(tvi_buy / (tvi_sell + 1e-9), 0), 5) END AS tvi_ratio, tvi_impact, corr_avg, corr_dispersion, corr_zscore,
+      parkinson_trend_ratio, hurst, fractal_dim, regime_label, iv_proxy, skew_proxy, term_proxy, risk_reversal, cot_net, cot_noncom_net, cot_extreme, cot_change
+      FROM t2 JOIN cz USING (pair, ts) JOIN trend USING (pair, ts) JOIN fract USING (pair, ts) JOIN o2 USING (pair, ts) JOIN cot USING (pair, ts)"""
+    held = ", ".join(f"coalesce(last_value({c} IGNORE NULLS) OVER w, 0)::DOUBLE AS {c}" for c in filled)
+    m = "(hour(ts) * 60 + minute(ts))"
+    clock = f"""({m} < 540)::INT::DOUBLE AS sess_tokyo, ({m} >= 420 AND {m} < 960)::INT::DOUBLE AS sess_london, ({m} >= 720 AND {m} < 1260)::INT::DOUBLE AS sess_ny,
+      ({m} >= 1260 OR {m} < 360)::INT::DOUBLE AS sess_sydney, ({m} >= 780 AND {m} < 960)::INT::DOUBLE AS sess_ln_ny, (({m} >= 420 AND {m} < 435) OR ({m} >= 720 AND {m} < 735))::INT::DOUBLE AS sess_open,
+      sin(2 * pi() * {m} / 1440) AS tod_sin, cos(2 * pi() * {m} / 1440) AS tod_cos, sin(2 * pi() * (isodow(ts) - 1) / 5) AS dow_sin, cos(2 * pi() * (isodow(ts) - 1) / 5) AS dow_cos"""
+    return f"""WITH {base}, {ctes}, adv AS ({raw}), fl AS (SELECT pair, ts, {held} FROM adv {W_ALL})
+      SELECT *, CASE WHEN abs(corr_zscore) > 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS corr_break, {clock} FROM fl"""
+
+
+@query("advanced_features", _advanced_sql(), "pair, ts", 6)
 def advanced_features(spark, sf):
-    base = _core(spark, sf)
+    base = landed(_core(spark, sf), "core")
     pos = A.bars(spark, sf).where("n_ticks >= 4").select(
         "pair", "ts", F.col("volume").alias("long_noncom"), (F.col("n_ticks") * 50).cast("double").alias("short_noncom"))
-    return C.advanced_features(A.bars(spark, sf), base, ["GOLD_ret", "DXY_ret", "SPX_ret", "VIX_ret"], pos)
+    return C.advanced_features(A.bars(spark, sf), base, RETURNS, pos)

@@ -1,4 +1,4 @@
-"""Operators chained into whole preparations, each one lazy plan."""
+"""Operators chained into whole preparations."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.core.series import Series
+from tickloom.core.storage import landed
 from tickloom.functions import scalar as S
 from tickloom.operators import asof, book, cross_asset as X, features as W, fractal as H, quality as Q
 from tickloom.operators.bars import to_bars
@@ -89,7 +90,8 @@ def core_features(bars: DataFrame, panel: DataFrame, releases: DataFrame | None
     if embeddings is not None:
         f = f.join(embeddings, ["pair", "ts"], "left")
 
-    s = W.macd(Series.of(f), *spec.macd)
+    # The aligned inputs are written once: the window stages then plan and run on one narrow table.
+    s = W.macd(Series.of(landed(f, "aligned")), *spec.macd)
     s = s.apply(W.order_flow_imbalance(spec.ofi), *W.arrival_rate(spec.arrival), *W.true_range_average(spec.atr),
                 W.log_return("_lr"), W.realised_volatility(20, "_lr"), W.bollinger(spec.bands), *W.rsi(spec.rsi),
                 W.lagged_returns(spec.lags), *X.asset_returns(spec.assets), *X.asset_links(spec.assets, spec.corr_window),
