@@ -282,3 +282,13 @@ def test_regime_fit(spark):
     assert p.regime_break_prob[hot].mean() > p.regime_break_prob[~hot].mean() + 0.2
     few = X.fitted_break_probability(df.limit(20)).toPandas()
     assert few.regime_break_prob.between(0, 1).all()
+
+
+def test_eigen_ratio(spark):
+    rng = np.random.default_rng(4)
+    corr = np.corrcoef(rng.normal(size=(4, 50)))
+    eig = np.sort(np.abs(np.linalg.eigvalsh(corr)))
+    rows = [(0, corr[np.triu_indices(4, 1)].tolist()), (1, [None] * 6), (2, None)]
+    df = spark.createDataFrame(rows, "ts int, _corrs array<double>")
+    got = {r.ts: r.corr_eigenratio for r in X.eigen_ratio(df, 4).collect()}
+    assert got[0] == pytest.approx(eig[-1] / (eig[-2] + 1e-9)) and got[1] is None and got[2] is None
