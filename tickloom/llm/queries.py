@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, mixing, simhash, topk
-from tickloom.llm.common import landed, table
+from tickloom.llm import chat, decontaminate, language, mixing, simhash, topk, toxicity
+from tickloom.llm.common import fold, landed, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -20,6 +20,19 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> dict:
+    """Fitted on the labels that are not held out."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold(F.col("doc_id"), 4) != 2)
+    return toxicity.fitted(docs.where(fold(F.col("doc_id"), 4) != 2), labels)
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.scored(docs, toxicity_model(spark, docs, sf_dir), "score")
+    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("op3_chat_formatting", r"""
     WITH c AS (SELECT conv_id, turn, role, text FROM conversations
                UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
@@ -57,12 +70,26 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors.where("vec_id % 50 = 0"), vectors, k=5)
 
 
+@query("op5_language")
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fitted(docs.where(fold(F.col("doc_id"), 5) != 0))
+    out = language.predicted(docs, model)
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 @query("op6_simhash")
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op8_decontamination")
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontaminate.indexes(table(spark, sf_dir, "benchmark"))
+    return decontaminate.matches(table(spark, sf_dir, "documents"), index)
+
+
 MIX_SQL = r"""
     WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
                       md5(coalesce(doc_id::VARCHAR, '')) AS h FROM {docs}),
