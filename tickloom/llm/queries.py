@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, decontaminate, language, mixing, simhash, topk, toxicity
+from tickloom.llm import chat, decontaminate, language, mixing, run_index, simhash, topk, toxicity
 from tickloom.llm.common import fold, landed, table
 
 QUERIES, ORACLES = {}, {}
@@ -120,3 +120,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = landed(mixing.sized(table(spark, sf_dir, "documents")).select("doc_id", "source", "size"), "sizes")
     mixed = landed(mixing.mix(docs), "mixed")
     return mixing.ordered(mixed).select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
+
+
+@query("op10_run_index")
+def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.digests(table(spark, sf_dir, "documents"))
