@@ -35,12 +35,10 @@ def test_query_in_blocks(spark, name):
     fn = entry.queries()[name]
     whole = _rows(fn(spark, SF))
     spark.conf.set("spark.tickloom.blockRows", "64")
-    spark.conf.set("spark.tickloom.blockBytes", "1")  # also takes the checked-broadcast way of lookups
     try:
         split = _rows(fn(spark, SF))
     finally:
         spark.conf.unset("spark.tickloom.blockRows")
-        spark.conf.unset("spark.tickloom.blockBytes")
     assert len(whole) == len(split)
     bad = [(a, b) for a, b in zip(whole, split) if not all(_close(x, y) for x, y in zip(a, b))]
     assert not bad, bad[:2]

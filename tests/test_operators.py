@@ -222,7 +222,7 @@ def test_drawdown_actions(spark):
     df = spark.createDataFrame([("a", i, "d", e, p) for i, (e, p) in enumerate([(10000.0, 0.0), (9800.0, -200.0), (9450.0, -350.0), (8900.0, -550.0), (9000.0, 100.0)])],
                                "account string, ts int, day string, equity double, pnl double")
     g = G.drawdown_guard(start=10_000.0, daily=0.2)
-    out = G.guard_batch(df, g, ["account"], ["ts"]).orderBy("ts").collect()
+    out = G.run_guard(G.account_columns(Series.of(df, ["account"]), 10_000.0), g).orderBy("ts").collect()
     assert [r.action for r in out] == ["continue", "continue", "reduce_50", "close_all", "halt"]
 
 
@@ -234,18 +234,47 @@ def test_stream_equals_batch(spark):
 
 @pytest.mark.parametrize("guard,values", [
     (G.page_hinkley(threshold=3.0, min_rows=5), {"value": [(i * 7) % 5 - 1.2 for i in range(200)]}),
-    (G.cooldown_guard(10.0), {"at": [float(i * 3 % 97 + i) for i in range(200)], "force": [i % 31 == 0 for i in range(200)]}),
+    (G.cooldown_guard(10.0), {"at": [float(i * 3 + i % 2) for i in range(200)], "force": [i % 31 == 0 for i in range(200)]}),
     (G.retrain_guard(50), {"drift": [i % 60 == 7 for i in range(200)]})])
 def test_guards_stream_equals_batch(spark, tmp_path, guard, values):
-    pdf = pd.DataFrame({"k": [f"k{i % 3}" for i in range(200)], "ts": range(200), **values})
+    """Files in no order of time, one per micro-batch; the batch form in several blocks of one key."""
+    start = pd.Timestamp("2024-01-01", tz="UTC")
+    pdf = pd.DataFrame({"k": ["k0" if i % 10 else "k1" for i in range(200)], "ts": [start + pd.Timedelta(seconds=i) for i in range(200)], **values})
     df = spark.createDataFrame(pdf)
-    for i in range(2):  # two files, read as two micro-batches
-        df.where(f"ts div 100 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for i in (3, 0, 2, 4, 1):
+        df.where(F.pmod(F.unix_timestamp("ts"), F.lit(5)) == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    live = T.drain(G.guard_stream(stream, guard, ["k"], ["ts"]), "guards")
-    batch = G.guard_batch(df, guard, ["k"], ["ts"])
-    key = lambda d: sorted(map(tuple, d.select("k", "ts", *guard.outputs).collect()))
-    assert key(live) == key(batch)
+    close = df.limit(1).withColumns({"k": F.lit("close"), "ts": F.expr("ts + INTERVAL 9 DAYS")})
+    live = T.drain(G.guard_stream(stream, guard, ["k"], ["ts"], delay="1 day"), "guards", lambda: close.write.mode("append").parquet(str(tmp_path / "in")))
+    batch = G.run_guard(Series.of(df, ["k"], block_rows=17), guard)
+    key = lambda d: sorted(map(tuple, d.where("k <> 'close'").select("k", "ts", *guard.outputs).collect()))
+    whole = G.run_guard(Series.of(df, ["k"]), guard)
+    assert len(key(live)) == 200 and key(live) == key(batch) == key(whole)
+
+
+def test_nothing_to_divide_by(spark):
+    """A key that has lost everything, a constant model and a flat pair do not stop the others."""
+    pnl = spark.createDataFrame([("gone", i, -50.0 if i < 2 else 0.0) for i in range(5)] + [("ok", i, 10.0) for i in range(5)], "k string, ts int, pnl double")
+    s = P.equity_curve(Series.of(pnl, ["k"]), start=100.0, peak_from_start=True)
+    assert {r.k: r.drawdown for r in s.df.where("ts = 4").collect()} == {"gone": 1.0, "ok": 0.0}
+    zero = P.equity_curve(Series.of(pnl.where("k = 'gone'"), ["k"]), start=50.0)
+    assert [r.drawdown for r in zero.df.orderBy("ts").collect()][0] is None
+    trades = pnl.withColumns({"commission": F.lit(0.0), "exit_ts": F.current_timestamp(), "ts": F.timestamp_seconds("ts")})
+    report = {r.k: r for r in P.trade_performance(Series.of(trades, ["k"]), start=100.0).collect()}
+    assert report["gone"].total_pnl_usd == -100.0 and report["ok"].n_trades == 5
+    curve = {r.k: r for r in P.curve_report(Series.of(s.df.select("k", "ts", "equity", "pnl"), ["k"])).collect()}
+    assert curve["gone"].total_return == pytest.approx(-100.0) and curve["ok"].total_return > 0
+    lost = P.compounded(Series.of(pnl.select("k", "ts", F.lit(-1.0).alias("ret")), ["k"])).df
+    assert lost.where("equity <> 0").count() == 0
+    models = spark.createDataFrame([(m, t, v) for t in range(6) for m, v in (("a", float(t)), ("b", float(t * t)), ("flat", 1.0))], "model string, ts int, pred double")
+    want = np.corrcoef(np.arange(6.0), np.arange(6.0) ** 2)[0, 1]
+    assert P.ensemble_diversity(models, ["ts"]).first().mean_correlation == pytest.approx(want)
+    assert P.ensemble_diversity(models.where("model = 'flat'"), ["ts"]).first().mean_correlation is None
+    rets = spark.createDataFrame([(p, t, 0.0 if p == "flat" else (t % 5 - 2) * 1e-4 * (1 if p == "x" else -1)) for t in range(40) for p in ("x", "y", "flat")], "pair string, ts int, ret double")
+    book = spark.createDataFrame([(p, 1.0) for p in ("x", "y", "flat")], "pair string, lots double")
+    one = R.portfolio_var(rets, book, 10_000.0).first()
+    assert one.n_times == 40 and one.correlation_avg == pytest.approx(-1.0)
+    assert spark.range(1).select(R.kelly(F.lit(0.6), F.lit(0.0)).alias("k")).first().k is None
 
 
 def test_var_grows_with_the_book(spark):

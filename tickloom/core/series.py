@@ -1,9 +1,9 @@
 """Ordered series: window work that stays parallel when one key holds most rows.
 
-Small inputs use one window per key. Above ``spark.tickloom.blockBytes`` the rows
-are range-partitioned on (key, order), numbered exactly per key, and windows run per
+Rows are range-partitioned on (key, order), numbered exactly per key, and windows run per
 (key, block of row numbers); a block borrows the few rows its frames need from its
-neighbours, and unbounded frames take a carry from the totals of earlier blocks.
+neighbours, and unbounded frames take a carry from the totals of earlier blocks. The
+layout is the same at every size; ``spark.tickloom.blockRows`` sets the rows of a block.
 """
 
 from __future__ import annotations
@@ -16,11 +16,9 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tickloom.core.storage import BROADCAST_ROWS, UNKNOWN_BYTES, block_bytes, landed, source_bytes
+from tickloom.core.storage import landed
 
 BLOCK_ROWS = 1_000_000
-RANGE_BYTES = 256 << 20
-RANGE_LIMIT = 50_000
 
 
 @dataclass(frozen=True)
@@ -65,43 +63,36 @@ def same(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Add ``_rn``, the exact 1-based position in the key, whatever the key skew."""
-    spark = df.sparkSession
-    size = source_bytes(df)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if size < UNKNOWN_BYTES:
-        n = min(max(n, -(-size // RANGE_BYTES)), RANGE_LIMIT)
-    ranged = (df.repartitionByRange(n, *keys, *order)
+    """Add ``_rn``, the exact 1-based position in the key, whatever the key skew.
+
+    As many sorted ranges are written as the session has shuffle partitions (adaptive execution
+    merges small ones); per key and range the rows of earlier ranges are added up.
+    """
+    ranged = (df.repartitionByRange(*keys, *order)
                 .sortWithinPartitions(*keys, *order)
                 .withColumn("_row", F.monotonically_increasing_id()))
     table = landed(ranged, "ordered").withColumn("_rp", F.shiftright("_row", 33))
     earlier = Window.partitionBy(*keys).orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
-    parts = landed(
-        table.groupBy(*keys, "_rp")
-             .agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_lo"))
-             .withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-             .drop("_n"), "offsets")
-    small = F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts
-    on = same(table, parts, [*keys, "_rp"])
-    rn = (table["_row"] - parts["_lo"] + parts["_start"] + 1).alias("_rn")
-    return table.join(small, on).select(*[table[c] for c in df.columns], rn)
+    parts = (table.groupBy(*keys, "_rp")
+                  .agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_lo"))
+                  .withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+                  .drop("_n"))
+    parts = parts.toDF(*[f"_of_{c}" for c in parts.columns])
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, "_rp")])
+    rn = F.col("_row") - F.col("_of__lo") + F.col("_of__start") + 1
+    return table.join(parts, on).select(*df.columns, rn.alias("_rn"))
 
 
 class Series:
     """A DataFrame with its series key and total order."""
 
-    def __init__(self, frame: DataFrame, keys, order, block_rows: int | None):
+    def __init__(self, frame: DataFrame, keys, order, block_rows: int):
         self.frame, self.keys, self.order = frame, list(keys), list(order)
         self.block_rows = block_rows
 
     @classmethod
     def of(cls, df: DataFrame, keys=("pair",), order=("ts",), block_rows: int | None = None):
-        conf = df.sparkSession.conf
-        rows = block_rows or int(conf.get("spark.tickloom.blockRows", "0"))
-        if not rows and source_bytes(df) > block_bytes(df.sparkSession):
-            rows = BLOCK_ROWS
-        if not rows:
-            return cls(df, keys, order, None)
+        rows = block_rows or int(df.sparkSession.conf.get("spark.tickloom.blockRows", str(BLOCK_ROWS)))
         return cls(number_rows(df, keys, order), keys, order, rows)
 
     @property
@@ -127,18 +118,12 @@ class Series:
 
     def indexed(self, name: str = "rn") -> Series:
         """Row number within the key, from 1."""
-        if self.block_rows is None:
-            w = Window.partitionBy(*self.keys).orderBy(*self.order)
-            return self.map(lambda f: f.withColumn(name, F.row_number().over(w).cast("bigint")))
         return self.map(lambda f: f.withColumn(name, F.col("_rn")))
 
     def _block(self, rows: int) -> Column:
         return F.floor((F.col("_rn") - 1) / F.lit(rows))
 
     def _windows(self, steps: list[Step]) -> Series:
-        if self.block_rows is None:
-            w = Window.partitionBy(*self.keys).orderBy(*self.order)
-            return self.with_frame(reduce(lambda f, s: s.fn(f, w), steps, self.frame))
         before, after = sum(s.before for s in steps), sum(s.after for s in steps)
         rows = max(self.block_rows, before, after)
         own, at = self._block(rows), F.pmod(F.col("_rn") - 1, F.lit(rows))
@@ -151,11 +136,6 @@ class Series:
 
     def _carry(self, carry: Carry) -> Series:
         order = [F.col(c).desc() if carry.reverse else F.col(c) for c in self.order]
-        if self.block_rows is None:
-            w = (Window.partitionBy(*self.keys).orderBy(*order)
-                       .rowsBetween(Window.unboundedPreceding, 0))
-            return self.with_frame(self.frame.withColumns(
-                {name: _running(kind, x).over(w) for name, (kind, x) in carry.aggs.items()}))
         f = self.frame.withColumn("_blk", self._block(self.block_rows))
         w = (Window.partitionBy(*self.keys, "_blk").orderBy(*order)
                    .rowsBetween(Window.unboundedPreceding, 0))

@@ -7,21 +7,14 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-# Spark reports a size near the largest long for inputs it knows nothing about.
-UNKNOWN_BYTES = 1 << 60
-BLOCK_BYTES = 1 << 30
-BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach; a temporary one only on a local master."""
+    """Folder every executor can reach; a temporary one only where the driver is the executor."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.conf.get("spark.master", "").startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="tickloom-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -40,28 +33,5 @@ def landed(df: DataFrame, tag: str = "stage") -> DataFrame:
 
 
 def lookup(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join per-key totals back to the rows they came from.
-
-    Small inputs leave the choice to Spark. Above the block size the totals are written first, so
-    that their row count is known: up to BROADCAST_ROWS they are broadcast and the rows are not
-    shuffled; beyond it the keys are many, and a plain join with skew splitting takes over.
-    """
-    keys = list(keys)
-    if source_bytes(big) > block_bytes(big.sparkSession):
-        small = landed(small, "totals")
-        if small.count() <= BROADCAST_ROWS:
-            small = F.broadcast(small)
-    return big.join(small, keys, how)
-
-
-def block_bytes(spark: SparkSession) -> int:
-    """Input size above which work is laid out for a cluster."""
-    return int(spark.conf.get("spark.tickloom.blockBytes", str(BLOCK_BYTES)))
-
-
-def source_bytes(df: DataFrame) -> int:
-    """Bytes behind the leaves of the plan, without a job; UNKNOWN_BYTES or more if a leaf has no size."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(
-        int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())
-    )
+    """Join per-key totals back to the rows they came from; adaptive execution picks the join and splits hot keys."""
+    return big.join(small, list(keys), how)

@@ -17,6 +17,11 @@ MINUTES_A_YEAR = 252 * 24 * 60
 BARS_A_YEAR = 252 * 1440
 
 
+def _part(a: Column, b: Column) -> Column:
+    """a / b, null where b is 0."""
+    return F.try_divide(a, b)
+
+
 # --- curves -------------------------------------------------------------------
 
 def equity_curve(s: Series, pnl: str = "pnl", start: float = 10_000.0, out: str = "equity",
@@ -27,7 +32,7 @@ def equity_curve(s: Series, pnl: str = "pnl", start: float = 10_000.0, out: str
     s = s.apply(Carry({"peak": ("max", F.col(out))}))
     if peak_from_start:
         s = s.map(lambda f: f.withColumn("peak", F.greatest("peak", F.lit(start))))
-    return s.map(lambda f: f.withColumn("drawdown", (F.col("peak") - F.col(out)) / F.col("peak")))
+    return s.map(lambda f: f.withColumn("drawdown", _part(F.col("peak") - F.col(out), F.col("peak"))))
 
 
 def compounded(s: Series, ret: str = "ret", out: str = "equity") -> Series:
@@ -42,7 +47,7 @@ def compounded(s: Series, ret: str = "ret", out: str = "equity") -> Series:
     sign = F.when(F.col("_zero") > 0, 0.0).when(F.col("_neg") % 2 == 1, -1.0).otherwise(1.0)
     s = s.map(lambda f: f.withColumn(out, sign * F.exp(F.coalesce("_log", F.lit(0.0)))).drop("_log", "_neg", "_zero"))
     s = s.apply(Carry({"peak": ("max", F.col(out))}))
-    return s.map(lambda f: f.withColumn("drawdown", F.col(out) / F.col("peak") - 1))
+    return s.map(lambda f: f.withColumn("drawdown", _part(F.col(out), F.col("peak")) - 1))
 
 
 def sharpe(ret: Column, annual: float, sample: bool = False, eps: float | None = 1e-9) -> Column:
@@ -74,7 +79,7 @@ def trade_performance(trades: Series, start: float = 10_000.0) -> DataFrame:
     ``net_pnl_usd`` subtracts the commission once more; ``total_pnl_usd`` does not.
     """
     s = equity_curve(trades, start=start)
-    s = s.apply(add(1, lambda w: {"_ret": F.col("equity") / F.lag("equity").over(w) - 1}))
+    s = s.apply(add(1, lambda w: {"_ret": _part(F.col("equity"), F.lag("equity").over(w)) - 1}))
     w = _wins(F.col("pnl"))
     held = F.coalesce((seconds(F.col("exit_ts")) - seconds(F.col("ts"))) / 60, F.lit(0.0))
     ratio = F.abs(w["avg_win"]) / F.greatest(F.abs(w["avg_loss"]), F.lit(0.01))
@@ -98,13 +103,13 @@ def trade_performance(trades: Series, start: float = 10_000.0) -> DataFrame:
 
 def curve_report(curve: Series, equity: str = "equity", pnl: str = "pnl") -> DataFrame:
     """Return, Sharpe, Calmar, drawdown and win rate of an equity curve per key."""
-    s = curve.apply(add(1, lambda w: {"_ret": F.col(equity) / F.lag(equity).over(w) - 1}),
+    s = curve.apply(add(1, lambda w: {"_ret": _part(F.col(equity), F.lag(equity).over(w)) - 1}),
                     Carry({"_peak": ("max", F.col(equity))}))
     first = F.min_by(equity, F.struct(*curve.order))
     last = F.max_by(equity, F.struct(*curve.order))
-    dd = F.min(F.col(equity) / F.col("_peak") - 1)
+    dd = F.min(_part(F.col(equity), F.col("_peak")) - 1)
     return s.df.groupBy(*curve.keys).agg(
-        ((last / first - 1) * 100).alias("total_return"),
+        ((_part(last, first) - 1) * 100).alias("total_return"),
         F.round(sharpe(F.col("_ret"), BARS_A_YEAR, sample=True, eps=None), 3).alias("sharpe"),
         F.round(F.abs(F.avg("_ret") * BARS_A_YEAR / (F.abs(dd) + 1e-9)), 3).alias("calmar"),
         F.round(dd * 100, 2).alias("max_drawdown"),
@@ -127,7 +132,7 @@ def windowed_report(trades: Series, cutoff: Column, start: float = 10_000.0) ->
         pnl = F.when(cond, F.col("pnl"))
         w = _wins(pnl)
         n = F.count(pnl)
-        dd = F.col("drawdown") if prefix == "all" else (F.col("_rpeak") - F.col("equity")) / F.col("_rpeak")
+        dd = F.col("drawdown") if prefix == "all" else _part(F.col("_rpeak") - F.col("equity"), F.col("_rpeak"))
         out += [n.alias(f"{prefix}_n_trades"),
                 (w["wins"] / F.nullif(n, F.lit(0))).alias(f"{prefix}_win_rate"),
                 F.coalesce(w["avg_win"], F.lit(0.0)).alias(f"{prefix}_avg_win_usd"),
@@ -441,12 +446,15 @@ def ensemble_confidence(predictions: DataFrame, keys: Sequence[str], threshold:
 
 
 def ensemble_diversity(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean pairwise correlation of model outputs, from the variance of the summed z-scores."""
+    """Mean pairwise correlation of model outputs, from the variance of the summed z-scores.
+
+    A model whose output never changes correlates with none and is left out; null with fewer than two others.
+    """
     stats = predictions.groupBy("model").agg(F.avg("pred").alias("_m"), F.stddev_samp("pred").alias("_s"))
     z = lookup(predictions, stats, ["model"]).groupBy(*keys).agg(
-        F.sum((F.col("pred") - F.col("_m")) / F.col("_s")).alias("_z"), F.count(F.lit(1)).alias("_k"))
+        F.sum(_part(F.col("pred") - F.col("_m"), F.col("_s"))).alias("_z"), F.count(F.when(F.col("_s") > 0, 1)).alias("_k"))
     k = F.max("_k")
-    return z.agg(((F.var_samp("_z") - k) / (k * (k - 1))).alias("mean_correlation"))
+    return z.agg((_part(F.var_samp("_z") - k, (k * (k - 1)).cast("double"))).alias("mean_correlation"))
 
 
 def trade_log(trades: DataFrame) -> DataFrame:

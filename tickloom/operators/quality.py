@@ -174,6 +174,17 @@ def sentiment_gate(signal: Column, bias: Column, threshold: float = 0.3) -> Colu
              .otherwise(signal))
 
 
+def return_correlations(returns: DataFrame, ret: str = "ret") -> DataFrame:
+    """Correlation of every two pairs' returns at common times: (pair, other, corr), each two once.
+
+    Rows meet by time; a time has one row per pair, so pairs, not rows, are what multiplies.
+    """
+    a = returns.select("ts", "pair", F.col(ret).alias("_x"))
+    b = returns.select("ts", F.col("pair").alias("other"), F.col(ret).alias("_y"))
+    both = a.join(b, "ts").where(F.col("pair") < F.col("other"))
+    return both.groupBy("pair", "other").agg(F.corr("_x", "_y").alias("corr"))
+
+
 def exposure_gate(signals: DataFrame, correlations: DataFrame, max_exposure: float = 1.5,
                   min_corr: float = 0.6) -> DataFrame:
     """Hold entries whose own lots plus same-direction correlated lots reach the limit.

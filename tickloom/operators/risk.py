@@ -20,7 +20,7 @@ NORMAL = {0.95: (1.6448536269514722, 0.10313564037537139), 0.99: (2.326347874040
 # --- sizing ---------------------------------------------------------------------
 
 def kelly(win_prob: Column, ratio: Column) -> Column:
-    return win_prob - (1 - win_prob) / ratio
+    return win_prob - F.try_divide(1 - win_prob, ratio)
 
 
 def fractional_kelly(full: Column, fraction: float = 0.25) -> Column:
@@ -185,7 +185,8 @@ def portfolio_var(returns: DataFrame, positions: DataFrame, equity: float, confi
     """VaR, CVaR and mean pairwise correlation over the last common times of all held pairs.
 
     w'Cov w is the variance of the weighted return sum, and the mean correlation follows
-    from the variance of the summed z-scores, so pairs are never joined with each other.
+    from the variance of the summed z-scores, so pairs are never joined with each other. A pair
+    whose returns do not vary correlates with none and is left out of the mean.
     """
     z, density = NORMAL[confidence]
     held = positions.where(F.abs("lots") > 0.001)
@@ -197,14 +198,14 @@ def portfolio_var(returns: DataFrame, positions: DataFrame, equity: float, confi
     stats = used.groupBy("pair").agg(F.avg("ret").alias("_m"), F.stddev_pop("ret").alias("_s"))
     sums = lookup(used, stats, ["pair"]).groupBy("ts").agg(
         F.sum(F.col("ret") * F.col("lots") * pip_value).alias("_wr"),
-        F.sum((F.col("ret") - F.col("_m")) / F.col("_s")).alias("_zz"), F.count(F.lit(1)).alias("_k"))
+        F.sum(F.try_divide(F.col("ret") - F.col("_m"), F.col("_s"))).alias("_zz"), F.count(F.when(F.col("_s") > 0, 1)).alias("_k"))
     spread = F.sqrt(F.greatest(F.var_pop("_wr"), F.lit(0.0)) * horizon)
     k = F.max("_k")
     return sums.agg(
         F.count(F.lit(1)).alias("n_times"),
         F.round(z * spread / max(equity, 1.0), 6).alias("var_pct"), F.round(z * spread, 4).alias("var_usd"),
         F.round(spread * density / (1 - confidence), 4).alias("cvar_usd"),
-        F.when(k > 1, F.round((F.var_pop("_zz") - k) / (k * (k - 1)), 3)).otherwise(0.0).alias("correlation_avg"))
+        F.when(k > 1, F.round(F.try_divide(F.var_pop("_zz") - k, (k * (k - 1)).cast("double")), 3)).otherwise(0.0).alias("correlation_avg"))
 
 
 def max_allowed_lots(returns: Series, var_usd: DataFrame, equity: float, max_var: float = 0.02,

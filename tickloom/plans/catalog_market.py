@@ -351,8 +351,8 @@ def sentiment_gate(spark, sf):
 @query("exposure_gate", f"""WITH {A.BASIC}, p AS (
     SELECT pair, ts, round(ofi * 2, 2) AS lots, CASE WHEN ret_5 > 0 THEN 0 WHEN ret_5 < 0 THEN 2 ELSE 1 END AS signal
     FROM basic WHERE ofi IS NOT NULL AND ret_5 IS NOT NULL),
-  c AS (SELECT * FROM (VALUES ('click','error',0.85::DOUBLE),('click','purchase',0.72),('error','purchase',0.68),('signup','view',0.61),('view','click',0.4)) t(a, b, corr)
-        WHERE corr >= 0.6),
+  c AS (SELECT * FROM (SELECT x.pair AS a, y.pair AS b, round(corr(x.ret_5, y.ret_5), 6) AS corr FROM basic x JOIN basic y ON x.ts = y.ts AND x.pair < y.pair
+          WHERE x.ret_5 IS NOT NULL AND y.ret_5 IS NOT NULL GROUP BY 1, 2) WHERE corr >= 0.01),
   cc AS (SELECT a, b, corr FROM c UNION ALL SELECT b, a, corr FROM c),
   e AS (SELECT p.pair, p.ts, p.lots, p.signal, abs(p.lots) + coalesce((
           SELECT sum(abs(o.lots) * cc.corr) FROM cc JOIN p o ON o.pair = cc.b AND o.ts = p.ts WHERE cc.a = p.pair
@@ -360,12 +360,13 @@ def sentiment_gate(spark, sf):
   SELECT pair, ts, lots, CASE WHEN signal = 1 THEN abs(lots) ELSE exposure END AS exposure,
          CASE WHEN signal <> 1 AND exposure >= 1.5 THEN 1 ELSE signal END AS gated_signal FROM e""", "pair, ts, gated_signal")
 def exposure_gate(spark, sf):
-    f = A.basic_features(spark, sf).df.where("ofi is not null and ret_5 is not null").select(
+    """Correlations are those of the returns at hand; they are weak here, so the limit is low."""
+    f = A.basic_features(spark, sf).df.where("ret_5 is not null")
+    corr = Q.return_correlations(f, "ret_5").withColumn("corr", F.round("corr", 6))
+    f = f.where("ofi is not null").select(
         "pair", "ts", F.round(F.col("ofi") * 2, 2).alias("lots"),
         F.when(F.col("ret_5") > 0, 0).when(F.col("ret_5") < 0, 2).otherwise(1).alias("signal"))
-    corr = spark.createDataFrame([("click", "error", 0.85), ("click", "purchase", 0.72), ("error", "purchase", 0.68),
-                                  ("signup", "view", 0.61), ("view", "click", 0.4)], "pair string, other string, corr double")
-    return Q.exposure_gate(f, corr).select("pair", "ts", "lots", "exposure", "gated_signal")
+    return Q.exposure_gate(f, corr, min_corr=0.01).select("pair", "ts", "lots", "exposure", "gated_signal")
 
 
 @query("fill_clean", f"""WITH {A.BASIC}, x AS (SELECT pair, ts, ofi, CASE WHEN "close" = open THEN NULL ELSE 1 / ("close" - open) END AS inv FROM basic)

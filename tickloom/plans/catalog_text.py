@@ -120,7 +120,8 @@ def _accounts(spark, sf):
 
     e = A.table(spark, sf, "events").select(F.col("event_type").alias("account"), "ts", "event_id", ((20 - F.col("value")) / 8).alias("pnl"))
     s = equity_curve(Series.of(e, ["account"], ["ts", "event_id"]), start=20_000.0)
-    return s.df.select("account", "ts", "event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "equity", "pnl")
+    s = s.map(lambda f: f.select("account", "ts", "event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "equity", "pnl", "_rn"))
+    return G.account_columns(s, 20_000.0)
 
 
 GUARD = """WITH RECURSIVE e0 AS (SELECT event_type AS account, ts, event_id, (20 - value) / 8 AS pnl FROM events),
@@ -140,18 +141,25 @@ GUARD = """WITH RECURSIVE e0 AS (SELECT event_type AS account, ts, event_id, (20
 
 @query("drawdown_guard", GUARD, "account, event_id, action, consec_losses", 11)
 def drawdown_guard(spark, sf):
-    out = G.guard_batch(_accounts(spark, sf), G.drawdown_guard(start=20_000.0), ["account"], ["ts", "event_id"])
+    out = G.run_guard(_accounts(spark, sf), G.drawdown_guard(start=20_000.0))
     return out.select("account", "event_id", "action", "dd", "daily_loss", "consec_losses", "size_multiplier")
 
 
 @query("drawdown_guard_stream", GUARD, "account, event_id, action, consec_losses", 11)
 def drawdown_guard_stream(spark, sf):
-    """The same guard as a stateful stream over the stored accounts."""
+    """The same guard as a stream of files that are not in order of time, a few per micro-batch.
+
+    Any row may be overtaken by any other here, so the delay is the whole period; a closing row far ahead moves
+    the watermark past the last one.
+    """
     path = fresh_path(spark, "accounts")
-    a = _accounts(spark, sf)
-    a.write.parquet(path)
-    stream = spark.readStream.schema(a.schema).parquet(path)
-    out = L.drain(G.guard_stream(stream, G.drawdown_guard(start=20_000.0), ["account"], ["ts", "event_id"]), "guard")
+    a = _accounts(spark, sf).df.withColumn("ts", F.col("ts").cast("timestamp"))
+    a.withColumn("_part", F.crc32(F.col("event_id").cast("string").cast("binary")) % 6).repartition(6, "_part").drop("_part").write.parquet(path)
+    closing = a.groupBy().agg(F.max("ts").alias("ts")).select(F.lit("closing").alias("account"), (F.col("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"))
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in a.schema.fields if f.name not in ("account", "ts")]
+    stream = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    out = L.drain(G.guard_stream(stream, G.drawdown_guard(start=20_000.0), ["account"], ["ts", "event_id"], delay="100 days"),
+                  "guard", lambda: closing.select("*", *empty).select(*a.columns).coalesce(1).write.mode("append").parquet(path))
     return out.select("account", "event_id", "action", "dd", "daily_loss", "consec_losses", "size_multiplier")
 
 

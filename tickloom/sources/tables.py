@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TICK_KEY = ("pair", "ts", "source")
 BAR_KEY = ("pair", "freq", "ts")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+def _stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """The table as it is, read with a known schema; None if nothing has been written there."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def _by_day(df: DataFrame) -> DataFrame:
@@ -24,11 +31,12 @@ def _by_day(df: DataFrame) -> DataFrame:
 def _append(df: DataFrame, path: str, key: Sequence[str]) -> None:
     """Append rows whose key is not stored yet; only the touched day partitions are read back."""
     spark = df.sparkSession
-    fresh = df.withColumn("date", F.to_date("ts")).dropDuplicates(list(key))
-    if _exists(spark, path):
-        stored = spark.read.parquet(path)
-        days = fresh.select("pair", "date").distinct()
-        known = stored.join(F.broadcast(days) if days.count() <= 100_000 else days, ["pair", "date"], "left_semi")
+    rest = [c for c in df.columns if c not in key]
+    fresh = df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row")).select(*key, "_row.*")
+    fresh = fresh.select(*df.columns, F.to_date("ts").alias("date"))
+    stored = _stored(spark, path, fresh.schema)
+    if stored is not None:
+        known = stored.join(fresh.select("pair", "date").distinct(), ["pair", "date"], "left_semi")
         fresh = fresh.join(known.select(*key), list(key), "left_anti")
     (_by_day(fresh).sortWithinPartitions("pair", "date", "ts")
           .write.mode("append").partitionBy("pair", "date").parquet(path))
@@ -56,8 +64,8 @@ def replace_days(df: DataFrame, path: str) -> None:
 
 
 def read_range(table: DataFrame, pair: str, start: str | None = None, end: str | None = None,
-               limit: int = 1_000_000, freq: str | None = None) -> DataFrame:
-    """The last ``limit`` rows of a pair inside [start, end], ascending."""
+               limit: int | None = None, freq: str | None = None) -> DataFrame:
+    """Rows of a pair inside [start, end], ascending; with ``limit`` only the last so many."""
     rows = table.where(F.col("pair") == pair)
     if freq is not None:
         rows = rows.where(F.col("freq") == freq)
@@ -67,7 +75,10 @@ def read_range(table: DataFrame, pair: str, start: str | None = None, end: str |
             rows = rows.where(f"ts {op} timestamp_ntz'{bound}'")
             if dated:
                 rows = rows.where(f"date {op} date'{bound[:10]}'")
-    return rows.orderBy(F.col("ts").desc()).limit(limit).orderBy("ts")
+    rest = [c for c in rows.columns if c != "ts"]  # equal times have an order too
+    if limit is not None:
+        rows = rows.orderBy(F.col("ts").desc(), *[F.col(c).desc() for c in rest]).limit(limit)
+    return rows.orderBy("ts", *rest)
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], k: int) -> DataFrame:
@@ -88,7 +99,7 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, b
 def latest(ticks: DataFrame) -> DataFrame:
     """Newest tick of every pair in one pass."""
     rest = [c for c in ticks.columns if c != "pair"]
-    return ticks.groupBy("pair").agg(F.max_by(F.struct(*rest), "ts").alias("_t")).select("pair", "_t.*")
+    return ticks.groupBy("pair").agg(F.max_by(F.struct(*rest), F.struct("ts", *rest)).alias("_t")).select("pair", "_t.*")
 
 
 def write_sequences(df: DataFrame, path: str) -> None:

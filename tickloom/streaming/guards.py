@@ -1,175 +1,267 @@
 """Sequential guards per key: drawdown exits, change alarms, alert cooldown, retraining.
 
-Each guard is one small step function ``(state, row) -> (state, outputs)``. The stream keeps
-the state in Spark's state store. The batch form sorts each key inside a partition and carries
-the state over Arrow batches, so a long key is never held in memory.
+A guard advances over arrays: ``(state, columns) -> (state, output columns)``, moving from one event (halt,
+alarm, sent alert) to the next instead of from row to row. What is not sequential (peak, loss streak, day
+opening) is computed as columns before.
+
+The batch form cuts a key into blocks and runs all blocks at once, each from a guessed state; a block whose
+predecessor ended in another state than it was given runs again, until none does. Guards forget: after a halt,
+a new day, an alarm or a quiet gap the state no longer depends on where the block began, so few blocks run
+again, and no key is one task. The stream form keeps the state and the rows that may still be overtaken in
+Spark's state store and lets go only of rows that the watermark has passed, in order.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.core.series import Carry, Series, add
+from tickloom.core.storage import landed
 from tickloom.functions.scalar import seconds
 
 
 @dataclass(frozen=True)
 class Guard:
+    """``state`` and ``out`` are schemas without nulls; ``columns`` are read as arrays."""
+
     initial: tuple
-    state_schema: str
+    state: str
     columns: tuple[str, ...]
-    out_schema: str
-    step: Callable[[tuple, tuple], tuple[tuple, tuple]]
+    out: str
+    advance: Callable[[tuple, list[np.ndarray]], tuple[tuple, list[np.ndarray]]]
 
     @property
     def outputs(self) -> list[str]:
-        return [c.split()[0] for c in self.out_schema.split(", ")]
+        return [c.split()[0] for c in self.out.split(", ")]
 
+    @property
+    def states(self) -> list[str]:
+        return [c.split()[0] for c in self.state.split(", ")]
 
-def _schema(df: DataFrame, guard: Guard) -> str:
-    have = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return f"{have}, {guard.out_schema}"
+    def over(self, state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        state, values = self.advance(state, [rows[c].to_numpy() for c in self.columns])
+        plain = tuple(x.item() if isinstance(x, np.generic) else x for x in state)
+        return plain, rows.assign(**dict(zip(self.outputs, values)))
 
 
-def _advance(guard: Guard, state: tuple, pdf: pd.DataFrame) -> tuple[tuple, list[tuple]]:
-    out = []
-    for row in zip(*[pdf[c] for c in guard.columns]):
-        state, values = guard.step(state, row)
-        out.append(values)
-    return state, out
+def _schema(df: DataFrame, *more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *more])
 
 
 def guard_batch(df: DataFrame, guard: Guard, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Run a guard over a table: sequential within a key, parallel over keys, batch by batch."""
-    keys = list(keys)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, guard.initial
-        for b in batches:
-            starts = (b[keys] != b[keys].shift()).any(axis=1).cumsum() if len(b) else []
-            for _, part in b.groupby(starts, sort=False):
-                key = tuple(part[k].iloc[0] for k in keys)
-                if key != current:
-                    current, state = key, guard.initial
-                state, values = _advance(guard, state, part)
-                yield pd.concat([part.reset_index(drop=True), pd.DataFrame(values, columns=guard.outputs)], axis=1)
-    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return placed.mapInPandas(run, _schema(df, guard))
-
-
-def guard_stream(df: DataFrame, guard: Guard, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Run a guard over a stream; rows of one micro-batch are ordered, state lives across batches."""
+    """Run a guard over a table, in blocks of each key's rows."""
+    s = Series.of(df, keys, order)
+    return run_guard(s, guard)
+
+
+def run_guard(s: Series, guard: Guard) -> DataFrame:
+    """Run a guard over a series; the loop ends when every block began where the one before it ended."""
+    block = F.floor((F.col("_rn") - 1) / s.block_rows).alias("_blk")
+    rows = landed(s.frame.select("*", F.to_json(F.struct(*s.keys)).alias("_key"), block), "guard-rows")
+    entry, states = [f"_in_{c}" for c in guard.states], guard.states
+    kept = [*(c for c in s.frame.columns if c != "_rn"), *guard.outputs]
+    state_of = ", ".join(f"_in_{c}" for c in guard.state.split(", ")) + ", " + ", ".join(f"_out_{c}" for c in guard.state.split(", "))
+
+    def ended(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_rn")
+        begin = tuple(pdf[c].iloc[0] for c in entry)
+        end, _ = guard.over(begin, pdf)
+        return pd.DataFrame([(pdf["_key"].iloc[0], pdf["_blk"].iloc[0], *begin, *end)],
+                            columns=["_key", "_blk", *entry, *(f"_out_{c}" for c in states)])
+
+    def through(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_rn")
+        _, out = guard.over(tuple(pdf[c].iloc[0] for c in entry), pdf)
+        return out[kept]
+
+    def run(given: DataFrame) -> DataFrame:
+        needed = rows.select("_key", "_blk", "_rn", *guard.columns)
+        ends = needed.join(given, ["_key", "_blk"]).groupBy("_key", "_blk").applyInPandas(ended, f"_key string, _blk long, {state_of}")
+        return landed(ends, "guard-states")
+
+    first = [F.lit(v).cast(c.split()[1]).alias(f"_in_{c.split()[0]}") for v, c in zip(guard.initial, guard.state.split(", "))]
+    known = run(rows.select("_key", "_blk").distinct().select("_key", "_blk", *first))
+    ahead = Window.partitionBy("_key").orderBy("_blk")
+    while True:
+        found = known.withColumns({f"_now_{c}": F.coalesce(F.lag(f"_out_{c}").over(ahead), F.col(f"_in_{c}")) for c in states})
+        moved = F.lit(False)
+        for c in states:
+            moved = moved | ~F.col(f"_now_{c}").eqNullSafe(F.col(f"_in_{c}"))
+        again = found.where(moved).select("_key", "_blk", *[F.col(f"_now_{c}").alias(f"_in_{c}") for c in states])
+        if not again.limit(1).count():
+            break
+        redone = run(again)
+        known = landed(known.join(redone.select("_key", "_blk"), ["_key", "_blk"], "left_anti").unionByName(redone), "guard-states")
+    given = known.select("_key", "_blk", *entry)
+    return rows.join(given, ["_key", "_blk"]).groupBy("_key", "_blk").applyInPandas(through, _schema(s.frame.drop("_rn"), guard.out))
+
+
+def guard_stream(df: DataFrame, guard: Guard, keys: Sequence[str], order: Sequence[str], time: str = "ts",
+                 delay: str = "0 seconds") -> DataFrame:
+    """Run a guard over a stream whose rows may come up to ``delay`` out of order.
+
+    Rows are held until the watermark has passed their ``time`` and then go through in order; what is newer
+    than the last watermark comes out when a later row, of any key, moves it on.
+    """
     order = list(order)
+    columns = df.columns
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(state.get) if state.exists else guard.initial
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable").reset_index(drop=True)
-        now, values = _advance(guard, now, rows)
-        state.update(now)
-        yield pd.concat([rows, pd.DataFrame(values, columns=guard.outputs)], axis=1)
-    return df.groupBy(*keys).applyInPandasWithState(
-        run, _schema(df, guard), guard.state_schema, "append", GroupStateTimeout.NoTimeout)
+        *now, held = tuple(state.get) if state.exists else (*guard.initial, b"")
+        parts = [pickle.loads(held)] if held else []
+        parts += [f[columns] for f in frames if len(f)]
+        if not parts:
+            return
+        rows = pd.concat(parts).sort_values(order, kind="stable").reset_index(drop=True)
+        at = pd.to_datetime(rows[time]).astype("datetime64[us]").astype("int64") // 1000
+        done = at <= state.getCurrentWatermarkMs()
+        later = rows[~done]
+        now, out = guard.over(tuple(now), rows[done]) if done.any() else (tuple(now), rows[:0])
+        state.update((*now, pickle.dumps(later) if len(later) else b""))
+        if len(later):
+            state.setTimeoutTimestamp(max(int(at[~done].min()), state.getCurrentWatermarkMs() + 1))
+        if len(out):
+            yield out
+    return df.withWatermark(time, delay).groupBy(*keys).applyInPandasWithState(
+        run, _schema(df, guard.out), f"{guard.state}, _held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --- drawdown exits ------------------------------------------------------------------
 
+def account_columns(s: Series, start: float) -> Series:
+    """Columns that the drawdown guard reads, from (day, equity, pnl): peak with the start, equity at the end of
+    the day before (null but for a day's first row) and losing trades in a row within the day."""
+    turn = lambda w: F.lag("day").over(w).isNotNull() & ~F.lag("day").over(w).eqNullSafe(F.col("day"))
+    s = s.apply(add(1, lambda w: {"opening": F.when(turn(w), F.lag("equity").over(w)), "_new": turn(w)}),
+                Carry({"_peak": ("max", F.col("equity")), "_lost": ("sum", (F.col("pnl") < 0).cast("int"))}))
+    own = (F.col("pnl") < 0).cast("int")
+    base = F.when(F.col("pnl") > 0, F.col("_lost")).when(F.col("_new"), F.col("_lost") - own)
+    s = s.apply(Carry({"_base": ("last", base)}))
+    return s.map(lambda f: f.withColumns({
+        "peak": F.greatest("_peak", F.lit(start)), "losses": (F.col("_lost") - F.coalesce("_base", F.lit(0))).cast("int")})
+        .drop("_peak", "_lost", "_base", "_new"))
+
+
+def _below(top: np.ndarray, equity: np.ndarray) -> np.ndarray:
+    """Share lost against ``top``; nothing where there was nothing to lose."""
+    return np.maximum(np.divide(top - equity, top, out=np.zeros(len(top)), where=top > 0), 0.0)
+
+
 def drawdown_guard(soft: float = 0.05, hard: float = 0.10, daily: float = 0.03, max_losses: int = 5,
                    recovery: int = 20, start: float = 1.0) -> Guard:
-    """Action and size multiplier after each (day, equity, pnl).
+    """Action and size multiplier after each update, from the columns of ``account_columns``.
 
-    A new day resets the daily base and the loss count. After close_all the account stays
-    halted for ``recovery`` updates.
+    State: the equity that the day's loss is measured against, and how many updates of a halt are left.
     """
-    def step(state, row):
-        peak, base, losses, halted, left, day, last = state
-        today, equity, pnl = row
-        if day is not None and today != day:
-            base, losses = last, 0
-        peak = max(peak, equity)
-        losses = losses + 1 if pnl < 0 else 0 if pnl > 0 else losses
-        dd = max(0.0, (peak - equity) / peak)
-        loss = max(0.0, (base - equity) / base)
-        if halted:
-            left -= 1
-            action, size = "halt", 0.0
-            if left <= 0:
-                halted, base = False, equity
-        elif dd >= hard or loss >= daily:
-            halted, left = True, recovery
-            action, size = "close_all", 0.0
-        elif dd >= soft:
-            action, size = "reduce_50", 0.5
-        elif losses >= max_losses:
-            action, size = "reduce_size", max(0.25, 1.0 - 0.15 * (losses - max_losses + 1))
-        else:
-            action, size = "continue", 1.0
-        return (peak, base, losses, halted, left, today, equity), (action, dd, loss, losses, size)
-    return Guard((start, start, 0, False, 0, None, start),
-                 "peak double, base double, losses int, halted boolean, left int, day string, last double",
-                 ("day", "equity", "pnl"),
-                 "action string, dd double, daily_loss double, consec_losses int, size_multiplier double", step)
+    def advance(state, columns):
+        equity, peak, opening, losses = (np.asarray(c, float) for c in columns)
+        n = len(equity)
+        at = np.arange(n)
+        drop = _below(peak, equity)
+        opened = np.maximum.accumulate(np.where(np.isnan(opening), -1, at)) if n else at
+        base, left = state
+        measured, halted, closes = np.empty(n), np.zeros(n, bool), np.zeros(n, bool)
+        row = 0
+        while row < n:
+            # The rest of a halt, or the stretch up to the next exit.
+            until = min(n, row + left) if left else n
+            ref = np.where(opened[row:until] >= row, opening[opened[row:until]], base)
+            loss = _below(ref, equity[row:until])
+            if left:
+                halted[row:until] = True
+                left -= until - row
+                base = equity[until - 1] if not left else ref[-1]
+            else:
+                hits = np.flatnonzero((drop[row:until] >= hard) | (loss >= daily))
+                if len(hits):
+                    until = row + hits[0] + 1
+                    closes[until - 1], left = True, recovery
+                base = ref[until - row - 1]
+            measured[row:until] = loss[: until - row]
+            row = until
+        open_ = ~halted & ~closes
+        mild, streak = open_ & (drop >= soft), open_ & (drop < soft) & (losses >= max_losses)
+        action = np.select([halted, closes, mild, streak], ["halt", "close_all", "reduce_50", "reduce_size"], "continue")
+        size = np.select([halted | closes, mild, streak], [0.0, 0.5, np.maximum(0.25, 1 - 0.15 * (losses - max_losses + 1))], 1.0)
+        return (base, left), [action, drop, measured, losses.astype(np.int32), size]
+    return Guard((start, 0), "base double, left int", ("equity", "peak", "opening", "losses"),
+                 "action string, dd double, daily_loss double, consec_losses int, size_multiplier double", advance)
 
 
 # --- change alarm ----------------------------------------------------------------------
 
 def page_hinkley(column: str = "value", delta: float = 0.005, threshold: float = 50.0, min_rows: int = 30) -> Guard:
-    """Alarm when the running sum of value - delta exceeds its minimum by the threshold; then start over."""
-    def step(state, row):
-        total, low, n = state
-        total, n = total + row[0] - delta, n + 1
-        low = min(low, total)
-        if n >= min_rows and total - low > threshold:
-            return (0.0, 0.0, 0), (True,)
-        return (total, low, n), (False,)
-    return Guard((0.0, 0.0, 0), "total double, low double, n int", (column,), "alarm boolean", step)
+    """Alarm when the running sum of value - delta exceeds its minimum by the threshold; then start over.
+
+    State: the excess over the minimum, and the rows since the start as far as they still matter.
+    """
+    def advance(state, columns):
+        x = np.asarray(columns[0], float) - delta
+        excess, n = state
+        alarm, row, step = np.zeros(len(x), bool), 0, 1024
+        while row < len(x):
+            part = excess + np.cumsum(x[row : row + step])
+            over = part - np.minimum(np.minimum.accumulate(part), 0.0)
+            hits = np.flatnonzero((over > threshold) & (n + 1 + np.arange(len(over)) >= min_rows))
+            if len(hits):
+                row += hits[0] + 1
+                alarm[row - 1], excess, n, step = True, 0.0, 0, 1024
+            else:
+                row, n, excess, step = row + len(over), min(n + len(over), min_rows), float(over[-1]), step * 2
+        return (excess, n), [alarm]
+    return Guard((0.0, 0), "excess double, n int", (column,), "alarm boolean", advance)
 
 
 # --- alert cooldown ------------------------------------------------------------------------
 
 def cooldown_guard(gap_seconds: float = 300.0) -> Guard:
-    """Send an alert unless one of its type went out less than the gap ago; ``force`` always sends."""
-    def step(state, row):
-        at, force = row
-        last = state[0]
-        send = bool(force) or last is None or at - last >= gap_seconds
-        return ((at if send else last),), (send,)
-    return Guard((None,), "last double", ("at", "force"), "sent boolean", step)
+    """Send an alert unless one of its type went out less than the gap ago; ``force`` always sends.
+
+    Rows come in the order of ``at``. State: the time of the last alert sent.
+    """
+    def advance(state, columns):
+        at, forced = np.asarray(columns[0], float), np.flatnonzero(np.asarray(columns[1], bool))
+        sent, last, row = np.zeros(len(at), bool), state[0], 0
+        while row < len(at):
+            due = max(row, int(np.searchsorted(at, last + gap_seconds)))
+            k = np.searchsorted(forced, row)
+            due = min(due, int(forced[k])) if k < len(forced) else due
+            if due >= len(at):
+                break
+            sent[due], last, row = True, float(at[due]), due + 1
+        return (last,), [sent]
+    return Guard((float("-inf"),), "last double", ("at", "force"), "sent boolean", advance)
 
 
 def cooldown(alerts: DataFrame, keys: Sequence[str] = ("alert_type",), order: Sequence[str] = ("ts",),
              gap_seconds: float = 300.0) -> DataFrame:
-    """Batch cooldown that also splits a busy type.
-
-    An alert at least one gap after its predecessor is always sent, whatever came before, so
-    the run it opens is independent; runs are found with windows and spread over tasks.
-    """
-    s = Series.of(alerts.withColumn("at", seconds(F.col("ts"))), keys, order)
-    quiet = lambda w: F.coalesce(F.col("at") - F.lag("at").over(w) >= gap_seconds, F.lit(True))
-    s = s.apply(add(1, lambda w: {"_opens": quiet(w).cast("int")}), Carry({"_run": ("sum", F.col("_opens"))}))
-    f = s.df.drop("_opens")
-    return guard_batch(f, cooldown_guard(gap_seconds), [*keys, "_run"], order).drop("_run", "at")
+    """Batch cooldown over alerts with ``ts`` and ``force``."""
+    timed = alerts.withColumns({"at": seconds(F.col("ts")), "force": F.coalesce("force", F.lit(False))})
+    return guard_batch(timed, cooldown_guard(gap_seconds), keys, order).drop("at")
 
 
 # --- retraining --------------------------------------------------------------------------------
 
 def retrain_guard(every: int = 10_000) -> Guard:
     """Reason to retrain at each row, from the row count since the last scheduled run or a drift flag."""
-    def step(state, row):
-        n = state[0] + 1
-        if n >= every:
-            return (0,), ("scheduled",)
-        return (n,), ("drift" if row[0] else "",)
-    return Guard((0,), "n int", ("drift",), "reason string", step)
+    def advance(state, columns):
+        n = state[0] + 1 + np.arange(len(columns[0]))
+        reason = np.where(n % every == 0, "scheduled", np.where(np.asarray(columns[0], bool), "drift", ""))
+        return ((state[0] + len(n)) % every,), [reason]
+    return Guard((0,), "n int", ("drift",), "reason string", advance)
 
 
-def retrain_points(s: Series, drift: str = "drift", every: int = 10_000) -> DataFrame:
+def retrain_points(s: Series, drift: str | Column = "drift", every: int = 10_000) -> DataFrame:
     """Batch form: the schedule depends only on the row number, so no state is needed."""
     due = F.pmod(F.col("_i"), F.lit(every)) == 0
     f = s.indexed("_i").df
-    return f.withColumn("reason", F.when(due, "scheduled").when(F.col(drift), "drift").otherwise("")).drop("_i")
+    flag = F.col(drift) if isinstance(drift, str) else drift
+    return f.withColumn("reason", F.when(due, "scheduled").when(flag, "drift").otherwise("")).drop("_i")

@@ -67,11 +67,16 @@ def live_bars(ticks: DataFrame, freq: str = "1 minute", late: str = "10 seconds"
                          "spread_avg", "bid_close", "ask_close", "n_ticks"))
 
 
-def drain(stream: DataFrame, tag: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available now into a table of the shared folder and read it back."""
+def drain(stream: DataFrame, tag: str, closing: Callable[[], None] | None = None, mode: str = "append") -> DataFrame:
+    """Run a stream over what is available now into a table of the shared folder and read it back.
+
+    ``closing`` may add rows to the source after that, and the stream goes on from its checkpoint.
+    """
     spark = stream.sparkSession
     path = fresh_path(spark, tag)
-    q = (stream.writeStream.format("parquet").outputMode(mode).option("path", path)
-               .option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
+    for more in (None, closing) if closing else (None,):
+        if more:
+            more()
+        (stream.writeStream.format("parquet").outputMode(mode).option("path", path)
+               .option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination())
     return spark.read.schema(stream.schema).parquet(path)
