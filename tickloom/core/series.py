@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from functools import reduce
 from itertools import groupby
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -123,17 +125,42 @@ class Series:
     def _block(self, rows: int) -> Column:
         return F.floor((F.col("_rn") - 1) / F.lit(rows))
 
-    def _windows(self, steps: list[Step]) -> Series:
-        before, after = sum(s.before for s in steps), sum(s.after for s in steps)
+    def _lent(self, before: int, after: int) -> DataFrame:
+        """Rows with the blocks that use them (_blk) and the one they belong to (_own)."""
         rows = max(self.block_rows, before, after)
         own, at = self._block(rows), F.pmod(F.col("_rn") - 1, F.lit(rows))
         users = F.array_compact(F.array(
             own, F.when(at >= rows - before, own + 1), F.when(at < after, own - 1)))
-        f = self.frame.withColumn("_own", own).withColumn("_blk", F.explode(users))
+        return self.frame.withColumn("_own", own).withColumn("_blk", F.explode(users))
+
+    def _windows(self, steps: list[Step]) -> Series:
         w = Window.partitionBy(*self.keys, "_blk").orderBy(*self.order)
+        f = self._lent(sum(s.before for s in steps), sum(s.after for s in steps))
         f = reduce(lambda g, s: s.fn(g, w), steps, f)
         return self.with_frame(f.where(F.col("_blk") == F.col("_own")).drop("_blk", "_own"))
 
+    def weighted(self, column: str, weights: Sequence[float], out: str) -> Series:
+        """Sum of the last ``len(weights)`` values times their weights, oldest first; null until there are so many.
+
+        Each block is one convolution over its rows and the few it borrows, however long the weights are.
+        """
+        n = len(weights)
+        kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in self.frame.schema.fields]
+        names = [*self.frame.columns, out]
+        turned = np.asarray(weights, float)[::-1]
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_rn")
+            x = pdf[column].to_numpy(float)
+            full = np.full(len(x), np.nan)
+            if len(x) >= n:
+                full[n - 1 :] = np.convolve(x, turned, "valid")
+            pdf[out] = pd.Series(full, index=pdf.index).astype(object).where(~np.isnan(full), None)
+            return pdf.loc[pdf["_blk"] == pdf["_own"], names]
+
+        f = self._lent(n - 1, 0).groupBy(*self.keys, "_blk").applyInPandas(run, ", ".join([*kept, f"`{out}` double"]))
+        return self.with_frame(f)
+
     def _carry(self, carry: Carry) -> Series:
         order = [F.col(c).desc() if carry.reverse else F.col(c) for c in self.order]
         f = self.frame.withColumn("_blk", self._block(self.block_rows))

@@ -258,20 +258,11 @@ def fracdiff_weights(d: float = 0.4, threshold: float = 1e-5) -> list[float]:
         k += 1
 
 
-def fractional_difference(d: float = 0.4, threshold: float = 1e-5, price: str = "close",
-                          out: str = "close_ffd", oldest_first: bool = False) -> Step:
+def fractional_difference(s: Series, d: float = 0.4, threshold: float = 1e-5, price: str = "close",
+                          out: str = "close_ffd", oldest_first: bool = False) -> Series:
     """Fixed-width fractional difference; null until the window is full.
 
     ``oldest_first`` gives the weight 1 to the oldest price instead of the newest.
     """
     weights = fracdiff_weights(d, threshold)
-    n = len(weights)
-    aligned = weights if oldest_first else weights[::-1]
-
-    def fn(f: DataFrame, w):
-        prices = F.collect_list(price).over(w.rowsBetween(-(n - 1), 0))
-        f = f.withColumn("_prices", prices)
-        dot = F.aggregate(F.zip_with("_prices", F.array(*[F.lit(x) for x in aligned]), lambda p, x: p * x),
-                          F.lit(0.0), lambda acc, v: acc + v)
-        return f.withColumn(out, F.when(F.size("_prices") == n, dot)).drop("_prices")
-    return Step(fn, before=n - 1)
+    return s.weighted(price, weights if oldest_first else weights[::-1], out)

@@ -37,14 +37,25 @@ TICKS = """ticks AS (
            (user_id + 1)::DOUBLE AS volume, 'events' AS source, event_id AS tick_id FROM events))"""
 
 
+def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return to_bars(ticks(spark, sf_dir), "1 minute", tie="tick_id")
+
+
+MINUTE_BARS = TICKS + """, mbars AS (
+  SELECT pair, date_trunc('minute', ts) AS ts, arg_min(mid, (ts, tick_id)) AS open, max(mid) AS high, min(mid) AS low,
+         arg_max(mid, (ts, tick_id)) AS "close", sum(volume) AS volume, avg(spread) AS spread_avg,
+         arg_max(bid, (ts, tick_id)) AS bid_close, arg_max(ask, (ts, tick_id)) AS ask_close, count(*) AS n_ticks
+  FROM ticks GROUP BY pair, date_trunc('minute', ts))"""
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_bars(ticks(spark, sf_dir), "1 hour")
+    return to_bars(ticks(spark, sf_dir), "1 hour", tie="tick_id")
 
 
 BARS = TICKS + """, bars AS (
-  SELECT pair, date_trunc('hour', ts) AS ts, arg_min(mid, ts) AS open, max(mid) AS high, min(mid) AS low,
-         arg_max(mid, ts) AS "close", sum(volume) AS volume, avg(spread) AS spread_avg,
-         arg_max(bid, ts) AS bid_close, arg_max(ask, ts) AS ask_close, count(*) AS n_ticks
+  SELECT pair, date_trunc('hour', ts) AS ts, arg_min(mid, (ts, tick_id)) AS open, max(mid) AS high, min(mid) AS low,
+         arg_max(mid, (ts, tick_id)) AS "close", sum(volume) AS volume, avg(spread) AS spread_avg,
+         arg_max(bid, (ts, tick_id)) AS bid_close, arg_max(ask, (ts, tick_id)) AS ask_close, count(*) AS n_ticks
   FROM ticks GROUP BY pair, date_trunc('hour', ts))"""
 
 

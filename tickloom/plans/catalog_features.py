@@ -318,12 +318,14 @@ def positioning(spark, sf):
     return _bars(spark, sf, books, W.positioning(), out=["cot_net", "cot_noncom_net", "cot_extreme", "cot_change"])
 
 
-@query("fractional_difference", f"""WITH {A.BARS}, wts AS (SELECT list(w ORDER BY k DESC) AS ws FROM (
-      SELECT k, coalesce((SELECT product((i - 1 - 0.4::DOUBLE) / i) FROM range(1, k + 1) t(i)), 1) AS w FROM range(0, 400) r(k)) WHERE abs(w) >= 1e-3),
-    p AS (SELECT pair, ts, list("close") OVER (PARTITION BY pair ORDER BY ts ROWS BETWEEN 54 PRECEDING AND CURRENT ROW) AS xs FROM bars)
+@query("fractional_difference", f"""WITH {A.MINUTE_BARS}, wts AS (SELECT list(w ORDER BY k DESC) AS ws FROM (
+      SELECT k, coalesce((SELECT product((i - 1 - 0.4::DOUBLE) / i) FROM range(1, k + 1) t(i)), 1) AS w FROM range(0, 2000) r(k)) WHERE abs(w) >= 1e-5),
+    p AS (SELECT pair, ts, list("close") OVER (PARTITION BY pair ORDER BY ts ROWS BETWEEN 1457 PRECEDING AND CURRENT ROW) AS xs FROM mbars)
     SELECT pair, ts, CASE WHEN len(xs) = len(ws) THEN list_dot_product(xs, ws) END AS close_ffd FROM p, wts""", "pair, ts")
 def fractional_difference(spark, sf):
-    return _bars(spark, sf, W.fractional_difference(0.4, 1e-3), out=["close_ffd"])
+    """Minute bars and the whole window of 1,458 weights."""
+    s = W.fractional_difference(Series.of(A.minute_bars(spark, sf)), 0.4, 1e-5)
+    return s.df.select("pair", "ts", "close_ffd")
 
 
 # --- clocks, scores and row-wise features ------------------------------------------------

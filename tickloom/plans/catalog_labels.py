@@ -108,18 +108,18 @@ def standard_scaling(spark, sf):
     return L.scale(xy, L.fit_scaler(train, FEATURES), FEATURES).select("pair", "ts", *FEATURES)
 
 
-@query("sequences", f"""WITH {A.BASIC}, {ALIGNED}, s AS (SELECT pair, ts, label::DOUBLE AS y, row_number() OVER w AS rn, {', '.join(f'list({c}::FLOAT) OVER w20 AS x_{c}' for c in FEATURES)}
-      FROM xy WINDOW w AS (PARTITION BY pair ORDER BY ts), w20 AS (PARTITION BY pair ORDER BY ts ROWS 19 PRECEDING))
-    SELECT pair, ts, 20 AS steps, y, list_sum(list_transform(x_ofi, lambda v, i: v * i))::DOUBLE AS ofi_mark, x_ret_20[1]::DOUBLE AS first_ret_20, x_atr_6[20]::DOUBLE AS last_atr_6
-    FROM s WHERE rn >= 20 AND (rn - 20) % 5 = 0""", "pair, ts, steps", 4)
+@query("sequences", f"""WITH {A.BASIC}, {ALIGNED}, s AS (SELECT pair, ts, label::DOUBLE AS y, row_number() OVER w AS rn, {', '.join(f'list({c}::FLOAT) OVER w60 AS x_{c}' for c in FEATURES)}
+      FROM xy WINDOW w AS (PARTITION BY pair ORDER BY ts), w60 AS (PARTITION BY pair ORDER BY ts ROWS 59 PRECEDING))
+    SELECT pair, ts, 60 AS steps, y, list_sum(list_transform(x_ofi, lambda v, i: v * i))::DOUBLE AS ofi_mark, x_ret_20[1]::DOUBLE AS first_ret_20, x_atr_6[60]::DOUBLE AS last_atr_6
+    FROM s WHERE rn >= 60""", "pair, ts, steps", 4)
 def sequences(spark, sf):
-    """Windows of 20 rows every 5 rows, stored with a manifest and summarised by position-weighted marks."""
+    """Windows of 60 rows ending at every row, stored with a manifest and summarised by position-weighted marks."""
     path = fresh_path(spark, "sequences")
-    tables.write_sequences(L.sequences(Series.of(_aligned(spark, sf)), FEATURES, 20, stride=5), path)
+    tables.write_sequences(L.sequences(Series.of(_aligned(spark, sf)), FEATURES, 60), path)
     x = spark.read.parquet(path)
     mark = F.aggregate(F.transform("X", lambda r, i: r[0].cast("double") * (i + 1)), F.lit(0.0), lambda a, v: a + v)
     return x.select("pair", "ts", F.size("X").alias("steps"), F.col("y").cast("double").alias("y"), mark.alias("ofi_mark"),
-                    F.col("X")[0][3].cast("double").alias("first_ret_20"), F.col("X")[19][1].cast("double").alias("last_atr_6"))
+                    F.col("X")[0][3].cast("double").alias("first_ret_20"), F.col("X")[59][1].cast("double").alias("last_atr_6"))
 
 
 @plain("sequence_integrity", f"""WITH {A.BASIC}, {ALIGNED}, c AS (SELECT pair, count(*) - 19 AS rows FROM xy GROUP BY pair)

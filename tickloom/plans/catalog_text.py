@@ -193,13 +193,14 @@ def retrain_points(spark, sf):
 
 # --- whole preparations ---------------------------------------------------------------------------
 
-@query("clean_bars", f"""WITH {A.BARS}, wts AS (SELECT list(w ORDER BY k DESC) AS ws FROM (
-      SELECT k, coalesce((SELECT product((i - 1 - 0.4::DOUBLE) / i) FROM range(1, k + 1) t(i)), 1) AS w FROM range(0, 400) r(k)) WHERE abs(w) >= 1e-3),
-    b AS (SELECT * FROM bars WHERE isodow(ts) < 6 AND hour(ts) * 60 + minute(ts) BETWEEN 420 AND 1260),
-    p AS (SELECT *, list("close") OVER (PARTITION BY pair ORDER BY ts ROWS BETWEEN 54 PRECEDING AND CURRENT ROW) AS xs FROM b)
+@query("clean_bars", f"""WITH {A.MINUTE_BARS}, wts AS (SELECT list(w ORDER BY k DESC) AS ws FROM (
+      SELECT k, coalesce((SELECT product((i - 1 - 0.4::DOUBLE) / i) FROM range(1, k + 1) t(i)), 1) AS w FROM range(0, 2000) r(k)) WHERE abs(w) >= 1e-4),
+    b AS (SELECT * FROM mbars WHERE isodow(ts) < 6 AND hour(ts) * 60 + minute(ts) BETWEEN 420 AND 1260),
+    p AS (SELECT *, list("close") OVER (PARTITION BY pair ORDER BY ts ROWS BETWEEN 281 PRECEDING AND CURRENT ROW) AS xs FROM b)
     SELECT * EXCLUDE (xs, ws), list_dot_product(xs, ws) AS close_ffd FROM p, wts WHERE len(xs) = len(ws)""", "pair, ts, n_ticks")
 def clean_bars(spark, sf):
-    return C.clean_bars(A.ticks(spark, sf), C.BarSpec(freq="1 hour", threshold=1e-3))
+    """Minute bars in session hours; there are too few of them at small scales for the full 1,458 weights."""
+    return C.clean_bars(A.ticks(spark, sf), C.BarSpec(threshold=1e-4))
 
 
 SPEC = C.FeatureSpec(assets=A.PANEL_ASSETS)

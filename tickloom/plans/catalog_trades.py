@@ -323,12 +323,12 @@ def _drift_sides(spark, sf):
     ct AS (SELECT pair, feature, any_value(hi - lo) AS w, g.b, count(*) FILTER (base AND bn.b = g.b) / count(*) FILTER (base) AS e, count(*) FILTER (NOT base AND bn.b = g.b) / count(*) FILTER (NOT base) AS a
       FROM bn, range(10) g(b) GROUP BY pair, feature, g.b),
     ds AS (SELECT pair, feature, e, a, e / (w / 10) + 1e-6 AS de, a / (w / 10) + 1e-6 AS da FROM ct)
-    SELECT pair, feature, sum((da - de) * ln(da / de)) / 1000 AS psi, sum((a - e) * ln((a + 1e-6) / (e + 1e-6))) AS psi_share FROM ds GROUP BY 1, 2""", "pair, feature", 6)
+    SELECT pair, feature, sum((da - de) * ln(da / de)) AS psi, sum((a - e) * ln((a + 1e-6) / (e + 1e-6))) AS psi_share FROM ds GROUP BY 1, 2""", "pair, feature", 4)
 def population_stability(spark, sf):
     base, live, _ = _drift_sides(spark, sf)
     d = D.psi(base, live, ["pair", "feature"])
     p = D.psi(base, live, ["pair", "feature"], density=False).withColumnRenamed("psi", "psi_share")
-    return d.join(p, ["pair", "feature"]).withColumn("psi", F.col("psi") / 1000)
+    return d.join(p, ["pair", "feature"])
 
 
 KS = """ks0 AS (SELECT pair, feature, v, count(*) FILTER (base) AS x, count(*) FILTER (NOT base) AS y FROM dv GROUP BY 1, 2, 3),

@@ -31,11 +31,11 @@ def clean_bars(ticks: DataFrame, spec: BarSpec = BarSpec()) -> DataFrame:
 
     Rolling frames then run over the remaining rows, so they span nights and weekends.
     """
-    bars = to_bars(ticks, spec.freq)
+    bars = to_bars(ticks, spec.freq, tie="tick_id" if "tick_id" in ticks.columns else None)
     if spec.session:
         bars = bars.where(Q.in_session(F.col("ts"), spec.start, spec.end))
     if spec.fractional:
-        bars = Series.of(bars).apply(W.fractional_difference(spec.order, spec.threshold)).df
+        bars = W.fractional_difference(Series.of(bars), spec.order, spec.threshold).df
     return bars.dropna()
 
 
