@@ -203,7 +203,7 @@ def macro_yields(spark, sf):
     return s.df.select("pair", "ts", *X.YIELD_SPREADS, *X.CARRIES, "yield_momentum_5d", "yield_momentum_20d", "yield_vol_20d")
 
 
-REGIME_ASSETS = ("GOLD", "DXY", "SPX", "VIX")
+REGIME_ASSETS = A.PANEL_ASSETS
 
 
 def _regime_sql() -> str:

@@ -208,9 +208,10 @@ SPEC = C.FeatureSpec(assets=A.PANEL_ASSETS)
 
 def _core(spark, sf):
     panel = X.wide_panel(A.assets(spark, sf), A.PANEL_ASSETS)
-    arts = A.bars(spark, sf).select("pair", "ts", F.col("n_ticks").alias("n"))
-    score = A.bars(spark, sf).select("pair", "ts", F.round(F.col("close") - F.col("open"), 5).alias("score"))
-    return C.core_features(A.bars(spark, sf), panel, A.releases(spark, sf), score, arts, spec=SPEC)
+    bars = landed(A.bars(spark, sf), "bars")
+    arts = bars.select("pair", "ts", F.col("n_ticks").alias("n"))
+    score = bars.select("pair", "ts", F.round(F.col("close") - F.col("open"), 5).alias("score"))
+    return C.core_features(bars, panel, A.releases(spark, sf), score, arts, spec=SPEC)
 
 
 def _core_sql() -> str:
@@ -230,7 +231,7 @@ def core_features(spark, sf):
     return _core(spark, sf)
 
 
-RETURNS = ["GOLD_ret", "DXY_ret", "SPX_ret", "VIX_ret"]
+RETURNS = [f"{a}_ret" for a in A.PANEL_ASSETS]
 
 
 def _advanced_sql() -> str:
