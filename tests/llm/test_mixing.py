@@ -33,6 +33,7 @@ def test_targets_are_met(spark):
     rows += [(None, None, "one two", None, 1), (50, "c", None, None, 2), (51, "c", "", None, 2), (1, "a", rows[1][2], "x", 1)]
     out = run(spark, rows)
     assert len(out) == len(rows) and out == run(spark, rows)
+    assert {r["_key"] for r in out} == {1, 2}  # a column of the input, though the operator uses that name
     groups = {}
     for r in out:
         groups.setdefault(r["source"], []).append(r)

@@ -59,15 +59,15 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weights
     source is cut there, so that the words taken add up to the target to within one word. `copies` counts the passes
     that a document takes part in; `position` is that of its first copy; slopes are the g of the weight classes.
     """
-    keys = docs.drop(*[c for c in ADDED if c != "size"])
+    kept = F.struct(*[c for c in docs.columns if c not in ADDED]).alias("row")
     hashed = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
-    keys = keys.withColumns({"_key": _key(source), "_hash": hashed})
+    keys = docs.select(kept, F.col(doc_id).alias("_doc"), "size", _key(source).alias("_key"), hashed.alias("_hash"))
     keys = keys.withColumn("_bucket", F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long") % buckets)
     per_bucket = keys.groupBy("_key", "_bucket").agg(F.sum("size").alias("_words"))
     ahead = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_bucket.select("_key", "_bucket", F.coalesce(F.sum("_words").over(ahead), F.lit(0)).alias("_start"))
     starts = starts.join(targets(docs, source, weights, max_epochs), "_key")
-    inside = Window.partitionBy("_key", "_bucket").orderBy("_hash", doc_id, "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_key", "_bucket").orderBy("_hash", "_doc", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = keys.join(starts, ["_key", "_bucket"])
     rows = rows.withColumn("_before", F.col("_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     passes = F.least(F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))), F.lit(max_epochs))
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weights
     demand = F.least((F.col("_before") + first / 2) / F.col("target"), F.lit(1.0))
     slope = F.array(*[F.lit(float(g)) for g in slopes])[F.col("_class") % len(slopes)]
     rows = rows.withColumn("position", F.when(F.col("taken") > 0, inverted(demand, slope)))
-    return rows.drop(*[c for c in rows.columns if c.startswith("_") and c not in docs.columns])
+    return rows.select("row.*", *ADDED)
 
 
 def inverted(demand: Column, slope: Column) -> Column:
