@@ -72,3 +72,13 @@ def test_query_covers_every_document(spark):
     out = QUERIES["op1_toxicity"](spark, SF)
     assert [f.simpleString() for f in out.schema] == ["doc_id:bigint", "held_out:boolean", "score:double", "predicted:int"]
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in table(spark, SF, "documents").collect())
+
+
+def test_copies_do_not_make_words_telling():
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=7))
+    copied = [word() for _ in range(60)]
+    toxic = [toxicity.windows(" ".join([word() for _ in range(60)] + ["vilegrump", word(), "vilegrump"])) for _ in range(60)] + [toxicity.windows(" ".join(copied))] * 30
+    ordinary = [toxicity.windows(" ".join(word() for _ in range(60))) for _ in range(60)]
+    special, base = toxicity.dictionaries(toxic, ordinary)
+    assert b"vilegru" in special and not any(w.encode() in special[: -len(base)] for w in copied)

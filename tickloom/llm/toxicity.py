@@ -47,21 +47,32 @@ def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
         return b"".join(samples)[:size]
 
 
-def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], size: int = 4096, significance: float = 4.0) -> tuple[bytes, bytes]:
+def _settings(docs: list[list[bytes]]) -> tuple[Counter, int]:
+    """For each word, after how many different words it stands; and the number of different pairs in all.
+
+    Copies of a document, near or exact, repeat its pairs and so add nothing.
+    """
+    pairs = [np.empty(0, np.int64)]
+    for doc in docs:
+        h = np.array([hash(w) for w in [b"", *b" ".join(doc).split()]], np.int64)
+        pairs.append(np.unique(np.column_stack([h[1:], h[1:] * 31 + h[:-1]]).view("i8,i8")).view(np.int64))
+    different = np.unique(np.concatenate(pairs).reshape(-1, 2).view("i8,i8")).view(np.int64).reshape(-1, 2)
+    word, n = np.unique(different[:, 0], return_counts=True)
+    return Counter(dict(zip(word.tolist(), n.tolist(), strict=True))), len(different)
+
+
+def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], size: int = 4096, significance: float = 6.0) -> tuple[bytes, bytes]:
     """Dictionaries of toxic and ordinary text, from the windows of each training document.
 
-    The toxic one is trained on the words that toxic documents hold in at least three cases and by `significance`
-    standard deviations more often than ordinary ones.
+    The toxic one is trained on the words that stand in at least three settings in toxic documents, and by
+    `significance` standard deviations in more of them than ordinary documents let expect.
     """
-    seen = [Counter(), Counter()]
-    for counts, docs in zip(seen, (toxic, ordinary), strict=True):
-        for doc in docs:
-            counts.update(set(b" ".join(doc).split()))
-    share = len(toxic) / max(len(ordinary), 1)
+    (seen, total), (usual, all_usual) = _settings(toxic), _settings(ordinary)
+    share = total / max(all_usual, 1)
     telling = set()
-    for word, n in seen[0].items():
-        expected = (seen[1][word] + 0.5) * share
-        if len(word) > 3 and n >= 3 and n - expected > significance * math.sqrt(expected + 1):
+    for word in {w for doc in toxic for w in b" ".join(doc).split() if len(w) > 3}:
+        n, expected = seen[hash(word)], (usual[hash(word)] + 0.5) * share
+        if n >= 3 and n - expected > significance * math.sqrt(expected + 1):
             telling.add(word)
     kept = (sorted(set(b" ".join(doc).split()) & telling) for doc in toxic)
     special = _dictionary([b" " + b" ".join(words) + b" " for words in kept if words], size, 32)
