@@ -163,7 +163,8 @@ class Series:
 
     def _carry(self, carry: Carry) -> Series:
         order = [F.col(c).desc() if carry.reverse else F.col(c) for c in self.order]
-        f = self.frame.withColumn("_blk", self._block(self.block_rows))
+        # Written once: it is read for the rows and again for the totals of blocks.
+        f = landed(self.frame.withColumn("_blk", self._block(self.block_rows)), "blocks")
         w = (Window.partitionBy(*self.keys, "_blk").orderBy(*order)
                    .rowsBetween(Window.unboundedPreceding, 0))
         own = f.withColumns(
