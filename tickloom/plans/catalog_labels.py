@@ -93,7 +93,8 @@ def class_weights(spark, sf):
 @query("multi_pair", f"""WITH {A.BASIC}, {ALIGNED} SELECT ts, {', '.join(f"max(CASE WHEN pair = '{p}' THEN {c} END) AS {p}_{c}" for p in A.PAIRS for c in FEATURES)},
     avg(label) AS y FROM xy GROUP BY ts HAVING count(DISTINCT pair) = 5""", "ts")
 def multi_pair(spark, sf):
-    return L.multi_pair(_aligned(spark, sf), FEATURES, A.PAIRS)
+    pairs = sorted(r["pair"] for r in A.ticks(spark, sf).select("pair").distinct().collect())
+    return L.multi_pair(_aligned(spark, sf), FEATURES, pairs)
 
 
 @query("standard_scaling", f"""WITH {A.BASIC}, {ALIGNED}, r AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY pair) AS n FROM xy {W_ALL}),

@@ -78,18 +78,13 @@ def load_tick_exports(spark, sf):
     ask_close - bid_close AS spread, volume, pair, 'bar_export' AS source FROM bars WHERE bid_close < ask_close""",
        "ts, pair, source")
 def load_bar_exports(spark, sf):
-    """Bars of every pair exported as bid/ask bar files and read back pair by pair."""
-    b = A.bars(spark, sf)
-    out = None
-    for pair in A.PAIRS:
-        path = fresh_path(spark, f"bars-{pair}")
-        stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("DateTime")
-        sides = [F.col(c).alias(f"{s}{n}") for s, c in (("Bid", "bid_close"), ("Ask", "ask_close"))
-                 for n in ("Open", "High", "Low", "Close")]
-        b.where(F.col("pair") == pair).select(stamp, *sides, F.col("volume").alias("Volume")).write.csv(path, header=True)
-        part = files.load_bar_exports(spark, path, pair)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Bars of every pair exported as bid/ask bar files, a folder for each pair, and read back at once."""
+    path = fresh_path(spark, "bar-exports")
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("DateTime")
+    sides = [F.col(c).alias(f"{s}{n}") for s, c in (("Bid", "bid_close"), ("Ask", "ask_close"))
+             for n in ("Open", "High", "Low", "Close")]
+    A.bars(spark, sf).select(stamp, *sides, F.col("volume").alias("Volume"), "pair").write.partitionBy("pair").csv(path, header=True)
+    return files.load_bar_exports(spark, path)
 
 
 @query("decode_hour_blobs", f"""WITH {A.TICKS} SELECT pair, date_trunc('milliseconds', ts) AS ts, round(bid * 100000) / 100000 AS bid, round(ask * 100000) / 100000 AS ask, volume

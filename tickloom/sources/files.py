@@ -98,10 +98,11 @@ def first_per_time(ticks: DataFrame, start: str | None = None, end: str | None =
     return ticks.groupBy("pair", "ts").agg(picked).select("pair", "ts", "_r.*")
 
 
-def load_bar_exports(spark: SparkSession, path: str, pair: str, source: str = "bar_export") -> DataFrame:
+def load_bar_exports(spark: SparkSession, path: str, pair: str | None = None, source: str = "bar_export") -> DataFrame:
     """Bid/ask bar CSV, with a header in any case or without one, as ticks at the bar close.
 
     Without a close, the middle of high and low stands in. A row with any missing value is dropped.
+    Without ``pair`` the files of all pairs are read at once, each pair's in its folder ``pair=...``.
     """
     first = spark.read.text(path).head(1)[0][0].split(",")
     headed = not first[0].strip()[:1].isdigit()
@@ -119,7 +120,7 @@ def load_bar_exports(spark: SparkSession, path: str, pair: str, source: str = "b
     volume = find("volume", "vol")
     out = df.dropna(how="any").select(
         "ts", price("bid", "b").alias("bid"), price("ask", "a").alias("ask"),
-        *([F.col(volume).alias("volume")] if volume else []))
+        *([F.col(volume).alias("volume")] if volume else []), *([] if pair else [F.col("pair").cast("string").alias("pair")]))
     return enforce_schema(out, pair, source)
 
 
