@@ -76,6 +76,7 @@ def test_small_pieces_and_flushes(spark, monkeypatch):
     whole = brute(rows)
     monkeypatch.setattr(R, "PIECE", 150)
     monkeypatch.setattr(R, "FLUSH", 50)
+    monkeypatch.setattr(R, "INDEXED", 10)
     texts = sorted({(i, t) for i, t in rows})
     gathered, tables = R.Anchors(), []
     for i, t in texts:
@@ -91,8 +92,8 @@ def test_small_pieces_and_flushes(spark, monkeypatch):
         if m["kind"] == 0:
             by.setdefault(m["did"], []).append(m)
         else:
-            for a, n in zip(np.frombuffer(m["start"], np.uint32), np.frombuffer(m["n"], np.uint8)):
-                cuts.append({"shard": 0, "did": m["did"], "th": 0, "start": int(a), "bytes": data[m["did"]][a : a + int(n) + 99]})
+            for a, n, h in zip(np.frombuffer(m["start"], np.uint32), np.frombuffer(m["n"], np.uint8), np.frombuffer(m["anchor"], np.int64)):
+                cuts.append({"shard": 0, "anchor": int(h), "did": m["did"], "th": 0, "start": int(a), "bytes": data[m["did"]][a : a + int(n) + 99]})
     for m in R.index_shard(R.pa.Table.from_pylist(cuts, R.CUTS)).to_pylist():
         by.setdefault(m["did"], []).append(m)
     got = []

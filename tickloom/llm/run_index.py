@@ -38,6 +38,7 @@ PIECE = 1 << 20
 FLUSH = 1 << 20
 SHARD_BYTES = 1 << 25
 CROWD = 1 << 14
+INDEXED = 1 << 9
 NO_ID = 2**63 - 1
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 KEEP = np.array([0] + [(1 << 8 * n) - 1 for n in range(1, 9)], np.uint64)  # the first n bytes of a lane
@@ -220,23 +221,29 @@ class RunIndex:
     """
 
     def __init__(self, data: np.ndarray, ends: np.ndarray, depth: int = DEPTH):
-        self.ends, self.depth, n = ends, depth, len(data)
-        owner = np.searchsorted(ends, np.arange(n), side="right")
+        self.ends, n, texts = ends, len(data), len(ends)
+        owner = np.repeat(np.arange(texts), np.diff(np.r_[0, ends]))
         rest = ends[owner] - np.arange(n)
         symbol = np.r_[data.astype(np.int64) + 1, np.zeros(8, np.int64)]
-        rank = np.zeros(n, np.int64)  # of the first 7 symbols, 0 past the end of a text
+        key = np.zeros(n, np.int64)  # the first 7 symbols, 0 past the end of a text
         for k in range(7):
-            rank = rank << 9 | np.where(rest > k, symbol[k : n + k], 0)
-        rank, width, group = self._dense(rank), 7, None
-        while True:
-            if group is None and 2 * width >= depth:
-                group = self._paired(rank, rest, depth - width)
-            if width >= rest.max(initial=0):
-                break
-            rank, width = self._dense(self._paired(rank, rest, width)), width * 2
-        # One end mark per text comes first, in the order of the texts, which also orders equal suffixes.
-        suffix = np.argsort(rank, kind="stable")
-        texts = len(ends)
+            key = key << 9 | np.where(rest > k, symbol[k : n + k], 0)
+        rank, suffix = self._ranked(key)
+        width, group = 7, None
+        most = rest.max(initial=0)
+        while width <= most:
+            if group is None and 2 * width >= depth >= width:
+                group = rank * (n + 1) + np.r_[rank[depth - width :], np.zeros(depth - width, np.int64)][:n]
+            # As many ranks as fit in 63 bits. A suffix that has ended is ordered by the place of its text.
+            key, bits = rank + texts, (n + texts + 1).bit_length()
+            for k in range(1, 63 // bits):
+                ended = np.where(rest > (k - 1) * width, owner + 1, 0)
+                key = key << bits | np.where(rest > k * width, np.r_[rank[k * width :] + texts, np.zeros(min(k * width, n), np.int64)][:n], ended)
+            rank, suffix = self._ranked(key)
+            width *= max(2, 63 // bits)
+        if group is None and n:
+            group = rank if width == depth else self._prefix_ids(data, rest, depth)
+        # One end mark per text comes first, in the order of the texts.
         opens = np.zeros(n, bool)
         opens[np.r_[0, ends[:-1]]] = True
         symbols = np.r_[symbol[ends - 1], np.where(opens[suffix], 0, symbol[suffix - 1])]
@@ -250,20 +257,25 @@ class RunIndex:
         before[order] = np.cumsum(lengths[order]) - lengths[order]
         self.steps = before  # an end mark precedes each text, so what they take up are the end marks' own rows
         long = rest[suffix] >= depth
-        key = np.where(long, group[suffix], -1) if group is not None else np.full(n, -1)
+        key = np.where(long, group[suffix], -1) if n else suffix
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]] | ~long) if n else np.empty(0, np.int64)
         self.groups = first + texts
         self.earliest = np.minimum.reduceat(suffix, first) if n else first
 
     @staticmethod
-    def _dense(key: np.ndarray) -> np.ndarray:
-        return np.unique(key, return_inverse=True)[1].ravel() + 1
+    def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Dense ranks from 1, and the places in order."""
+        order = np.argsort(key)
+        value = key[order]
+        rank = np.empty(len(key), np.int64)
+        rank[order] = np.cumsum(np.r_[True, value[1:] != value[:-1]][: len(key)])
+        return rank, order
 
     @staticmethod
-    def _paired(rank: np.ndarray, rest: np.ndarray, shift: int) -> np.ndarray:
-        n = len(rank)
-        next_ = np.r_[rank[shift:], np.zeros(min(shift, n), np.int64)][:n]
-        return rank * (n + 2) + np.where(rest > shift, next_, 0)
+    def _prefix_ids(data: np.ndarray, rest: np.ndarray, depth: int) -> np.ndarray:
+        """Numbers of the different `depth`-byte strings, for depths that the doubling steps over."""
+        ids, raw = {}, data.tobytes()
+        return np.array([ids.setdefault(raw[i : i + depth], len(ids)) if r >= depth else -1 for i, r in enumerate(rest)])
 
     def stream(self) -> np.ndarray:
         """For each place, whether the `depth` bytes from it also start at an earlier place: the matching statistics,
@@ -282,22 +294,34 @@ class RunIndex:
             seen[place] = self.earliest[np.searchsorted(self.groups, row, side="right") - 1] < place
 
 
-CUTS = pa.schema([("shard", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
+CUTS = pa.schema([("shard", pa.int64()), ("anchor", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
 
 
 def index_shard(table: pa.Table) -> pa.Table:
-    """Contexts of one shard of anchors, by bytes: windows that start earlier too, as spans per document."""
+    """Contexts of one shard of anchors, by bytes: windows that start earlier too, as spans per document.
+
+    Anchors are indexed a few at a time, since equal windows have equal anchors and a small index is a fast one.
+    """
     ids = np.column_stack([table.column(c).to_numpy() for c in ("did", "th", "start")])
-    order = np.lexsort((ids[:, 2], ids[:, 1], ids[:, 0]))
-    ids = ids[order]
-    texts = [table.column("bytes")[int(i)].as_py() for i in order]
-    ends = np.cumsum([len(t) for t in texts])
-    seen = RunIndex(np.frombuffer(b"".join(texts), np.uint8), ends).stream()
-    place = np.flatnonzero(seen)
-    text = np.searchsorted(ends, place, side="right")
-    start = ids[text, 2] + place - (ends - [len(t) for t in texts])[text]
+    anchor, texts = table.column("anchor").to_numpy(), table.column("bytes").to_pylist()
+    order = np.lexsort((ids[:, 2], ids[:, 1], ids[:, 0], anchor))
+    cuts, last = [0], len(order)
+    heads = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]])
+    while last - cuts[-1] > INDEXED and (after := heads[heads >= cuts[-1] + INDEXED]).size:
+        cuts.append(int(after[0]))
+    rows, place = [], []
+    for a, b in zip(cuts, [*cuts[1:], last], strict=True):
+        own = order[a:b]
+        own = own[np.lexsort((ids[own, 2], ids[own, 1], ids[own, 0]))]
+        size = np.array([len(texts[i]) for i in own])
+        ends = np.cumsum(size)
+        seen = np.flatnonzero(RunIndex(np.frombuffer(b"".join(texts[i] for i in own), np.uint8), ends).stream())
+        text = np.searchsorted(ends, seen, side="right")
+        rows.append(own[text])
+        place.append(ids[own[text], 2] + seen - (ends - size)[text])
     docs, doc = _unique_rows(ids[:, :2])
-    return pa.Table.from_pylist(_by_document(docs, doc[text], 0, start.astype(np.uint32), np.ones(len(start), np.uint8)), MARKS)
+    start = np.concatenate(place)
+    return pa.Table.from_pylist(_by_document(docs, doc[np.concatenate(rows)], 0, start.astype(np.uint32), np.ones(len(start), np.uint8)), MARKS)
 
 
 def _spans(pairs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -359,7 +383,7 @@ def _by_index(texts: DataFrame, found: DataFrame, shards: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for did, th, data, start, n, anchor in _cut(batches):
             yield pa.RecordBatch.from_arrays([
-                pa.array((anchor % np.uint64(shards)).astype(np.int64)), pa.array(np.full(len(n), did)), pa.array(np.full(len(n), th)), pa.array(start),
+                pa.array((anchor % np.uint64(shards)).astype(np.int64)), pa.array(anchor.view(np.int64)), pa.array(np.full(len(n), did)), pa.array(np.full(len(n), th)), pa.array(start),
                 pa.array([data[a : a + m + DEPTH - 1] for a, m in zip(start, n, strict=True)], pa.binary())], schema=CUTS)
 
     cuts = _asked(texts, found).mapInArrow(cut, _ddl(CUTS))
