@@ -85,7 +85,6 @@ class DriftRule:
     psi: float = 0.2
     ks_p: float = 0.05
     sharpe_drop: float = 0.5
-    window: int = 1000
     min_returns: int = 30
 
 

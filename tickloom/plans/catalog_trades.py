@@ -232,6 +232,17 @@ def demotion(spark, sf):
     return P.demotion(P.equity_curve(A.trade_series(spark, sf, "pnl"), start=START))
 
 
+@query("demotion_by_drawdown", f"""WITH {CURVE}, x AS (SELECT *, row_number() OVER ({O}) AS rn, list(equity) OVER ({O} ROWS 149 PRECEDING) AS eqs FROM c1),
+    d AS (SELECT strategy, ts, trade_id, rn, list_max(list_transform(range(1, len(eqs) + 1), lambda i: (list_max(eqs[1:i]) - eqs[i]) / list_max(eqs[1:i]))) AS max_drawdown FROM x WHERE rn >= 30)
+    SELECT strategy, arg_min(ts, rn) AS ts, arg_min(trade_id, rn) AS trade_id, arg_min(max_drawdown, rn) AS max_drawdown, false AS sharpe_low, false AS win_rate_low, true AS drawdown_high
+    FROM d WHERE max_drawdown > 0.0004::DOUBLE GROUP BY strategy""",
+       "strategy, ts, trade_id, sharpe_low, win_rate_low, drawdown_high", 6)
+def demotion_by_drawdown(spark, sf):
+    """The other two floors out of reach, and a limit that these small swings can break."""
+    rule = P.DemotionRule(sharpe_floor=-1e9, win_rate_floor=-1.0, max_drawdown=0.0004)
+    return P.demotion(P.equity_curve(A.trade_series(spark, sf, "pnl"), start=START), rule).drop("sharpe", "win_rate")
+
+
 @query("page_hinkley_first", f"""WITH {A.TRADES}, m AS (SELECT *, row_number() OVER ({O}) AS n, sum(-pnl - 0.005::DOUBLE) OVER ({O} ROWS UNBOUNDED PRECEDING) AS s FROM trades),
     q AS (SELECT *, s - least(min(s) OVER ({O} ROWS UNBOUNDED PRECEDING), 0) AS statistic FROM m)
     SELECT strategy, min(n) AS row, arg_min(ts, n) AS ts, arg_min(trade_id, n) AS trade_id, arg_min(statistic, n) AS statistic FROM q WHERE n >= 30 AND statistic > 500 GROUP BY strategy""",
