@@ -260,7 +260,33 @@ def trend_score(spark, sf):
     return _bars(spark, sf, *W.trend_score(50), out=["parkinson_trend_ratio", "hurst", "regime_label"])
 
 
-@query("rolling_hurst")
+def _hurst_sql(tag: str, base: str, x: str, n: int, step: int, name: str) -> str:
+    """Rescaled range over two chunks per lag, from explicit chunk rows; held from one due row to the next."""
+    g = "PARTITION BY pair, ts, lag, c"
+    return f"""{tag}q AS (SELECT * FROM (SELECT pair, ts, row_number() OVER (PARTITION BY pair ORDER BY ts) AS rn,
+        list({x}) OVER (PARTITION BY pair ORDER BY ts ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS s FROM {base}) WHERE rn > {n} AND (rn - 1 - {n}) % {step} = 0),
+      {tag}e AS (SELECT pair, ts, lag, c, s, unnest(range(1, lag + 1)) AS i FROM {tag}q, range(4, {min(50, n // 2)}) a(lag), range(0, 2) b(c)),
+      {tag}v AS (SELECT pair, ts, lag, c, i, s[{n} - 2 * lag + c * lag + i] AS v FROM {tag}e),
+      {tag}m AS (SELECT *, v - avg(v) OVER g AS d, stddev_pop(v) OVER g AS sd FROM {tag}v WINDOW g AS ({g})),
+      {tag}w AS (SELECT *, sum(d) OVER ({g} ORDER BY i ROWS UNBOUNDED PRECEDING) AS walk FROM {tag}m),
+      {tag}r AS (SELECT pair, ts, lag, c, any_value(sd) AS sd, max(walk) - min(walk) AS spread FROM {tag}w GROUP BY pair, ts, lag, c),
+      {tag}t AS (SELECT pair, ts, lag, avg(spread / sd) AS rs FROM {tag}r WHERE sd >= 1e-12 AND spread > 0 GROUP BY pair, ts, lag),
+      {tag}k AS (SELECT *, 3 + row_number() OVER (PARTITION BY pair, ts ORDER BY lag) AS nth FROM {tag}t),
+      {tag}h AS (SELECT pair, ts, CASE WHEN count(*) < 4 THEN 0.5 ELSE coalesce(least(greatest(regr_slope(ln(rs), ln(nth)), 0.1), 0.9), 0.5) END AS h FROM {tag}k GROUP BY pair, ts),
+      {tag}d AS (SELECT {tag}q.pair, {tag}q.ts, coalesce(h, 0.5) AS h FROM {tag}q LEFT JOIN {tag}h ON {tag}h.pair = {tag}q.pair AND {tag}h.ts = {tag}q.ts),
+      {tag}o AS (SELECT b.pair, b.ts, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY b.pair ORDER BY b.ts), 0.5)::DOUBLE AS {name}
+        FROM {base} b LEFT JOIN {tag}d ON {tag}d.pair = b.pair AND {tag}d.ts = b.ts)"""
+
+
+def _curve_length_sql(tag: str, base: str, x: str, n: int, name: str) -> str:
+    return f"""{tag}p AS (SELECT pair, ts, list({x}) OVER (PARTITION BY pair ORDER BY ts ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS s FROM {base}),
+      {tag}l AS (SELECT pair, ts, k, (SELECT avg(abs(s[j + k + 1] - s[j + 1])) * {n - 1} / (count(*) * k * k) FROM range(0, {n} - k, k) r(j) WHERE j + k < {n}) AS lm
+        FROM {tag}p, range(1, {n // 2}) t(k) WHERE len(s) = {n}),
+      {tag}f AS (SELECT pair, ts, least(greatest(-regr_slope(ln(greatest(lm, 1e-12)), ln(k)), 1), 2) AS f FROM {tag}l GROUP BY pair, ts),
+      {tag}c AS (SELECT {tag}p.pair, {tag}p.ts, coalesce(f, 1.5)::DOUBLE AS {name} FROM {tag}p LEFT JOIN {tag}f ON {tag}f.pair = {tag}p.pair AND {tag}f.ts = {tag}p.ts)"""
+
+
+@query("rolling_hurst", f"""WITH {A.BARS}, {_hurst_sql('h', 'bars', '"close"', 120, 20, 'hurst')} SELECT * FROM ho""", "pair, ts", 6)
 def rolling_hurst(spark, sf):
     return H.rolling_hurst(A.bar_series(spark, sf)).df.select("pair", "ts", "hurst")
 
@@ -274,7 +300,13 @@ def fractal_dimension(spark, sf):
     return H.fractal_dimension(A.bar_series(spark, sf)).df.select("pair", "ts", "fractal_dim")
 
 
-@query("hurst_fractal")
+HURSTS = ", ".join(_hurst_sql(f"h{n}", "lr", "lr", n, 1, f"hurst_{n}") + ", " + _curve_length_sql(f"f{n}", "lr", "lr", n, f"fractal_{n}") for n in (30, 60, 120))
+
+
+@query("hurst_fractal", f"""WITH {A.BARS}, lr AS (SELECT pair, ts, coalesce(ln("close") - ln(lag("close") OVER (PARTITION BY pair ORDER BY ts)), 0) AS lr FROM bars), {HURSTS}
+    SELECT pair, ts, hurst_30, hurst_60, hurst_120, fractal_30, fractal_60, fractal_120, CASE WHEN hurst_60 > 0.55 THEN 1.0 ELSE 0.0 END::DOUBLE AS trending,
+      CASE WHEN hurst_60 < 0.45 THEN 1.0 ELSE 0.0 END::DOUBLE AS mean_reverting
+    FROM h30o JOIN h60o USING (pair, ts) JOIN h120o USING (pair, ts) JOIN f30c USING (pair, ts) JOIN f60c USING (pair, ts) JOIN f120c USING (pair, ts)""", "pair, ts", 6)
 def hurst_fractal(spark, sf):
     out = [f"{m}_{n}" for n in (30, 60, 120) for m in ("hurst", "fractal")]
     return H.hurst_fractal(A.bar_series(spark, sf)).df.select("pair", "ts", *out, "trending", "mean_reverting")
