@@ -4,8 +4,9 @@ Features: letters only, lower-cased, words joined by single spaces; n-grams of 1
 places; 1 + log(count), times the inverse document frequency over all training documents, scaled to length 1.
 
 Training: follow the regularised leader (proximal, per coordinate) with an L1 and an L2 penalty, on at most
-`per_language` documents of each language and `most` in all, in the order of a hash of their id. A fifth of them is
-kept apart to calibrate the softmax's temperature.
+`per_language` documents of each language (its ids are hashed into 16 parts, which give equal shares in the order of the
+hash, so that no language is one task) and `most` in all. A fifth of them is kept apart to calibrate the softmax's
+temperature.
 
 Defined cases: null texts and texts without a letter are `und` with score 0, as is everything if nothing can be
 learned; with one language every other text is that language; ties go to the first language by name; repeated rows
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 BITS = 15
 GRAMS = 4
+PARTS = 16
 PIECE = 1 << 18
 OTHER = re.compile(r"[\W\d_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -118,8 +120,10 @@ def fitted(docs: DataFrame, per_language: int = 500, most: int = 5000) -> dict:
     """The model from docs (doc_id, text, lang); rows without text or lang are not used."""
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL")
     df, total = document_frequencies(known)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.where("doc_id IS NOT NULL").select("doc_id", "lang").withColumn("no", F.row_number().over(order)).where(F.col("no") <= per_language)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
+    order = Window.partitionBy("lang", part).orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = known.where("doc_id IS NOT NULL").select("doc_id", "lang").withColumn("no", F.row_number().over(order))
+    chosen = chosen.where(F.col("no") <= -(-per_language // PARTS))
     rows = chosen.orderBy("no", "lang", "doc_id").limit(most).collect()  # at most `most` rows
     if not rows:
         return {"languages": []}
