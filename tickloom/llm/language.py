@@ -3,7 +3,7 @@
 Features: letters only, lower-cased, words joined by single spaces; n-grams of 1 to 4 code points hashed to 2^15
 places; 1 + log(count), times the inverse document frequency over all training documents, scaled to length 1.
 
-Training: follow the regularised leader (proximal, per coordinate) with an L1 and an L2 penalty, on at most
+Training: follow the regularised leader (proximal, per coordinate) with an L1 and an L2 penalty, on at most about
 `per_language` documents of each language (its ids are hashed into 16 parts, which give equal shares in the order of the
 hash, so that no language is one task) and `most` in all. A fifth of them is kept apart to calibrate the softmax's
 temperature.
