@@ -101,8 +101,8 @@ def _pieces(norm: bytes, shingle: int) -> Iterator[bytes]:
     yield norm[at:]
 
 
-def _bit_counts(pieces: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Set bits by position, and number of shingles, of each (nonempty) piece."""
+def shingle_hashes(pieces: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of all shingles of the (nonempty) pieces, and where those of each piece begin."""
     buf = b" ".join(pieces)
     blanks = np.flatnonzero(np.frombuffer(buf, np.uint8) == 32)
     starts, ends = np.concatenate([[0], blanks + 1]), np.concatenate([blanks, [len(buf)]])
@@ -112,9 +112,14 @@ def _bit_counts(pieces: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarr
     begin = np.cumsum(shingles) - shingles
     first += np.arange(len(first)) - np.repeat(begin, shingles)
     last = first + np.repeat(np.minimum(words, shingle) - 1, shingles)
-    h = xxh64(buf, starts[first], ends[last])
+    return xxh64(buf, starts[first], ends[last]), begin
+
+
+def _bit_counts(pieces: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Set bits by position, and number of shingles, of each (nonempty) piece."""
+    h, begin = shingle_hashes(pieces, shingle)
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.add.reduceat(bits, begin, axis=0, dtype=np.int64), shingles
+    return np.add.reduceat(bits, begin, axis=0, dtype=np.int64), np.diff(np.r_[begin, len(h)])
 
 
 def _fingerprints(texts: Iterator[str | None], shingle: int) -> Iterator[np.ndarray]:
