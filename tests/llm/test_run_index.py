@@ -111,6 +111,13 @@ def test_odd_rows(spark):
     assert R.digests(spark.createDataFrame([], DOCS)).collect() == []
 
 
+@pytest.mark.parametrize("crowd", [1 << 14, 1])
+def test_repeated_rows_are_one_document(spark, monkeypatch, crowd):
+    monkeypatch.setattr(R, "CROWD", crowd)
+    a, b, c, d, p = ("".join(random.Random(k).choices("abcdefgh ", k=300)) for k in range(5))
+    check(spark, [(1, a + p + b), (1, a + p + b), (2, c + p + d), (None, d + c), (None, d + c), (None, a + c)])
+
+
 def test_text_is_cut_at_characters(spark):
     shared = "".join(random.Random(9).choices("éüñ", k=60))
     half = "ã" + shared[1:]  # shares the first byte of its first character only

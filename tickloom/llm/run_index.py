@@ -305,6 +305,9 @@ def index_shard(table: pa.Table) -> pa.Table:
     ids = np.column_stack([table.column(c).to_numpy() for c in ("did", "th", "start")])
     anchor, texts = table.column("anchor").to_numpy(), table.column("bytes").to_pylist()
     order = np.lexsort((ids[:, 2], ids[:, 1], ids[:, 0], anchor))
+    if len(order):  # a repeated row is one document and brings each of its contexts once
+        at = np.column_stack([anchor, ids])[order]
+        order = order[np.r_[True, (at[1:] != at[:-1]).any(axis=1)]]
     cuts, last = [0], len(order)
     heads = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]])
     while last - cuts[-1] > INDEXED and (after := heads[heads >= cuts[-1] + INDEXED]).size:
