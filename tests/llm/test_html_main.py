@@ -53,6 +53,33 @@ def test_blocks():
     assert H.blocks(None) == H.blocks("") == H.blocks("<script>never closed") == H.blocks("<!-- never closed") == []
 
 
+@pytest.mark.parametrize("inside, want", [
+    ('one <svg class="icon"/> two', ["one two"]), ('one <svg viewBox="0 0 1 1"><title>no</title><path d=""/><style>a>b{}</style><svg><text>no</text></svg></svg> two', ["one two"]),
+    ("one <svg><foreignObject><p>no</p></foreignObject></svg>two", ["one two"]), ("one<svg><g><text>no", ["one"]), ("one <svg width=1/>no</svg> two", ["one two"]),
+    ("let <math/> x", ["let x"]), ("let <math><mrow><mi>x</mi><mo>=</mo><mn>1</mn><mspace/></mrow><annotation>no</annotation></math> be", ["let x=1 be"]),
+    ("see <object data=f.pdf><param name=a><embed src=b>the <b>file</b></object> here", ["see the file here"]), ("see <object/> here", ["see here"]),
+    ("pick <select><option>no</select> one", ["pick", "one"]), ("pick <select><option>no", ["pick"]), ("a <template><div>no</div></template> b", ["a", "b"]),
+    ("a <template><div>no", ["a"]), ("a <o:p>b</o:p> c", ["a", "b", "c"]), ("a <math><mi>b", ["a b"])])
+def test_text_after_unseen_elements(inside, want):
+    page = f"<article><section><p>{inside}</p></section><p>after</p><h2>later</h2><svg><path/></svg><p>last</p></article>"
+    assert [t for t, *_ in H.blocks(page)] == [*want, "after", "later", "last"]
+
+
+@pytest.mark.parametrize("name", sorted("script style textarea title iframe noembed noframes".split()))
+def test_raw_text_is_cut_to_its_end(name):
+    assert [t for t, *_ in H.blocks(f"<p>a</p><{name}/><p>no</p></{name}><p>b</p>")] == ["a", "b"]
+    assert [t for t, *_ in H.blocks(f"<p>a</p><{name}><p>no</p>")] == ["a"]
+
+
+def test_an_article_with_icons_is_whole(model):
+    prose = ["The ship left the harbour before dawn, and nobody on the quay saw it go.",
+             "It carried grain, timber and a crew of nine, two of whom had never been to sea.",
+             "By noon the wind had turned, so they lay to behind the point and waited."]
+    page = f"""<html><body><nav class="menu"><ul><li><a href=/>Home</a></ul></nav><article><h1>A ship at dawn</h1><p><svg class="icon"/>{prose[0]}</p>
+      <p>{prose[1]}<svg><path d="M0 0"></p><p>{prose[2]}</p></article><footer>Daily Post</footer></body></html>"""
+    assert read(model, page) == ["A ship at dawn", *prose]
+
+
 def test_gradients_are_those_of_the_loss():
     rnd = np.random.default_rng(1)
     model = H.Labeller()

@@ -10,8 +10,10 @@ sidebars, notices, adverts, forms and comments under many usual names, filled wi
 pages at hand (`sample` pages in the order of a hash of their id).
 
 Defined cases: null and empty html, and pages without main text, give an empty text; unclosed and stray tags are
-accepted; script, style and other unseen contents and comments are no blocks; repeated rows are read each; an empty
-table gives no rows.
+accepted; script, style and other unseen contents and comments are no blocks; only raw text (script, style and their
+like) runs to the page's end if it is not closed, other unseen elements end with the element around them or, as in
+browsers, where HTML breaks out of them; math and an object's fallback are text of their line; repeated rows are read
+each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,13 +32,19 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[a-z]+")
-# Elements whose content is not shown, that have none, that stand inside a line, and that end others.
-HIDDEN = set("script style template textarea select iframe object svg math title noembed noframes".split())
+SELECT_END = re.compile(r"<(/?)select(?=[\s/>])[^>]*>", re.I)
+UNQUOTED = re.compile(r"=\s*[^\s\"'>]+\Z")
+# Elements of raw text, others whose content is not shown, elements that have none, that stand inside a line,
+# and that end others; in svg and math, tags that leave them, and elements that hold HTML.
+RAW = set("script style textarea title iframe noembed noframes".split())
+HIDDEN = set("template select svg math:annotation math:annotation-xml".split())
+BREAKS_OUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = {f"{k}:{n}" for k, names in (("svg", "foreignobject desc title"), ("math", "mi mo mn ms mtext annotation-xml")) for n in names.split()}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em embed font i img ins kbd label mark math object param q s samp small span strike strong sub sup svg time tt u var wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-CONTAINERS = set("ul ol dl table article section div body td th".split())
+CONTAINERS = set("ul ol dl table article section div body td th object template".split())
 PATHS, WORDS, MEASURES = 128, 48, 8
 HIDDEN_SIZE = 16
 
@@ -48,6 +56,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
     linked = 0
+    foreign = hidden = None  # places in the stack of the svg or math element, and of the element that is not shown
 
     def flush() -> None:
         nonlocal linked
@@ -58,13 +67,15 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         linked = 0
 
     def pop(to: int) -> None:
-        if any(name not in INLINE for name, _ in stack[to:]):
+        nonlocal foreign, hidden
+        if any(name not in INLINE and not name.startswith(("svg:", "math:")) for name, _ in stack[to:]):
             flush()
         del stack[to:]
+        foreign, hidden = (None if k is None or k >= to else k for k in (foreign, hidden))
 
     def said(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and hidden is None:
             raw = html.unescape(raw)
             text.append(raw)
             if any(name == "a" for name, _ in stack):
@@ -77,19 +88,33 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         name = (m[2] or m[5] or "").lower()
         if not name:
             continue
+        own = name if foreign is None else f"{stack[foreign][0]}:{name}"
         if m[1] or m[4]:
-            found = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            found = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in (name, own)), None)
             if found is not None:
                 pop(found)
-            elif name not in INLINE:
+            elif name not in INLINE and foreign is None:
                 flush()
             continue
-        if name in HIDDEN:
+        attributes = m[3] or m[6] or ""
+        if foreign is not None:
+            if name not in BREAKS_OUT or any(n in HOLDS_HTML for n, _ in stack[foreign + 1 :]):
+                if not (name in VOID or attributes.endswith("/") and not UNQUOTED.search(attributes)):
+                    if hidden is None and own in HIDDEN:
+                        hidden = len(stack)
+                    stack.append((own, ()))
+                continue
+            pop(foreign)
+        if name in ("svg", "math"):
+            if not attributes.endswith("/") or UNQUOTED.search(attributes):
+                foreign = len(stack)
+        elif name in RAW or name == "select" and (end := SELECT_END.search(page, at)) and end[1]:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-            if name not in INLINE:
-                flush()
+            flush()
             continue
+        elif name in ENDS_P and hidden is not None and stack[hidden][0] == "select":  # it was never closed
+            pop(hidden)
         closed = CLOSES.get(name, {"p"} if name in ENDS_P else set())
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in closed:
@@ -101,9 +126,11 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
             text.append(" ")
         elif name not in INLINE:
             flush()
-        if name not in VOID:
-            words = [f"<{name}>"]
-            for a, b, c in NAMED.findall(m[3] or m[6] or ""):
+        if name not in VOID and (name not in ("svg", "math") or foreign is not None):
+            if hidden is None and name in HIDDEN:
+                hidden = len(stack)
+            words = [] if name in ("svg", "math", "object") else [f"<{name}>"]  # these do not frame a text
+            for a, b, c in NAMED.findall(attributes):
                 words += PART.findall((a or b or c).lower())
             stack.append((name, tuple(words)))
     said(page[at:])
