@@ -78,6 +78,22 @@ def test_long_document_and_long_item(monkeypatch):
     assert index.matches(" ".join(item.split()[:200]), 0.6, 0.8, 5) == []
 
 
+def test_a_question_or_an_answer_alone(spark):
+    rnd = random.Random(8)
+    text = lambda k: " ".join(f"w{rnd.randint(0, 5000)}" for _ in range(k))
+    sizes = [(12, 11), (13, 12), (12, 60), (25, 3), (90, 30), (11, 30), (30, 12), (5, 4)]
+    qa = [(text(q), text(a)) for q, a in sizes]
+    bench = spark.createDataFrame([(i, f"{q}? {a}", 0) for i, (q, a) in enumerate(qa)], ITEMS)
+    alone = [(10 * i + k, f"{text(70)} {part.upper()}, {text(70)}") for i, both in enumerate(qa) for k, part in enumerate(both)]
+    docs = alone + [(1000 + i, f"{text(9)} {q}? {a} {text(50)}") for i, (q, a) in enumerate(qa)] + [(2000, text(300))]
+    table = spark.createDataFrame([(i, t, "x", "y") for i, t in docs], DOCS)
+    want = {(10 * i + k, i) for i, size in enumerate(sizes) for k in (0, 1) if size[k] >= 12 or size[k] - 4 >= 0.8 * (sum(size) - 4)}
+    want |= {(1000 + i, i) for i in range(len(qa))}
+    index = D.indexes(bench)
+    assert {(r["doc_id"], r["item_id"]) for r in D.matches(table, index).collect()} == want
+    assert {r["doc_id"] for r in D.clean(table, index).collect()} == {i for i, _ in docs} - {d for d, _ in want}
+
+
 def test_odd_rows(spark):
     bench = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "...", 0), (4, "rare", 0), (5, "What is it? blue whale", 0),
                                    (5, "What is it? blue whale", 0), (None, "one two three four five six", 0)], ITEMS)

@@ -1,13 +1,16 @@
 """Benchmark decontamination: a BM25 index of test items, queried by every training passage with block-max WAND.
 
-Items are cut into units of up to `unit` words, so that a long item can be met passage by passage. A unit's impact for
+Items are cut into units of up to `unit` words, so that a long item can be met passage by passage. Units do not straddle
+question and answer: each of the two with `PART` words or more has its own, an item without such a part is cut as a
+whole. A unit's impact for
 a term is its BM25 weight divided by the unit's own total, so a passage that holds all of a unit's terms scores 1.
 Documents are read in passages of two units' length that overlap by one: any run of a unit's length lies whole in one.
 
 Units stand in blocks of `BLOCK`. For a passage the sums of its terms' block maxima bound the scores of each block;
 blocks below the threshold are skipped whole. In the others WAND walks the terms' postings by their bounds and scores
 only the units that can reach the threshold. All units above it are verified on the whole document: the share of the
-item's word shingles that occur in it, for the question, the answer and both together, which decides.
+item's word shingles that occur in it, for the question, the answer and both together. An item is held if both together
+reach the least share, or the question or the answer by itself if it has `PART` words or more.
 
 The index is built per shard of at most `SHARD` units (all units of an item in one shard), so what a task holds is
 bounded; a larger benchmark is more passes. Term statistics are those of the whole benchmark.
@@ -36,6 +39,7 @@ WORDS = re.compile(r"[^\W_]+")
 ANSWER = re.compile(r"\banswer\s*:|\ba\s*:|\?(?=[^?]*$)", re.I)
 SENTENCE = re.compile(r"[.!](?=\s+\S[^.!]*[.!]?\s*$)")
 SHARD, BLOCK, PIECE = 2048, 8, 1 << 14
+PART = 12  # words of a question or answer that tell by themselves
 
 
 def words(text: str | None) -> list[str]:
@@ -63,7 +67,7 @@ class Index:
                  k1: float = 1.2, b: float = 0.75):
         self.items, self.unit, owner, weights = items, unit, [], []
         for no, (_, text) in enumerate(items):
-            for piece in pieces(words(text), unit):
+            for piece in units_of(text, unit):
                 tf = Counter(piece)
                 w = {t: math.log(1 + (units - frequencies[t] + 0.5) / (frequencies[t] + 0.5)) * f * (k1 + 1)
                      / (f + k1 * (1 - b + b * len(piece) / mean)) for t, f in tf.items()}
@@ -156,7 +160,7 @@ class Index:
                 if k not in seen:
                     seen[k] = set(zip(*(terms[i:] for i in range(k)), strict=False))
                 found.append(overlap(shingles(part, k), seen[k]))
-            if found[0] >= least:
+            if found[0] >= least or any(len(p) >= PART and share >= least for p, share in zip((question, answer), found[1:], strict=True)):
                 out.append((no, score, *found))
         return out
 
@@ -168,11 +172,17 @@ def pieces(terms: list[str], unit: int) -> list[list[str]]:
     return [terms[i : i + size] for i in range(0, len(terms), size or 1)]
 
 
+def units_of(text: str | None, unit: int) -> list[list[str]]:
+    """The pieces of each telling part of an item, or of all of it if there is none."""
+    telling = [p for p in map(words, parts(text)) if len(p) >= PART] or [words(text)]
+    return [piece for p in telling for piece in pieces(p, unit)]
+
+
 def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", unit: int = 40) -> list[Index]:
     """The benchmark's index, in shards of bounded size."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [pieces(words(t.as_py()), unit) for t in batch.column(1)]
+            found = [units_of(t.as_py(), unit) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.list_(pa.string())))], ["item_id", "text", "units"])
 
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where("text IS NOT NULL")
