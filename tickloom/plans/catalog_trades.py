@@ -586,12 +586,9 @@ def max_allowed_lots(spark, sf):
 def granger_edges(spark, sf):
     from tickloom.operators import causality, cross_asset as X
 
-    s = panel_on_bars(spark, sf, X_GRANGER).apply(*X.asset_returns(X_GRANGER, (1,)))
-    panel = s.df.groupBy("ts").agg(*[F.max(f"{a}_ret").alias(a) for a in X_GRANGER])
-    return causality.granger(panel, X_GRANGER)
-
-
-X_GRANGER = ("DXY", "GOLD", "SPX", "VIX", "US10Y")
+    s = panel_on_bars(spark, sf).apply(*X.asset_returns(A.ASSET_NAMES, (1,)))
+    panel = s.df.groupBy("ts").agg(*[F.max(f"{a}_ret").alias(a) for a in A.ASSET_NAMES])
+    return causality.granger(panel, A.ASSET_NAMES)
 
 
 # --- trade rows and histograms --------------------------------------------------------------------
