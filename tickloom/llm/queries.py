@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, decontaminate, html_main, language, mixing, run_index, simhash, topk, toxicity, warc
+from tickloom.llm import (
+    chat,
+    decontaminate,
+    hard_negatives,
+    html_main,
+    language,
+    lexical,
+    mixing,
+    permutation,
+    run_index,
+    simhash,
+    topk,
+    toxicity,
+    warc,
+)
 from tickloom.llm.common import fold, landed, table
 
 QUERIES, ORACLES = {}, {}
@@ -144,3 +158,44 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_run_index")
 def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_index.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op11_permutation_index")
+def op11_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return permutation.search(vectors.where("vec_id % 20 = 0"), vectors, k=20)
+
+
+@query("op12_hard_negatives", """
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+               FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+    s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CASE WHEN len(a.v) = 0 THEN 0 ELSE list_inner_product(a.v, c.v) END::BIGINT AS score
+          FROM v a JOIN v c ON len(a.v) = len(c.v) AND a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+           s.vec_id AS negative_id, positive_score, s.score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+    QUALIFY rank <= 10""")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(hard_negatives.quantized(vectors, "vec_id", "embedding", "label"))
+
+
+@query("op13_lexical_search", r"""
+    WITH t AS (SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+    d AS (SELECT row_no, doc_id, len(terms)::BIGINT AS n, terms FROM t WHERE len(terms) > 0),
+    a AS (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM d),
+    f AS (SELECT row_no, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT row_no, doc_id, n, unnest(terms) AS term FROM d) GROUP BY row_no, term),
+    w AS (SELECT term, floor(1000 * ln((2 * docs::DOUBLE + 2) / (2 * df::DOUBLE + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY term), a),
+    q AS (SELECT DISTINCT item_id, text, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+    s AS (SELECT item_id, text, row_no, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length))))::BIGINT AS score
+          FROM q JOIN w USING (term) JOIN f USING (term), a GROUP BY item_id, text, row_no),
+    r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+    SELECT * FROM r WHERE rank <= 10""")
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
