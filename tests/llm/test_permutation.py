@@ -33,7 +33,8 @@ def run(spark, rows, every, k, **size):
 def test_footrule_of_posted_orders_is_that_of_the_orders():
     rnd = random.Random(1)
     orders = np.array([rnd.sample(range(12), 5) for _ in range(40)])
-    posted = P.Posted.of(orders, 12)
+    files = P.Posted.files(orders, 12)
+    posted = P.Posted.read({k: v[0].as_py() if k == "prefix" else v[0] for k, v in files.items()})
     for query in orders[:10]:
         want = []
         for row in orders:

@@ -72,21 +72,27 @@ class Posted:
     """Pivot inverted files of one shard, each in the order of ranks."""
 
     def __init__(self, prefix: int, row: np.ndarray, rank: np.ndarray, cuts: np.ndarray):
-        self.prefix, self.row, self.rank, self.cuts = prefix, row, rank, cuts
+        self.prefix, self.row, self.most, self.cuts = prefix, row.astype(np.int64), (prefix - rank).astype(np.int32), cuts
 
-    @classmethod
-    def of(cls, order: np.ndarray, pivots: int) -> Posted:
+    @staticmethod
+    def files(order: np.ndarray, pivots: int) -> dict:
+        """The posted rows and ranks, and where each pivot's file begins."""
         rows, prefix = order.shape
         pivot, rank = order.ravel().astype(np.int64), np.tile(np.arange(prefix), rows)
         by = np.argsort(pivot * prefix + rank, kind="stable")
-        return cls(prefix, (by // prefix).astype(np.uint32), (by % prefix).astype(np.uint16), np.searchsorted(pivot[by], np.arange(pivots + 1)))
+        return {"prefix": pa.array([prefix], pa.int32()), "row": [(by // prefix).astype(np.uint32).tobytes()], "rank": [(by % prefix).astype(np.uint16).tobytes()],
+                "cuts": [np.searchsorted(pivot[by], np.arange(pivots + 1)).tobytes()]}
+
+    @classmethod
+    def read(cls, r: dict) -> Posted:
+        return cls(r["prefix"], *(np.frombuffer(r[c], kind) for c, kind in (("row", np.uint32), ("rank", np.uint16), ("cuts", np.int64))))
 
     def shared(self, query: np.ndarray, rows: int) -> np.ndarray:
         """What each row gains from the pivots that it shares with a query."""
-        gain = np.zeros(rows, np.int64)
+        gain = np.zeros(rows, np.int32)
         for at, pivot in enumerate(query):
             a, b = self.cuts[pivot], self.cuts[pivot + 1]
-            gain[self.row[a:b]] += self.prefix - np.maximum(self.rank[a:b], at).astype(np.int64)
+            gain[self.row[a:b]] += np.minimum(self.most[a:b], self.prefix - at)  # a file holds a row once
         return gain
 
 
@@ -106,10 +112,8 @@ def index(rows: DataFrame, pivots: DataFrame, prefix: int, shard: int) -> DataFr
             for r in batch.to_pylist():
                 p = np.frombuffer(r["p_mat"]).reshape(-1, r["dim"])
                 mat = V.unblob(r["mat"], len(r["ids"]) // 8, r["dim"])
-                posted = Posted.of(orders(mat, p, r["most"], prefix, False), len(p))
-                yield pa.RecordBatch.from_pydict({
-                    "shard": [r["shard"]], "dim": pa.array([r["dim"]], pa.int32()), "ids": [r["ids"]], "mat": [r["mat"]], "prefix": pa.array([posted.prefix], pa.int32()),
-                    "row": [posted.row.tobytes()], "rank": [posted.rank.tobytes()], "cuts": [posted.cuts.tobytes()]})
+                files = Posted.files(orders(mat, p, r["most"], prefix, False), len(p))
+                yield pa.RecordBatch.from_pydict({"shard": [r["shard"]], "dim": pa.array([r["dim"]], pa.int32()), "ids": [r["ids"]], "mat": [r["mat"]], **files})
 
     packed = rows.select("vec_id", "dim", "v").coalesce(max(1, -(-n // shard))).mapInArrow(pack, "dim int, ids binary, mat binary")
     packed = landed(packed.withColumn("shard", F.monotonically_increasing_id()), "vector-shards")
@@ -135,7 +139,7 @@ FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", p
 
 
 def search(queries: DataFrame, candidates: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", pivots: int = 256,
-           prefix: int = 96, rerank: float = 0.15, least: int = 512, shard: int = 8192, tile: int = 256) -> DataFrame:
+           prefix: int = 64, rerank: float = 0.2, least: int = 512, shard: int = 8192, tile: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query, the k nearest candidates that the index finds."""
     rows = landed(rows_of(candidates, vec_id, vector), "index-vectors")
     pivot = landed(pivot_blocks(rows, pivots), "pivots")
@@ -157,7 +161,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 20, vec_id: str =
                 dim, ids, own = r["dim"], np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
                 p = np.frombuffer(r["p_mat"]).reshape(-1, dim)
                 mat, q = V.unblob(r["mat"], len(ids), dim), V.unblob(r["q_mat"], len(own), dim)
-                posted = Posted(r["prefix"], *(np.frombuffer(r[c], kind) for c, kind in (("row", np.uint32), ("rank", np.uint16), ("cuts", np.int64))))
+                posted = Posted.read(r)
                 for i, order in enumerate(orders(q, p, r["most"], prefix, True)):
                     found, score = nearest(ids, mat, posted, own[i], q[i], order, k, rerank, least)
                     out.append(pa.table([pa.array(np.full(len(found), own[i])), pa.array(found), pa.array(score)], schema=FOUND))
