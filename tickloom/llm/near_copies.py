@@ -1,25 +1,27 @@
-"""Near copies by exact Jaccard similarity of word shingles, found by prefixes.
+"""Near copies: covering masks over wide fingerprints for candidates, exact Jaccard similarity for links.
 
-A document is the set of its shingles' hashes; equal sets are one. Sets are ordered by how common a shingle is (counts
-of hash ranges over all documents, rarest first; any order common to all sets is exact), and a set's prefix is so long
-that two sets at or above the similarity share a shingle within both prefixes, early enough for the rest to suffice.
-Sets that share a prefix shingle form a bucket.
+A document is the set of its shingles' hashes; equal sets are one. Its fingerprint has 128 bits, each by majority over
+the set, so that sets of similarity 0.8 differ in some 19 of them. The bits are cut into parts of `WIDTH` in `CUTS`
+ways, and each part has the covering masks of `RADIUS`: two fingerprints that differ in `RADIUS` bits or fewer of some
+part agree in all bits that one of its masks keeps, and meet in that bucket. Pairs at 4 * RADIUS + 3 bits or fewer meet
+always; most beyond do (README: recall). Of those that meet, pairs within `CUTOFF` bits are candidates. Entries are
+dealt in binary blocks of 16 bytes a fingerprint and mask, and a bucket passes on trees of candidates, not pairs.
 
-No bucket is compared pair by pair at once. In each round one pivot of a bucket is compared with the members that are
-not yet linked to it, all links found so far are joined to components, and the pivot leaves; a bucket whose rest is one
-component is done. So a group of near copies costs a few rows for each member. What is left after `ROUNDS` is compared
-between components, pair by pair: every pair at or above the similarity ends up in one component, and only those link.
+Trees make groups. In each of `ROUNDS` rounds one set of a group, its pivot, is compared with the sets of the group that
+are not linked to it; groups that the links make one are done. So a group of near copies costs one comparison for each
+member, whatever its size. What is left is compared pair by pair where it met as candidates. Only similarities of 0.8
+and more, counted on whole texts, link.
 
 Words are those of the fingerprints: A-Z lower-cased, cut at ASCII white space.
 
 Defined cases: null and empty texts are the empty set and alike; fewer words than a shingle has are one shingle; the
-least row of a component is the one with the smallest id, then the smallest set hash; rows without an id come last, so
-they name a component only if all of its rows lack one; an empty table gives no rows.
+least row of a component is the one with the smallest id, then the smallest set hash, then the first of equal rows; rows
+without an id come last, so they name a component only if all of its rows lack one; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm.common import landed
-from tickloom.llm.simhash import PIECE, _pieces, components, normalized, shingle_hashes
+from tickloom.llm.simhash import PIECE, _pieces, components, covering_masks, normalized, shingle_hashes
 
-RANGES = 18  # bits of a hash that count as its range
-ROUNDS = 4
+WIDTH, RADIUS, CUTS, CUTOFF = 32, 3, 2, 28
+ROUNDS = 2
 OVER, UNDER = 4, 5  # the similarity as a fraction, 0.8
+FLUSH, SHARD_BYTES = 1 << 15, 1 << 25
+NEAR = 16  # members of a bucket that are compared with the next ones all at once; larger buckets one by one
 
 
 def sets(texts: Iterator[str | None], shingle: int) -> Iterator[np.ndarray]:
@@ -59,127 +63,246 @@ def sets(texts: Iterator[str | None], shingle: int) -> Iterator[np.ndarray]:
                 pending, owner, size = [], [], 0
         if len(parts) >= 1000:
             hashed()
-            yield from (np.unique(np.concatenate(p)) if p else np.empty(0, np.uint64) for p in parts)
+            yield from (np.unique(np.concatenate(p)) if len(p) != 1 else p[0] for p in (p or [np.empty(0, np.uint64)] for p in parts))
             parts, pending, owner, size = [], [], [], 0
     hashed()
-    yield from (np.unique(np.concatenate(p)) if p else np.empty(0, np.uint64) for p in parts)
+    yield from (np.unique(np.concatenate(p)) if len(p) != 1 else p[0] for p in (p or [np.empty(0, np.uint64)] for p in parts))
 
 
 def _set_hash(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), 42) - (1 << 63)
 
 
-def _lists(rows: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, rows)])
-    values = np.concatenate(rows) if rows else np.empty(0, np.uint64)
-    return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(values.view(np.int64))).cast(pa.list_(pa.int64()))
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-def range_counts(texts: DataFrame, shingle: int) -> np.ndarray:
-    """How often shingles of each hash range occur."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << RANGES, np.int64)
-        for batch in batches:
-            for s in sets((x.as_py() for x in batch.column(0)), shingle):
-                np.add.at(n, (s >> np.uint64(64 - RANGES)).astype(np.int64), 1)
-        used = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], ["k", "n"])
+def _word(h: np.ndarray) -> np.uint64:
+    """The majority of each bit."""
+    on = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) * 2 > len(h)
+    return np.packbits(on).view(np.uint64)[0]
 
-    found = texts.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << RANGES, np.int64)
-    out[found.column("k").to_numpy()] = found.column("n").to_numpy()
-    return out
 
+def fingerprint(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    return _word(s), _word(_mixed(s))
+
+
+def _cut(w0: np.ndarray, w1: np.ndarray, cut: int) -> np.ndarray:
+    """The 128 bits as four 32-bit parts: as they stand (cut 0), or every fourth bit (cut 1)."""
+    if cut == 0:
+        return np.stack([w0 >> np.uint64(32), w0 & np.uint64(0xFFFFFFFF), w1 >> np.uint64(32), w1 & np.uint64(0xFFFFFFFF)]).astype(np.uint32)
+    bits = np.unpackbits(np.column_stack([w0, w1]).view(np.uint8).reshape(len(w0), 16), axis=1)
+    return np.stack([np.packbits(np.ascontiguousarray(bits[:, k::4]), axis=1).view(np.uint32).ravel() for k in range(4)])
 
-def _alike(both: Column, a: Column, b: Column) -> Column:
-    return UNDER * both >= OVER * (a + b - both)
 
+MASKS = np.array(covering_masks(RADIUS, WIDTH), np.uint32)
 
-def _can_be(a: Column, b: Column) -> Column:
-    """Whether members (n, at) that share the shingles at these places have enough shingles from there on."""
-    return _alike(F.least(a.n - a["at"], b.n - b["at"]), a.n, b.n)
 
+def tables(w0: np.ndarray, w1: np.ndarray, masks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(table, key of each fingerprint in it)."""
+    for cut in range(CUTS):
+        for k, part in enumerate(_cut(w0, w1, cut)):
+            for m, mask in enumerate(masks):
+                yield (cut * 4 + k) * len(masks) + m, part & mask
 
-def linked(rows: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, root): set hashes with the smallest one of their component; roots have no row."""
-    spark = texts.sparkSession
-    one = rows.groupBy("sid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    each = one.select("sid", "n", F.posexplode("prefix").alias("at", "h")).select("h", F.struct("sid", "n", "at").alias("m"))
-    shared = each.groupBy("h").agg(F.min("m.sid").alias("lo"), F.max("m.sid").alias("hi")).where("lo < hi").select("h")
-    members = landed(each.join(shared, "h").withColumn("root", F.col("m.sid")), "copy-buckets")
-    asked = landed(members.select("m.sid").distinct(), "copy-sets-asked")
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _distance(w0: np.ndarray, w1: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(w0[a] ^ w0[b]).astype(np.int64) + np.bitwise_count(w1[a] ^ w1[b])
+
+
+def trees(key: np.ndarray, w0: np.ndarray, w1: np.ndarray, cutoff: int) -> np.ndarray:
+    """For rows sorted by key, the first row of each row's tree of candidates within its key."""
+    n = len(key)
+    root = np.arange(n)
+    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.empty(0, np.int64)
+    size = np.diff(np.r_[head, n])
+    own = np.repeat(size <= NEAR, size)
+    a, b = [], []
+    for step in range(1, min(NEAR, n)):
+        at = np.flatnonzero(own[: n - step] & (key[: n - step] == key[step:]))
+        at = at[_distance(w0, w1, at, at + step) <= cutoff]
+        a.append(at)
+        b.append(at + step)
+    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+    while len(a):  # the least row reaches all of its tree
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        if (before == root).all():
+            break
+    for h, m in zip(head[size > NEAR], size[size > NEAR], strict=True):
+        left = np.arange(h, h + m)
+        while len(left) > 1:
+            first, left, queue = left[0], left[1:], [left[0]]
+            while queue and len(left):
+                near = _distance(w0, w1, left, np.full(len(left), queue.pop())) <= cutoff
+                queue.extend(left[near])
+                root[left[near]] = first
+                left = left[~near]
+    return root
+
+
+DEALT = pa.schema([("shard", pa.int64()), ("tabled", pa.int32()), ("fps", pa.binary())])
+MET = pa.schema([(c, pa.int64()) for c in ("bucket", "tree", "w0", "w1")])
+
+
+def met(nodes: DataFrame, masks: np.ndarray, cutoff: int) -> DataFrame:
+    """(bucket, tree, w0, w1): distinct fingerprints that met a candidate, in each bucket; landed."""
+    shards = max(1, -(-nodes.count() * CUTS * 4 * len(masks) * 16 // SHARD_BYTES))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            w0, w1 = (np.concatenate([h[k] for h in held]).view(np.uint64) for k in (0, 1))
+            both = np.column_stack([w0, w1])
+            for table, key in tables(w0, w1, masks):
+                shard = (_mixed(key.astype(np.uint64) + np.uint64(table << 32)) % np.uint64(shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+                used = np.flatnonzero(np.diff(cuts))
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), table), pa.int32()), pa.array([both[order[cuts[k] : cuts[k + 1]]].tobytes() for k in used], pa.binary())], schema=DEALT)
+
         for batch in batches:
-            found = {_set_hash(s): s for s in sets((x.as_py() for x in batch.column(0)), shingle)}
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), _lists(list(found.values()))], ["sid", "s"])
+            held.append([c.to_numpy() for c in batch.columns])
+            size += len(batch)
+            if size >= FLUSH:
+                yield from flushed()
+                held, size = [], 0
+        if held:
+            yield from flushed()
+
+    def meet(table: pa.Table) -> pa.Table:
+        by: dict[int, list[bytes]] = {}
+        for t, fps in zip(table.column("tabled").to_pylist(), table.column("fps").to_pylist(), strict=True):
+            by.setdefault(t, []).append(fps)
+        out = []
+        for t, parts in by.items():
+            both = np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2)
+            w0, w1 = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+            part = _cut(w0, w1, t // (4 * len(masks)))[t // len(masks) % 4]
+            key = part & masks[t % len(masks)]
+            order = np.lexsort((w1, w0, key))
+            key, w0, w1 = key[order], w0[order], w1[order]
+            root = trees(key, w0, w1, cutoff)
+            kept = np.bincount(root, minlength=len(root))[root] > 1
+            bucket = key[kept].astype(np.int64) + (t << 32)
+            out.append(pa.table([pa.array(bucket), pa.array(w0[root[kept]].view(np.int64)), pa.array(w0[kept].view(np.int64)), pa.array(w1[kept].view(np.int64))], schema=MET))
+        return pa.concat_tables(out)
+
+    dealt = nodes.mapInArrow(deal, "shard long, tabled int, fps binary")
+    return landed(dealt.groupBy("shard").applyInArrow(meet, "bucket long, tree long, w0 long, w1 long"), "copy-buckets")
+
+
+def _alike(both: int, a: int, b: int) -> bool:
+    return UNDER * both >= OVER * (a + b - both)
 
-    full = texts.mapInArrow(whole, "sid long, s array<long>").join(asked, "sid", "left_semi").groupBy("sid").agg(F.first("s").alias("s"))
-    full = landed(full, "copy-sets")
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        a, b = (full.select(F.col("sid").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
-        both = F.size(F.array_intersect("sa", "sb"))
-        return pairs.distinct().join(a, "a").join(b, "b").where(_alike(both, F.size("sa"), F.size("sb"))).select("a", "b")
+def _sizes_fit(a: Column, b: Column) -> Column:
+    return UNDER * F.least(a, b) >= OVER * F.greatest(a, b)
 
-    def pair(a: str, b: str) -> list[Column]:
-        return [F.greatest(f"{a}.sid", f"{b}.sid").alias("a"), F.least(f"{a}.sid", f"{b}.sid").alias("b")]
 
-    edges = spark.createDataFrame([], "a long, b long")
+def verified(pairs: DataFrame, shingle: int) -> DataFrame:
+    """(a, b) of the pairs (a, b, ta, tb) whose texts are similar; equal `tb` that follow each other are hashed once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            keep = []
+            own = sets((x.as_py() for x in batch.column(2)), shingle)
+            for b, s, text in zip(batch.column(1).to_pylist(), own, batch.column(3), strict=True):
+                if b != last:
+                    last, held = b, next(sets(iter([text.as_py()]), shingle))
+                keep.append(_alike(len(np.intersect1d(s, held, assume_unique=True)), len(s), len(held)))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def linked(sids: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, masks: np.ndarray, cutoff: int) -> DataFrame:
+    """(node, root): set hashes with the smallest one of their component; roots have no row.
+
+    sids: (sid, n, w0, w1), each once; texts_of gives (sid, text) for a table of (sid, ...).
+    """
+    spark = sids.sparkSession
+    buckets = met(sids.select("w0", "w1").distinct(), masks, cutoff)
+    node = F.xxhash64("w0", "w1")
+    edges = buckets.groupBy("bucket", "tree").agg(F.min(node).alias("low"), F.collect_set(node).alias("all")).select("low", F.explode("all").alias("a"))
+    groups = components(edges.where("a <> low").select("a", F.col("low").alias("b")).distinct())
+    own = sids.withColumn("node", node).join(groups.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = own.groupBy("label").count().where("count > 1").select("label")
+    own = landed(own.join(several, "label"), "copy-groups")
+    texts = landed(own.join(texts_of(own.select("sid")), "sid").select("sid", "label", "n", "text"), "copy-texts")
+    links = spark.createDataFrame([], "a long, b long")
     roots = spark.createDataFrame([], "node long, root long")
-    for step in range(ROUNDS + 1):
-        mixed = members.groupBy("h").agg(F.min(F.struct("m", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        members = landed(members.join(mixed.select("h", "p", "lo"), "h"), "copy-buckets")
-        if not members.limit(1).count():
-            break
-        if step < ROUNDS:
-            pairs = members.where((F.col("root") != F.col("p.root")) & _can_be(F.col("m"), F.col("p.m"))).select(*pair("m", "p.m"))
-            members = members.where("m.sid <> p.m.sid")
-        else:
-            others = members.select("h", F.col("m").alias("o"), F.col("root").alias("other"))
-            pairs = members.where("root <> lo").join(others, "h").where((F.col("root") != F.col("other")) & _can_be(F.col("m"), F.col("o")))
-            pairs = pairs.select(*pair("m", "o"))
-        edges = landed(edges.union(checked(pairs)).distinct(), "copy-links")
-        roots = components(edges)
-        if step == ROUNDS:
+    left = landed(own.select("sid", "label", "n", F.col("sid").alias("root")), "copy-members")
+    at = F.struct(F.xxhash64("sid"), "sid")
+    done = spark.createDataFrame([], "sid long")
+    for _ in range(ROUNDS):
+        pivots = left.join(done, "sid", "left_anti").groupBy("label").agg(F.min(F.struct(at.alias("at"), "sid", "n", "root")).alias("p"))
+        pivots = landed(pivots.select("label", F.col("p.sid").alias("b"), F.col("p.n").alias("nb"), F.col("p.root").alias("rb")), "copy-pivots")
+        if not pivots.limit(1).count():
             break
-        members = members.select("h", "m").join(roots.select(F.col("node").alias("sid"), "root"), F.col("m.sid") == F.col("sid"), "left")
-        members = members.select("h", "m", F.coalesce("root", "m.sid").alias("root"))
+        named = texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")).join(pivots, "b")
+        members = left.select("sid", "label", "root").join(texts.drop("label"), "sid")
+        pairs = members.join(named, "label").where((F.col("root") != F.col("rb")) & _sizes_fit(F.col("n"), F.col("nb")))
+        found = verified(pairs.select(F.col("sid").alias("a"), "b", F.col("text").alias("ta"), "tb"), shingle)
+        links = landed(links.union(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "copy-links")
+        done = done.union(pivots.select(F.col("b").alias("sid")))
+        roots = components(links)
+        left = left.drop("root").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        open_groups = left.groupBy("label").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("label")
+        left = landed(left.join(open_groups, "label"), "copy-members")
+    pairs = landed(candidates(left, own, buckets, cutoff), "copy-pairs")
+    if pairs.limit(1).count():
+        a, b = (texts.select(F.col("sid").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+        found = verified(pairs.join(a, "a").join(b, "b"), shingle)
+        roots = components(landed(links.union(found), "copy-links"))
     return roots
 
 
-def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+def candidates(left: DataFrame, own: DataFrame, buckets: DataFrame, cutoff: int) -> DataFrame:
+    """(a, b), a > b: sets that met as candidates and are not linked yet."""
+    open_sets = left.select("sid", "n", "root").join(own.select("sid", "w0", "w1"), "sid")
+    whole = F.xxhash64("w0", "w1")
+    members = buckets.join(open_sets, ["w0", "w1"]).select("bucket", "tree", "sid", "n", "root", "w0", "w1")
+    members = members.union(open_sets.select(whole, whole, "sid", "n", "root", "w0", "w1"))  # equal fingerprints
+    mixed = members.groupBy("bucket", "tree").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket", "tree")
+    members = landed(members.join(mixed, ["bucket", "tree"]), "copy-mixed")
+    others = members.select("bucket", "tree", *(F.col(c).alias(f"o_{c}") for c in ("sid", "n", "root", "w0", "w1")))
+    apart = F.bit_count(F.col("w0").bitwiseXOR(F.col("o_w0"))) + F.bit_count(F.col("w1").bitwiseXOR(F.col("o_w1")))
+    pairs = members.join(others, ["bucket", "tree"]).where((F.col("sid") > F.col("o_sid")) & (F.col("root") != F.col("o_root")) & (apart <= cutoff) & _sizes_fit(F.col("n"), F.col("o_n")))
+    return pairs.select(F.col("sid").alias("a"), F.col("o_sid").alias("b")).distinct()
+
+
+def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
+                        masks: np.ndarray = MASKS, cutoff: int = CUTOFF) -> DataFrame:
     """The least row of each component, all columns as they are."""
-    sid = "_" * (1 + max(map(len, docs.columns)))  # no column has this name
-    at = docs.columns.index(text)
-    texts = docs.select(F.col(text).alias("text"))
-    counts = range_counts(texts, shingle)
+    columns = docs.columns
+    free = "_" * (1 + max(map(len, columns)))  # no column begins with this
+    extra = [free + c for c in ("sid", "n", "w0", "w1")]
+    at = columns.index(text)
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sizes, out = [], [], []
-            for s in sets((x.as_py() for x in batch.column(1)), shingle):
-                order = np.argsort(counts[(s >> np.uint64(64 - RANGES)).astype(np.int64)], kind="stable")
-                ids.append(_set_hash(s))
-                sizes.append(len(s))
-                out.append(s[order[: len(s) - -(-OVER * len(s) // UNDER) + 1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), _lists(out)], ["doc_id", "sid", "n", "prefix"])
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [_set_hash(s) for s in sets((x.as_py() for x in batch.column(at)), shingle)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], [*docs_columns, sid])
-
-    docs_columns, kind = docs.columns, docs.schema[doc_id].dataType.simpleString()
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = landed(keyed.mapInArrow(prefixes, f"doc_id {kind}, sid long, n long, prefix array<long>"), "copy-prefixes")
-    roots = landed(linked(rows.select("sid", "n", "prefix"), texts, shingle), "copy-roots")
-    firsts = rows.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sid")).alias("first"))
-    named = firsts.join(roots.withColumnRenamed("node", "sid"), "sid", "left").groupBy(F.coalesce("root", "sid")).agg(F.min("first").alias("first"))
-    named = named.select(F.col("first.doc_id").alias("_least_id"), F.col("first.sid").alias("_least_sid"))
-    fields = T.StructType([*docs.schema.fields, T.StructField(sid, T.LongType())])
-    whole = docs.mapInArrow(marked, fields)
-    kept = whole.join(named, (F.col("_least_sid") == whole[sid]) & F.col("_least_id").eqNullSafe(whole[doc_id]), "left_semi")
-    if rows.groupBy("doc_id", "sid").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([doc_id, sid])
-    return kept.select(*docs_columns)
+            found = []
+            for s in sets((x.as_py() for x in batch.column(at)), shingle):
+                found.append((_set_hash(s), len(s), *(int(np.int64(w.view(np.int64))) for w in fingerprint(s))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([f[k] for f in found], pa.int64()) for k in range(4))], [*columns, *extra])
+
+    hashed = docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in extra)]))
+    whole = landed(hashed.withColumn(free + "rid", F.monotonically_increasing_id()), "copy-documents")
+    rows = whole.select(F.col(doc_id).alias("doc_id"), *(F.col(free + c).alias(c) for c in ("sid", "n", "w0", "w1", "rid")))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sid", "rid")
+    sids = landed(rows.groupBy("sid").agg(F.min("n").alias("n"), F.min("w0").alias("w0"), F.min("w1").alias("w1"), F.min("rid").alias("rid"), F.min(order).alias("first")), "copy-sets")
+
+    def texts_of(asked: DataFrame) -> DataFrame:
+        one = landed(sids.join(asked, "sid", "left_semi").select("sid", "rid"), "copy-asked")
+        return whole.select(F.col(free + "rid").alias("rid"), F.col(text).alias("text")).join(one, "rid").select("sid", "text")
+
+    roots = linked(sids.select("sid", "n", "w0", "w1"), texts_of, shingle, masks, cutoff)
+    kept = sids.join(roots.withColumnRenamed("node", "sid"), "sid", "left").groupBy(F.coalesce("root", "sid")).agg(F.min("first").alias("first"))
+    gone = landed(rows.select("rid").join(kept.select(F.col("first.rid").alias("rid")), "rid", "left_anti"), "copy-gone")
+    return whole.join(gone.withColumnRenamed("rid", free + "rid"), free + "rid", "left_anti").select(*columns)
