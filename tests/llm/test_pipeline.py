@@ -1,9 +1,11 @@
+import os
+
 import pytest
 from conftest import SF
 from test_decontaminate import D
 from test_mixing import level
 from test_run_index import brute
-from test_simhash import fingerprint, labelled
+from test_near_copies import brute_by_shingle as near
 
 import __spark_entry__ as entry
 import corpus_pipeline as P
@@ -31,9 +33,23 @@ def test_toxic_documents_go(spark, docs):
 
 
 def test_near_copies_go(spark, docs):
-    want = labelled([(r["doc_id"], fingerprint(r["text"])) for r in docs.collect()])
-    out = P.drop_near_copies(spark, docs, SF)
-    assert out.columns == docs.columns and set(rows(out)) == {i for i, root in want.items() if i == root}
+    groups = near([(r["doc_id"], r["text"]) for r in docs.collect()])
+    out = dict(P.STAGES)["simhash near-dedup"](spark, docs, SF)
+    assert out.columns == docs.columns and sorted(rows(out)) == sorted(min(docs_of) for docs_of in groups)
+
+
+def test_a_stage_drops_the_tables_of_the_one_before(spark, docs, tmp_path):
+    first, second = P.STAGES[1][1], P.STAGES[2][1]
+    out = first(spark, docs, SF)
+    made = list(P._tables)
+    assert made and all(os.path.isdir(p) for p in made)
+    out.write.parquet(str(tmp_path / "kept"))
+    again = second(spark, spark.read.parquet(str(tmp_path / "kept")), SF)
+    assert not any(os.path.isdir(p) for p in made) and again.count() == out.sparkSession.read.parquet(str(tmp_path / "kept")).count()
+    lazy = first(spark, docs, SF)
+    held = list(P._tables)
+    assert second(spark, lazy, SF).count() == again.count()  # a result that was not written keeps what it reads
+    assert any(os.path.isdir(p) for p in held)
 
 
 def test_repeats_are_cut(spark, docs):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +36,35 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder()
 
 
+_gathering: list[list[str]] = []
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; nothing is ever written to it twice."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _gathering:
+        paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def paths_made() -> Iterator[list[str]]:
+    """The stage paths that are given out inside the block."""
+    paths: list[str] = []
+    _gathering.append(paths)
+    try:
+        yield paths
+    finally:
+        _gathering.remove(paths)
+
+
+def drop(spark: SparkSession, paths: list[str], keep: DataFrame | None = None) -> None:
+    """Delete stage tables, but for those that `keep` reads."""
+    read = keep.inputFiles() if keep is not None and paths else []
+    for path in paths:
+        if not any(f"/{path.rsplit('/', 1)[1]}/" in file for file in read):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def landed(df: DataFrame, name: str) -> DataFrame:
