@@ -89,9 +89,7 @@ def test_small_pieces_and_flushes(spark, monkeypatch):
     data = {i: t.encode() for i, t in texts}
     cuts = []
     for m in marks:
-        if m["kind"] == 0:
-            by.setdefault(m["did"], []).append(m)
-        else:
+        if m["kind"]:
             for a, n, h in zip(np.frombuffer(m["start"], np.uint32), np.frombuffer(m["n"], np.uint8), np.frombuffer(m["anchor"], np.int64)):
                 cuts.append({"shard": 0, "anchor": int(h), "did": m["did"], "th": 0, "start": int(a), "bytes": data[m["did"]][a : a + int(n) + 99]})
     for m in R.index_shard(R.pa.Table.from_pylist(cuts, R.CUTS)).to_pylist():
@@ -128,18 +126,60 @@ def test_text_is_cut_at_characters(spark):
     assert all(r["did"] == "keep" and r["marks"] == 5 for r in out.values())
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_run_index_streams_matching_statistics(seed):
+def texts_of(seed):
     rnd = random.Random(seed)
     base = bytes(rnd.choices(b"ab\x00\xff", k=60))
-    texts = [base[rnd.randint(0, 20) :] + bytes(rnd.choices(b"ab", k=rnd.randint(0, 30))) for _ in range(30)]
-    ends = np.cumsum([len(t) for t in texts])
-    index = R.RunIndex(np.frombuffer(b"".join(texts), np.uint8), ends, depth=12)
-    seen, want = {}, []
-    for t in texts:
-        for k in range(len(t)):
-            w = t[k : k + 12]
-            want.append(len(w) == 12 and w in seen)
-            seen[w] = True
-    assert list(index.stream()) == want
+    return [base[rnd.randint(0, 20) :] + bytes(rnd.choices(b"ab", k=rnd.randint(0, 30))) for _ in range(30)]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_matching_statistics(seed):
+    texts, rnd = texts_of(seed), random.Random(seed)
+    whole, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
+    index = R.RunIndex(np.frombuffer(whole, np.uint8), ends, depth=12)
+    patterns = texts + [bytes(rnd.choices(b"ab\x00\xffz", k=k)) for k in (0, 1, 5, 40, 90)] + [b"z" * 7, texts[3][10:40] + b"z" + texts[5][:25]]
+    length, place = index.match(patterns)
+    at = 0
+    for p in patterns:
+        for k in range(len(p)):
+            longest = max(m for m in range(len(p) - k + 1) if any(p[k : k + m] in t for t in texts))
+            assert length[at] == longest
+            if longest:
+                assert whole[place[at] : place[at] + longest] == p[k : k + longest]
+            at += 1
+    for p in range(len(whole)):
+        owner = np.searchsorted(ends, p, side="right")
+        window = whole[p : p + 12]
+        if p + 12 <= ends[owner]:
+            firsts = [q for q in range(p + 1) if whole[q : q + 12] == window and q + 12 <= ends[np.searchsorted(ends, q, side="right")]]
+            assert index.earliest(np.array([p]))[0] == firsts[0]
     assert len(index.heads) < ends[-1] / 2
+
+
+def test_the_index_grows_with_runs_and_not_with_bytes():
+    rnd = random.Random(1)
+    base = bytes(rnd.choices(b"abcdefgh", k=600))
+    def built(copies):
+        texts = []
+        for _ in range(copies):
+            t = bytearray(base)
+            t[rnd.randrange(600)] = rnd.choice(b"abcdefgh")
+            texts.append(bytes(t))
+        return R.RunIndex(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]))
+    one, many = built(1), built(100)
+    assert many.size() < 8 * one.size() and many.size() < 0.5 * len(many.data)
+
+
+def test_crowds_of_one_task_and_of_one_shard(spark, monkeypatch):
+    rows = material(5) + [(100 + i, f"{i} " * (i % 4) + "a common line of some length that stands in a great many documents, " * 3 + f"x{i}") for i in range(60)]
+    monkeypatch.setattr(R, "OFTEN", 3)
+    check(spark, rows)
+    monkeypatch.setattr(R, "OFTEN", 10**6)
+    monkeypatch.setattr(R, "CROWD", 20)
+    check(spark, rows)
+
+
+def test_an_id_like_the_stand_in_for_none(spark):
+    a, b = ("".join(random.Random(k).choices("abcdefgh ", k=300)) for k in range(2))
+    got = R.digests(spark.createDataFrame([(i, t, "x", 1) for i, t in [(2**63 - 1, a), (None, a), (None, b), (2**63 - 1, b)]], DOCS)).collect()
+    assert sorted((r["doc_id"] is None, r["n_removed"]) for r in got) == [(False, 0), (False, 0), (True, 300), (True, 300)]

@@ -3,20 +3,25 @@
 1. Candidates. The windows of `DEPTH` bytes of a text are dealt to anchors: the least hash among a window's 32-byte
    strings, leftmost of equals. Equal windows have equal anchors in the same place, so windows can only be equal inside
    a group of equal anchors. Windows that share an anchor follow each other; from the first one's start to the last
-   one's end they span a context of 100 to 168 bytes, and every window lies in exactly one context.
-2. Contexts that are equal to an earlier one are removed whole. A task settles those it meets itself; what is left is
-   dealt by anchor.
-3. Anchors with several different contexts are settled by bytes: their contexts, in order of document and place, are
-   indexed by a run-length compressed Burrows-Wheeler transform (`RunIndex`), and each context is streamed through it
-   from its end. An anchor with more than `CROWD` contexts is spread over all executors instead, window by window, by
-   a 128-bit hash of the window.
+   one's end they span a context of 100 to 168 bytes, and every window lies in exactly one context. Anchors only say
+   which contexts are looked at together; nothing is removed by a hash.
+2. Contexts whose anchor occurs once are done. The bytes of all others are dealt by anchor. The different contexts of a
+   few anchors at a time, in order of document and place, make one index (`RunIndex`): the run-length compressed
+   Burrows-Wheeler transform, text places sampled at both ends of each run, and the earliest place of what is `DEPTH`
+   bytes long, kept where it leaves the diagonal. Every context is streamed through it from its end; its matching
+   statistics (length, place) come from steps inside runs and, where a run has another symbol, from the nearer of the
+   two neighbouring runs of the wanted one, told by comparing bytes. Where the length is `DEPTH` or more and the
+   earliest place lies before the context's own, a window is removed.
+3. Anchors that a task meets more than `OFTEN` times among its `FLUSH` contexts, or a shard more than `CROWD` times, are
+   crowds: their windows meet one by one, by their bytes, in a partly aggregated minimum over all executors. A task
+   that finds one tells the anchor's shard, so that all contexts of a crowd go the same way.
 4. What each document loses is gathered by document.
 
-Texts are shuffled by document, in one exchange that both joins use. A task holds one shard of anchors (about 25 bytes
-for each context that was not settled where it was found) or one shard of contexts.
+Texts are shuffled by document, in one exchange that both joins use. A task holds one shard of anchors (about 17 bytes
+for each context) or one shard of contexts.
 
-Document order: doc_id, null last (with 2^63 - 1, which stands for it). A document is an id and a text: repeated rows
-are one document and get one result each; texts that share an id are ordered by their hash. Null and empty texts, and texts shorter than a window, lose
+Document order: doc_id, null last. A document is an id and a text: repeated rows are one document and get one result
+each; texts that share an id are ordered by their hash. Null and empty texts, and texts shorter than a window, lose
 nothing; an empty table gives no rows; long texts are read piece by piece. Lengths are below 2^32 bytes.
 """
 
@@ -37,7 +42,7 @@ REACH = DEPTH - GRAM + 1  # 32-byte strings in a window
 PIECE = 1 << 20
 FLUSH = 1 << 20
 SHARD_BYTES = 1 << 25
-CROWD = 1 << 14
+CROWD, OFTEN = 1 << 14, 64
 INDEXED = 1 << 9
 NO_ID = 2**63 - 1
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -88,7 +93,7 @@ def contexts(buf: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray
 
 
 class Anchors:
-    """Contexts of a stream of texts, gathered in chunks: anchor hash, context hash, document, start, windows."""
+    """Contexts of a stream of texts, gathered in chunks: anchor hash, document, start, windows."""
 
     def __init__(self) -> None:
         self.docs: list[tuple[int, int]] = []
@@ -117,30 +122,30 @@ class Anchors:
         piece = np.searchsorted(offset, start, side="right") - 1
         lanes = _lanes(buf + b"\0" * 8)
         anchor = slice_hashes(lanes, place, np.full(len(place), GRAM), np.zeros(len(place)))
-        whole = slice_hashes(lanes, start, n + DEPTH - 1, place - start + 1)
         doc, at = (np.array([p[k] for p in self.pending]) for k in (0, 1))
-        self.found.append((anchor, whole, doc[piece].astype(np.uint32), (start - offset[piece] + at[piece]).astype(np.uint32), n.astype(np.uint8)))
+        self.found.append((anchor, doc[piece].astype(np.uint32), (start - offset[piece] + at[piece]).astype(np.uint32), n.astype(np.uint8)))
         self.count += len(n)
         self.pending, self.size = [], 0
 
     def flush(self, shards: int, spare: int) -> Iterator[dict]:
-        """One row per shard: contexts to be settled there; what is settled here goes along with shard `spare`."""
+        """One row per shard: its contexts, and which of its anchors are crowds; contexts of crowds go along with shard `spare`."""
         self.settle()
         if self.found:
-            anchor, whole, doc, start, n = (np.concatenate(x) for x in zip(*self.found, strict=True))
+            anchor, doc, start, n = (np.concatenate(x) for x in zip(*self.found, strict=True))
             ids, inverse = _unique_rows(np.array(self.docs, np.int64))
-            (anchor, whole, doc, start, n), again = _ordered(anchor, whole, inverse[doc], start, n)
-            yield {"shard": spare, **_packed_spans(ids, doc[again], start[again], n[again])}
-            anchor, whole, doc, start, n = (x[~again] for x in (anchor, whole, doc, start, n))
-            shard = (anchor % np.uint64(shards)).astype(np.int64)
+            doc = inverse[doc]
+            kinds, kind, size = np.unique(anchor, return_inverse=True, return_counts=True)
+            often = (size > OFTEN)[kind]
+            crowds = kinds[size > OFTEN]
+            if len(crowds):
+                yield {"shard": spare, "crowd": True, **_blob(ids, doc[often], start[often], n[often], anchor[often])}
+            shard, told = ((x % np.uint64(shards)).astype(np.int64) for x in (anchor, crowds))
+            shard[often] = shards  # beyond all
             order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            for k in range(shards):
+            for k in np.union1d(np.flatnonzero(np.diff(cuts)), told):
                 own = order[cuts[k] : cuts[k + 1]]
-                if len(own):
-                    used, new = np.unique(doc[own], return_inverse=True)
-                    yield {"shard": k, "ids": ids[used].tobytes(), "doc": new.astype(np.uint32).tobytes(), "start": start[own].tobytes(),
-                           "n": n[own].tobytes(), "anchor": anchor[own].tobytes(), "whole": whole[own].tobytes()}
+                yield {"shard": int(k), "crowd": False, "crowds": crowds[told == k].tobytes(), **_blob(ids, doc[own], start[own], n[own], anchor[own])}
         self.__init__()
 
 
@@ -153,21 +158,12 @@ def _unique_rows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[order][new], inverse
 
 
-def _ordered(anchor, whole, doc, start, n) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-    """Contexts sorted by anchor, content and place, each once, and whether one repeats the content before it."""
-    order = np.lexsort((start, doc, whole, anchor))
-    anchor, whole, doc, start, n = rows = tuple(x[order] for x in (anchor, whole, doc, start, n))
-    alike = np.r_[False, (anchor[1:] == anchor[:-1]) & (whole[1:] == whole[:-1])]
-    twice = np.r_[False, (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])] & alike
-    return tuple(x[~twice] for x in rows), alike[~twice]
-
-
-def _packed_spans(ids: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> dict:
+def _blob(ids: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> dict:
     used, new = np.unique(doc, return_inverse=True)
-    return {"ids": ids[used].tobytes(), "doc": new.astype(np.uint32).tobytes(), "start": start.tobytes(), "n": n.tobytes(), "anchor": None, "whole": None}
+    return {"ids": ids[used].tobytes(), "doc": new.astype(np.uint32).tobytes(), "start": start.tobytes(), "n": n.tobytes(), "anchor": anchor.tobytes()}
 
 
-BLOBS = pa.schema([("shard", pa.int64()), *((c, pa.binary()) for c in ("ids", "doc", "start", "n", "anchor", "whole"))])
+BLOBS = pa.schema([("shard", pa.int64()), ("crowd", pa.bool_()), *((c, pa.binary()) for c in ("crowds", "ids", "doc", "start", "n", "anchor"))])
 # Per document: kind 0 has removed windows (start, count), kind 1 contexts to settle by bytes, kind 2 those of crowds.
 MARKS = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("kind", pa.int32()), ("start", pa.binary()), ("n", pa.binary()), ("anchor", pa.binary())])
 
@@ -187,27 +183,28 @@ def _by_document(ids: np.ndarray, doc: np.ndarray, kind: int, start: np.ndarray,
 
 
 def settle_shard(table: pa.Table) -> pa.Table:
-    """All blobs of one shard: contexts that repeat an earlier one are marked, anchors with several contexts passed on."""
-    out, parts, base = [], [], 0
+    """All blobs of one shard: contexts of anchors that occur again, told apart by whether the anchor is a crowd."""
+    out, parts, crowds, base = [], [], [np.empty(0, np.uint64)], 0
     for row in table.to_pylist():
         ids = np.frombuffer(row["ids"], np.int64).reshape(-1, 2)
-        doc, start, n = (np.frombuffer(row[c], k) for c, k in (("doc", np.uint32), ("start", np.uint32), ("n", np.uint8)))
-        if row["anchor"] is None:
-            out += _by_document(ids, doc, 0, start, n)
+        doc, start, n, anchor = (np.frombuffer(row[c], k) for c, k in (("doc", np.uint32), ("start", np.uint32), ("n", np.uint8), ("anchor", np.uint64)))
+        if row["crowd"]:
+            out += _by_document(ids, doc, 2, start, n, anchor)
         else:
-            parts.append((ids, doc.astype(np.int64) + base, start, n, np.frombuffer(row["anchor"], np.uint64), np.frombuffer(row["whole"], np.uint64)))
+            crowds.append(np.frombuffer(row["crowds"], np.uint64))
+            parts.append((ids, doc.astype(np.int64) + base, start, n, anchor))
             base += len(ids)
-    if parts:
-        ids, doc, start, n, anchor, whole = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(anchor, kind="stable")
-        same = anchor[order][1:] == anchor[order][:-1]
-        several = order[np.r_[False, same] | np.r_[same, False]]
+    if base:
+        ids, doc, start, n, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
         ids, inverse = _unique_rows(ids)
-        (anchor, whole, doc, start, n), again = _ordered(*(x[several] for x in (anchor, whole, inverse[doc], start, n)))
-        out += _by_document(ids, doc[again], 0, start[again], n[again])
-        doc, start, n, anchor = (x[~again] for x in (doc, start, n, anchor))
-        _, group, size = np.unique(anchor, return_inverse=True, return_counts=True)
-        for kind, own in ((1, (size[group] > 1) & (size[group] <= CROWD)), (2, size[group] > CROWD)):
+        doc = inverse[doc]
+        order = np.lexsort((start, doc, anchor))
+        doc, start, n, anchor = (x[order] for x in (doc, start, n, anchor))
+        once = np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])]  # repeated rows are one document
+        doc, start, n, anchor = (x[once] for x in (doc, start, n, anchor))
+        kinds, group, size = np.unique(anchor, return_inverse=True, return_counts=True)
+        crowd = ((size > CROWD) | np.isin(kinds, np.concatenate(crowds)))[group]
+        for kind, own in ((1, (size[group] > 1) & ~crowd), (2, crowd)):
             out += _by_document(ids, doc[own], kind, start[own], n[own], anchor[own])
     return pa.Table.from_pylist(out, MARKS)
 
@@ -215,15 +212,16 @@ def settle_shard(table: pa.Table) -> pa.Table:
 class RunIndex:
     """Run-length compressed Burrows-Wheeler transform of several texts, each closed by an end mark of its own.
 
-    Kept are the runs (first row, and where its first row steps to), the text places sampled at the ends of runs, and
-    for each group of suffixes that share `depth` bytes its first row and earliest place. The suffix array itself, made
-    by prefix doubling, is not kept.
+    Kept are the runs (first row, symbol, and where the first row steps to), the text places sampled at both ends of
+    each run, and where the way from a place to the earliest one with the same `depth` bytes changes. The suffix array
+    itself, made by prefix doubling, is not kept; the texts are, for comparing bytes.
     """
 
     def __init__(self, data: np.ndarray, ends: np.ndarray, depth: int = DEPTH):
-        self.ends, n, texts = ends, len(data), len(ends)
+        self.data, self.ends, self.depth, n, texts = data, ends, depth, len(data), len(ends)
         owner = np.repeat(np.arange(texts), np.diff(np.r_[0, ends]))
         rest = ends[owner] - np.arange(n)
+        self.rest = np.r_[rest, 0]
         symbol = np.r_[data.astype(np.int64) + 1, np.zeros(8, np.int64)]
         key = np.zeros(n, np.int64)  # the first 7 symbols, 0 past the end of a text
         for k in range(7):
@@ -245,22 +243,27 @@ class RunIndex:
             group = rank if width == depth else self._prefix_ids(data, rest, depth)
         # One end mark per text comes first, in the order of the texts.
         opens = np.zeros(n, bool)
-        opens[np.r_[0, ends[:-1]]] = True
+        opens[np.r_[0, ends[:-1]][ends > np.r_[0, ends[:-1]]]] = True
         symbols = np.r_[symbol[ends - 1], np.where(opens[suffix], 0, symbol[suffix - 1])]
         places = np.r_[ends, suffix]
         heads = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
-        tails = np.r_[heads[1:], len(symbols)] - 1
-        self.heads, self.sampled = heads, (places[heads], places[tails])
-        lengths, kind = np.diff(np.r_[heads, len(symbols)]), symbols[heads]
-        order = np.argsort(kind, kind="stable")
-        before = np.empty(len(heads), np.int64)
-        before[order] = np.cumsum(lengths[order]) - lengths[order]
-        self.steps = before  # an end mark precedes each text, so what they take up are the end marks' own rows
-        long = rest[suffix] >= depth
-        key = np.where(long, group[suffix], -1) if n else suffix
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]] | ~long) if n else np.empty(0, np.int64)
-        self.groups = first + texts
-        self.earliest = np.minimum.reduceat(suffix, first) if n else first
+        self.heads, self.tails, self.kinds = heads, np.r_[heads[1:], len(symbols)] - 1, symbols[heads]
+        self.sampled = places[self.heads], places[self.tails]
+        order = np.argsort(self.kinds, kind="stable")
+        lengths = self.tails - heads + 1
+        self.steps = np.empty(len(heads), np.int64)  # an end mark precedes each text, so what they take up are the end marks' own rows
+        self.steps[order] = np.cumsum(lengths[order]) - lengths[order]
+        self.by_kind = self.kinds[order] * len(heads) + order
+        earliest = np.arange(n)
+        long = np.flatnonzero(rest >= depth)
+        if len(long):
+            _, inverse = np.unique(group[long], return_inverse=True)
+            first = np.full(inverse.max() + 1, n)
+            np.minimum.at(first, inverse, long)
+            earliest[long] = first[inverse]
+        back = np.arange(n) - earliest
+        self.turns = np.flatnonzero(np.r_[True, back[1:] != back[:-1]][:n])
+        self.back = back[self.turns]
 
     @staticmethod
     def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,21 +280,77 @@ class RunIndex:
         ids, raw = {}, data.tobytes()
         return np.array([ids.setdefault(raw[i : i + depth], len(ids)) if r >= depth else -1 for i, r in enumerate(rest)])
 
-    def stream(self) -> np.ndarray:
-        """For each place, whether the `depth` bytes from it also start at an earlier place: the matching statistics,
-        cut at `depth`, of all texts at once, each followed backwards from its end mark."""
-        seen = np.zeros(self.ends[-1] if len(self.ends) else 0, bool)
-        begin = np.r_[0, self.ends[:-1]]
-        row, place, stop = np.arange(len(self.ends)), self.ends.copy(), begin
-        while True:
-            live = place > stop
-            row, place, stop = row[live], place[live], stop[live]
-            if not len(row):
-                return seen
-            run = np.searchsorted(self.heads, row, side="right") - 1
-            row = self.steps[run] + row - self.heads[run]
-            place = place - 1
-            seen[place] = self.earliest[np.searchsorted(self.groups, row, side="right") - 1] < place
+    def size(self) -> int:
+        """Numbers kept, besides the texts."""
+        return sum(len(x) for x in (self.heads, self.tails, self.kinds, *self.sampled, self.steps, self.by_kind, self.turns, self.back))
+
+    def earliest(self, place: np.ndarray) -> np.ndarray:
+        """The earliest place with the same `depth` bytes as each place."""
+        return place - self.back[np.searchsorted(self.turns, place, side="right") - 1]
+
+    def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many bytes from places a and b are equal, `most` at the most."""
+        width = int(most.max(initial=0))
+        out = np.empty(len(a), np.int64)
+        view = np.lib.stride_tricks.sliding_window_view(self.padded(width), width + 1)
+        for at in range(0, len(a), 1 << 14):
+            own = slice(at, at + (1 << 14))
+            differ = view[a[own]] != view[b[own]]
+            differ[:, -1] = True
+            out[own] = np.minimum(differ.argmax(axis=1), most[own])
+        return out
+
+    def padded(self, width: int) -> np.ndarray:
+        return np.r_[self.data, np.zeros(width + 1, np.uint8)]
+
+    def match(self, patterns: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics of all places of the patterns, one after the other: the length of the longest string from
+        there that occurs in the texts, and a place where it does. All patterns are streamed at once, from their ends."""
+        pattern = np.frombuffer(b"".join(patterns), np.uint8).astype(np.int64) + 1
+        stop = np.cumsum([0, *map(len, patterns)])
+        length, place = np.zeros(len(pattern), np.int64), np.zeros(len(pattern), np.int64)
+        at, begin = stop[1:].copy(), stop[:-1]
+        runs = len(self.heads)
+        row, start, matched = (np.zeros(len(at), np.int64) for _ in range(3))
+        start += self.sampled[0][0] if runs else 0
+        live = np.flatnonzero(at > begin)
+        while len(live) and runs:
+            at[live] -= 1
+            wanted, r = pattern[at[live]], row[live]
+            run = np.searchsorted(self.heads, r, side="right") - 1
+            off = np.flatnonzero(self.kinds[run] != wanted)
+            if len(off):
+                who, key = live[off], wanted[off] * runs + run[off]
+                after = np.searchsorted(self.by_kind, key)
+                best = np.full(len(off), -1)
+                new_run, new_row, new_start = (np.zeros(len(off), np.int64) for _ in range(3))
+                for side, near in ((1, after - 1), (0, after)):  # the last row of the run before, the first of the run after
+                    near = np.clip(near, 0, runs - 1)
+                    other = self.by_kind[near] % runs
+                    has = self.kinds[other] == wanted[off]
+                    s = self.sampled[side][other]
+                    to = (self.heads, self.tails)[side][other]
+                    left = np.where(to < len(self.ends), 0, self.rest[s])  # an end mark's row has nothing left
+                    most = np.where(has, np.minimum(matched[who], left), 0)
+                    common = np.where(has, self._common(start[who], s, most), -1)
+                    better = common > best
+                    best[better], new_run[better], new_row[better], new_start[better] = common[better], other[better], to[better], s[better]
+                none = best < 0
+                run[off], r[off] = np.where(none, run[off], new_run), np.where(none, r[off], new_row)
+                start[who] = np.where(none, start[who], new_start)
+                matched[who] = np.where(none, -1, best)
+                lost = off[none]
+            else:
+                lost = np.empty(0, np.int64)
+            step = np.ones(len(live), bool)
+            step[lost] = False  # a symbol that the texts lack: begin anew
+            moved = live[step]
+            row[moved] = (self.steps[run] + r - self.heads[run])[step]
+            start[moved] -= 1
+            matched[live] += 1
+            length[at[live]], place[at[live]] = matched[live], start[live]
+            live = live[at[live] > begin[live]]
+        return length, place
 
 
 CUTS = pa.schema([("shard", pa.int64()), ("anchor", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
@@ -316,15 +375,26 @@ def index_shard(table: pa.Table) -> pa.Table:
     for a, b in zip(cuts, [*cuts[1:], last], strict=True):
         own = order[a:b]
         own = own[np.lexsort((ids[own, 2], ids[own, 1], ids[own, 0]))]
-        size = np.array([len(texts[i]) for i in own])
+        first: dict[bytes, int] = {}  # the different contexts, in order of document and place
+        number = np.array([first.setdefault(texts[i], len(first)) for i in own])
+        different = list(first)
+        size = np.array([len(t) for t in different])
         ends = np.cumsum(size)
-        seen = np.flatnonzero(RunIndex(np.frombuffer(b"".join(texts[i] for i in own), np.uint8), ends).stream())
-        text = np.searchsorted(ends, seen, side="right")
-        rows.append(own[text])
-        place.append(ids[own[text], 2] + seen - (ends - size)[text])
+        index = RunIndex(np.frombuffer(b"".join(different), np.uint8), ends)
+        length, found = index.match(different)
+        seen = np.zeros(len(length), bool)
+        long = np.flatnonzero(length >= DEPTH)
+        seen[long] = index.earliest(found[long]) < long
+        begin = ends - size
+        again = np.r_[False, number[1:] <= np.maximum.accumulate(number)[:-1]] if len(number) else np.empty(0, bool)
+        for i, no, repeated in zip(own, number, again, strict=True):  # a context that occurs before is there with all its windows
+            windows = int(size[no]) - DEPTH + 1
+            gone = np.arange(windows) if repeated else np.flatnonzero(seen[begin[no] : begin[no] + windows])
+            rows.append(np.full(len(gone), i))
+            place.append(ids[i, 2] + gone)
     docs, doc = _unique_rows(ids[:, :2])
-    start = np.concatenate(place)
-    return pa.Table.from_pylist(_by_document(docs, doc[np.concatenate(rows)], 0, start.astype(np.uint32), np.ones(len(start), np.uint8)), MARKS)
+    rows, start = (np.concatenate([np.empty(0, np.int64), *x]) for x in (rows, place))
+    return pa.Table.from_pylist(_by_document(docs, doc[rows], 0, start.astype(np.uint32), np.ones(len(start), np.uint8)), MARKS)
 
 
 def _spans(pairs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -340,7 +410,9 @@ def _spans(pairs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with their place in the document order (did, th) and their bytes."""
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    return docs.withColumns({"did": F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), "th": F.xxhash64(data), "data": data})
+    # Hashes are below 0 for a document with an id, so that one without comes after it whatever the id.
+    th = F.when(F.col(doc_id).isNull(), F.xxhash64(data).bitwiseAND(F.lit(NO_ID))).otherwise(F.xxhash64(data).bitwiseOR(F.lit(-NO_ID - 1)))
+    return docs.withColumns({"did": F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), "th": th, "data": data})
 
 
 def removals(texts: DataFrame) -> DataFrame:
@@ -360,7 +432,7 @@ def removals(texts: DataFrame) -> DataFrame:
     found = texts.mapInArrow(anchors, _ddl(BLOBS)).groupBy("shard").applyInArrow(settle_shard, _ddl(MARKS))
     found = landed(found, "contexts")
     count = {r["kind"]: r["n"] for r in found.where("kind > 0").groupBy("kind").agg(F.sum(F.octet_length("n")).alias("n")).collect()}
-    marks = found.where("kind = 0").select("did", "th", "start", "n")
+    marks = texts.sparkSession.createDataFrame([], "did long, th long, start binary, n binary")
     if 1 in count:
         marks = marks.union(_by_index(texts, found.where("kind = 1"), max(1, -(-count[1] // CROWD))))
     if 2 in count:
@@ -394,15 +466,15 @@ def _by_index(texts: DataFrame, found: DataFrame, shards: int) -> DataFrame:
 
 
 def _by_window(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """Windows of crowded anchors: all but the first of equal ones, by a partly aggregated minimum and a join."""
-    names = ["h1", "h2", "did", "th", "place"]
+    """Windows of crowds: all but the first of those with equal bytes, by a partly aggregated minimum and a join."""
+    names = ["window", "did", "th", "place"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for did, th, data, start, n, _ in _cut(batches):
             place = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            lanes, length = _lanes(data + b"\0" * 8), np.full(len(place), DEPTH)
-            h = [slice_hashes(lanes, place, length, np.full(len(place), seed)).view(np.int64) for seed in (1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*h, np.full(len(place), did), np.full(len(place), th), place)], names)
+            for at in range(0, len(place), 1 << 14):
+                own = place[at : at + (1 << 14)]
+                yield pa.RecordBatch.from_arrays([pa.array([data[p : p + DEPTH] for p in own], pa.binary()), *(pa.array(x) for x in (np.full(len(own), did), np.full(len(own), th), own))], names)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -411,10 +483,10 @@ def _by_window(texts: DataFrame, found: DataFrame) -> DataFrame:
                 ids, doc = _unique_rows(np.column_stack([did, th]))
                 yield from pa.Table.from_pylist(_by_document(ids, doc, 0, place.astype(np.uint32), np.ones(len(place), np.uint8)), MARKS).to_batches()
 
-    rows = _asked(texts, found).mapInArrow(cut, "h1 long, h2 long, did long, th long, place long")
+    rows = _asked(texts, found).mapInArrow(cut, "window binary, did long, th long, place long")
     at = F.struct("did", "th", "place")
-    first = rows.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first < last").select("h1", "h2", "first")
-    later = rows.join(first, ["h1", "h2"]).where(at > F.col("first")).select("did", "th", "place")
+    first = rows.groupBy("window").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first < last").select("window", "first")
+    later = rows.join(first, "window").where(at > F.col("first")).select("did", "th", "place")
     return later.mapInArrow(packed, _ddl(MARKS)).select("did", "th", "start", "n")
 
 
@@ -435,13 +507,13 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             rows = []
             for did, data, marks in zip(*batch.columns, strict=True):
                 raw, (start, end) = data.as_py(), _loss(marks.as_py())
-                did = did.as_py()
-                rows.append((None if did == NO_ID else did, len(raw), int((end - start).sum()), len(start), hashlib.sha256(kept_bytes(raw, start, end)).hexdigest()))
+                rows.append((did.as_py(), len(raw), int((end - start).sum()), len(start), hashlib.sha256(kept_bytes(raw, start, end)).hexdigest()))
             kinds = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(5)], names)
 
     texts = keyed(docs, doc_id, text).select("did", "th", "data")
-    both = texts.join(removals(texts), ["did", "th"], "left").select("did", "data", "marks")
+    known = F.when(F.col("th") < 0, F.col("did")).alias("did")
+    both = texts.join(removals(texts), ["did", "th"], "left").select(known, "data", "marks")
     return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -472,5 +544,5 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def _ddl(schema: pa.Schema) -> str:
-    kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean"}
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
