@@ -1,7 +1,8 @@
 """Corpus pipeline: documents in, a clean and mixed training order out.
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame; its result is written as Parquet in the shared folder and
-read again as the next one's docs. All but the last return the columns of documents.
+read again as the next one's docs. All but the last return the columns of documents. A stage begins by dropping the
+tables that the stage before it worked with, unless its docs still read them.
 
 Defined cases beyond those of the operators: of near copies the row with the smallest id stays, rows without an id come
 last; of rows that repeat an id and text one stays; a document that loses all of its text to the span stage stays, empty.
@@ -9,14 +10,32 @@ last; of rows that repeat an id and text one stays; a document that loses all of
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, mixing, near_copies, run_index, simhash, toxicity
-from tickloom.llm.common import landed, table
+from tickloom.llm import decontaminate, mixing, near_copies, run_index, toxicity
+from tickloom.llm.common import drop, landed, paths_made, table
 from tickloom.llm.queries import toxicity_model
 
 
+_tables: list[str] = []
+
+
+def staged(work: Callable) -> Callable:
+    @functools.wraps(work)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, _tables, docs)
+        with paths_made() as made:
+            out = work(spark, docs, sf_dir)
+        _tables[:] = made
+        return out
+    return stage
+
+
+@staged
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.3."""
     score = "toxicity_" + "_" * max(map(len, docs.columns))
@@ -24,21 +43,16 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.scored(docs, model, score).where(F.col(score) < 0.3).select(*docs.columns)
 
 
+@staged
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a Jaccard similarity of 0.8 and more over five-word shingles, the row with the smallest id."""
-    return near_copies.without_near_copies(docs)
+    """Of each group linked by a Jaccard similarity of 0.8 and more over five-word shingles, the row with the smallest id.
 
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """By op6's own contract (three words, 3 bits), not a stage: of each group of linked fingerprints, the document with the smallest id."""
-    rows = landed(simhash.near_duplicates(docs.select("doc_id", "text")), "near-copies")
-    later = rows.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(later, "doc_id", "left_anti")
-    if rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id IS NULL"))
-    return kept.select(*docs.columns)
+    Candidates come from covering masks over fingerprints of the shingles, wider than those of op6's own contract.
+    """
+    return near_copies.without_near_copies(docs)
 
 
+@staged
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 100 bytes and more that start earlier too."""
     cut = run_index.deduplicated(docs)
@@ -47,11 +61,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.select(*docs.columns)
 
 
+@staged
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontaminate.clean(docs, decontaminate.indexes(table(spark, sf_dir, "benchmark")))
 
 
+@staged
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, in training order, with their words taken, copies and position."""
     return mixing.ordered(mixing.mix(mixing.sized(docs)).where("taken > 0"))
