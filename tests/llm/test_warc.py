@@ -84,3 +84,10 @@ def test_changed_payload_is_found(spark):
 
 def test_no_pages(spark):
     assert warc.archived(frame(spark, [], 2)).collect() == []
+
+
+def test_a_page_whose_url_looks_like_a_version_block(spark):
+    rows = [(1, "filedesc://x", "<p>one</p>"), (2, "filedesc://part-0.arc", "2 0 x\n"), (3, "filedesc://x", "<p>one</p>"), (4, "http://a", None)]
+    for parts in (1, 4):
+        got = warc.archived(frame(spark, rows, parts)).select("page_id", "record_type", "refers_to").collect()
+        assert sorted(tuple(r) for r in got) == [(1, "response", None), (2, "response", None), (3, "revisit", 1), (4, "response", None)]

@@ -93,16 +93,17 @@ def _http(block: bytes) -> tuple[bytes, dict[str, str], bytes]:
 
 
 def arc_records(content: bytes) -> Iterator[dict]:
-    """Records of one ARC file, as its version blocks declare them."""
-    f, version, no = _open(content), 1, 0
+    """Records of one ARC file, as its version block declares them. Only a file's first record can be that, whatever URLs follow."""
+    f, version, no, opened = _open(content), 1, 0, False
     while line := f.readline():
         if line in (b"\n", b"\r\n"):
             continue
         fields = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
         block = _exactly(f, int(fields[-1]))
-        if fields[0].startswith("filedesc://"):
-            version = int(block.split(b" ", 1)[0])
+        if not opened and fields[0].startswith("filedesc://"):
+            version, opened = int(block.split(b" ", 1)[0]), True
             continue
+        opened = True
         if len(fields) != len(ARC_FIELDS[version].split(" ")):
             raise ValueError(f"{len(fields)} fields in a header line of version {version}")
         head, http, payload = _http(block)
@@ -229,5 +230,7 @@ def archived(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     write_arc(pages, arc)
     convert(spark, arc, warc, min_bytes)
     rows = landed(read_warc(spark, warc, ("block",)), "warc-records")
-    named = rows.where("record_type <> 'revisit'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
-    return rows.join(named, "refers_to_id", "left")
+    first = F.col("record_type") != "revisit"
+    named = rows.where(first).select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
+    # Only revisits are looked up; a response refers to nothing.
+    return rows.where(first).withColumn("refers_to", F.lit(None).cast("long")).unionByName(rows.where(~first).join(named, "refers_to_id", "left"))
