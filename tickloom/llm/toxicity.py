@@ -8,7 +8,8 @@ are turned into a score by a logistic calibration, weighted back to the class si
 
 Training uses a bounded sample of labelled rows: at most `per_class` documents of each class, in the order of a hash
 of their id, and of each at most `per_doc` windows evenly spread over its whole text for the dictionaries. The
-calibration reads its sample's whole texts. Scoring reads every whole text.
+calibration reads its sample's whole texts, each measured with dictionaries that were trained without it and the
+others of its fold. Scoring reads every whole text.
 
 Defined cases: null and empty texts have no window and score what the calibration gives no evidence; several labels of
 one document count as toxic if any does; without a toxic or an ordinary label every score is the share of toxic
@@ -29,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.llm.common import fold
+
 LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 WINDOW = re.compile(rb".{1,24}[^ ]*")
 SAVED = range(1, 11)
@@ -40,9 +43,15 @@ def windows(text: str | None) -> list[bytes]:
     return WINDOW.findall(b" ".join(words))
 
 
+# Fixed value: the three offsets with which the format's dictionary header ends; the content follows.
+HEADER_END = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])
+
+
 def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
+    """The content of a trained dictionary, without its entropy tables, which tell nothing of the text."""
     try:
-        return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+        trained = zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+        return trained.partition(HEADER_END)[2] or trained
     except zstandard.ZstdError:  # too few samples to train on
         return b"".join(samples)[:size]
 
@@ -140,7 +149,7 @@ class Scorer:
         return self.calibration(np.array(x)) if x else np.empty(0)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 2500, per_doc: int = 256) -> dict:
+def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 2500, per_doc: int = 256, folds: int = 4) -> dict:
     """Dictionaries and calibration from labelled documents: docs (doc_id, text), labels (doc_id, toxic)."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     size = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -150,7 +159,7 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 2500, per_doc: i
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = known.where("toxic = 1").orderBy(*order).limit(per_class).union(known.where("toxic = 0").orderBy(*order).limit(per_class))
     chosen = chosen.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # at most 2 x per_class rows
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", (fold(F.col("doc_id"), 1021) % folds).alias("fold"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,25 +167,29 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 2500, per_doc: i
             for text in batch.column(0):
                 found = windows(text.as_py())
                 kept.append(found[:: max(1, -(-len(found) // per_doc))])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(kept, pa.list_(pa.binary()))], ["toxic", "windows"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(kept, pa.list_(pa.binary()))], ["toxic", "fold", "windows"])
+
+    parts = [(r["toxic"], r["fold"], [bytes(w) for w in r["windows"]]) for r in sample.mapInArrow(cut, "toxic int, fold long, windows array<binary>").collect()]
+
+    def trained(without: int | None) -> tuple[bytes, bytes] | None:
+        classes = [[w for toxic, own, w in parts if toxic == label and own != without] for label in (1, 0)]
+        return dictionaries(*classes) if all(classes) else None
 
-    parts = ([], [])
-    for row in sample.select("text", "toxic").mapInArrow(cut, "toxic int, windows array<binary>").collect():
-        parts[row["toxic"]].append([bytes(w) for w in row["windows"]])
-    if not all(parts):
+    whole = trained(None)
+    if whole is None:
         return {"share": share}
-    toxic, ordinary = dictionaries(parts[1], parts[0])
+    apart = [trained(k) or whole for k in range(folds)]
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = Measure(toxic, ordinary)
+        measures = [Measure(*pair) for pair in apart]
         for batch in batches:
-            x = [measure.features(t.as_py()) for t in batch.column(0)]
+            x = [measures[k].features(t.as_py()) for t, k in zip(batch.column(0), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
 
-    rows = sample.select("text", "toxic").mapInArrow(measured, "toxic int, x array<double>").collect()
+    rows = sample.mapInArrow(measured, "toxic int, x array<double>").collect()
     x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows])
     weight = np.where(y == 1, size[1] / y.sum(), size[0] / (1 - y).sum())
-    return {"share": share, "toxic": toxic, "ordinary": ordinary, "calibration": Calibration(x, y, weight)}
+    return {"share": share, "toxic": whole[0], "ordinary": whole[1], "calibration": Calibration(x, y, weight)}
 
 
 def scored(docs: DataFrame, model: dict, column: str = "toxicity") -> DataFrame:
