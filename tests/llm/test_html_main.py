@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import pytest
@@ -18,7 +19,7 @@ def model(spark):
 
 def read(model, page):
     found = H.blocks(page)
-    return [t for (t, *_), on in zip(found, model.label([H.vectors(found)])[0]) if on]
+    return [t for (t, *_), on in zip(found, model.label([found])[0]) if on]
 
 
 def test_every_page_of_the_table(spark):
@@ -48,8 +49,11 @@ def test_a_page_with_everything(model):
 def test_blocks():
     got = H.blocks('<div id=a class="b c">one <b>two</b>\n three<p>f&amp;ur<p>five<br>six<!-- no --><a href="x>y">link</a></div>tail</p> < end')
     assert [t for t, *_ in got] == ["one two three", "f&ur", "five sixlink", "tail", "< end"]
-    assert got[0][1] == ("<div>", "b", "c") or set(got[0][1]) == {"<div>", "a", "b", "c"}
-    assert got[2][2] == 4
+    want = np.zeros(H.PATHS)
+    for weight, word in zip((0.5, 1, 1, 1), ("<div>", "a", "b", "c")):
+        want[H.zlib.crc32(word.encode()) % H.PATHS] += weight
+    assert (got[0][1] == want).all() and [n for _, _, n, _ in got] == [4, 5, 5, 0, 0]
+    assert got[2][3] == 4
     assert H.blocks(None) == H.blocks("") == H.blocks("<script>never closed") == H.blocks("<!-- never closed") == []
 
 
@@ -101,10 +105,26 @@ def test_gradients_are_those_of_the_loss():
             assert (up - down) / 2e-4 == pytest.approx(np.asarray(g[k]).flat[at], abs=2e-4)
 
 
-def test_padding_does_not_change_labels(model):
-    pages = [x for x, _ in H.training_pages(["alpha", "beta", "gamma"], 40, seed=5)]
+def test_padding_does_not_change_labels(spark, model, monkeypatch):
+    pages = [H.blocks(r["html"]) for r in table(spark, SF, "pages").collect()]
     alone = [model.label([p])[0] for p in pages]
-    assert all((a == b).all() for a, b in zip(alone, model.label(pages, batch=7)))
+    for cells in (1, 300, 1 << 14):
+        monkeypatch.setattr(H, "CELLS", cells)
+        assert all((a == b).all() for a, b in zip(alone, model.label(pages)))
+    for p, on in zip(pages, alone):  # as the network that is trained
+        if p:
+            assert (on == (model.scores(*H.padded([H.vectors(p)]))[0][:, 0] >= 0.5)).all()
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<p>x</p>" * 40_000, 40_000), ("<a " * 200_000, 1), ("y > <a " + "<a " * 200_000, 1), ("<div>t" * 20_000, 20_000), ("<span>" * 50_000 + "<h1>a</h1></q>" * 20_000, 20_000),
+    ("<i ' \" >b" * 30_000, None), ("<svg><g>" * 50_000 + "<p>a", 1), ("<!--" * 100_000, 0), ("<select>" * 50_000 + ">", None), ("a <p" + "<!" * 200_000, None)])
+def test_work_is_in_proportion_to_the_page(model, page, want):
+    began = time.process_time()
+    found = H.blocks(page)
+    on = model.label([found, H.blocks("<p>short</p>")])[0]
+    assert len(on) == len(found) and (want is None or len(found) == want)
+    assert time.process_time() - began < 30
 
 
 def test_odd_rows(spark, model):

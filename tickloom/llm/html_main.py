@@ -7,7 +7,10 @@ page as context; blocks labelled as main text are joined in page order.
 
 Training pages are built, with labels, by `training_pages`: usual arrangements of articles, menus, headers, footers,
 sidebars, notices, adverts, forms and comments under many usual names, filled with words from a bounded sample of the
-pages at hand (`sample` pages in the order of a hash of their id).
+pages at hand: `vocabulary` of the words of the whole pages under `sample` ids, both in the order of a hash.
+
+Work and memory are in proportion to a page whatever its markup: tags are looked for up to the last `>` only, path
+features are carried along the stack, and pages are labelled in batches of a bounded number of blocks.
 
 Defined cases: null and empty html, and pages without main text, give an empty text; unclosed and stray tags are
 accepted; script, style and other unseen contents and comments are no blocks; only raw text (script, style and their
@@ -22,6 +25,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +36,7 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[a-z]+")
+PLAIN_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>()()()", re.S)
 SELECT_END = re.compile(r"<(/?)select(?=[\s/>])[^>]*>", re.I)
 UNQUOTED = re.compile(r"=\s*[^\s\"'>]+\Z")
 # Elements of raw text, others whose content is not shown, elements that have none, that stand inside a line,
@@ -47,13 +52,42 @@ ENDS_P = set("address article aside blockquote details div dl fieldset figcaptio
 CONTAINERS = set("ul ol dl table article section div body td th object template".split())
 PATHS, WORDS, MEASURES = 128, 48, 8
 HIDDEN_SIZE = 16
+CELLS = 1 << 14  # blocks that are labelled at once, padding included; a longer page is labelled alone
+ODD_QUOTES = 64  # how many page lengths may be spent on tags whose quotes do not close
+
+
+class Path:
+    """What a block's vector tells of the elements around it, carried along as they open and close."""
+
+    def __init__(self) -> None:
+        self.counts = np.zeros(PATHS, np.float32)
+        self.last: list[int] = []
 
+    def push(self, words: list[str]) -> None:
+        places = [zlib.crc32(w.encode()) % PATHS for w in words]
+        self.last += places
+        for k in places:
+            self.counts[k] += 1
+
+    def pop(self, words: int) -> None:
+        for k in self.last[len(self.last) - words :]:
+            self.counts[k] -= 1
+        del self.last[len(self.last) - words :]
+
+    def features(self) -> np.ndarray:
+        """Half of each word, and as much again for the three innermost."""
+        x = self.counts * 0.5
+        for k in self.last[-3:]:
+            x[k] += 0.5
+        return x
 
-def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, path words, characters inside links) of each leaf block."""
+
+def blocks(page: str | None) -> list[tuple[str, np.ndarray, int, int]]:
+    """(text, path features, path words, characters inside links) of each leaf block."""
     page = page or ""
     out: list = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, int]] = []  # open elements, with the number of their path words
+    path, open_now = Path(), Counter()
     text: list[str] = []
     linked = 0
     foreign = hidden = None  # places in the stack of the svg or math element, and of the element that is not shown
@@ -62,7 +96,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         nonlocal linked
         clean = " ".join("".join(text).split())
         if clean:
-            out.append((clean, tuple(w for _, words in stack for w in words), linked))
+            out.append((clean, path.features(), len(path.last), linked))
         text.clear()
         linked = 0
 
@@ -70,27 +104,39 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         nonlocal foreign, hidden
         if any(name not in INLINE and not name.startswith(("svg:", "math:")) for name, _ in stack[to:]):
             flush()
+        for name, words in stack[to:]:
+            open_now[name] -= 1
+            path.pop(words) if words else None
         del stack[to:]
         foreign, hidden = (None if k is None or k >= to else k for k in (foreign, hidden))
 
+    def push(name: str, words: list[str]) -> None:
+        stack.append((name, len(words)))
+        open_now[name] += 1
+        path.push(words)
+
     def said(raw: str) -> None:
         nonlocal linked
         if raw and hidden is None:
             raw = html.unescape(raw)
             text.append(raw)
-            if any(name == "a" for name, _ in stack):
+            if open_now["a"]:
                 linked += len(raw.strip())
 
-    at = 0
-    while m := TOKEN.search(page, at):
+    at, last, odd = 0, page.rfind(">") + 1, 0
+    while at < last and (m := (TOKEN if odd <= ODD_QUOTES * len(page) else PLAIN_TOKEN).search(page, at, last)):
         said(page[at : m.start()])
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):  # a comment that is never closed
+                at = len(page)
             continue
+        if m[5]:
+            odd += last - m.start()
         own = name if foreign is None else f"{stack[foreign][0]}:{name}"
         if m[1] or m[4]:
-            found = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in (name, own)), None)
+            found = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in (name, own)), None) if open_now[name] or open_now[own] else None
             if found is not None:
                 pop(found)
             elif name not in INLINE and foreign is None:
@@ -102,13 +148,13 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
                 if not (name in VOID or attributes.endswith("/") and not UNQUOTED.search(attributes)):
                     if hidden is None and own in HIDDEN:
                         hidden = len(stack)
-                    stack.append((own, ()))
+                    push(own, [])
                 continue
             pop(foreign)
         if name in ("svg", "math"):
             if not attributes.endswith("/") or UNQUOTED.search(attributes):
                 foreign = len(stack)
-        elif name in RAW or name == "select" and (end := SELECT_END.search(page, at)) and end[1]:
+        elif name in RAW or name == "select" and (end := SELECT_END.search(page, at, last)) and end[1]:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             flush()
@@ -116,7 +162,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         elif name in ENDS_P and hidden is not None and stack[hidden][0] == "select":  # it was never closed
             pop(hidden)
         closed = CLOSES.get(name, {"p"} if name in ENDS_P else set())
-        for k in range(len(stack) - 1, -1, -1):
+        for k in range(len(stack) - 1, -1, -1) if any(open_now[n] for n in closed) else ():
             if stack[k][0] in closed:
                 pop(k)
                 break
@@ -132,8 +178,8 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
             words = [] if name in ("svg", "math", "object") else [f"<{name}>"]  # these do not frame a text
             for a, b, c in NAMED.findall(attributes):
                 words += PART.findall((a or b or c).lower())
-            stack.append((name, tuple(words)))
-    said(page[at:])
+            push(name, words)
+    said(page[at:].partition("<!--")[0])
     flush()
     return out
 
@@ -141,15 +187,13 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
 TABLE = np.random.default_rng(7).integers(1, 2**62, 256, dtype=np.int64)
 
 
-def vectors(found: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
-    """One row per block: path words, words, measures."""
-    n = len(found)
+def vectors(found: list[tuple[str, np.ndarray, int, int]], first: int = 0, total: int | None = None) -> np.ndarray:
+    """One row per block: path features, words, measures; `found` are the blocks from `first` on of a page of `total`."""
+    n, total = len(found), total or len(found)
     x = np.zeros((n, PATHS + WORDS + MEASURES), np.float32)
     if not n:
         return x
-    for i, (_, path, _) in enumerate(found):
-        for depth, w in enumerate(reversed(path)):
-            x[i, zlib.crc32(w.encode()) % PATHS] += 1 if depth < 3 else 0.5
+    x[:, :PATHS] = [path for _, path, _, _ in found]
     texts = [t.lower().encode() for t, *_ in found]
     data = np.frombuffer(b" ".join(texts), np.uint8)
     begin = np.r_[0, np.flatnonzero(data == 32) + 1]
@@ -163,7 +207,7 @@ def vectors(found: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
     stops = np.array([sum(map(t.count, ".,;:!?")) for t, *_ in found])
     x[:, -MEASURES:] = np.column_stack([
         np.log1p(size) / 5, np.minimum(link / size, 1), np.minimum(stops / size * 20, 2), [t[-1] in ".!?\"'" for t, *_ in found],
-        size > 80, size < 25, np.arange(n) / n, [len(p) / 10 for _, p, _ in found]])
+        size > 80, size < 25, np.arange(first, first + n) / total, [p / 10 for _, _, p, _ in found]])
     return x
 
 
@@ -244,17 +288,48 @@ class Labeller:
                     second[k] = 0.999 * second[k] + 0.001 * d * d
                     self.w[k] -= (now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
-    def label(self, pages: list[np.ndarray], batch: int = 64) -> list[np.ndarray]:
-        """For each page, which of its blocks are main text."""
+    def label(self, pages: list[list]) -> list[np.ndarray]:
+        """For each page's blocks, which are main text. Features meet the weights piece by piece, before any padding."""
         out: list = [np.zeros(0, bool)] * len(pages)
         order = sorted((k for k, p in enumerate(pages) if len(p)), key=lambda k: len(pages[k]))
-        for a in range(0, len(order), batch):
-            own = order[a : a + batch]
-            p, _ = self.scores(*padded([pages[k] for k in own]))
+        into, add = np.hstack([self.w["xf"], self.w["xb"]]), np.concatenate([self.w["cf"], self.w["cb"]])
+        a = 0
+        while a < len(order):
+            b = a + 1
+            while b < len(order) and (b + 1 - a) * len(pages[order[b]]) <= CELLS:
+                b += 1
+            own, a = order[a:b], b
+            size = np.array([len(pages[k]) for k in own])
+            z = np.zeros((size.max(), len(own), 2, 4 * HIDDEN_SIZE), np.float32)
+            for j, k in enumerate(own):
+                for at in range(0, len(pages[k]), 4096):
+                    piece = pages[k][at : at + 4096]
+                    z[at : at + len(piece), j] = (vectors(piece, at, len(pages[k])) @ into + add).reshape(len(piece), 2, -1)
+            p = self._both_ways(z, size)
             for j, k in enumerate(own):
-                out[k] = p[: len(pages[k]), j] >= 0.5
+                out[k] = p[: size[j], j] >= 0.5
         return out
 
+    def _both_ways(self, z: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Scores (steps, pages) from what the features bring; both directions take their steps together and keep no tape."""
+        steps, pages = z.shape[:2]
+        turn = np.stack([self.w["hf"], self.w["hb"]])
+        h, c = (np.zeros((2, pages, HIDDEN_SIZE), np.float32) for _ in range(2))
+        out, each = np.zeros((steps, pages), np.float32), np.stack([self.w["o"][:HIDDEN_SIZE], self.w["o"][HIDDEN_SIZE:]])
+        g = np.empty((2, pages, 4 * HIDDEN_SIZE), np.float32)
+        for t in range(steps):
+            back = steps - 1 - t
+            g[0], g[1] = z[t, :, 0], z[back, :, 1]
+            g += h @ turn
+            gate = 1 / (1 + np.exp(np.minimum(-g[:, :, : 3 * HIDDEN_SIZE], 80)))
+            c_new = gate[:, :, HIDDEN_SIZE : 2 * HIDDEN_SIZE] * c + gate[:, :, :HIDDEN_SIZE] * np.tanh(g[:, :, 3 * HIDDEN_SIZE :])
+            live = np.stack([t < size, back < size])[:, :, None]
+            c = np.where(live, c_new, c)
+            h = np.where(live, gate[:, :, 2 * HIDDEN_SIZE :] * np.tanh(c_new), h)
+            out[t] += h[0] @ each[0]
+            out[back] += h[1] @ each[1]
+        return 1 / (1 + np.exp(-(out + self.w["b"])))
+
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     x = np.zeros((max(map(len, pages)), len(pages), PATHS + WORDS + MEASURES), np.float32)
@@ -342,17 +417,24 @@ def training_pages(words: list[str], pages: int = 1500, seed: int = 0) -> list[t
         found = blocks(f"<html><body>{page}")
         if found:
             label = np.array([t.split("\x01")[0][-1] == "1" for t, *_ in found], np.float32)
-            out.append((vectors([(re.sub(r"[01]\x01", "", t) or "-", path, link) for t, path, link in found]), label))
+            out.append((vectors([(re.sub(r"[01]\x01", "", t) or "-", *rest) for t, *rest in found]), label))
     return out
 
 
-def fitted(pages: DataFrame, sample: int = 200, key: str = "page_id", column: str = "html", seed: int = 0) -> Labeller:
-    """A labeller trained on built pages with words of at most `sample` pages."""
-    rows = pages.select(key, F.substring(column, 1, 1 << 16).alias("html")).orderBy(F.xxhash64(key), key).limit(sample).collect()
-    words = sorted({w for r in rows for t, *_ in blocks(r["html"]) for w in t.split(" ")[:400] if len(w) < 40 and "\x01" not in w})
+def fitted(pages: DataFrame, sample: int = 200, vocabulary: int = 20000, key: str = "page_id", column: str = "html", seed: int = 0) -> Labeller:
+    """A labeller trained on built pages with at most `vocabulary` words of the pages of `sample` ids."""
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page in batch.column(0):
+                words = {w for t, *_ in blocks(page.as_py()) for w in t.split(" ") if len(w) < 40 and "\x01" not in w}
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], ["word"])
+
+    ids = pages.select(key).distinct().orderBy(F.xxhash64(key), key).limit(sample)
+    words = pages.select(key, column).join(F.broadcast(ids), key).select(column).mapInArrow(words_of, "word string").distinct()
+    words = sorted(r["word"] for r in words.orderBy(F.xxhash64("word"), "word").limit(vocabulary).collect())
     random.Random(seed).shuffle(words)
     model = Labeller(seed)
-    model.fit(training_pages((words or ["text", "word", "page", "and", "more"])[:20000], seed=seed), seed=seed)
+    model.fit(training_pages(words or ["text", "word", "page", "and", "more"], seed=seed), seed=seed)
     return model
 
 
@@ -362,10 +444,10 @@ def main_text(pages: DataFrame, model: Labeller, column: str = "html") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), 256):
-                part = batch.slice(a, 256)
+            for a in range(0, len(batch), 64):
+                part = batch.slice(a, 64)
                 found = [blocks(t.as_py()) for t in part.column(2)]
-                labels = model.label([vectors(b) for b in found])
+                labels = model.label(found)
                 texts = ["\n\n".join(t for (t, *_), keep in zip(b, on, strict=True) if keep) for b, on in zip(found, labels, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names)
 
