@@ -36,7 +36,8 @@ from tickloom.llm.simhash import PIECE, _pieces, components, covering_masks, nor
 WIDTH, RADIUS, CUTS, CUTOFF = 32, 3, 2, 28
 ROUNDS = 2
 OVER, UNDER = 4, 5  # the similarity as a fraction, 0.8
-FLUSH, SHARD_BYTES = 1 << 15, 1 << 25
+FLUSH, SHARD_BYTES = 1 << 13, 1 << 23
+SMALL = 4096  # sets of a group that are compared by their fingerprints all with all
 NEAR = 16  # members of a bucket that are compared with the next ones all at once; larger buckets one by one
 
 
@@ -264,17 +265,26 @@ def linked(sids: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle:
 
 
 def candidates(left: DataFrame, own: DataFrame, buckets: DataFrame, cutoff: int) -> DataFrame:
-    """(a, b), a > b: sets that met as candidates and are not linked yet."""
-    open_sets = left.select("sid", "n", "root").join(own.select("sid", "w0", "w1"), "sid")
+    """(a, b), a > b: sets within `cutoff` bits that are not linked yet: of a group of up to `SMALL` sets all, each pair
+    once, of a larger one those that met in a bucket."""
+    open_sets = left.join(own.select("sid", "w0", "w1"), "sid")
+    sizes = open_sets.groupBy("label").agg(F.count("*").alias("size"))
+    open_sets = landed(open_sets.join(sizes, "label").select("label", "size", "sid", "n", "root", "w0", "w1"), "copy-open")
     whole = F.xxhash64("w0", "w1")
-    members = buckets.join(open_sets, ["w0", "w1"]).select("bucket", "tree", "sid", "n", "root", "w0", "w1")
-    members = members.union(open_sets.select(whole, whole, "sid", "n", "root", "w0", "w1"))  # equal fingerprints
+    small = open_sets.where(F.col("size") <= SMALL).select(F.col("label").alias("bucket"), F.lit(0).cast("long").alias("tree"), "sid", "n", "root", "w0", "w1")
+    large = open_sets.where(F.col("size") > SMALL).drop("label", "size")
+    members = buckets.join(large, ["w0", "w1"]).select("bucket", "tree", "sid", "n", "root", "w0", "w1")
+    members = members.union(large.select(whole, whole, "sid", "n", "root", "w0", "w1"))  # equal fingerprints
     mixed = members.groupBy("bucket", "tree").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket", "tree")
     members = landed(members.join(mixed, ["bucket", "tree"]), "copy-mixed")
-    others = members.select("bucket", "tree", *(F.col(c).alias(f"o_{c}") for c in ("sid", "n", "root", "w0", "w1")))
-    apart = F.bit_count(F.col("w0").bitwiseXOR(F.col("o_w0"))) + F.bit_count(F.col("w1").bitwiseXOR(F.col("o_w1")))
-    pairs = members.join(others, ["bucket", "tree"]).where((F.col("sid") > F.col("o_sid")) & (F.col("root") != F.col("o_root")) & (apart <= cutoff) & _sizes_fit(F.col("n"), F.col("o_n")))
-    return pairs.select(F.col("sid").alias("a"), F.col("o_sid").alias("b")).distinct()
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        others = rows.select("bucket", "tree", *(F.col(c).alias(f"o_{c}") for c in ("sid", "n", "root", "w0", "w1")))
+        apart = F.bit_count(F.col("w0").bitwiseXOR(F.col("o_w0"))) + F.bit_count(F.col("w1").bitwiseXOR(F.col("o_w1")))
+        near = (F.col("sid") > F.col("o_sid")) & (F.col("root") != F.col("o_root")) & (apart <= cutoff) & _sizes_fit(F.col("n"), F.col("o_n"))
+        return rows.join(others, ["bucket", "tree"]).where(near).select(F.col("sid").alias("a"), F.col("o_sid").alias("b"))
+
+    return pairs(small).union(pairs(members)).distinct()
 
 
 def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
