@@ -321,3 +321,14 @@ def test_eigen_ratio(spark):
     df = spark.createDataFrame(rows, "ts int, _corrs array<double>")
     got = {r.ts: r.corr_eigenratio for r in X.eigen_ratio(df, 4).collect()}
     assert got[0] == pytest.approx(eig[-1] / (eig[-2] + 1e-9)) and got[1] is None and got[2] is None
+
+
+def test_curriculum_phases_are_the_filters_of_each_phase(spark):
+    from tickloom.operators import quality as Q
+
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([0.5, -0.7, 1.0, -2.0, 3.5, None])], "i int, atr double")
+    avg = df.agg(F.avg("atr")).scalar()
+    got = sorted((r["phase"], r["i"]) for r in Q.curriculum_phases(df, "atr", avg).collect())
+    value = df.agg(F.avg("atr")).first()[0]
+    assert got == sorted((p, r["i"]) for p in Q.PHASES for r in Q.curriculum_filter(df, p, "atr", value).collect())
+    assert Q.curriculum_phases(df.limit(0), "atr", 1.0).count() == 0

@@ -151,6 +151,13 @@ def curriculum_filter(df: DataFrame, phase: str, atr_col: str, avg_atr: Column |
     return df if limit is None else df.where(F.abs(F.col(atr_col)) <= limit * avg)
 
 
+def curriculum_phases(df: DataFrame, atr_col: str, avg_atr: Column | float, name: str = "phase") -> DataFrame:
+    """Each row once for every phase that takes it, in one scan."""
+    size, avg = F.abs(F.col(atr_col)), F.lit(avg_atr) if isinstance(avg_atr, float) else avg_atr
+    taken = [F.lit(phase) if limit is None else F.when(size <= limit * avg, F.lit(phase)) for phase, limit in PHASES.items()]
+    return df.withColumn(name, F.explode(F.array_compact(F.array(*taken))))
+
+
 def high_impact(event: Column, words: Sequence[str] = HIGH_IMPACT) -> Column:
     pattern = "|".join(rf"\Q{w.lower()}\E" for w in words)
     return F.lower(event).rlike(pattern)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.core.series import Series, add
-from tickloom.core.storage import fresh_path
+from tickloom.core.storage import fresh_path, landed
 from tickloom.operators import asof, bars as B, features as W, quality as Q
 from tickloom.plans import adapters as A
 from tickloom.plans.registry import plain, query
@@ -301,13 +301,8 @@ def leak_report(spark, sf):
     SELECT pair, ts, atr_6, phase FROM basic, m, (VALUES ('low_vol', 0.7::DOUBLE), ('normal_vol', 1.5), ('high_vol', 3.0)) p(phase, mult)
     WHERE abs(atr_6) <= mult * m UNION ALL SELECT pair, ts, atr_6, 'full' FROM basic""", "pair, ts, phase")
 def curriculum_filter(spark, sf):
-    f = A.basic_features(spark, sf).df.select("pair", "ts", "atr_6")
-    avg = f.agg(F.avg("atr_6")).first()[0]
-    out = None
-    for phase in Q.PHASES:
-        part = Q.curriculum_filter(f, phase, "atr_6", float(avg)).withColumn("phase", F.lit(phase))
-        out = part if out is None else out.unionByName(part)
-    return out
+    f = landed(A.basic_features(spark, sf).df.select("pair", "ts", "atr_6"), "curriculum")
+    return Q.curriculum_phases(f, "atr_6", f.agg(F.avg("atr_6")).scalar())
 
 
 @plain("high_impact", """SELECT p_partkey, lower(p_name || ' ' || p_type) SIMILAR TO '.*(ring|gdp|promo|pmi|fed).*' AS high FROM part""")
