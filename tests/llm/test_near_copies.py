@@ -211,3 +211,20 @@ def brute_by_shingle(rows):
     for k, s in enumerate(keys):
         groups.setdefault(find(k), set()).update(sets[s])
     return list(groups.values())
+
+
+@pytest.mark.parametrize("small", [4096, 0])
+def test_what_the_rounds_leave_meets_across_roots(spark, monkeypatch, small):
+    monkeypatch.setattr(N, "SMALL", small)
+    rnd = random.Random(6)
+    cutoff = 4
+    sets = {sid: (rnd.randrange(3), 100, rnd.choice([0, 0, 0, 1, 2, 3]), rnd.randrange(16), 0) for sid in range(60)}  # label, n, root, w0, w1
+    left = spark.createDataFrame([(s, v[0], v[1], v[0] * 10 + v[2]) for s, v in sets.items()], "sid long, label long, n long, root long")
+    own = spark.createDataFrame([(s, v[3], v[4]) for s, v in sets.items()], "sid long, w0 long, w1 long")
+    seats = {(v[3], v[4]): v[0] for v in sets.values()}
+    buckets = spark.createDataFrame([(7, 1, *fp) for fp in seats], "bucket long, tree long, w0 long, w1 long")
+    got = [(r.a, r.b) for r in N.candidates(left, own, buckets, cutoff).collect()]
+    assert len(got) == len(set(got))
+    root = {s: v[0] * 10 + v[2] for s, v in sets.items()}
+    near = {(a, b) for a in sets for b in sets if a > b and root[a] != root[b] and (sets[a][3] ^ sets[b][3]).bit_count() <= cutoff}
+    assert set(got) == ({(a, b) for a, b in near if sets[a][0] == sets[b][0]} if small else near)

@@ -279,10 +279,15 @@ def candidates(left: DataFrame, own: DataFrame, buckets: DataFrame, cutoff: int)
     members = landed(members.join(mixed, ["bucket", "tree"]), "copy-mixed")
 
     def pairs(rows: DataFrame) -> DataFrame:
+        # Of two roots one is not the tree's most frequent: only rows outside of that one look for partners.
+        main = rows.groupBy("bucket", "tree", "root").count().groupBy("bucket", "tree").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+        rows = rows.join(main, ["bucket", "tree"])
+        outside = rows.where("root <> main")
         others = rows.select("bucket", "tree", *(F.col(c).alias(f"o_{c}") for c in ("sid", "n", "root", "w0", "w1")))
         apart = F.bit_count(F.col("w0").bitwiseXOR(F.col("o_w0"))) + F.bit_count(F.col("w1").bitwiseXOR(F.col("o_w1")))
-        near = (F.col("sid") > F.col("o_sid")) & (F.col("root") != F.col("o_root")) & (apart <= cutoff) & _sizes_fit(F.col("n"), F.col("o_n"))
-        return rows.join(others, ["bucket", "tree"]).where(near).select(F.col("sid").alias("a"), F.col("o_sid").alias("b"))
+        once = (F.col("o_root") == F.col("main")) | (F.col("sid") > F.col("o_sid"))
+        near = once & (F.col("root") != F.col("o_root")) & (apart <= cutoff) & _sizes_fit(F.col("n"), F.col("o_n"))
+        return outside.join(others, ["bucket", "tree"]).where(near).select(F.greatest("sid", "o_sid").alias("a"), F.least("sid", "o_sid").alias("b"))
 
     return pairs(small).union(pairs(members)).distinct()
 
