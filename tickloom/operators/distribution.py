@@ -6,11 +6,13 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.core.series import Carry, Series
-from tickloom.core.storage import lookup
+from tickloom.core.storage import landed, lookup
 from tickloom.functions.scalar import clip
 from tickloom.operators.performance import compounded, equity_curve, sharpe
 
@@ -108,6 +110,85 @@ def drift_verdict(psi_scores: DataFrame, ks: DataFrame, baseline_ret: DataFrame,
 
 # --- Monte Carlo ------------------------------------------------------------------
 
+def _draw(seed: int) -> Column:
+    """The random number of a trade (_i) in a simulation (sim)."""
+    return F.xxhash64(F.lit(seed).cast("long"), F.col("sim").cast("long"), F.col("_i").cast("long"))
+
+
+# The five primes of XXH64.
+P1, P2, P3, P4, P5 = (np.uint64(p) for p in (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def hashed_longs(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """XXH64 of 64-bit numbers, as ``xxhash64`` computes it column by column; ``seed`` holds the hash so far."""
+    def turned(v: np.ndarray, bits: int) -> np.ndarray:
+        return (v << np.uint64(bits)) | (v >> np.uint64(64 - bits))
+
+    h = (seed + P5 + np.uint64(8)) ^ (turned(x * P2, 31) * P1)
+    h = turned(h, 27) * P1 + P4
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    return h ^ (h >> np.uint64(32))
+
+
+def _path_figures(pnl: np.ndarray, start: float, annual: float, compound: bool) -> tuple[float, float, float]:
+    """Sharpe, largest drawdown and total return of one path, as ``simulate`` has them."""
+    if compound:
+        g = 1 + pnl
+        sign = np.where(np.maximum.accumulate(g == 0), 0.0, 1.0 - 2.0 * (np.cumsum(g < 0) % 2))
+        eq = sign * np.exp(np.cumsum(np.log(np.abs(np.where(g == 0, 1.0, g)))))
+        peak = np.maximum.accumulate(eq)
+        dev = pnl.std()
+        fall = eq[peak != 0] / peak[peak != 0] - 1
+        return (pnl.mean() / dev * math.sqrt(annual) if dev > 0 else 0.0), fall.min() if len(fall) else None, eq[-1] - 1
+    eq = start + np.cumsum(pnl)
+    peak = np.maximum(np.maximum.accumulate(eq), start)
+    ret = pnl / start
+    return ret.mean() / (ret.std() + 1e-9) * math.sqrt(annual), ((peak - eq) / peak).max(), pnl.sum() / start
+
+
+def simulations(trades: DataFrame, keys: Sequence[str], trade_id: str, value: str, n_sims: int, method: str = "shuffle",
+                seed: int = 42, start: float = 10_000.0, annual: float = 252.0, compound: bool = False,
+                held: int = 1 << 20, chunk: int = 50) -> DataFrame:
+    """Sharpe, largest drawdown and total return of every simulated path: (keys, sim, sharpe, max_dd, total_return).
+
+    The trades of a key are dealt once for each ``chunk`` of simulations, and a task reorders or draws them in memory.
+    Keys of more than ``held`` trades run as sorted series instead (``simulated_paths``), from the same random numbers.
+    Trades without a value or without a key take no part.
+    """
+    keys = list(keys)
+    trades = trades.where(F.col(value).isNotNull()).select(*keys, trade_id, value)
+    sizes = landed(trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    long_keys = sizes.where(F.col("_n") > held).select(*keys)
+    rows = Series.of(lookup(trades.withColumnRenamed(value, "pnl"), sizes.where(F.col("_n") <= held), keys), keys, [trade_id]).indexed("_i").df
+    chunks = -(-n_sims // chunk)
+    fan = rows.select(*keys, "_i", F.col("pnl").cast("double").alias("pnl"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        at = table.column("_i").to_numpy()
+        order = np.argsort(at)
+        pnl, at = table.column("pnl").to_numpy()[order], at[order].astype(np.uint64)
+        first = key[-1].as_py() * chunk + 1
+        found = []
+        base = hashed_longs(np.array([seed], np.int64).view(np.uint64), np.array([42], np.uint64))
+        for sim in range(first, min(first + chunk, n_sims + 1)):
+            u = hashed_longs(at, hashed_longs(np.array([sim], np.uint64), base))
+            pick = np.argsort(u.view(np.int64), kind="stable") if method == "shuffle" else np.floor((u >> np.uint64(11)) / float(1 << 53) * len(at)).astype(np.int64)
+            found.append((sim, *_path_figures(pnl[pick], start, annual, compound)))
+        sims, *figures = zip(*found, strict=True)
+        named = [pa.array([k.as_py()] * len(sims), k.type) for k in key[:-1]]
+        return pa.table([*named, pa.array(sims, pa.int32()), *(pa.array(f, pa.float64()) for f in figures)],
+                        names=[*keys, "sim", "sharpe", "max_dd", "total_return"])
+
+    kept = ", ".join(f"`{k}` {trades.schema[k].dataType.simpleString()}" for k in keys)
+    out = fan.groupBy(*keys, "_chunk").applyInArrow(run, f"{kept}, sim int, sharpe double, max_dd double, total_return double")
+    if long_keys.limit(1).count():
+        paths, names = simulated_paths(lookup(trades, long_keys, keys), keys, trade_id, value, n_sims, method, seed)
+        out = out.unionByName(simulate(paths, names, start, annual, compound).withColumn("sim", F.col("sim").cast("int")))
+    return out
+
+
 def simulated_paths(trades: DataFrame, keys: Sequence[str], trade_id: str, value: str, n_sims: int,
                     method: str = "shuffle", seed: int = 42) -> tuple[Series, DataFrame]:
     """Every trade of a key once per simulation, in hashed order, or drawn with replacement.
@@ -116,6 +197,7 @@ def simulated_paths(trades: DataFrame, keys: Sequence[str], trade_id: str, value
     and sort on numbers alone, and the table that maps path numbers back to key and simulation.
     """
     keys = list(keys)
+    trades = trades.where(F.col(value).isNotNull())
     rows = Series.of(trades.select(*keys, F.col(trade_id), F.col(value).alias("pnl")), keys, [trade_id])
     rows = rows.indexed("_i").df.drop(trade_id)
     sizes = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -126,13 +208,11 @@ def simulated_paths(trades: DataFrame, keys: Sequence[str], trade_id: str, value
     # Rows multiply by the number of simulations next, so they are first spread evenly by position.
     tasks = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     numbered = lookup(rows, ids, keys).select("_k", "_n", "_i", "pnl").repartition(tasks, "_i")
-    digits = lambda *k: F.conv(F.substring(F.md5(F.concat_ws(
-        ":", *[c.cast("string") for c in k]).cast("binary")), 1, 8), 16, 10).cast("bigint")
-    fan = numbered.select("_k", "_n", "_i", "pnl", sims).withColumn("_u", digits(F.lit(seed), F.col("sim"), F.col("_i")))
+    fan = numbered.select("_k", "_n", "_i", "pnl", sims).withColumn("_u", _draw(seed))
     if method == "shuffle":
         return Series.of(fan.select(path, "_u", "_i", "pnl"), ["path"], ["_u", "_i"]), names
     draws = fan.select("_k", path, F.col("_i").alias("_slot"),
-                       (F.floor(F.col("_u") / F.lit(4294967296.0) * F.col("_n")) + 1).alias("_i"))
+                       (F.floor(F.shiftrightunsigned("_u", 11) / F.lit(float(1 << 53)) * F.col("_n")) + 1).alias("_i"))
     drawn = draws.join(numbered.select("_k", "_i", "pnl"), ["_k", "_i"]).select("path", "_slot", "pnl")
     return Series.of(drawn, ["path"], ["_slot"]), names
 

@@ -375,42 +375,21 @@ def drift_verdict(spark, sf):
 
 # --- Monte Carlo ---------------------------------------------------------------------------
 
-N_SIMS = 20
-MC_PICK = f"""('0x' || left(md5(concat_ws(':', '42', sim, {{0}})), 8))::BIGINT / 4294967296::DOUBLE"""
+N_SIMS = 1000
 
 
-def _mc_summary(extra=""):
-    q = lambda c, p: f"quantile_cont({c}, {p})"
-    return f"""count(*) AS n_simulations, avg(sharpe) AS sharpe_mean, {q('sharpe', 0.025)} AS sharpe_low, {q('sharpe', 0.5)} AS sharpe_median, {q('sharpe', 0.975)} AS sharpe_high,
-      avg(dd) AS max_dd_mean, {q('dd', 0.025)} AS max_dd_low, {q('dd', 0.5)} AS max_dd_median, {q('dd', 0.975)} AS max_dd_high, avg(tr) AS total_return_mean,
-      avg((sharpe > 1)::INT) AS prob_sharpe_above_1, avg((sharpe > 0)::INT) AS prob_sharpe_above_0{extra}"""
+@query("monte_carlo_shuffle", digits=6)
+def monte_carlo_shuffle(spark, sf):
+    sims = D.simulations(A.trades(spark, sf), ["strategy"], "trade_id", "pnl", N_SIMS, start=START)
+    return D.simulation_summary(sims, ["strategy"])
 
 
-@query("monte_carlo_shuffle", f"""WITH {A.TRADES}, n AS (SELECT strategy, pnl, row_number() OVER (PARTITION BY strategy ORDER BY trade_id) AS i FROM trades),
-    fan AS (SELECT strategy, sim, i, pnl, {MC_PICK.format('i')} AS u FROM n, range(1, {N_SIMS + 1}) t(sim)),
-    c AS (SELECT *, {START} + sum(pnl) OVER (PARTITION BY strategy, sim ORDER BY u, i ROWS UNBOUNDED PRECEDING) AS eq FROM fan),
-    d AS (SELECT *, greatest(max(eq) OVER (PARTITION BY strategy, sim ORDER BY u, i ROWS UNBOUNDED PRECEDING), {START}) AS pk FROM c),
-    s AS (SELECT strategy, sim, avg(pnl / {START}) / (stddev_pop(pnl / {START}) + 1e-9) * sqrt(252) AS sharpe, max((pk - eq) / pk) AS dd, sum(pnl) / {START} AS tr FROM d GROUP BY 1, 2)
-    SELECT strategy, {_mc_summary()} FROM s GROUP BY strategy""", "strategy, n_simulations", 6)
-def monte_carlo_shuffle(spark, sf):
-    paths, names = D.simulated_paths(A.trades(spark, sf), ["strategy"], "trade_id", "pnl", N_SIMS)
-    return D.simulation_summary(D.simulate(paths, names, START), ["strategy"])
-
-
-@query("monte_carlo_bootstrap", f"""WITH {A.TRADES}, n AS (SELECT strategy, trade_id, pnl / {START} AS pnl, row_number() OVER (PARTITION BY strategy ORDER BY trade_id) AS i, count(*) OVER (PARTITION BY strategy) AS n FROM trades),
-    dr AS (SELECT strategy, sim, i AS slot, floor({MC_PICK.format('i')} * n)::BIGINT + 1 AS pick FROM n, range(1, {N_SIMS + 1}) t(sim)),
-    fan AS (SELECT dr.strategy, sim, slot, pnl FROM dr JOIN n ON n.strategy = dr.strategy AND n.i = dr.pick),
-    c AS (SELECT *, exp(sum(ln(1 + pnl)) OVER (PARTITION BY strategy, sim ORDER BY slot ROWS UNBOUNDED PRECEDING)) AS eq FROM fan),
-    d AS (SELECT *, eq / max(eq) OVER (PARTITION BY strategy, sim ORDER BY slot ROWS UNBOUNDED PRECEDING) - 1 AS down FROM c),
-    s AS (SELECT strategy, sim, avg(pnl) / stddev_pop(pnl) * sqrt(252) AS sharpe, min(down) AS dd, arg_max(eq, slot) - 1 AS tr FROM d GROUP BY 1, 2),
-    o AS (SELECT strategy, avg(pnl) / stddev_pop(pnl) * sqrt(252) AS orig FROM n GROUP BY strategy)
-    SELECT strategy, {_mc_summary(", avg((sharpe < orig)::INT) AS sharpe_percentile, avg((sharpe < orig)::INT) > 0.75 AND quantile_cont(sharpe, 0.05) > 0 AS robust")}
-    FROM s JOIN o USING (strategy) GROUP BY strategy""", "strategy, n_simulations, robust", 6)
+@query("monte_carlo_bootstrap", digits=6)
 def monte_carlo_bootstrap(spark, sf):
     t = A.trades(spark, sf).withColumn("pnl", F.col("pnl") / START)
-    paths, names = D.simulated_paths(t, ["strategy"], "trade_id", "pnl", N_SIMS, "bootstrap")
+    sims = D.simulations(t, ["strategy"], "trade_id", "pnl", N_SIMS, "bootstrap", compound=True)
     orig = t.groupBy("strategy").agg(P.sharpe(F.col("pnl"), 252, eps=None).alias("sharpe"))
-    return D.simulation_summary(D.simulate(paths, names, compound=True), ["strategy"], orig)
+    return D.simulation_summary(sims, ["strategy"], orig)
 
 
 # --- slippage --------------------------------------------------------------------------------
