@@ -193,13 +193,22 @@ def retrain_points(spark, sf):
 
 # --- whole preparations ---------------------------------------------------------------------------
 
-@query("clean_bars", f"""WITH {A.MINUTE_BARS}, wts AS (SELECT list(w ORDER BY k DESC) AS ws FROM (
-      SELECT k, coalesce((SELECT product((i - 1 - 0.4::DOUBLE) / i) FROM range(1, k + 1) t(i)), 1) AS w FROM range(0, 2000) r(k)) WHERE abs(w) >= 1e-4),
+def _clean_bars_sql(threshold: str, weights: int) -> str:
+    return f"""WITH {A.MINUTE_BARS}, wts AS (SELECT list(w ORDER BY k DESC) AS ws FROM (
+      SELECT k, coalesce((SELECT product((i - 1 - 0.4::DOUBLE) / i) FROM range(1, k + 1) t(i)), 1) AS w FROM range(0, 2000) r(k)) WHERE abs(w) >= {threshold}),
     b AS (SELECT * FROM mbars WHERE isodow(ts) < 6 AND hour(ts) * 60 + minute(ts) BETWEEN 420 AND 1260),
-    p AS (SELECT *, list("close") OVER (PARTITION BY pair ORDER BY ts ROWS BETWEEN 281 PRECEDING AND CURRENT ROW) AS xs FROM b)
-    SELECT * EXCLUDE (xs, ws), list_dot_product(xs, ws) AS close_ffd FROM p, wts WHERE len(xs) = len(ws)""", "pair, ts, n_ticks")
+    p AS (SELECT *, list("close") OVER (PARTITION BY pair ORDER BY ts ROWS BETWEEN {weights - 1} PRECEDING AND CURRENT ROW) AS xs FROM b)
+    SELECT * EXCLUDE (xs, ws), list_dot_product(xs, ws) AS close_ffd FROM p, wts WHERE len(xs) = len(ws)"""
+
+
+@query("clean_bars", _clean_bars_sql("1e-5", 1458), "pair, ts, n_ticks")
 def clean_bars(spark, sf):
-    """Minute bars in session hours; there are too few of them at small scales for the full 1,458 weights."""
+    """Minute bars in session hours; no row until a pair has as many of them as there are weights."""
+    return C.clean_bars(A.ticks(spark, sf))
+
+
+@query("clean_bars_short_memory", _clean_bars_sql("1e-4", 282), "pair, ts, n_ticks")
+def clean_bars_short_memory(spark, sf):
     return C.clean_bars(A.ticks(spark, sf), C.BarSpec(threshold=1e-4))
 
 
@@ -210,22 +219,27 @@ def _core(spark, sf):
     panel = X.wide_panel(A.assets(spark, sf), A.PANEL_ASSETS)
     bars = landed(A.bars(spark, sf), "bars")
     arts = bars.select("pair", "ts", F.col("n_ticks").alias("n"))
-    score = bars.select("pair", "ts", F.round(F.col("close") - F.col("open"), 5).alias("score"))
-    return C.core_features(bars, panel, A.releases(spark, sf), score, arts, spec=SPEC)
+    # A score is a few seconds old when its bar is stamped, so that what is left of it shows.
+    given = F.timestamp_seconds(F.unix_timestamp("ts") - 5 - F.col("n_ticks") % 10).cast(bars.schema["ts"].dataType)
+    score = bars.select("pair", given.alias("ts"), F.round(F.col("close") - F.col("open"), 5).alias("score"))
+    vectors = A.table(spark, sf, "embeddings").select(
+        "vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"fb_{i}") for i in range(SPEC.embedding_dims)])
+    named = bars.select("pair", "ts", (F.hour("ts") * 31 + F.col("n_ticks")).cast("long").alias("vec_id"))
+    return C.core_features(bars, panel, A.releases(spark, sf), score, arts, named.join(vectors, "vec_id").drop("vec_id"), SPEC)
 
 
 def _core_sql() -> str:
     parts = ["order_flow", "arrival_rate", "true_range", "realised_volatility", "bollinger", "rsi", "macd", "lagged_returns",
              "cross_asset", "macro_links", "regime_break_closed", "event_distances", "blackout", "vol_filters", "range_position"]
     joins = " ".join(f"JOIN ({UNROUNDED[p]}) q_{p} USING (pair, ts)" for p in parts)
-    own = f"""WITH {A.BARS} SELECT pair, ts, round("close" - open, 5) AS sentiment_decayed, coalesce({roll('sum', 'n_ticks', 5)}, 0)::DOUBLE AS buzz,
+    own = f"""WITH {A.BARS} SELECT pair, ts, round("close" - open, 5) * exp(-0.1 * (5 + n_ticks % 10)) AS sentiment_decayed, coalesce({roll('sum', 'n_ticks', 5)}, 0)::DOUBLE AS buzz,
       sin(2 * pi() * (hour(ts) * 60 + minute(ts)) / 1440) AS time_sin, cos(2 * pi() * (hour(ts) * 60 + minute(ts)) / 1440) AS time_cos,
-      sin(2 * pi() * (isodow(ts) - 1) / 5) AS day_sin, cos(2 * pi() * (isodow(ts) - 1) / 5) AS day_cos, (hour(ts) BETWEEN 13 AND 17)::INT::DOUBLE AS london_ny FROM bars"""
-    cols = [c if not c.startswith("fb_") else f"0.0::DOUBLE AS {c}" for c in C.feature_columns(SPEC)]
-    return f"""SELECT * FROM (SELECT pair, ts, {', '.join(f'"{c}"' if '::' not in c else c for c in cols)} FROM ({own}) own {joins}) WHERE COLUMNS(*) IS NOT NULL"""
+      sin(2 * pi() * (isodow(ts) - 1) / 5) AS day_sin, cos(2 * pi() * (isodow(ts) - 1) / 5) AS day_cos, (hour(ts) BETWEEN 13 AND 17)::INT::DOUBLE AS london_ny, {', '.join(f'coalesce(embedding[{i + 1}]::DOUBLE, 0) AS fb_{i}' for i in range(SPEC.embedding_dims))}
+      FROM bars LEFT JOIN embeddings ON vec_id = hour(ts) * 31 + n_ticks"""
+    return f"""SELECT * FROM (SELECT pair, ts, {', '.join(f'"{c}"' for c in C.feature_columns(SPEC))} FROM ({own}) own {joins}) WHERE COLUMNS(*) IS NOT NULL"""
 
 
-# A non-zero score is given at nearly every bar; a held one has decayed below any digit an hour later.
+# Where a bar's own score is zero, the one before has decayed below any digit an hour later.
 @query("core_features", _core_sql(), "pair, ts", 8)
 def core_features(spark, sf):
     return _core(spark, sf)
