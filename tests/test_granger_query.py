@@ -1,22 +1,26 @@
+import bisect
+import math
+
 import numpy as np
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from tickloom.operators import cross_asset as X
 from tickloom.operators.causality import f_tail
 from tickloom.plans import adapters as A
 from tickloom.plans import catalog
-from tickloom.plans.catalog_features import panel_on_bars
 
 
 def test_every_ordered_pair_of_assets_by_least_squares(spark):
     got = {(r.src, r.dst): r for r in catalog.QUERIES["granger_edges"](spark, SF).collect()}
     assert set(got) == {(a, b) for a in A.ASSET_NAMES for b in A.ASSET_NAMES if a != b}
-    s = panel_on_bars(spark, SF).apply(*X.asset_returns(A.ASSET_NAMES, (1,)))
-    rows = s.df.groupBy("ts").agg(*[F.max(f"{a}_ret").alias(a) for a in A.ASSET_NAMES]).orderBy("ts").collect()
-    value = {a: np.array([r[a] or 0.0 for r in rows]) for a in A.ASSET_NAMES}
-    n = len(rows) - 5
+    times = sorted(r.ts for r in A.bars(spark, SF).select("ts").distinct().collect())
+    quotes = {a: sorted((r.ts, r.value) for r in A.assets(spark, SF).where(F.col("asset") == a).collect() if r.value is not None) for a in A.ASSET_NAMES}
+    value = {}
+    for a, known in quotes.items():
+        held = [known[k - 1][1] if (k := bisect.bisect_right([t for t, _ in known], ts)) else None for ts in times]
+        value[a] = np.array([0.0, *(math.log(y) - math.log(x) if x and y else 0.0 for x, y in zip(held, held[1:]))])
+    n = len(times) - 5
     lags = {a: np.column_stack([x[5 - k : len(x) - k] for k in range(1, 6)]) for a, x in value.items()}
     compared = 0
     for (a, b), r in got.items():

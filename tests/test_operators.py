@@ -332,3 +332,17 @@ def test_curriculum_phases_are_the_filters_of_each_phase(spark):
     value = df.agg(F.avg("atr")).first()[0]
     assert got == sorted((p, r["i"]) for p in Q.PHASES for r in Q.curriculum_filter(df, p, "atr", value).collect())
     assert Q.curriculum_phases(df.limit(0), "atr", 1.0).count() == 0
+
+
+def test_clean_bars_with_all_weights(spark):
+    days = pd.bdate_range("2024-01-01", periods=3)
+    ts = [d + pd.Timedelta(hours=7, minutes=int(m)) for d in days for m in range(600)]
+    mid = 1.1 + np.random.default_rng(5).normal(0, 1e-4, len(ts)).cumsum()
+    ticks = pd.DataFrame({"pair": "EURUSD", "ts": ts, "bid": mid - 1e-5, "ask": mid + 1e-5, "mid": mid, "spread": 2e-5, "volume": 1.0})
+    weights = [1.0]
+    while abs(weights[-1] * (len(weights) - 1 - 0.4) / len(weights)) >= 1e-5:
+        weights.append(weights[-1] * (len(weights) - 1 - 0.4) / len(weights))
+    got = C.clean_bars(spark.createDataFrame(ticks)).orderBy("ts").toPandas()
+    assert len(weights) == 1458 and len(got) == len(ts) - 1457
+    for k, x in enumerate(got["close_ffd"]):
+        assert x == pytest.approx(sum(w * mid[1457 + k - j] for j, w in enumerate(weights)), abs=1e-9)

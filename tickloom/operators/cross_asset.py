@@ -54,6 +54,14 @@ def asset_returns(assets: Sequence[str], lags: Sequence[int] = (1, 5, 15)) -> li
         f"{a}_ret_l{n}": F.lag(f"{a}_ret", n).over(w) for a in assets for n in lags})]
 
 
+def panel_returns(times: DataFrame, panel: DataFrame, assets: Sequence[str]) -> DataFrame:
+    """(ts, asset..): log return of every asset from each distinct time to the next one."""
+    levels = attach_panel(times.select("ts").distinct(), panel, assets)
+    s = Series.of(levels, [], ["ts"]).apply(
+        add(1, lambda w: {f"_r_{a}": F.ln(F.col(a)) - F.ln(F.lag(a).over(w)) for a in assets}))
+    return s.df.select("ts", *[F.col(f"_r_{a}").alias(a) for a in assets])
+
+
 def _moments(x: Column, y: Column, w, rows: int) -> dict[str, Column]:
     """Sums over the complete pairs of the last ``rows`` rows.
 

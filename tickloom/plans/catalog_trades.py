@@ -12,7 +12,7 @@ from tickloom.functions import scalar as S
 from tickloom.operators import distribution as D, performance as P, risk as R
 from tickloom.operators.quality import chronological_split
 from tickloom.plans import adapters as A
-from tickloom.plans.catalog_features import W_ALL, panel_on_bars
+from tickloom.plans.catalog_features import W_ALL
 from tickloom.plans.registry import plain, query
 from tickloom.sources import files
 
@@ -565,8 +565,7 @@ def max_allowed_lots(spark, sf):
 def granger_edges(spark, sf):
     from tickloom.operators import causality, cross_asset as X
 
-    s = panel_on_bars(spark, sf).apply(*X.asset_returns(A.ASSET_NAMES, (1,)))
-    panel = s.df.groupBy("ts").agg(*[F.max(f"{a}_ret").alias(a) for a in A.ASSET_NAMES])
+    panel = X.panel_returns(A.bars(spark, sf), X.wide_panel(A.assets(spark, sf), A.ASSET_NAMES), A.ASSET_NAMES)
     return causality.granger(panel, A.ASSET_NAMES)
 
 
