@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -115,6 +115,9 @@ def _draw(seed: int) -> Column:
     return F.xxhash64(F.lit(seed).cast("long"), F.col("sim").cast("long"), F.col("_i").cast("long"))
 
 
+# Trades of a piece, as a power of two: what is dealt, hashed and sorted at once.
+PIECE_BITS = 16
+
 # The five primes of XXH64.
 P1, P2, P3, P4, P5 = (np.uint64(p) for p in (
     0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -132,30 +135,81 @@ def hashed_longs(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _path_figures(pnl: np.ndarray, start: float, annual: float, compound: bool) -> tuple[float, float, float]:
-    """Sharpe, largest drawdown and total return of one path, as ``simulate`` has them."""
+def _path_figures(parts: Iterable[np.ndarray], start: float, annual: float, compound: bool) -> tuple[float, float, float]:
+    """Sharpe, largest drawdown and total return of one path, given piece by piece in order, as ``simulate`` has them."""
+    n, mean, square, total, negative, zero = 0, 0.0, 0.0, 0.0, 0, False
+    peak, worst = -math.inf if compound else start, None
+    for pnl in parts:
+        k, step = len(pnl), pnl.mean() - mean
+        square += pnl.var() * k + step * step * n * k / (n + k)
+        mean, n = mean + step * k / (n + k), n + k
+        if compound:
+            g = 1 + pnl
+            gone, below = np.maximum.accumulate(g == 0) | zero, negative + np.cumsum(g < 0)
+            run = total + np.cumsum(np.log(np.abs(np.where(g == 0, 1.0, g))))
+            eq = np.where(gone, 0.0, 1.0 - 2.0 * (below % 2)) * np.exp(run)
+            zero, negative = gone[-1], below[-1]
+        else:
+            run = total + np.cumsum(pnl)
+            eq = start + run
+        tops = np.maximum(np.maximum.accumulate(eq), peak)
+        total, peak = run[-1], tops[-1]
+        if compound:
+            fall = eq[tops != 0] / tops[tops != 0] - 1
+            if len(fall):
+                worst = fall.min() if worst is None else np.minimum(worst, fall.min())
+        else:
+            fall = ((tops - eq) / tops).max()
+            worst = fall if worst is None else np.maximum(worst, fall)
+    dev = math.sqrt(square / n)
     if compound:
-        g = 1 + pnl
-        sign = np.where(np.maximum.accumulate(g == 0), 0.0, 1.0 - 2.0 * (np.cumsum(g < 0) % 2))
-        eq = sign * np.exp(np.cumsum(np.log(np.abs(np.where(g == 0, 1.0, g)))))
-        peak = np.maximum.accumulate(eq)
-        dev = pnl.std()
-        fall = eq[peak != 0] / peak[peak != 0] - 1
-        return (pnl.mean() / dev * math.sqrt(annual) if dev > 0 else 0.0), fall.min() if len(fall) else None, eq[-1] - 1
-    eq = start + np.cumsum(pnl)
-    peak = np.maximum(np.maximum.accumulate(eq), start)
-    ret = pnl / start
-    return ret.mean() / (ret.std() + 1e-9) * math.sqrt(annual), ((peak - eq) / peak).max(), pnl.sum() / start
+        return (mean / dev * math.sqrt(annual) if dev > 0 else 0.0), worst, eq[-1] - 1
+    return mean / start / (dev / start + 1e-9) * math.sqrt(annual), worst, total / start
+
+
+def _shuffled(pnl: np.ndarray, drawn: Callable[[int, int], np.ndarray]) -> Iterator[np.ndarray]:
+    """The values by ascending signed random number, a piece of the numbers' range at a time, so that only pieces are sorted."""
+    n = len(pnl)
+    bits = min(12, max(0, (n - 1).bit_length() - PIECE_BITS))
+    if not bits:
+        yield pnl[np.argsort(drawn(0, n).view(np.int64), kind="stable")]
+        return
+    top = np.empty(n, np.uint16)
+    for lo in range(0, n, 1 << PIECE_BITS):
+        u = drawn(lo, min(n, lo + (1 << PIECE_BITS))) ^ np.uint64(1 << 63)
+        top[lo : lo + len(u)] = u >> np.uint64(64 - bits)
+    ends = np.cumsum(np.bincount(top, minlength=1 << bits))
+    at, keys, values = np.concatenate([[0], ends[:-1]]), np.empty(n, np.uint64), np.empty(n)
+    for lo in range(0, n, 1 << PIECE_BITS):
+        hi = min(n, lo + (1 << PIECE_BITS))
+        u, part = drawn(lo, hi) ^ np.uint64(1 << 63), top[lo:hi]
+        order = np.argsort(part, kind="stable")
+        counts = np.bincount(part, minlength=1 << bits)
+        to = np.repeat(at - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(hi - lo)
+        keys[to], values[to] = u[order], pnl[lo:hi][order]
+        at = at + counts
+    for lo, hi in zip([0, *ends[:-1]], ends):
+        if hi > lo:
+            yield values[lo:hi][np.argsort(keys[lo:hi], kind="stable")]
+
+
+def _drawn_again(pnl: np.ndarray, drawn: Callable[[int, int], np.ndarray]) -> Iterator[np.ndarray]:
+    """As many values as there are, drawn with replacement."""
+    n = len(pnl)
+    for lo in range(0, n, 1 << PIECE_BITS):
+        u = drawn(lo, min(n, lo + (1 << PIECE_BITS)))
+        yield pnl[np.floor((u >> np.uint64(11)) / float(1 << 53) * n).astype(np.int64)]
 
 
 def simulations(trades: DataFrame, keys: Sequence[str], trade_id: str, value: str, n_sims: int, method: str = "shuffle",
                 seed: int = 42, start: float = 10_000.0, annual: float = 252.0, compound: bool = False,
-                held: int = 1 << 20, chunk: int = 50) -> DataFrame:
+                held: int = 1 << 24, chunk: int = 50) -> DataFrame:
     """Sharpe, largest drawdown and total return of every simulated path: (keys, sim, sharpe, max_dd, total_return).
 
-    The trades of a key are dealt once for each ``chunk`` of simulations, and a task reorders or draws them in memory.
-    Keys of more than ``held`` trades run as sorted series instead (``simulated_paths``), from the same random numbers.
-    Trades without a value or without a key take no part.
+    The trades of a key, packed as plain numbers, are dealt once for each ``chunk`` of simulations, and a task reorders
+    or draws them in memory, some 30 bytes a trade. Keys of more than ``held`` trades run as sorted series instead
+    (``simulated_paths``), from the same random numbers, and write every trade of every path. Trades without a value or
+    without a key take no part.
     """
     keys = list(keys)
     trades = trades.where(F.col(value).isNotNull()).select(*keys, trade_id, value)
@@ -163,25 +217,32 @@ def simulations(trades: DataFrame, keys: Sequence[str], trade_id: str, value: st
     long_keys = sizes.where(F.col("_n") > held).select(*keys)
     rows = Series.of(lookup(trades.withColumnRenamed(value, "pnl"), sizes.where(F.col("_n") <= held), keys), keys, [trade_id]).indexed("_i").df
     chunks = -(-n_sims // chunk)
-    fan = rows.select(*keys, "_i", F.col("pnl").cast("double").alias("pnl"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"))
+    kept = ", ".join(f"`{k}` {trades.schema[k].dataType.simpleString()}" for k in keys)
+    few = rows.select(*keys, F.shiftright(F.col("_i") - 1, PIECE_BITS).alias("_piece"), "_i", F.col("pnl").cast("double").alias("pnl"))
+
+    def packed(key: tuple, table: pa.Table) -> pa.Table:
+        values = table.column("pnl").to_numpy()[np.argsort(table.column("_i").to_numpy())]
+        return pa.table([*(pa.array([k.as_py()], k.type) for k in key), pa.array([values.tobytes()], pa.binary())], names=[*keys, "_piece", "_values"])
+
+    pieces = few.groupBy(*keys, "_piece").applyInArrow(packed, f"{kept}, _piece long, _values binary")
+    fan = pieces.select("*", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        at = table.column("_i").to_numpy()
-        order = np.argsort(at)
-        pnl, at = table.column("pnl").to_numpy()[order], at[order].astype(np.uint64)
+        blobs, order = table.column("_values"), np.argsort(table.column("_piece").to_numpy())
+        pnl = np.concatenate([np.frombuffer(blobs[int(k)].as_buffer(), float) for k in order])
         first = key[-1].as_py() * chunk + 1
         found = []
         base = hashed_longs(np.array([seed], np.int64).view(np.uint64), np.array([42], np.uint64))
         for sim in range(first, min(first + chunk, n_sims + 1)):
-            u = hashed_longs(at, hashed_longs(np.array([sim], np.uint64), base))
-            pick = np.argsort(u.view(np.int64), kind="stable") if method == "shuffle" else np.floor((u >> np.uint64(11)) / float(1 << 53) * len(at)).astype(np.int64)
-            found.append((sim, *_path_figures(pnl[pick], start, annual, compound)))
+            begin = hashed_longs(np.array([sim], np.uint64), base)
+            drawn = lambda lo, hi, begin=begin: hashed_longs(np.arange(lo + 1, hi + 1, dtype=np.uint64), begin)
+            path = _shuffled(pnl, drawn) if method == "shuffle" else _drawn_again(pnl, drawn)
+            found.append((sim, *_path_figures(path, start, annual, compound)))
         sims, *figures = zip(*found, strict=True)
         named = [pa.array([k.as_py()] * len(sims), k.type) for k in key[:-1]]
         return pa.table([*named, pa.array(sims, pa.int32()), *(pa.array(f, pa.float64()) for f in figures)],
                         names=[*keys, "sim", "sharpe", "max_dd", "total_return"])
 
-    kept = ", ".join(f"`{k}` {trades.schema[k].dataType.simpleString()}" for k in keys)
     out = fan.groupBy(*keys, "_chunk").applyInArrow(run, f"{kept}, sim int, sharpe double, max_dd double, total_return double")
     if long_keys.limit(1).count():
         paths, names = simulated_paths(lookup(trades, long_keys, keys), keys, trade_id, value, n_sims, method, seed)
