@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.core.series import Series, Step, add
-from tickloom.core.storage import lookup
+from tickloom.core.storage import landed, lookup
 from tickloom.functions.scalar import at_least, clip
 
 # Standard normal quantiles and densities by confidence level.
@@ -149,7 +149,8 @@ def split_rule(lots: Column, urgency: Column) -> tuple[Column, Column]:
 
 def slice_orders(orders: DataFrame, order_id: str, lots: str = "lots", slices: Column | None = None,
                  rule: SliceRule = SliceRule()) -> DataFrame:
-    """One row per slice: sinh trajectory scaled to the order's lots, built inside the row."""
+    """One row per slice: sinh trajectory scaled to the order's lots. The trajectory depends only on the number of
+    slices, so it is computed once for each number that occurs."""
     n = F.lit(10) if slices is None else slices
     k = rule.kappa
     left = lambda t, size: F.sinh(F.lit(k) * (size - t)) / (F.sinh(F.lit(k) * size) + 1e-12)
@@ -157,8 +158,9 @@ def slice_orders(orders: DataFrame, order_id: str, lots: str = "lots", slices: C
         k * F.col("_n") < 1e-6, 1.0 / F.col("_n")).otherwise(
         at_least(F.when(t == 1, 1.0).otherwise(left(t - 1, F.col("_n"))) - left(t, F.col("_n")), 0.0)))
     total = F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x)
-    f = orders.withColumn("_n", n).withColumn("_raw", raw).withColumn("_total", total)
-    return (f.select(order_id, F.col(lots), F.col("_n").alias("n_slices"), "_total", F.posexplode("_raw").alias("p", "_x"))
+    f = orders.withColumn("_n", n)
+    shares = landed(f.select("_n").distinct().withColumn("_raw", raw).withColumn("_total", total), "shares")
+    return (f.join(shares, "_n").select(order_id, F.col(lots), F.col("_n").alias("n_slices"), "_total", F.posexplode("_raw").alias("p", "_x"))
              .select(order_id, lots, "n_slices", (F.col("p") + 1).alias("slice"),
                      (F.col("_x") * F.col(lots) / F.col("_total")).alias("slice_lots")))
 
