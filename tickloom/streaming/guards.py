@@ -7,7 +7,8 @@ opening) is computed as columns before.
 The batch form cuts a key into blocks and runs all blocks at once, each from a guessed state; a block whose
 predecessor ended in another state than it was given runs again, until none does. Guards forget: after a halt,
 a new day, an alarm or a quiet gap the state no longer depends on where the block began, so few blocks run
-again, and no key is one task. The stream form keeps the state and the rows that may still be overtaken in
+again, and no key is one task. A task passes over its sorted blocks a slice at a time, so its Python process
+holds a few slices however long the blocks are. The stream form keeps the state and the rows that may still be overtaken in
 Spark's state store and lets go only of rows that the watermark has passed, in order.
 """
 
@@ -28,6 +29,10 @@ from tickloom.core.storage import landed
 from tickloom.functions.scalar import seconds
 
 
+# Rows of a block that go through a guard at once; cut from the block's first row on, so that every pass cuts alike.
+SLICE_ROWS = 1 << 16
+
+
 @dataclass(frozen=True)
 class Guard:
     """``state`` and ``out`` are schemas without nulls; ``columns`` are read as arrays."""
@@ -56,6 +61,28 @@ def _schema(df: DataFrame, *more: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *more])
 
 
+def _slices(frames: Iterator[pd.DataFrame], size: int = SLICE_ROWS) -> Iterator[tuple[bool, pd.DataFrame]]:
+    """(first of its block, rows): the rows of sorted blocks, cut every ``size`` rows of a block."""
+    held, n, block, first = [], 0, None, True
+    for pdf in frames:
+        turns = (pdf["_key"] != pdf["_key"].shift()) | (pdf["_blk"] != pdf["_blk"].shift())
+        starts = [*np.flatnonzero(turns), len(pdf)]
+        for lo, hi in zip(starts, starts[1:]):
+            part = pdf.iloc[lo:hi]
+            now = (part["_key"].iloc[0], part["_blk"].iloc[0])
+            if now != block:
+                if n:
+                    yield first, pd.concat(held)
+                held, n, block, first = [], 0, now, True
+            held, n = [*held, part], n + len(part)
+            while n >= size:
+                rows = pd.concat(held)
+                yield first, rows.iloc[:size]
+                held, n, first = [rows.iloc[size:]], n - size, False
+    if n:
+        yield first, pd.concat(held)
+
+
 def guard_batch(df: DataFrame, guard: Guard, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Run a guard over a table, in blocks of each key's rows."""
     s = Series.of(df, keys, order)
@@ -64,31 +91,40 @@ def guard_batch(df: DataFrame, guard: Guard, keys: Sequence[str], order: Sequenc
 
 def run_guard(s: Series, guard: Guard) -> DataFrame:
     """Run a guard over a series; the loop ends when every block began where the one before it ended."""
-    block = F.floor((F.col("_rn") - 1) / s.block_rows).alias("_blk")
-    rows = landed(s.frame.select("*", F.to_json(F.struct(*s.keys)).alias("_key"), block), "guard-rows")
+    frame = s.frame.withColumnRenamed("_own", "_blk")
+    rows = landed(frame.select("*", F.to_json(F.struct(*s.keys)).alias("_key")), "guard-rows")
     entry, states = [f"_in_{c}" for c in guard.states], guard.states
-    kept = [*(c for c in s.frame.columns if c != "_rn"), *guard.outputs]
+    kept = [*s.df.columns, *guard.outputs]
     state_of = ", ".join(f"_in_{c}" for c in guard.state.split(", ")) + ", " + ", ".join(f"_out_{c}" for c in guard.state.split(", "))
 
-    def ended(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")
-        begin = tuple(pdf[c].iloc[0] for c in entry)
-        end, _ = guard.over(begin, pdf)
-        return pd.DataFrame([(pdf["_key"].iloc[0], pdf["_blk"].iloc[0], *begin, *end)],
-                            columns=["_key", "_blk", *entry, *(f"_out_{c}" for c in states)])
-
-    def through(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")
-        _, out = guard.over(tuple(pdf[c].iloc[0] for c in entry), pdf)
-        return out[kept]
+    def ended(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        named = ["_key", "_blk", *entry, *(f"_out_{c}" for c in states)]
+        done = None
+        for first, pdf in _slices(frames):
+            if first:
+                if done:
+                    yield pd.DataFrame([(*done, *state)], columns=named)
+                state = tuple(pdf[c].iloc[0] for c in entry)
+                done = (pdf["_key"].iloc[0], pdf["_blk"].iloc[0], *state)
+            state, _ = guard.over(state, pdf)
+        if done:
+            yield pd.DataFrame([(*done, *state)], columns=named)
+
+    def through(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for first, pdf in _slices(frames):
+            state, out = guard.over(tuple(pdf[c].iloc[0] for c in entry) if first else state, pdf)
+            yield out[kept]
+
+    def sorted_blocks(f: DataFrame) -> DataFrame:
+        return f.repartition("_key", "_blk").sortWithinPartitions("_key", "_blk", "_rn")
 
     def run(given: DataFrame) -> DataFrame:
         needed = rows.select("_key", "_blk", "_rn", *guard.columns)
-        ends = needed.join(given, ["_key", "_blk"]).groupBy("_key", "_blk").applyInPandas(ended, f"_key string, _blk long, {state_of}")
+        ends = sorted_blocks(needed.join(given, ["_key", "_blk"])).mapInPandas(ended, f"_key string, _blk long, {state_of}")
         return landed(ends, "guard-states")
 
     first = [F.lit(v).cast(c.split()[1]).alias(f"_in_{c.split()[0]}") for v, c in zip(guard.initial, guard.state.split(", "))]
-    known = run(rows.select("_key", "_blk").distinct().select("_key", "_blk", *first))
+    known = run(landed(rows.select("_key", "_blk").distinct().select("_key", "_blk", *first), "guard-states"))
     ahead = Window.partitionBy("_key").orderBy("_blk")
     while True:
         found = known.withColumns({f"_now_{c}": F.coalesce(F.lag(f"_out_{c}").over(ahead), F.col(f"_in_{c}")) for c in states})
@@ -101,7 +137,7 @@ def run_guard(s: Series, guard: Guard) -> DataFrame:
         redone = run(again)
         known = landed(known.join(redone.select("_key", "_blk"), ["_key", "_blk"], "left_anti").unionByName(redone), "guard-states")
     given = known.select("_key", "_blk", *entry)
-    return rows.join(given, ["_key", "_blk"]).groupBy("_key", "_blk").applyInPandas(through, _schema(s.frame.drop("_rn"), guard.out))
+    return sorted_blocks(rows.join(given, ["_key", "_blk"])).mapInPandas(through, _schema(s.df, guard.out))
 
 
 def guard_stream(df: DataFrame, guard: Guard, keys: Sequence[str], order: Sequence[str], time: str = "ts",
