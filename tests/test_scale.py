@@ -7,7 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import distribution as D
+from tickloom.core import series
+from tickloom.core.series import Series
+from tickloom.operators import distribution as D, performance as P, risk as R
+from tickloom.streaming import guards as G
 
 
 # --- simulations ----------------------------------------------------------------
@@ -36,3 +39,94 @@ def test_pieces_make_the_same_path(n):
         whole = D._path_figures([path], start, 252.0, compound)
         parts = D._path_figures(np.array_split(path, min(n, 7)), start, 252.0, compound)
         assert parts == pytest.approx(whole, rel=1e-9, abs=1e-12)
+
+
+# --- series ------------------------------------------------------------------------
+
+def _written(monkeypatch, module):
+    """Columns of each table that is written while a query is built."""
+    seen, write = [], module.landed
+    monkeypatch.setattr(module, "landed", lambda df, tag="stage": seen.append(df.columns) or write(df, tag))
+    return seen
+
+
+def _trades(spark, n=2000):
+    rng = random.Random(5)
+    rows = [(k, i, f"t{i:05d}", rng.gauss(0.1, 1.0)) for k in ("a", "b", None) for i in range(n)]
+    return spark.createDataFrame(rows, "strategy string, ts int, trade_id string, pnl double")
+
+
+def test_carries_write_totals_only(spark, monkeypatch):
+    seen = _written(monkeypatch, series)
+    s = Series.of(_trades(spark), ["strategy"], ["ts"], 64)
+    P.equity_curve(s).df.collect()
+    assert [c for c in seen if "pnl" in c] == [["strategy", "ts", "trade_id", "pnl", "_row"]]
+
+
+def test_rows_of_carries_are_dealt_once(spark):
+    s = P.equity_curve(Series.of(_trades(spark), ["strategy"], ["ts"]))
+    plan = s.frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def _falls(rows, rule):
+    """First row whose window's drawdown is over the limit, by a plain loop: (ts, drawdown)."""
+    half = -(-rule.window // 2)
+    for i in range(rule.min_trades - 1, len(rows)):
+        peak, worst = float("-inf"), 0.0
+        for _, e in rows[max(0, i - half + 1) : i + 1]:
+            if e is not None:
+                peak = max(peak, e)
+                worst = max(worst, (peak - e) / max(peak, 1e-9))
+        if worst > rule.max_drawdown:
+            return rows[i][0], worst
+    return None
+
+
+@pytest.mark.parametrize("level", [100.0, 4.0, -100.0])
+def test_drawdown_of_few_windows_only(spark, level):
+    rule = P.DemotionRule(sharpe_floor=-1e9, win_rate_floor=-1.0, max_drawdown=0.08 if level > 50 else 1.5, window=40, min_trades=12)
+    rng = random.Random(11)
+    keys = {k: [] for k in ("early", "late", "never", None)}
+    for k, rows in keys.items():
+        e = level
+        for i in range(600):
+            e += 0.001 if k == "never" or (k == "late" and i < 500) else rng.gauss(0.0, 1.0)
+            rows.append((i, None if i % 97 == 5 else e))
+    df = spark.createDataFrame([(k, i, 1.0, e) for k, rows in keys.items() for i, e in rows], "pair string, ts int, pnl double, equity double")
+    got = {r.pair: (r.ts, r.max_drawdown) for r in P.demotion(Series.of(df, block_rows=64), rule).collect()}
+    want = {k: f for k, rows in keys.items() if (f := _falls(rows, rule))}
+    assert got.keys() == want.keys()
+    for k, (ts, dd) in want.items():
+        assert got[k][0] == ts and got[k][1] == pytest.approx(dd, rel=1e-9)
+
+
+# --- guards --------------------------------------------------------------------------
+
+def test_guards_hold_slices_of_a_block():
+    rows = pd.DataFrame({"_key": ["a"] * 250 + ["b"] * 30, "_blk": [0] * 100 + [1] * 150 + [0] * 30, "x": range(280)})
+    frames = [rows.iloc[i : i + 33] for i in range(0, 280, 33)]
+    cut = list(G._slices(iter(frames), 64))
+    assert [(first, len(f)) for first, f in cut] == [(True, 64), (False, 36), (True, 64), (False, 64), (False, 22), (True, 30)]
+    assert [x for _, f in cut for x in f["x"]] == list(range(280))
+
+
+def test_guard_over_many_slices(spark):
+    n = (1 << 16) * 2 + 100
+    df = spark.range(n).select(F.lit("a").alias("account"), F.col("id").alias("ts"), F.when(F.pmod("id", F.lit(7919)) < 20, 100.0).otherwise(-1.0).alias("value"))
+    guard = G.page_hinkley(threshold=500.0)
+    got = [r.ts for r in G.guard_batch(df, guard, ["account"], ["ts"]).where("alarm").orderBy("ts").collect()]
+    x = np.where(np.arange(n) % 7919 < 20, 100.0, -1.0)
+    want = np.flatnonzero(guard.advance(guard.initial, [x])[1][0])
+    assert len(want) > 10 and got == want.tolist()
+
+
+# --- order slices -----------------------------------------------------------------------
+
+def test_trajectory_once_for_each_number_of_slices(spark):
+    orders = spark.createDataFrame([("a", 1.0, 3), ("b", 2.0, 3), ("c", 1.0, 5), ("d", 1.0, None), (None, 4.0, 5)], "order_id string, lots double, n int")
+    out = R.slice_orders(orders, "order_id", slices=F.col("n"))
+    assert "sinh" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    sums = {r.order_id: (r.n, r.lots) for r in out.groupBy("order_id").agg(F.count(F.lit(1)).alias("n"), F.sum("slice_lots").alias("lots")).collect()}
+    assert {k: n for k, (n, _) in sums.items()} == {"a": 3, "b": 3, "c": 5, None: 5}
+    assert all(sums[k][1] == pytest.approx(x) for k, x in (("a", 1.0), ("b", 2.0), ("c", 1.0), (None, 4.0)))

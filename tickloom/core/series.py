@@ -4,6 +4,8 @@ Rows are range-partitioned on (key, order), numbered exactly per key, and window
 (key, block of row numbers); a block borrows the few rows its frames need from its
 neighbours, and unbounded frames take a carry from the totals of earlier blocks. The
 layout is the same at every size; ``spark.tickloom.blockRows`` sets the rows of a block.
+Frames are ordered by row number, so a chain of carries is dealt and sorted once, and only
+the totals of its blocks, not its rows, are written between two of them.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from tickloom.core.storage import landed
 
 BLOCK_ROWS = 1_000_000
+# Times a table may be dealt anew before a carry writes it instead of running the steps before it twice.
+MAX_PASSES = 2
 
 
 @dataclass(frozen=True)
@@ -68,7 +72,8 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     """Add ``_rn``, the exact 1-based position in the key, whatever the key skew.
 
     As many sorted ranges are written as the session has shuffle partitions (adaptive execution
-    merges small ones); per key and range the rows of earlier ranges are added up.
+    merges small ones); per key and range the rows of earlier ranges are added up. These few sums
+    are written too, so that their size is known and the rows stay where they are when they meet.
     """
     ranged = (df.repartitionByRange(*keys, *order)
                 .sortWithinPartitions(*keys, *order)
@@ -79,7 +84,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
                   .agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_lo"))
                   .withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
                   .drop("_n"))
-    parts = parts.toDF(*[f"_of_{c}" for c in parts.columns])
+    parts = landed(parts.toDF(*[f"_of_{c}" for c in parts.columns]), "ranges")
     on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, "_rp")])
     rn = F.col("_row") - F.col("_of__lo") + F.col("_of__start") + 1
     return table.join(parts, on).select(*df.columns, rn.alias("_rn"))
@@ -88,25 +93,31 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
 class Series:
     """A DataFrame with its series key and total order."""
 
-    def __init__(self, frame: DataFrame, keys, order, block_rows: int):
+    def __init__(self, frame: DataFrame, keys, order, block_rows: int, passes: int = MAX_PASSES + 1, laid: bool = False):
         self.frame, self.keys, self.order = frame, list(keys), list(order)
         self.block_rows = block_rows
+        # Times the rows were dealt anew since they were last written, and whether they lie by (key, _own) now.
+        self.passes, self.laid = passes, laid
 
     @classmethod
     def of(cls, df: DataFrame, keys=("pair",), order=("ts",), block_rows: int | None = None):
         rows = block_rows or int(df.sparkSession.conf.get("spark.tickloom.blockRows", str(BLOCK_ROWS)))
-        return cls(number_rows(df, keys, order), keys, order, rows)
+        frame = number_rows(df, keys, order).withColumn("_own", F.floor((F.col("_rn") - 1) / F.lit(rows)))
+        return cls(frame, keys, order, rows, 0)
 
     @property
     def df(self) -> DataFrame:
-        return self.frame.drop("_rn")
+        return self.frame.drop("_rn", "_own")
 
     def with_frame(self, frame: DataFrame) -> Series:
         return Series(frame, self.keys, self.order, self.block_rows)
 
+    def _dealt(self, frame: DataFrame, passes: int, laid: bool) -> Series:
+        return Series(frame, self.keys, self.order, self.block_rows, passes, laid)
+
     def map(self, fn: Callable[[DataFrame], DataFrame]) -> Series:
         """Row-wise change: columns only, no rows added, dropped or moved."""
-        return self.with_frame(fn(self.frame))
+        return self._dealt(fn(self.frame), self.passes, self.laid)
 
     def apply(self, *steps: Step | Carry) -> Series:
         s = self
@@ -122,22 +133,21 @@ class Series:
         """Row number within the key, from 1."""
         return self.map(lambda f: f.withColumn(name, F.col("_rn")))
 
-    def _block(self, rows: int) -> Column:
-        return F.floor((F.col("_rn") - 1) / F.lit(rows))
-
-    def _lent(self, before: int, after: int) -> DataFrame:
-        """Rows with the blocks that use them (_blk) and the one they belong to (_own)."""
+    def _lent(self, before: int, after: int) -> tuple[DataFrame, int]:
+        """Rows with the blocks that use them (_blk) and the one they belong to (_home), and the rows of a block."""
         rows = max(self.block_rows, before, after)
-        own, at = self._block(rows), F.pmod(F.col("_rn") - 1, F.lit(rows))
+        home, at = F.floor((F.col("_rn") - 1) / F.lit(rows)), F.pmod(F.col("_rn") - 1, F.lit(rows))
         users = F.array_compact(F.array(
-            own, F.when(at >= rows - before, own + 1), F.when(at < after, own - 1)))
-        return self.frame.withColumn("_own", own).withColumn("_blk", F.explode(users))
+            home, F.when(at >= rows - before, home + 1), F.when(at < after, home - 1)))
+        return self.frame.withColumn("_home", home).withColumn("_blk", F.explode(users)), rows
 
     def _windows(self, steps: list[Step]) -> Series:
-        w = Window.partitionBy(*self.keys, "_blk").orderBy(*self.order)
-        f = self._lent(sum(s.before for s in steps), sum(s.after for s in steps))
-        f = reduce(lambda g, s: s.fn(g, w), steps, f)
-        return self.with_frame(f.where(F.col("_blk") == F.col("_own")).drop("_blk", "_own"))
+        w = Window.partitionBy(*self.keys, "_blk").orderBy("_rn")
+        f, rows = self._lent(sum(s.before for s in steps), sum(s.after for s in steps))
+        f = reduce(lambda g, s: s.fn(g, w), steps, f).where(F.col("_blk") == F.col("_home")).drop("_home")
+        laid = rows == self.block_rows
+        f = f.drop("_own").withColumnRenamed("_blk", "_own") if laid else f.drop("_blk")
+        return self._dealt(f, self.passes + 1, laid)
 
     def weighted(self, column: str, weights: Sequence[float], out: str) -> Series:
         """Sum of the last ``len(weights)`` values times their weights, oldest first; null until there are so many.
@@ -156,34 +166,36 @@ class Series:
             if len(x) >= n:
                 full[n - 1 :] = np.convolve(x, turned, "valid")
             pdf[out] = pd.Series(full, index=pdf.index).astype(object).where(~np.isnan(full), None)
-            return pdf.loc[pdf["_blk"] == pdf["_own"], names]
+            return pdf.loc[pdf["_blk"] == pdf["_home"], names]
 
-        f = self._lent(n - 1, 0).groupBy(*self.keys, "_blk").applyInPandas(run, ", ".join([*kept, f"`{out}` double"]))
+        f = self._lent(n - 1, 0)[0].groupBy(*self.keys, "_blk").applyInPandas(run, ", ".join([*kept, f"`{out}` double"]))
         return self.with_frame(f)
 
     def _carry(self, carry: Carry) -> Series:
-        order = [F.col(c).desc() if carry.reverse else F.col(c) for c in self.order]
-        # Written once: it is read for the rows and again for the totals of blocks.
-        f = landed(self.frame.withColumn("_blk", self._block(self.block_rows)), "blocks")
-        w = (Window.partitionBy(*self.keys, "_blk").orderBy(*order)
+        if self.passes > MAX_PASSES:
+            return self._dealt(landed(self.frame, "blocks"), 0, False)._carry(carry)
+        f = self.frame
+        w = (Window.partitionBy(*self.keys, "_own").orderBy(F.col("_rn").desc() if carry.reverse else "_rn")
                    .rowsBetween(Window.unboundedPreceding, 0))
         own = f.withColumns(
             {f"_own_{n}": _running(k, x).over(w) for n, (k, x) in carry.aggs.items()})
         pick = F.min_by if carry.reverse else F.max_by
-        totals = f.groupBy(*self.keys, "_blk").agg(*[
+        totals = f.groupBy(*self.keys, "_own").agg(*[
             (pick(x, F.when(x.isNotNull(), F.col("_rn"))) if k == "last" else _running(k, x))
             .alias(f"_tot_{n}") for n, (k, x) in carry.aggs.items()])
-        step = F.col("_blk").desc() if carry.reverse else F.col("_blk")
+        step = F.col("_own").desc() if carry.reverse else F.col("_own")
         past = (Window.partitionBy(*self.keys).orderBy(step)
                       .rowsBetween(Window.unboundedPreceding, -1))
-        totals = totals.select(*self.keys, "_blk", *[
+        # Written, so that the carries after this one find them and their small size is known to the join.
+        totals = landed(totals.select(*self.keys, "_own", *[
             _running("sum" if k == "count" else k, F.col(f"_tot_{n}")).over(past).alias(f"_in_{n}")
-            for n, (k, _) in carry.aggs.items()])
-        joined = own.join(totals, same(own, totals, [*self.keys, "_blk"]), "left")
-        return self.with_frame(joined.select(
-            *[own[c] for c in self.frame.columns],
+            for n, (k, _) in carry.aggs.items()]), "totals")
+        joined = own.join(totals, same(own, totals, [*self.keys, "_own"]), "left")
+        out = joined.select(
+            *[own[c] for c in f.columns],
             *[_merge(k, F.col(f"_in_{n}"), F.col(f"_own_{n}")).alias(n)
-              for n, (k, _) in carry.aggs.items()]))
+              for n, (k, _) in carry.aggs.items()])
+        return self._dealt(out, self.passes + (not self.laid), True)
 
 
 def rolling(agg: Callable[[Column], Column], x: Column, w: WindowSpec, rows: int,
@@ -195,24 +207,30 @@ def rolling(agg: Callable[[Column], Column], x: Column, w: WindowSpec, rows: int
 
 
 def windowed_sums(s: Series, sums: dict[str, tuple[Column, int]]) -> Series:
-    """Sums over the last ``rows`` rows, fewer at the start: name -> (expression, rows); nulls count 0.
+    """Sums over the last ``rows`` rows, fewer at the start: name -> (expression, rows); nulls count 0."""
+    return s.apply(sums_step(s.keys, sums))
+
+
+def sums_step(keys: Sequence[str], sums: dict[str, tuple[Column, int]]) -> Step:
+    """Step that adds sums over the last ``rows`` rows: name -> (expression, rows); nulls count 0.
 
     A window is the tail of one run of ``rows`` rows plus the head of the next, both read from
     running sums inside the run, so the cost per row does not grow with the window and the
-    error does not grow with the series.
+    error does not grow with the series. A block borrows the whole run before its first window.
     """
-    s = s.indexed("_at")
-    for rows in sorted({n for _, n in sums.values()}):
-        names = {name: F.coalesce(x, F.lit(0)) for name, (x, n) in sums.items() if n == rows}
-        run = Window.partitionBy(*s.keys, "_run")
-        head = run.orderBy(*s.order).rowsBetween(Window.unboundedPreceding, 0)
-        s = s.map(lambda f: f.withColumn("_run", F.floor((F.col("_at") - 1) / rows)).withColumns(
-            {f"_h_{n}": F.sum(x).over(head) for n, x in names.items()}).withColumns(
-            {f"_t_{n}": F.sum(x).over(run) for n, x in names.items()}))
-        tail = lambda w, n: F.lag(F.col(f"_t_{n}") - F.col(f"_h_{n}"), rows).over(w)
-        s = s.apply(add(rows, lambda w: {n: F.col(f"_h_{n}") + F.coalesce(tail(w, n), F.lit(0)) for n in names}))
-        s = s.map(lambda f: f.drop("_run", *[f"_{p}_{n}" for n in names for p in "ht"]))
-    return s.map(lambda f: f.drop("_at"))
+    def fn(f: DataFrame, w: WindowSpec) -> DataFrame:
+        for rows in sorted({n for _, n in sums.values()}):
+            names = {name: F.coalesce(x, F.lit(0)) for name, (x, n) in sums.items() if n == rows}
+            run = Window.partitionBy(*keys, "_blk", "_run")
+            head = run.orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
+            f = f.withColumn("_run", F.floor((F.col("_rn") - 1) / rows)).withColumns(
+                {f"_h_{n}": F.sum(x).over(head) for n, x in names.items()}).withColumns(
+                {f"_t_{n}": F.sum(x).over(run) for n, x in names.items()})
+            tail = lambda n, rows=rows: F.lag(F.col(f"_t_{n}") - F.col(f"_h_{n}"), rows).over(w)
+            f = f.withColumns({n: F.col(f"_h_{n}") + F.coalesce(tail(n), F.lit(0)) for n in names})
+            f = f.drop("_run", *[f"_{p}_{n}" for n in names for p in "ht"])
+        return f
+    return Step(fn, before=2 * max(n for _, n in sums.values()))
 
 
 def add(before: int, fn: Callable[[WindowSpec], dict[str, Column]], after: int = 0) -> Step:

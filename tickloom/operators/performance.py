@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.core.series import Carry, Series, Step, add, windowed_sums
-from tickloom.core.storage import lookup
+from tickloom.core.series import Carry, Series, Step, add, same, sums_step, windowed_sums
+from tickloom.core.storage import landed, lookup
 from tickloom.functions.scalar import normal_cdf, seconds
 
 MINUTES_A_YEAR = 252 * 24 * 60
@@ -103,12 +104,11 @@ def trade_performance(trades: Series, start: float = 10_000.0) -> DataFrame:
 
 def curve_report(curve: Series, equity: str = "equity", pnl: str = "pnl") -> DataFrame:
     """Return, Sharpe, Calmar, drawdown and win rate of an equity curve per key."""
-    s = curve.apply(add(1, lambda w: {"_ret": _part(F.col(equity), F.lag(equity).over(w)) - 1}),
-                    Carry({"_peak": ("max", F.col(equity))}))
-    first = F.min_by(equity, F.struct(*curve.order))
-    last = F.max_by(equity, F.struct(*curve.order))
+    s = curve.apply(Carry({"_peak": ("max", F.col(equity))}),
+                    add(1, lambda w: {"_ret": _part(F.col(equity), F.lag(equity).over(w)) - 1}))
+    first, last = F.min_by(equity, "_rn"), F.max_by(equity, "_rn")
     dd = F.min(_part(F.col(equity), F.col("_peak")) - 1)
-    return s.df.groupBy(*curve.keys).agg(
+    return s.frame.groupBy(*curve.keys).agg(
         ((_part(last, first) - 1) * 100).alias("total_return"),
         F.round(sharpe(F.col("_ret"), BARS_A_YEAR, sample=True, eps=None), 3).alias("sharpe"),
         F.round(F.abs(F.avg("_ret") * BARS_A_YEAR / (F.abs(dd) + 1e-9)), 3).alias("calmar"),
@@ -141,8 +141,8 @@ def windowed_report(trades: Series, cutoff: Column, start: float = 10_000.0) ->
                 F.when(n > 1, sharpe(pnl, 252)).otherwise(0.0).alias(f"{prefix}_sharpe"),
                 F.max(F.when(cond, dd)).alias(f"{prefix}_max_drawdown"),
                 F.sum(pnl).alias(f"{prefix}_total_pnl")]
-    return s.df.groupBy(*trades.keys).agg(
-        *out, F.max_by("equity", F.struct(*trades.order)).alias("final_equity"),
+    return s.frame.groupBy(*trades.keys).agg(
+        *out, F.max_by("equity", "_rn").alias("final_equity"),
         F.array_sort(F.collect_set("model_ver")).alias("model_versions"))
 
 
@@ -237,12 +237,18 @@ def _mean_dev(prefix: str) -> tuple[Column, Column, Column]:
 
 def rolling_trade_stats(s: Series, win: int = 100, sharpe_rows: int = 200, rate_rows: int = 200,
                         min_rows: int = 10) -> Series:
-    """Win rate, Sharpe and trades per hour over the last trades; partial windows count."""
+    """Win rate, Sharpe and trades per hour over the last trades; partial windows count.
+
+    Trades are in the order of ``ts``, so where none is ``rate_rows`` back the earliest one is among those a block holds.
+    """
     won = F.when(F.col("pnl") > 0, 1).otherwise(0)
-    s = s.indexed("_i")
-    s = windowed_sums(s, {"_won": (won, win), **_recent("_p", F.col("pnl"), sharpe_rows)})
-    s = s.apply(Carry({"_first": ("min", F.col("ts"))}),
-                add(rate_rows - 1, lambda w: {"_from": F.coalesce(F.lag("ts", rate_rows - 1).over(w), F.col("_first"))}))
+
+    def opened(w):
+        earliest = F.min("ts").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        return {"_from": F.coalesce(F.lag("ts", rate_rows - 1).over(w), earliest)}
+
+    s = s.indexed("_i").apply(sums_step(s.keys, {"_won": (won, win), **_recent("_p", F.col("pnl"), sharpe_rows)}),
+                              add(rate_rows - 1, opened))
     n, mean, dev = _mean_dev("_p")
     k = F.least(F.col("_i"), F.lit(rate_rows))
     hours = (seconds(F.col("ts")) - seconds(F.col("_from"))) / 3600
@@ -250,7 +256,7 @@ def rolling_trade_stats(s: Series, win: int = 100, sharpe_rows: int = 200, rate_
         "win_rate": F.col("_won") / F.least(F.col("_i"), F.lit(win)),
         "rolling_sharpe": F.when((n >= min_rows) & (dev > 1e-9), mean / dev * math.sqrt(252)).otherwise(0.0),
         "trades_per_hour": F.when(k >= 2, k / F.greatest(hours, F.lit(1 / 60)))})
-        .drop("_i", "_won", "_pn", "_ps", "_pq", "_first", "_from"))
+        .drop("_i", "_won", "_pn", "_ps", "_pq", "_from"))
 
 
 def risk_adjusted_reward(s: Series, window: int = 100, risk_free: float = 0.05 / 252, annual: float = 252.0,
@@ -288,18 +294,31 @@ def demotion(s: Series, rule: DemotionRule = DemotionRule()) -> DataFrame:
     """
     half = -(-rule.window // 2)
     won = F.when(F.col("pnl") > 0, 1).otherwise(0)
-    s = windowed_sums(s.indexed("_i"), {"_won": (won, rule.window), **_recent("_p", F.col("pnl"), rule.window)})
+    full = s.indexed("_i")
+    s = full.map(lambda f: f.drop(*(c for c in s.order if c not in s.keys)))
+    s = s.apply(sums_step(s.keys, {"_won": (won, rule.window), **_recent("_p", F.col("pnl"), rule.window)}),
+                add(half - 1, lambda w: {"_top": F.max("equity").over(w.rowsBetween(-(half - 1), 0))}))
     n, mean, dev = _mean_dev("_p")
     s = s.map(lambda f: f.withColumns({
         "_n": n, "sharpe": F.when((n >= 10) & (dev > 1e-9), mean / dev * math.sqrt(252)).otherwise(0.0),
-        "win_rate": F.col("_won") / n}))
+        "win_rate": F.col("_won") / n, "_part": F.floor((F.col("_i") - 1) / half)}))
     low_sharpe = F.col("sharpe") < rule.sharpe_floor
     low_wins = F.col("win_rate") < rule.win_rate_floor
     ready = F.col("_n") >= min(rule.min_trades, rule.window)
 
-    # Rows after the first low Sharpe or win rate cannot fire first, so their drawdown is not needed.
-    stop = s.frame.where(ready & (low_sharpe | low_wins)).groupBy(*s.keys).agg(F.min("_i").alias("_stop"))
-    s = s.with_frame(lookup(s.frame, stop, s.keys, "left").where("_stop is null or _i <= _stop").drop("_stop"))
+    # A row's own fall from the peak of its window is at most the window's drawdown, and a window in which no row has
+    # fallen so far, or below zero, has none: the first row that surely fires ends the search, and only the rows around
+    # such falls up to there need their window's drawdown.
+    fell = (F.col("_top") - F.col("equity")) / F.greatest("_top", F.lit(1e-9)) > rule.max_drawdown
+    sure = ready & (low_sharpe | low_wins | fell)
+    marks = landed(s.frame.where(sure | fell | (F.col("equity") <= 0)).groupBy(*s.keys, "_part").agg(
+        F.min(F.when(sure, F.col("_i"))).alias("_sure")), "marks")
+    stop = landed(marks.groupBy(*s.keys).agg(F.min("_sure").alias("_stop")), "stops")
+    known = marks.join(stop, same(marks, stop, s.keys)).where(F.col("_stop").isNull() | (F.col("_part") * half < F.col("_stop")))
+    near = landed(known.select(*[marks[c].alias(f"_of_{c}") for c in s.keys], "_stop", F.explode(
+        F.array(*[F.col("_part") + d for d in (-1, 0, 1)])).alias("_near")).distinct(), "near")
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in s.keys], F.col("_part") == F.col("_near"))
+    found = s.frame.join(near, on).where("_stop is null or _i <= _stop").drop("_near", "_stop", "_part", *[f"_of_{c}" for c in s.keys])
 
     def fn(f: DataFrame, w):
         f = f.withColumn("_eq", F.collect_list("equity").over(w.rowsBetween(-(half - 1), 0)))
@@ -312,12 +331,14 @@ def demotion(s: Series, rule: DemotionRule = DemotionRule()) -> DataFrame:
         return f.withColumn("max_drawdown", F.aggregate("_eq", start, fall, lambda acc: acc.dd)).drop("_eq")
 
     deep = F.col("max_drawdown") > rule.max_drawdown
-    fired = s.apply(Step(fn, before=half - 1)).df.where(ready & (low_sharpe | low_wins | deep))
-    order = F.struct(*s.order)
-    picked = fired.groupBy(*s.keys).agg(F.min_by(F.struct(
-        *s.order, "sharpe", "win_rate", "max_drawdown", low_sharpe.alias("sharpe_low"),
-        low_wins.alias("win_rate_low"), deep.alias("drawdown_high")), order).alias("_f"))
-    return picked.select(*s.keys, "_f.*")
+    fired = s.with_frame(found).apply(Step(fn, before=half - 1)).frame.where(ready & (low_sharpe | low_wins | deep))
+    picked = landed(fired.groupBy(*s.keys).agg(F.min_by(F.struct(
+        "_rn", "sharpe", "win_rate", "max_drawdown", low_sharpe.alias("sharpe_low"),
+        low_wins.alias("win_rate_low"), deep.alias("drawdown_high")), "_i").alias("_f")), "fired")
+    picked = picked.select(*[F.col(c).alias(f"_of_{c}") for c in s.keys], "_f.*").withColumnRenamed("_rn", "_at")
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in s.keys], F.col("_rn") == F.col("_at"))
+    return full.frame.select(*dict.fromkeys([*s.keys, *s.order]), "_rn").join(picked, on).select(
+        *s.keys, *s.order, "sharpe", "win_rate", "max_drawdown", "sharpe_low", "win_rate_low", "drawdown_high")
 
 
 def first_alarm(s: Series, value: Column, delta: float = 0.005, threshold: float = 50.0, min_rows: int = 30) -> DataFrame:
@@ -335,12 +356,11 @@ def monitoring_snapshot(s: Series, start: float = 10_000.0) -> DataFrame:
     """Latest equity, session P&L, drawdown, win rate, Sharpe and trade rate per key."""
     s = equity_curve(s, start=start, peak_from_start=True)
     s = rolling_trade_stats(s)
-    order = F.struct(*s.order)
     row = F.max_by(F.struct(
         F.col("ts"), "equity", (F.col("equity") - start).alias("pnl_session"),
         F.greatest("drawdown", F.lit(0.0)).alias("drawdown"), "win_rate",
-        F.col("rolling_sharpe").alias("sharpe"), "trades_per_hour"), order).alias("_s")
-    return s.df.groupBy(*s.keys).agg(row, F.count(F.lit(1)).alias("n_trades")).select(*s.keys, "_s.*", "n_trades")
+        F.col("rolling_sharpe").alias("sharpe"), "trades_per_hour"), "_rn").alias("_s")
+    return s.frame.groupBy(*s.keys).agg(row, F.count(F.lit(1)).alias("n_trades")).select(*s.keys, "_s.*", "n_trades")
 
 
 # --- promotion --------------------------------------------------------------------
@@ -420,8 +440,6 @@ def promotion_gate(metrics: DataFrame, rule: GateRule = GateRule(), trials: int
 def importance_shift(importance: DataFrame, k: int = 5, threshold: float = 0.3,
                      by: Sequence[str] = ("model",)) -> DataFrame:
     """Share of the top-k features that changed since the previous cycle."""
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy(*by, "cycle").orderBy(F.col("importance").desc(), "feature"))
     tops = (importance.withColumn("_k", rank).where(F.col("_k") <= k)
             .groupBy(*by, "cycle").agg(F.array_sort(F.collect_set("feature")).alias("top")))
