@@ -228,3 +228,50 @@ def test_what_the_rounds_leave_meets_across_roots(spark, monkeypatch, small):
     root = {s: v[0] * 10 + v[2] for s, v in sets.items()}
     near = {(a, b) for a in sets for b in sets if a > b and root[a] != root[b] and (sets[a][3] ^ sets[b][3]).bit_count() <= cutoff}
     assert set(got) == ({(a, b) for a, b in near if sets[a][0] == sets[b][0]} if small else near)
+
+
+def chained(seed, n):
+    """Sets of hashes that are like some of the others: edits upon edits of a few."""
+    rng = np.random.default_rng(seed)
+    own = [rng.choice(10**9, 100, replace=False).astype(np.uint64) for _ in range(3)]
+    while len(own) < n:
+        s = own[rng.integers(len(own))].copy()
+        s[rng.choice(100, rng.integers(2, 22), replace=False)] = rng.choice(10**9, 1).astype(np.uint64) + np.arange(1, dtype=np.uint64)
+        own.append(s)
+    return [np.unique(s) for s in own] + [np.empty(0, np.uint64)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_joins_connect_what_all_pairs_connect(seed):
+    own = chained(seed, 120)
+    words = np.array([N.fingerprint(s) if len(s) else (0, 0) for s in own], np.uint64)
+    w0, w1 = (np.ascontiguousarray(words[:, k]) for k in (0, 1))
+    root = np.random.default_rng(seed).integers(0, 200 if seed else 20, len(own))
+    def components_of(pairs):
+        at = np.unique(root, return_inverse=True)[1]
+        for i, j in pairs:
+            at[at == at[i]] = at[j]
+        return {frozenset(np.flatnonzero(at == k)) for k in set(at)}
+    pairs = [(i, j) for i in range(len(own)) for j in range(i) if len(own[i]) and N._alike(len(np.intersect1d(own[i], own[j])), len(own[i]), len(own[j]))
+             and int(w0[i] ^ w0[j]).bit_count() + int(w1[i] ^ w1[j]).bit_count() <= 28]
+    a, b = N.joins(root, w0, w1, own, 28)
+    assert set(zip(np.maximum(a, b), np.minimum(a, b))) <= set(pairs) and len(a) < len(own) < len(pairs)
+    assert components_of(zip(a, b)) == components_of(pairs)
+
+
+@pytest.mark.parametrize("tile", [2048, 7])
+def test_what_the_rounds_leave_of_a_large_group_lists_no_pairs(spark, monkeypatch, tile):
+    monkeypatch.setattr(N, "TILE", tile)
+    rnd = random.Random(8)
+    base, rows = [f"w{rnd.randint(0, 10**6)}" for _ in range(150)], []
+    for i in range(60 if tile < 60 else 300):  # edits of one text, most of them too many for a link to another copy
+        w = list(base)
+        for k in rnd.sample(range(150), rnd.randint(1, 12)):
+            w[k] = f"x{i}.{k}"
+        rows.append((i, " ".join(w)))
+    seen, whole = [], N.verified
+    monkeypatch.setattr(N, "verified", lambda pairs, shingle: seen.append(pairs.count()) or whole(pairs, shingle))
+    monkeypatch.setattr(N, "ROUNDS", 1)
+    monkeypatch.setattr(N, "candidates", lambda *a: pytest.fail("pairs are listed"))
+    check(spark, rows, **MEET)
+    assert sum(seen) < len(rows)

@@ -9,8 +9,10 @@ dealt in binary blocks of 16 bytes a fingerprint and mask, and a bucket passes o
 
 Trees make groups. In each of `ROUNDS` rounds one set of a group, its pivot, is compared with the sets of the group that
 are not linked to it; groups that the links make one are done. So a group of near copies costs one comparison for each
-member, whatever its size. What is left is compared pair by pair where it met as candidates. Only similarities of 0.8
-and more, counted on whole texts, link.
+member, whatever its size. What is left is compared in tiles of up to 2 * `TILE` sets, each held by a task: sets outside a
+tile's most frequent component look for partners within `CUTOFF` bits, and a tile passes on the links that join
+components, so that no pairs are listed. Only groups of over `TILES` blocks list pairs, of sets that met in a bucket. Only
+similarities of 0.8 and more, counted on whole texts, link.
 
 Words are those of the fingerprints: A-Z lower-cased, cut at ASCII white space.
 
@@ -38,6 +40,8 @@ ROUNDS = 2
 OVER, UNDER = 4, 5  # the similarity as a fraction, 0.8
 FLUSH, SHARD_BYTES = 1 << 13, 1 << 23
 SMALL = 4096  # sets of a group that are compared by their fingerprints all with all
+TILE, TILE_SHINGLES = 2048, 1 << 21  # sets, and their shingles, of a block; two blocks make a tile
+TILES = 64  # blocks of a group that meet all with all
 NEAR = 16  # members of a bucket that are compared with the next ones all at once; larger buckets one by one
 
 
@@ -198,7 +202,7 @@ def met(nodes: DataFrame, masks: np.ndarray, cutoff: int) -> DataFrame:
     return landed(dealt.groupBy("shard").applyInArrow(meet, "bucket long, tree long, w0 long, w1 long"), "copy-buckets")
 
 
-def _alike(both: int, a: int, b: int) -> bool:
+def _alike(both: int | np.ndarray, a: int, b: int | np.ndarray) -> bool | np.ndarray:
     return UNDER * both >= OVER * (a + b - both)
 
 
@@ -256,12 +260,67 @@ def linked(sids: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle:
         left = left.drop("root").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         open_groups = left.groupBy("label").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("label")
         left = landed(left.join(open_groups, "label"), "copy-members")
-    pairs = landed(candidates(left, own, buckets, cutoff), "copy-pairs")
-    if pairs.limit(1).count():
+    sizes = left.groupBy("label").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    blocks = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("n") / TILE_SHINGLES))
+    sizes = landed(sizes.select("label", blocks.cast("int").alias("blocks")), "copy-sizes")
+    if not sizes.limit(1).count():
+        return roots
+    links = links.union(joined(left.join(sizes.where(F.col("blocks") <= TILES), "label"), own, texts, shingle, cutoff))
+    if (beyond := sizes.where(F.col("blocks") > TILES)).limit(1).count():
+        pairs = landed(candidates(left.join(beyond.select("label"), "label"), own, buckets, cutoff), "copy-pairs")
         a, b = (texts.select(F.col("sid").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-        found = verified(pairs.join(a, "a").join(b, "b"), shingle)
-        roots = components(landed(links.union(found), "copy-links"))
-    return roots
+        links = links.union(verified(pairs.join(a, "a").join(b, "b"), shingle))
+    return components(landed(links, "copy-links"))
+
+
+def joined(left: DataFrame, own: DataFrame, texts: DataFrame, shingle: int, cutoff: int) -> DataFrame:
+    """(a, b), a > b: links that join the components (root) of each group's sets, from tiles of two of its `blocks`."""
+    rows = left.join(own.select("sid", "w0", "w1"), "sid").join(texts.select("sid", "text"), "sid")
+    block, other = F.pmod(F.xxhash64("sid"), "blocks"), F.col("other")
+    others = F.sequence(F.lit(0), F.greatest(F.col("blocks") - 2, F.lit(0)))  # a group of one block is one tile
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(others))
+    other = F.when(other < F.col("block"), other).otherwise(other + 1)
+    tiled = rows.select("label", F.least("block", other).alias("lo"), F.greatest("block", other).alias("hi"), "sid", "root", "w0", "w1", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        sid, root, w0, w1 = (table.column(c).to_numpy() for c in ("sid", "root", "w0", "w1"))
+        own = list(sets((x.as_py() for x in table.column("text")), shingle))
+        a, b = joins(root, w0.view(np.uint64), w1.view(np.uint64), own, cutoff)
+        return pa.table([pa.array(np.maximum(sid[a], sid[b])), pa.array(np.minimum(sid[a], sid[b]))], ["a", "b"])
+
+    return tiled.groupBy("label", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
+def joins(root: np.ndarray, w0: np.ndarray, w1: np.ndarray, own: list[np.ndarray], cutoff: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of similar sets within `cutoff` bits that make one component of all that such links connect, given those
+    of equal `root`. A set that has come to the most frequent component need not look for partners any more."""
+    _, comp, members = np.unique(root, return_inverse=True, return_counts=True)
+    main = members.argmax()
+    size = np.array([len(s) for s in own])
+    begin = np.cumsum(size) - size
+    kinds, value = np.unique(np.concatenate(own), return_inverse=True)
+    held = np.zeros(len(kinds), bool)
+    a, b = [], []
+    for p in np.flatnonzero(comp != main):
+        if comp[p] == main:
+            continue
+        far = np.bitwise_count(w0 ^ w0[p]).astype(np.int64) + np.bitwise_count(w1 ^ w1[p])
+        fit = UNDER * np.minimum(size, size[p]) >= OVER * np.maximum(size, size[p])
+        near = np.flatnonzero((comp != comp[p]) & (far <= cutoff) & fit & (size > 0))
+        if not len(near):
+            continue
+        n = size[near]
+        first = np.cumsum(n) - n
+        mine = value[begin[p] : begin[p] + size[p]]
+        held[mine] = True
+        both = np.add.reduceat(held[value[np.repeat(begin[near] - first, n) + np.arange(n.sum())]], first, dtype=np.int64)
+        held[mine] = False
+        alike = near[_alike(both, size[p], n)]
+        reached, one = np.unique(comp[alike], return_index=True)
+        a += [p] * len(one)
+        b += alike[one].tolist()
+        comp[np.isin(comp, np.r_[reached, comp[p]])] = main if main in reached else comp[p]
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def candidates(left: DataFrame, own: DataFrame, buckets: DataFrame, cutoff: int) -> DataFrame:
