@@ -183,3 +183,53 @@ def test_an_id_like_the_stand_in_for_none(spark):
     a, b = ("".join(random.Random(k).choices("abcdefgh ", k=300)) for k in range(2))
     got = R.digests(spark.createDataFrame([(i, t, "x", 1) for i, t in [(2**63 - 1, a), (None, a), (None, b), (2**63 - 1, b)]], DOCS)).collect()
     assert sorted((r["doc_id"] is None, r["n_removed"]) for r in got) == [(False, 0), (False, 0), (True, 300), (True, 300)]
+
+
+def test_crowds_send_their_different_contexts_and_a_row_for_each_document(spark, monkeypatch):
+    words = random.Random(6)
+    line = "".join(words.choices("abcdefgh ", k=1000))
+    rows = [(i, "".join(words.choices("abcdefgh ", k=150)) + line + "".join(words.choices("abcdefgh ", k=150))) for i in range(640)]  # over 64 in each task
+    rows += [(640 + i, line[: 995 - i % 3] + "xyz" * (i % 4)) for i in range(120)]
+    seen, told, land, whole = {}, [], R.landed, R._by_bytes
+
+    def landed(df, name):
+        out = land(df, name)
+        seen[name] = out.count()
+        return out
+
+    def by_bytes(texts, found):
+        marks = whole(texts, found)
+        told.append((marks.count(), sum(len(r["n"]) for r in found.collect())))
+        return marks
+    monkeypatch.setattr(R, "landed", landed)
+    monkeypatch.setattr(R, "_by_bytes", by_bytes)
+    check(spark, rows)
+    made, contexts = told[0]
+    assert made <= len(rows) and seen["crowd-contexts"] * 3 < contexts
+
+
+def test_dealt_contexts_come_back_and_are_small():
+    rnd = random.Random(7)
+    data = [" ".join(rnd.choice(["some", "common", "words", "of", "any", "text"]) for _ in range(400)).encode() for _ in range(20)]
+    cuts, held = [], []
+    for k, d in enumerate(data):
+        start = np.arange(0, len(d) - 168, 30)
+        n = np.array([rnd.randint(1, 69) for _ in start])
+        cuts.append((np.full(len(n), k), start, n, np.array([rnd.getrandbits(64) for _ in n], np.uint64)))
+        held += [d[a : a + m + 99] for a, m in zip(start, n)]
+    ids = [(k * 5, -k) for k in range(20)]
+    sent = R.pa.Table.from_pylist(list(R.dealt(cuts, ids, held, 3)), R.DEALT)
+    got = R.undealt(sent).to_pylist()
+    doc, start, _, anchor = (np.concatenate(x) for x in zip(*cuts))
+    want = [{"shard": int(h % np.uint64(3)), "anchor": int(h.view(np.int64)), "did": ids[k][0], "th": ids[k][1], "start": int(a), "bytes": x}
+            for k, a, h, x in zip(doc, start, anchor, held)]
+    key = lambda r: (r["did"], r["start"])
+    assert sorted(got, key=key) == sorted(want, key=key) and sent.num_rows == 3
+    assert sent.nbytes < sum(map(len, held)) / 2
+
+
+def test_runs_of_removed_windows_are_one_mark():
+    texts = [bytes(random.Random(3).choices(b"abcd", k=168))] * 2 + [b"z" * 20]
+    rows = [{"shard": 0, "anchor": 1, "did": i, "th": 0, "start": 7, "bytes": t} for i, t in enumerate(texts[:2])]
+    out = R.index_shard(R.pa.Table.from_pylist(rows, R.CUTS)).to_pylist()
+    assert [(m["did"], len(m["n"])) for m in out] == [(1, 1)] and [x.tolist() for x in R._loss(out)] == [[7], [175]]

@@ -13,12 +13,13 @@
    two neighbouring runs of the wanted one, told by comparing bytes. Where the length is `DEPTH` or more and the
    earliest place lies before the context's own, a window is removed.
 3. Anchors that a task meets more than `OFTEN` times among its `FLUSH` contexts, or a shard more than `CROWD` times, are
-   crowds: their windows meet one by one, by their bytes, in a partly aggregated minimum over all executors. A task
-   that finds one tells the anchor's shard, so that all contexts of a crowd go the same way.
+   crowds: their contexts meet by their bytes, in a partly aggregated minimum over all executors. One that occurs
+   earlier loses all its windows; of the first ones the windows meet in the same way, one by one. A task that finds a
+   crowd tells the anchor's shard, so that all contexts of a crowd go the same way.
 4. What each document loses is gathered by document.
 
-Texts are shuffled by document, in one exchange that both joins use. A task holds one shard of anchors (about 17 bytes
-for each context) or one shard of contexts.
+Texts are shuffled by document, in one exchange that both joins use; the contexts of a shard and what is known of them
+travel compressed. A task holds one shard of anchors (about 17 bytes for each context) or one shard of contexts.
 
 Document order: doc_id, null last. A document is an id and a text: repeated rows are one document and get one result
 each; texts that share an id are ordered by their hash. Null and empty texts, and texts shorter than a window, lose
@@ -44,6 +45,7 @@ FLUSH = 1 << 20
 SHARD_BYTES = 1 << 25
 CROWD, OFTEN = 1 << 14, 64
 INDEXED = 1 << 9
+CUT = 1 << 25  # bytes of contexts that a task deals at once
 NO_ID = 2**63 - 1
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 KEEP = np.array([0] + [(1 << 8 * n) - 1 for n in range(1, 9)], np.uint64)  # the first n bytes of a lane
@@ -160,7 +162,19 @@ def _unique_rows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _blob(ids: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> dict:
     used, new = np.unique(doc, return_inverse=True)
-    return {"ids": ids[used].tobytes(), "doc": new.astype(np.uint32).tobytes(), "start": start.tobytes(), "n": n.tobytes(), "anchor": anchor.tobytes()}
+    return {"ids": ids[used].tobytes(), "doc": _squeezed(new.astype(np.uint32)), "start": _squeezed(start), "n": _squeezed(n), "anchor": anchor.tobytes()}
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """The numbers compressed, after their count: all first bytes, all second bytes and so on."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _restored(blob: bytes, kind: type[np.generic]) -> np.ndarray:
+    count, width = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
+    planes = pa.decompress(blob[8:], count * width, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 BLOBS = pa.schema([("shard", pa.int64()), ("crowd", pa.bool_()), *((c, pa.binary()) for c in ("crowds", "ids", "doc", "start", "n", "anchor"))])
@@ -187,7 +201,8 @@ def settle_shard(table: pa.Table) -> pa.Table:
     out, parts, crowds, base = [], [], [np.empty(0, np.uint64)], 0
     for row in table.to_pylist():
         ids = np.frombuffer(row["ids"], np.int64).reshape(-1, 2)
-        doc, start, n, anchor = (np.frombuffer(row[c], k) for c, k in (("doc", np.uint32), ("start", np.uint32), ("n", np.uint8), ("anchor", np.uint64)))
+        doc, start, n = (_restored(row[c], k) for c, k in (("doc", np.uint32), ("start", np.uint32), ("n", np.uint8)))
+        anchor = np.frombuffer(row["anchor"], np.uint64)
         if row["crowd"]:
             out += _by_document(ids, doc, 2, start, n, anchor)
         else:
@@ -356,6 +371,38 @@ class RunIndex:
 CUTS = pa.schema([("shard", pa.int64()), ("anchor", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
 
 
+# The contexts of one task that go to one shard.
+DEALT = pa.schema([("shard", pa.int64()), ("size", pa.int64()), *((c, pa.binary()) for c in ("anchor", "ids", "doc", "start", "n", "bytes"))])
+
+
+def dealt(cuts: list[tuple[np.ndarray, ...]], ids: list[tuple[int, int]], texts: list[bytes], shards: int) -> Iterator[dict]:
+    """One row per shard of contexts (document among `ids`, start, windows, anchor) with their bytes, `texts`."""
+    doc, start, n, anchor = (np.concatenate(x) for x in zip(*cuts, strict=True))
+    shard = (anchor % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    heads = np.flatnonzero(np.r_[True, shard[order][1:] != shard[order][:-1]])
+    every = np.array(ids, np.int64)
+    for a, b in zip(heads, [*heads[1:], len(order)], strict=True):
+        own = order[a:b]
+        whole = b"".join([texts[i] for i in own])
+        yield {"shard": int(shard[own[0]]), "size": len(whole), "bytes": pa.compress(whole, codec="zstd", asbytes=True),
+               **_blob(every, doc[own], start[own].astype(np.uint32), n[own].astype(np.uint8), anchor[own])}
+
+
+def undealt(table: pa.Table) -> pa.Table:
+    """The contexts of `DEALT` rows as `CUTS` rows."""
+    out = []
+    for row in table.to_pylist():
+        doc, start, n = (_restored(row[c], k).astype(np.int64) for c, k in (("doc", np.uint32), ("start", np.uint32), ("n", np.uint8)))
+        ids = np.frombuffer(row["ids"], np.int64).reshape(-1, 2)[doc]
+        ends = np.r_[0, np.cumsum(n + DEPTH - 1)].astype(np.int32)
+        data = pa.decompress(row["bytes"], row["size"], codec="zstd")
+        own = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), data])
+        columns = (np.full(len(n), row["shard"]), np.frombuffer(row["anchor"], np.int64), ids[:, 0].copy(), ids[:, 1].copy(), start)
+        out.append(pa.Table.from_arrays([*map(pa.array, columns), own], schema=CUTS))
+    return pa.concat_tables(out)
+
+
 def index_shard(table: pa.Table) -> pa.Table:
     """Contexts of one shard of anchors, by bytes: windows that start earlier too, as spans per document.
 
@@ -371,7 +418,7 @@ def index_shard(table: pa.Table) -> pa.Table:
     heads = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]])
     while last - cuts[-1] > INDEXED and (after := heads[heads >= cuts[-1] + INDEXED]).size:
         cuts.append(int(after[0]))
-    rows, place = [], []
+    rows, place, many = [], [], []
     for a, b in zip(cuts, [*cuts[1:], last], strict=True):
         own = order[a:b]
         own = own[np.lexsort((ids[own, 2], ids[own, 1], ids[own, 0]))]
@@ -389,12 +436,14 @@ def index_shard(table: pa.Table) -> pa.Table:
         again = np.r_[False, number[1:] <= np.maximum.accumulate(number)[:-1]] if len(number) else np.empty(0, bool)
         for i, no, repeated in zip(own, number, again, strict=True):  # a context that occurs before is there with all its windows
             windows = int(size[no]) - DEPTH + 1
-            gone = np.arange(windows) if repeated else np.flatnonzero(seen[begin[no] : begin[no] + windows])
-            rows.append(np.full(len(gone), i))
-            place.append(ids[i, 2] + gone)
+            gone = np.ones(windows, bool) if repeated else seen[begin[no] : begin[no] + windows]
+            turns = np.flatnonzero(np.diff(np.r_[False, gone, False]))  # where runs of removed windows begin and end
+            rows.append(np.full(len(turns) // 2, i))
+            place.append(ids[i, 2] + turns[::2])
+            many.append(turns[1::2] - turns[::2])
     docs, doc = _unique_rows(ids[:, :2])
-    rows, start = (np.concatenate([np.empty(0, np.int64), *x]) for x in (rows, place))
-    return pa.Table.from_pylist(_by_document(docs, doc[rows], 0, start.astype(np.uint32), np.ones(len(start), np.uint8)), MARKS)
+    rows, start, n = (np.concatenate([np.empty(0, np.int64), *x]) for x in (rows, place, many))
+    return pa.Table.from_pylist(_by_document(docs, doc[rows], 0, start.astype(np.uint32), n.astype(np.uint8)), MARKS)
 
 
 def _spans(pairs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -436,7 +485,7 @@ def removals(texts: DataFrame) -> DataFrame:
     if 1 in count:
         marks = marks.union(_by_index(texts, found.where("kind = 1"), max(1, -(-count[1] // CROWD))))
     if 2 in count:
-        marks = marks.union(_by_window(texts, found.where("kind = 2")))
+        marks = marks.union(_by_bytes(texts, found.where("kind = 2")))
     return marks.groupBy("did", "th").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
 
 
@@ -456,38 +505,73 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes, n
 
 def _by_index(texts: DataFrame, found: DataFrame, shards: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for did, th, data, start, n, anchor in _cut(batches):
-            yield pa.RecordBatch.from_arrays([
-                pa.array((anchor % np.uint64(shards)).astype(np.int64)), pa.array(anchor.view(np.int64)), pa.array(np.full(len(n), did)), pa.array(np.full(len(n), th)), pa.array(start),
-                pa.array([data[a : a + m + DEPTH - 1] for a, m in zip(start, n, strict=True)], pa.binary())], schema=CUTS)
+        cuts, ids, held, size = [], [], [], 0
 
-    cuts = _asked(texts, found).mapInArrow(cut, _ddl(CUTS))
-    return cuts.groupBy("shard").applyInArrow(index_shard, _ddl(MARKS)).select("did", "th", "start", "n")
-
-
-def _by_window(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """Windows of crowds: all but the first of those with equal bytes, by a partly aggregated minimum and a join."""
-    names = ["window", "did", "th", "place"]
+        def flushed() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from (pa.RecordBatch.from_pylist([row], DEALT) for row in dealt(cuts, ids, held, shards))
 
+        for did, th, data, start, n, anchor in _cut(batches):
+            for at in range(0, len(n), 1 << 14):
+                own = slice(at, at + (1 << 14))
+                cuts.append((np.full(len(n[own]), len(ids)), start[own], n[own], anchor[own]))
+                held += [data[a : a + m + DEPTH - 1] for a, m in zip(start[own].tolist(), n[own].tolist(), strict=True)]
+                ids.append((did, th))
+                size += int((n[own] + DEPTH - 1).sum())
+                if size >= CUT:
+                    yield from flushed()
+                    cuts, ids, held, size = [], [], [], 0
+        yield from flushed()
+
+    cuts = _asked(texts, found).mapInArrow(cut, _ddl(DEALT))
+    return cuts.groupBy("shard").applyInArrow(lambda rows: index_shard(undealt(rows)), _ddl(MARKS)).select("did", "th", "start", "n")
+
+
+def _by_bytes(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Windows of crowds: all but the first of those with equal bytes. Of contexts with equal bytes all but the first
+    lose every window, and the earliest place of a window is in the first ones."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for did, th, data, start, n, _ in _cut(batches):
-            place = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            for at in range(0, len(place), 1 << 14):
-                own = place[at : at + (1 << 14)]
-                yield pa.RecordBatch.from_arrays([pa.array([data[p : p + DEPTH] for p in own], pa.binary()), *(pa.array(x) for x in (np.full(len(own), did), np.full(len(own), th), own))], names)
+            for at in range(0, len(n), 1 << 14):
+                own = slice(at, at + (1 << 14))
+                bytes_of = pa.array([data[a : a + m + DEPTH - 1] for a, m in zip(start[own].tolist(), n[own].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([bytes_of, *(pa.array(x) for x in (np.full(len(bytes_of), did), np.full(len(bytes_of), th), start[own]))], names)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                data, first = part.column(0).to_pylist(), part.column(1)
+                n = np.array([len(d) - DEPTH + 1 for d in data])
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                did, th, place = (np.repeat(first.field(c).to_numpy(), n) for c in ("did", "th", "place"))
+                yield pa.RecordBatch.from_arrays([pa.array([d[k : k + DEPTH] for d, m in zip(data, n, strict=True) for k in range(m)], pa.binary()), *map(pa.array, (did, th, place + step))], names)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            did, th, place = (c.to_numpy() for c in batch.columns)
-            if len(did):
-                ids, doc = _unique_rows(np.column_stack([did, th]))
-                yield from pa.Table.from_pylist(_by_document(ids, doc, 0, place.astype(np.uint32), np.ones(len(place), np.uint8)), MARKS).to_batches()
+            rows = []
+            for did, th, marks in zip(*batch.columns, strict=True):
+                start, n = (marks.values.field(c).to_numpy() for c in ("place", "n"))
+                rows.append({"did": did.as_py(), "th": th.as_py(), "kind": 0, "start": start.astype(np.uint32).tobytes(), "n": n.astype(np.uint8).tobytes(), "anchor": None})
+            yield pa.RecordBatch.from_pylist(rows, MARKS)
 
-    rows = _asked(texts, found).mapInArrow(cut, "window binary, did long, th long, place long")
+    names = ["bytes", "did", "th", "place"]
+    kinds = "bytes binary, did long, th long, place long"
     at = F.struct("did", "th", "place")
-    first = rows.groupBy("window").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first < last").select("window", "first")
-    later = rows.join(first, "window").where(at > F.col("first")).select("did", "th", "place")
-    return later.mapInArrow(packed, _ddl(MARKS)).select("did", "th", "start", "n")
+
+    def firsts(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("bytes").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+
+    def later(rows: DataFrame, first: DataFrame) -> DataFrame:
+        own = rows.join(first.where("first < last").select("bytes", "first"), "bytes").where(at > F.col("first"))
+        return own.select("did", "th", "place", (F.octet_length("bytes") - (DEPTH - 1)).alias("n"))
+
+    rows = _asked(texts, found).mapInArrow(cut, kinds)
+    first = landed(firsts(rows), "crowd-contexts")
+    single = first.mapInArrow(windows, kinds)
+    gone = later(rows, first).union(later(single, firsts(single)))
+    gone = gone.groupBy("did", "th").agg(F.collect_list(F.struct("place", "n")).alias("marks"))
+    return gone.mapInArrow(packed, _ddl(MARKS)).select("did", "th", "start", "n")
 
 
 def _loss(marks: list | None) -> tuple[np.ndarray, np.ndarray]:
