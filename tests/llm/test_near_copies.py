@@ -275,3 +275,13 @@ def test_what_the_rounds_leave_of_a_large_group_lists_no_pairs(spark, monkeypatc
     monkeypatch.setattr(N, "candidates", lambda *a: pytest.fail("pairs are listed"))
     check(spark, rows, **MEET)
     assert sum(seen) < len(rows)
+
+
+def test_contracted_edges_are_fewer_and_connect_the_same(spark):
+    rnd = random.Random(9)
+    edges = [(g * 1000 + a, g * 1000 + rnd.randrange(min(a, 12) + 1)) for g in range(3) for a in range(300) for _ in range(40)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    few = N.contracted(df).collect()
+    as_sets = lambda rows: {frozenset([r, *(x.node for x in rows if x.root == r)]) for r in {x.root for x in rows}}
+    assert len(few) < 1200 < len({e for e in edges if e[0] != e[1]})
+    assert as_sets(N.components(N.contracted(df)).collect()) == as_sets(N.components(df).collect())

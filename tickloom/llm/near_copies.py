@@ -235,7 +235,7 @@ def linked(sids: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle:
     buckets = met(sids.select("w0", "w1").distinct(), masks, cutoff)
     node = F.xxhash64("w0", "w1")
     edges = buckets.groupBy("bucket", "tree").agg(F.min(node).alias("low"), F.collect_set(node).alias("all")).select("low", F.explode("all").alias("a"))
-    groups = components(edges.where("a <> low").select("a", F.col("low").alias("b")).distinct())
+    groups = components(contracted(edges.select("a", F.col("low").alias("b"))))
     own = sids.withColumn("node", node).join(groups.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = own.groupBy("label").count().where("count > 1").select("label")
     own = landed(own.join(several, "label"), "copy-groups")
@@ -273,6 +273,14 @@ def linked(sids: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle:
     return components(landed(links, "copy-links"))
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """(a, b) edges with the same components: each node and its neighbours b are tied to the least of those neighbours,
+    so that the many trees of one group leave few different edges to the steps that follow."""
+    by = edges.groupBy("a").agg(F.min("b").alias("least"), F.collect_set("b").alias("all"))
+    ties = by.select(F.explode(F.array_union("all", F.array("a"))).alias("a"), F.col("least").alias("b"))
+    return ties.where("a <> b").distinct()
+
+
 def joined(left: DataFrame, own: DataFrame, texts: DataFrame, shingle: int, cutoff: int) -> DataFrame:
     """(a, b), a > b: links that join the components (root) of each group's sets, from tiles of two of its `blocks`."""
     rows = left.join(own.select("sid", "w0", "w1"), "sid").join(texts.select("sid", "text"), "sid")
