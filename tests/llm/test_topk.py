@@ -1,6 +1,8 @@
 import math
 import random
 
+import pandas as pd
+
 from tickloom.llm import topk
 
 SCHEMA = "vec_id long, embedding array<double>, score long"
@@ -43,3 +45,31 @@ def test_large_components_stay_exact(spark):
     assert all(s == 2**63 - 1 for *_, s in got)
     rows = [(i, [2.0**20 + i / 256, i - 2.0**19], 0) for i in range(12)]
     assert run(spark, rows, 5, k=3) == brute(rows, 5, 3)
+
+
+def test_repeated_query_blocks_are_not_broadcast(spark):
+    rnd = random.Random(2)
+    rows = [(i, [rnd.gauss(0, 0.3) for _ in range(6)], 0) for i in range(400)]
+    v = topk.quantized(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding")
+    out = topk.search(v.where("vec_id % 50 = 0"), v, 3, tile=2, shard=8)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {tuple(r) for r in out.collect()} == brute(rows, 50, 3)
+
+
+def test_one_list_per_query_block_and_slot():
+    rnd = random.Random(4)
+    vectors = pd.DataFrame({"vec_id": range(120), "dim": 6, "v": [[float(rnd.randrange(-80, 80)) for _ in range(6)] for _ in range(120)]})
+    shards = pd.concat(topk._packed(iter([vectors]), 8))
+    queries = pd.concat(topk._packed(iter([vectors.iloc[:20]]), 10)).assign(q_block=range(2))
+    pairs = queries.rename(columns={"ids": "q_ids", "mat": "q_mat"}).merge(shards, on="dim")
+    out = list(topk._tiles((pairs.iloc[i : i + 4] for i in range(0, len(pairs), 4)), 3))
+    assert [len(f) for f in out] == [30, 30]
+    assert {(r.query_id, r.vec_id, r.score) for f in out for r in f.itertuples()} == {
+        (q, c, s) for q, _, c, s in brute([(i, [x / 256 for x in v]) for i, v in zip(vectors["vec_id"], vectors["v"])], 1, 3) if q < 20}
+
+
+def test_blocks_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 8 * 6 * 10)
+    rows = [pd.DataFrame({"vec_id": range(35), "dim": 6, "v": [[float(i)] * 6 for i in range(35)]})]
+    assert [len(b["ids"].iloc[0]) // 8 for b in topk._packed(iter(rows), 4096)] == [10, 10, 10, 5]

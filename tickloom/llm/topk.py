@@ -2,7 +2,7 @@
 
 Vectors are turned into integers, packed into blocks of one length (`shard` rows of candidates, `tile` rows of
 queries), and every query block meets every shard once. A tile is one matrix product; its k best entries per query
-are selected inside it and, tree-wise, merged: first over the shards that a task holds, then by ranks over the rest.
+are selected inside it and, tree-wise, merged: first over the shards of a slot, then by ranks over the slots.
 
 Products run in double precision where every partial sum stays below 2^53, else in exact integers.
 
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import landed
 
 LOW, HIGH = -(2**63), 2**63 - 1
+# Shards that may share a slot, and bytes of a block's vectors: a task holds one slot's shards while query blocks pass.
+SLOT_SHARDS, BLOCK_BYTES = 32, 1 << 23
 
 
 def quantized(vectors: DataFrame, vec_id: str, vector: str, factor: int = 256) -> DataFrame:
@@ -43,12 +45,16 @@ def _packed(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame
             ids, mat = part["vec_id"].to_numpy(), np.array(part["v"].tolist(), dtype=np.float64).reshape(len(part), dim)
             held = waiting.setdefault(dim, [])
             held.append((ids, mat))
-            if sum(len(i) for i, _ in held) >= rows:
-                yield from _blocks(dim, held, rows)
+            if sum(len(i) for i, _ in held) >= _block_rows(dim, rows):
+                yield from _blocks(dim, held, _block_rows(dim, rows))
                 waiting[dim] = []
     for dim, held in waiting.items():
         if held:
-            yield from _blocks(dim, held, rows)
+            yield from _blocks(dim, held, _block_rows(dim, rows))
+
+
+def _block_rows(dim: int, rows: int) -> int:
+    return max(1, min(rows, BLOCK_BYTES // (8 * max(1, dim))))
 
 
 def _blocks(dim: int, held: list, rows: int) -> Iterator[pd.DataFrame]:
@@ -98,33 +104,44 @@ def selected(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tu
     return r[keep], ids[c[keep]], s[keep]
 
 
+def _best(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    merged = pd.concat(parts).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
+    return merged[merged.groupby("query_id").cumcount() < k]
+
+
 def _tiles(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """One (query block, shard) product per row, k best each; the lists of equal queries that follow each other merge."""
+    """One (query block, shard) product per row, k best each; the lists of a query block that meets shard after shard merge."""
+    block, found = None, []
     for batch in batches:
-        out = []
-        for dim, q_ids, q_mat, c_ids, c_mat in batch[["dim", "q_ids", "q_mat", "ids", "mat"]].itertuples(index=False):
-            own, q = _unpacked(q_ids, q_mat, dim)
+        for now, dim, q_ids, q_mat, c_ids, c_mat in batch[["q_block", "dim", "q_ids", "q_mat", "ids", "mat"]].itertuples(index=False):
+            if now != block and found:
+                yield _best(found, k)
+                found = []
+            if now != block:
+                block, (own, q) = now, _unpacked(q_ids, q_mat, dim)
             ids, c = _unpacked(c_ids, c_mat, dim)
-            r, found, s = selected(products(q, c), ids, own, k)
-            out.append(pd.DataFrame({"query_id": own[r], "vec_id": found, "score": s}))
-        merged = pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        merged = merged.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
-        yield merged[merged.groupby("query_id").cumcount() < k]
+            r, best, s = selected(products(q, c), ids, own, k)
+            found.append(pd.DataFrame({"query_id": own[r], "vec_id": best, "score": s}))
+            found = [_best(found, k)] if len(found) > 8 else found
+    if found:
+        yield _best(found, k)
 
 
 def search(queries: DataFrame, candidates: DataFrame, k: int = 5, tile: int = 512, shard: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k best candidates; inputs as `quantized` gives them.
 
-    Blocks, not rows, are paired: shards are dealt to as many slots as there are shards, each query block is repeated
-    once per slot, and the two meet by slot and length. What is shuffled is the shards, once, and the queries times
-    the number of shards.
+    Blocks, not rows, are paired: shards are dealt to slots (some for each core, up to 32 shards in one), each query
+    block is repeated once per slot, and the two meet by slot and length. What is shuffled is the shards, once, and the
+    queries times the number of slots. Both sides are sorted, never broadcast: the planner knows the size of the query
+    blocks, not that they are repeated.
     """
     shards = packed(candidates, shard)
-    slots = max(1, shards.count())
-    shards = shards.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)))
+    n = shards.count()
+    slots = max(1, min(n, max(3 * candidates.sparkSession.sparkContext.defaultParallelism, -(-n // SLOT_SHARDS))))
+    shards = shards.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots).cast("long"))).drop("block")
     blocks = packed(queries.dropDuplicates(["vec_id", "v"]), tile)
-    blocks = blocks.select("dim", F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"))
-    pairs = blocks.join(shards, ["dim", "slot"])
+    blocks = blocks.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"))
+    pairs = blocks.join(shards.hint("merge"), ["dim", "slot"])
     best = pairs.mapInPandas(lambda it: _tiles(it, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
