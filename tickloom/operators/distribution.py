@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,24 +117,64 @@ def _draw(seed: int) -> Column:
     return F.xxhash64(F.lit(seed).cast("long"), F.col("sim").cast("long"), F.col("_i").cast("long"))
 
 
-# Trades of a piece, as a power of two: what is dealt, hashed and sorted at once.
+# Trades of a piece, as a power of two: what is packed, hashed and sorted at once.
 PIECE_BITS = 16
+# Trades that are hashed at once (their numbers stay in a core's cache), that are counted into buckets at once, and that
+# are sorted at once; bytes of the buckets' numbers kept for several simulations at once.
+HASHED, COUNTED, SORTED, KEPT_BYTES = 1 << 15, 1 << 19, 1 << 21, 100_000_000
+# Shape of the drawn values that run side by side: a row for each step, a column for each stretch of the path.
+STEPS, STRETCHES = 32, 4096
+# Keys of fewer trades run through their whole paths.
+FEW = 4096
 
 # The five primes of XXH64.
 P1, P2, P3, P4, P5 = (np.uint64(p) for p in (
     0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
+def _rounds(x: np.ndarray) -> np.ndarray:
+    """The part of XXH64 of 64-bit numbers that does not depend on the hash so far; ``x`` is overwritten."""
+    x *= P2
+    low = x >> np.uint64(33)
+    x <<= np.uint64(31)
+    x |= low
+    x *= P1
+    return x
+
+
+def _mixed(rounds: np.ndarray, seed: np.ndarray, out: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """XXH64 into ``out`` from ``_rounds`` and the hash so far; ``other`` is scratch of the same length."""
+    np.bitwise_xor(rounds, seed + P5 + np.uint64(8), out=out)
+    np.right_shift(out, np.uint64(37), out=other)
+    out <<= np.uint64(27)
+    out |= other
+    out *= P1
+    out += P4
+    for bits, prime in ((33, P2), (29, P3)):
+        np.right_shift(out, np.uint64(bits), out=other)
+        out ^= other
+        out *= prime
+    np.right_shift(out, np.uint64(32), out=other)
+    out ^= other
+    return out
+
+
 def hashed_longs(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
     """XXH64 of 64-bit numbers, as ``xxhash64`` computes it column by column; ``seed`` holds the hash so far."""
-    def turned(v: np.ndarray, bits: int) -> np.ndarray:
-        return (v << np.uint64(bits)) | (v >> np.uint64(64 - bits))
+    rounds = _rounds(x.copy())
+    return _mixed(rounds, seed, np.empty_like(rounds), np.empty_like(rounds))
+
+
+def _begins(seed: int, sims: Sequence[int]) -> list[np.ndarray]:
+    """The hash of seed and simulation, for each simulation."""
+    base = hashed_longs(np.array([seed], np.int64).view(np.uint64), np.array([42], np.uint64))
+    return [hashed_longs(np.array([sim], np.uint64), base) for sim in sims]
+
 
-    h = (seed + P5 + np.uint64(8)) ^ (turned(x * P2, 31) * P1)
-    h = turned(h, 27) * P1 + P4
-    h = (h ^ (h >> np.uint64(33))) * P2
-    h = (h ^ (h >> np.uint64(29))) * P3
-    return h ^ (h >> np.uint64(32))
+def _ratio(mean: float, dev: float, start: float, annual: float, compound: bool) -> float:
+    if compound:
+        return mean / dev * math.sqrt(annual) if dev > 0 else 0.0
+    return mean / start / (dev / start + 1e-9) * math.sqrt(annual)
 
 
 def _path_figures(parts: Iterable[np.ndarray], start: float, annual: float, compound: bool) -> tuple[float, float, float]:
@@ -161,36 +203,26 @@ def _path_figures(parts: Iterable[np.ndarray], start: float, annual: float, comp
         else:
             fall = ((tops - eq) / tops).max()
             worst = fall if worst is None else np.maximum(worst, fall)
-    dev = math.sqrt(square / n)
-    if compound:
-        return (mean / dev * math.sqrt(annual) if dev > 0 else 0.0), worst, eq[-1] - 1
-    return mean / start / (dev / start + 1e-9) * math.sqrt(annual), worst, total / start
+    return _ratio(mean, math.sqrt(square / n), start, annual, compound), worst, eq[-1] - 1 if compound else total / start
 
 
 def _shuffled(pnl: np.ndarray, drawn: Callable[[int, int], np.ndarray]) -> Iterator[np.ndarray]:
-    """The values by ascending signed random number, a piece of the numbers' range at a time, so that only pieces are sorted."""
-    n = len(pnl)
-    bits = min(12, max(0, (n - 1).bit_length() - PIECE_BITS))
-    if not bits:
+    """The values by ascending signed random number, a range of the numbers at a time, so that only ranges are held and sorted."""
+    n, ranges = len(pnl), -(-len(pnl) // SORTED)
+    if n <= 1 << PIECE_BITS:
         yield pnl[np.argsort(drawn(0, n).view(np.int64), kind="stable")]
         return
-    top = np.empty(n, np.uint16)
-    for lo in range(0, n, 1 << PIECE_BITS):
-        u = drawn(lo, min(n, lo + (1 << PIECE_BITS))) ^ np.uint64(1 << 63)
-        top[lo : lo + len(u)] = u >> np.uint64(64 - bits)
-    ends = np.cumsum(np.bincount(top, minlength=1 << bits))
-    at, keys, values = np.concatenate([[0], ends[:-1]]), np.empty(n, np.uint64), np.empty(n)
-    for lo in range(0, n, 1 << PIECE_BITS):
-        hi = min(n, lo + (1 << PIECE_BITS))
-        u, part = drawn(lo, hi) ^ np.uint64(1 << 63), top[lo:hi]
-        order = np.argsort(part, kind="stable")
-        counts = np.bincount(part, minlength=1 << bits)
-        to = np.repeat(at - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(hi - lo)
-        keys[to], values[to] = u[order], pnl[lo:hi][order]
-        at = at + counts
-    for lo, hi in zip([0, *ends[:-1]], ends):
-        if hi > lo:
-            yield values[lo:hi][np.argsort(keys[lo:hi], kind="stable")]
+    for r in range(ranges):
+        first, last = np.uint64((r << 64) // ranges), np.uint64(((r + 1 << 64) // ranges) - 1)
+        keys, values = [], []
+        for lo in range(0, n, 1 << PIECE_BITS):
+            u = drawn(lo, min(n, lo + (1 << PIECE_BITS))) ^ np.uint64(1 << 63)
+            own = np.flatnonzero((u >= first) & (u <= last))
+            keys.append(u[own])
+            values.append(pnl[lo + own])
+        order = np.argsort(np.concatenate(keys), kind="stable")
+        if len(order):
+            yield np.concatenate(values)[order]
 
 
 def _drawn_again(pnl: np.ndarray, drawn: Callable[[int, int], np.ndarray]) -> Iterator[np.ndarray]:
@@ -201,52 +233,256 @@ def _drawn_again(pnl: np.ndarray, drawn: Callable[[int, int], np.ndarray]) -> It
         yield pnl[np.floor((u >> np.uint64(11)) / float(1 << 53) * n).astype(np.int64)]
 
 
+def _moments(pnl: np.ndarray) -> tuple[float, float]:
+    """Mean and population deviation, piece by piece."""
+    n, mean, square = 0, 0.0, 0.0
+    for lo in range(0, len(pnl), COUNTED):
+        part = pnl[lo : lo + COUNTED]
+        k, step = len(part), part.mean() - mean
+        square += part.var() * k + step * step * n * k / (n + k)
+        mean, n = mean + step * k / (n + k), n + k
+    return mean, math.sqrt(square / n)
+
+
+def _bucket_bits(n: int) -> int:
+    return min(16, max(1, n.bit_length() - 6))
+
+
+def _counted(pnl: np.ndarray, begins: Sequence[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each simulation: the bucket of each trade, by the first bits of its random number, and by bucket the sum of the values and of their sizes."""
+    n, sign = len(pnl), np.uint64(1 << (bits - 1))
+    buckets = np.empty((len(begins), n), np.uint16)
+    sums, sizes = np.zeros((len(begins), 1 << bits)), np.zeros((len(begins), 1 << bits))
+    out, other, at = np.empty(HASHED, np.uint64), np.empty(HASHED, np.uint64), np.empty(COUNTED, np.int64)
+    for lo in range(0, n, COUNTED):
+        hi = min(n, lo + COUNTED)
+        rounds, size = np.empty(hi - lo, np.uint64), np.abs(pnl[lo:hi])
+        for a in range(lo, hi, HASHED):
+            b = min(hi, a + HASHED)
+            rounds[a - lo : b - lo] = _rounds(np.arange(a + 1, b + 1, dtype=np.uint64))
+        for k, begin in enumerate(begins):
+            for a in range(0, hi - lo, HASHED):
+                b = min(hi - lo, a + HASHED)
+                u = _mixed(rounds[a:b], begin, out[: b - a], other[: b - a])
+                np.right_shift(u, np.uint64(64 - bits), out=u)
+                np.bitwise_xor(u, sign, out=at[a:b].view(np.uint64))
+            buckets[k, lo:hi] = at[: hi - lo]
+            sums[k] += np.bincount(at[: hi - lo], weights=pnl[lo:hi], minlength=1 << bits)
+            sizes[k] += np.bincount(at[: hi - lo], weights=size, minlength=1 << bits)
+    return buckets, sums, sizes
+
+
+def _worst_fall(pnl: np.ndarray, begin: np.ndarray, buckets: np.ndarray, sums: np.ndarray, sizes: np.ndarray, start: float) -> float:
+    """Largest drawdown of the values in the order of their random numbers, exactly, sorting only what can decide it.
+
+    The equity between two buckets is known from their sums, and within a bucket it stays between its start less the
+    losses and its start plus the gains. Buckets whose lowest point cannot reach the largest fall between buckets, and
+    whose highest point cannot be the peak of one that can, are passed over; all others are put in order.
+    """
+    bits = len(sums).bit_length() - 1
+    ends = start + np.cumsum(sums)
+    begun = np.concatenate([[start], ends[:-1]])
+    low, high = begun - (sizes - sums) / 2, begun + (sizes + sums) / 2
+    slack = 1e-9 * (start + np.abs(ends).max() + sizes.max())
+    low, high = low - slack, high + slack
+    least = np.maximum.accumulate(begun)
+    most = np.maximum.accumulate(high)
+    top = np.maximum(least, ends)
+    known = max(0.0, (1 - np.maximum(ends / top, ends / most)).max() - 1e-9)
+    reach = 1 - np.minimum(low / most, low / least)
+    deep = (sizes > 0) & (reach >= known)
+    at = np.flatnonzero(deep)
+    if not len(at):
+        return 0.0
+    behind = np.searchsorted(at, np.arange(len(sums)), side="right")
+    limit = np.append(least[at], np.inf)[behind]
+    wanted = deep | ((sizes > 0) & (high >= limit))
+    chosen, each = np.flatnonzero(wanted), max(1, SORTED * len(sums) // len(pnl))
+    worst, peak = 0.0, start
+    for lo in range(0, len(chosen), each):
+        some = np.zeros(len(sums), bool)
+        some[chosen[lo : lo + each]] = True
+        index = np.concatenate([a + np.flatnonzero(some[buckets[a : a + COUNTED]]) for a in range(0, len(pnl), COUNTED)])
+        u = hashed_longs((index + 1).astype(np.uint64), begin) ^ np.uint64(1 << 63)
+        order = np.argsort(u)
+        if (u[order[1:]] == u[order[:-1]]).any():
+            order = np.argsort(u, kind="stable")
+        own, values = buckets[index[order]], pnl[index[order]]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        run = np.cumsum(values)
+        equity = run + np.repeat(begun[own[first]] - (run[first] - values[first]), np.diff(np.append(first, len(own))))
+        tops = np.maximum(np.maximum.accumulate(equity), peak)
+        peak = tops[-1]
+        tops = np.maximum(tops, least[own])
+        worst = max(worst, ((tops - equity) / tops)[deep[own]].max(initial=0.0))
+    return worst
+
+
+def _shuffled_figures(pnl: np.ndarray, begins: Sequence[np.ndarray], start: float, annual: float) -> Iterator[tuple[float, float, float]]:
+    """Figures of reordered values; mean, deviation and sum do not depend on the order."""
+    mean, dev = _moments(pnl)
+    ratio, total, bits = _ratio(mean, dev, start, annual, False), mean * len(pnl) / start, _bucket_bits(len(pnl))
+    together = int(max(1, min(16, KEPT_BYTES // (2 * len(pnl)))))
+    for lo in range(0, len(begins), together):
+        some = begins[lo : lo + together]
+        for begin, *counted in zip(some, *_counted(pnl, some, bits), strict=True):
+            yield ratio, _worst_fall(pnl, begin, *counted, start), total
+
+
+def _drawn_figures(pnl: np.ndarray, begins: Sequence[np.ndarray], annual: float) -> Iterator[tuple[float, float, float]]:
+    """Figures of values drawn with replacement and compounded, all of them above -1.
+
+    In logarithms a fall is a difference, so stretches of values run side by side, each for its sum, its highest and
+    lowest point and its largest fall, and meet in order afterwards.
+    """
+    n = len(pnl)
+    side = min(STRETCHES, -(-n // STEPS))
+    whole = STEPS * side
+    # Deviations are summed from a value near the middle, so that draws of one value have none.
+    few = pnl[:: -(-n // FEW)]
+    mid = np.partition(few, len(few) // 2)[len(few) // 2]
+    scale = np.float64(n) * 2.0**-53
+    out, other = np.empty(whole, np.uint64), np.empty(whole, np.uint64)
+    drawn, spread = np.empty((STEPS, side)), np.empty((STEPS, side))
+    # The trade of each place: stretches are columns, so one step of all of them lies together.
+    places = (np.arange(STEPS, dtype=np.uint64)[:, None] + np.arange(side, dtype=np.uint64)[None, :] * np.uint64(STEPS)).ravel()
+    carried = [[0.0, -math.inf, 0.0, 0.0, 0.0] for _ in begins]
+    for lo in range(0, n, whole):
+        rounds = _rounds(places + np.uint64(lo + 1))
+        left = (places >= np.uint64(n - lo)).reshape(STEPS, side) if n - lo < whole else None
+        for begin, state in zip(begins, carried, strict=True):
+            for a in range(0, whole, HASHED):
+                u = _mixed(rounds[a : a + HASHED], begin, out[a : a + HASHED], other[a : a + HASHED])
+                u >>= np.uint64(11)
+                x = other[a : a + HASHED].view(np.float64)
+                np.multiply(u.view(np.int64), scale, out=x)
+                np.take(pnl, x.astype(np.int64), out=drawn.reshape(-1)[a : a + HASHED], mode="clip")
+            np.subtract(drawn, mid, out=spread)
+            np.log1p(drawn, out=drawn)
+            if left is not None:
+                spread[left] = drawn[left] = 0.0
+            base, peak, worst, shift, square = state
+            flat = spread.reshape(-1)
+            shift, square = shift + flat.sum(), square + flat @ flat
+            run = drawn[0].copy()
+            top, bottom, fall, gap = run.copy(), run.copy(), np.zeros(side), np.empty(side)
+            for step in drawn[1:]:
+                run += step
+                np.maximum(top, run, out=top)
+                np.minimum(bottom, run, out=bottom)
+                np.subtract(run, top, out=gap)
+                np.minimum(fall, gap, out=fall)
+            ends = base + np.cumsum(run)
+            begun = np.concatenate([[base], ends[:-1]])
+            tops = np.maximum(np.maximum.accumulate(begun + top), peak)
+            before = np.concatenate([[peak], tops[:-1]])
+            worst = min(worst, fall.min(), (begun + bottom - before)[np.isfinite(before)].min(initial=0.0))
+            state[:] = ends[-1], tops[-1], worst, shift, square
+    for total, _, worst, shift, square in carried:
+        dev = math.sqrt(max(square / n - (shift / n) ** 2, 0.0))
+        with np.errstate(over="ignore"):
+            yield _ratio(mid + shift / n, dev, 1.0, annual, True), math.expm1(worst), float(np.expm1(total))
+
+
+def _figures(pnl: np.ndarray, sims: Sequence[int], method: str, seed: int, start: float, annual: float, compound: bool) -> list[tuple]:
+    """(sim, Sharpe, largest drawdown, total return) of each simulation of one key."""
+    begins, many = _begins(seed, sims), len(pnl) > FEW and bool(np.isfinite(pnl.sum()))
+    if many and method == "shuffle" and not compound and start > 0:
+        found = _shuffled_figures(pnl, begins, start, annual)
+    elif many and method != "shuffle" and compound and pnl.min() > -1:
+        found = _drawn_figures(pnl, begins, annual)
+    else:
+        def path(begin):
+            drawn = lambda lo, hi: hashed_longs(np.arange(lo + 1, hi + 1, dtype=np.uint64), begin)
+            return _shuffled(pnl, drawn) if method == "shuffle" else _drawn_again(pnl, drawn)
+        found = (_path_figures(path(begin), start, annual, compound) for begin in begins)
+    return [(sim, *figures) for sim, figures in zip(sims, found, strict=True)]
+
+
+def _packed(batches: Iterator[pa.RecordBatch], keys: Sequence[str], value: str) -> Iterator[pa.RecordBatch]:
+    """Values of sorted rows as plain numbers, in pieces of one key each."""
+    def piece():
+        values = np.concatenate(held)
+        return pa.RecordBatch.from_arrays([*own, pa.array([len(values)], pa.int64()), pa.array([values.tobytes()], pa.binary())], names=[*keys, "_count", "_values"])
+
+    own, held, n = None, [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns, values = [batch.column(batch.schema.get_field_index(k)) for k in keys], batch.column(batch.schema.get_field_index(value)).to_numpy(zero_copy_only=False)
+        turns = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            turns[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        cuts = [0, *np.flatnonzero(turns), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            now = [c.slice(lo, 1) for c in columns]
+            if held and (n >= 1 << PIECE_BITS or any(a != b for a, b in zip(own, now))):
+                yield piece()
+                held, n = [], 0
+            own, held, n = now, [*held, values[lo:hi]], n + hi - lo
+    if held:
+        yield piece()
+
+
 def simulations(trades: DataFrame, keys: Sequence[str], trade_id: str, value: str, n_sims: int, method: str = "shuffle",
                 seed: int = 42, start: float = 10_000.0, annual: float = 252.0, compound: bool = False,
-                held: int = 1 << 24, chunk: int = 50) -> DataFrame:
+                held: int = 1 << 22, chunk: int | None = None) -> DataFrame:
     """Sharpe, largest drawdown and total return of every simulated path: (keys, sim, sharpe, max_dd, total_return).
 
-    The trades of a key, packed as plain numbers, are dealt once for each ``chunk`` of simulations, and a task reorders
-    or draws them in memory, some 30 bytes a trade. Keys of more than ``held`` trades run as sorted series instead
-    (``simulated_paths``), from the same random numbers, and write every trade of every path. Trades without a value or
-    without a key take no part.
+    The trades are sorted once and packed as plain numbers; a task reorders or draws those of one key in memory, 8 bytes a
+    trade and what it sorts, for ``chunk`` of the simulations (by default so many that there are four tasks a core). The
+    numbers of keys of up to ``held`` trades are dealt to their tasks, those of longer keys are read from the packed table
+    by each task. No path is written. Trades without a value or without a key take no part.
     """
-    keys = list(keys)
-    trades = trades.where(F.col(value).isNotNull()).select(*keys, trade_id, value)
+    keys, spark = list(keys), trades.sparkSession
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, value)])
+    trades = trades.where(known).select(*keys, trade_id, value)
     sizes = landed(trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "sizes")
-    long_keys = sizes.where(F.col("_n") > held).select(*keys)
-    rows = Series.of(lookup(trades.withColumnRenamed(value, "pnl"), sizes.where(F.col("_n") <= held), keys), keys, [trade_id]).indexed("_i").df
-    chunks = -(-n_sims // chunk)
+    rows = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    tasks = min(512, 4 * spark.sparkContext.defaultParallelism)
+    even = F.greatest(F.lit(1), F.ceil(F.col("_n") * tasks / max(rows, 1)))
+    share = (F.lit(-(-n_sims // chunk)) if chunk else F.least(F.lit(n_sims), even)).cast("int").alias("_chunks")
     kept = ", ".join(f"`{k}` {trades.schema[k].dataType.simpleString()}" for k in keys)
-    few = rows.select(*keys, F.shiftright(F.col("_i") - 1, PIECE_BITS).alias("_piece"), "_i", F.col("pnl").cast("double").alias("pnl"))
-
-    def packed(key: tuple, table: pa.Table) -> pa.Table:
-        values = table.column("pnl").to_numpy()[np.argsort(table.column("_i").to_numpy())]
-        return pa.table([*(pa.array([k.as_py()], k.type) for k in key), pa.array([values.tobytes()], pa.binary())], names=[*keys, "_piece", "_values"])
-
-    pieces = few.groupBy(*keys, "_piece").applyInArrow(packed, f"{kept}, _piece long, _values binary")
-    fan = pieces.select("*", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"))
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        blobs, order = table.column("_values"), np.argsort(table.column("_piece").to_numpy())
-        pnl = np.concatenate([np.frombuffer(blobs[int(k)].as_buffer(), float) for k in order])
-        first = key[-1].as_py() * chunk + 1
-        found = []
-        base = hashed_longs(np.array([seed], np.int64).view(np.uint64), np.array([42], np.uint64))
-        for sim in range(first, min(first + chunk, n_sims + 1)):
-            begin = hashed_longs(np.array([sim], np.uint64), base)
-            drawn = lambda lo, hi, begin=begin: hashed_longs(np.arange(lo + 1, hi + 1, dtype=np.uint64), begin)
-            path = _shuffled(pnl, drawn) if method == "shuffle" else _drawn_again(pnl, drawn)
-            found.append((sim, *_path_figures(path, start, annual, compound)))
-        sims, *figures = zip(*found, strict=True)
-        named = [pa.array([k.as_py()] * len(sims), k.type) for k in key[:-1]]
-        return pa.table([*named, pa.array(sims, pa.int32()), *(pa.array(f, pa.float64()) for f in figures)],
+    # Ranges of at most a million rows, so that sorting one does not spill.
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // (1 << 20)))
+    ranged = trades.withColumn(value, F.col(value).cast("double")).repartitionByRange(ranges, *keys, trade_id).sortWithinPartitions(*keys, trade_id)
+    pieces = ranged.select(*keys, value).mapInArrow(lambda it: _packed(it, keys, value), f"{kept}, _count long, _values binary")
+    pieces = landed(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    result = f"{kept}, sim int, sharpe double, max_dd double, total_return double"
+
+    def figures(key: Sequence[pa.Array], pnl: np.ndarray, part: int, parts: int) -> pa.Table:
+        sims = range(part * n_sims // parts + 1, (part + 1) * n_sims // parts + 1)
+        sims, *found = zip(*_figures(pnl, sims, method, seed, start, annual, compound), strict=True)
+        named = [pa.concat_arrays([k] * len(sims)) for k in key]
+        return pa.table([*named, pa.array(sims, pa.int32()), *(pa.array(f, pa.float64()) for f in found)],
                         names=[*keys, "sim", "sharpe", "max_dd", "total_return"])
 
-    out = fan.groupBy(*keys, "_chunk").applyInArrow(run, f"{kept}, sim int, sharpe double, max_dd double, total_return double")
-    if long_keys.limit(1).count():
-        paths, names = simulated_paths(lookup(trades, long_keys, keys), keys, trade_id, value, n_sims, method, seed)
-        out = out.unionByName(simulate(paths, names, start, annual, compound).withColumn("sim", F.col("sim").cast("int")))
+    def dealt(key: tuple, table: pa.Table) -> pa.Table:
+        blobs, order = table.column("_values"), np.argsort(table.column("_row").to_numpy())
+        pnl = np.concatenate([np.frombuffer(blobs[int(k)].as_buffer(), float) for k in order])
+        return figures([pa.array([k.as_py()], k.type) for k in key[:-2]], pnl, key[-2].as_py(), key[-1].as_py())
+
+    few = lookup(pieces, sizes.where(F.col("_n") <= held).select(*keys, share), keys)
+    fan = few.select("*", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"))
+    out = fan.select(*keys, "_chunk", "_chunks", "_row", "_values").groupBy(*keys, "_chunk", "_chunks").applyInArrow(dealt, result)
+
+    long_keys = sizes.where(F.col("_n") > held).select(*keys, "_n", share).collect()
+    for key in long_keys:
+        of = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(key[k]).cast(trades.schema[k].dataType)) for k in keys])
+        placed = pieces.where(of).select("_row", "_count").orderBy("_row").collect()
+        starts = dict(zip([r["_row"] for r in placed], np.cumsum([0, *[r["_count"] for r in placed]]).tolist()))
+
+        for part in range(key["_chunks"]):
+            def read(batches: Iterator[pa.RecordBatch], n=key["_n"], starts=starts, part=part, parts=key["_chunks"]) -> Iterator[pa.RecordBatch]:
+                pnl, named = np.empty(n), None
+                for batch in batches:
+                    for k, row in enumerate(batch.column(batch.schema.get_field_index("_row")).to_pylist()):
+                        values = np.frombuffer(batch.column(batch.schema.get_field_index("_values"))[k].as_buffer(), float)
+                        pnl[starts[row] : starts[row] + len(values)] = values
+                        named = named or [batch.column(batch.schema.get_field_index(c)).slice(k, 1) for c in keys]
+                if named:
+                    yield from figures(named, pnl, part, parts).to_batches()
+            out = out.unionByName(pieces.where(of).select(*keys, "_row", "_values").coalesce(1).mapInArrow(read, result))
     return out
 
 
