@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.core import series
-from tickloom.core.series import Series
+from tickloom.core.series import Carry, Series, add
 from tickloom.operators import distribution as D, performance as P, risk as R
 from tickloom.streaming import guards as G
 
@@ -69,6 +69,37 @@ def test_rows_of_carries_are_dealt_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_reward_deals_rows_once(spark):
+    t = _trades(spark).withColumn("cost", F.lit(0.1))
+    s = P.risk_adjusted_reward(P.equity_curve(Series.of(t, ["strategy"], ["ts"]).lending(P.REWARD_LOOK_BACK)))
+    plan = s.df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_sums_deal_rows_once(spark):
+    s = series.windowed_sums(Series.of(_trades(spark), ["strategy"], ["ts"]), {"w": (F.col("pnl"), 7)})
+    assert s.df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("rows, lent", [(16, 16), (64, 40), (100, 14), (10_000, 30)])
+def test_lent_rows_give_the_same_values(spark, rows, lent):
+    """Carries, steps that use up the lent rows, and all that cannot use them."""
+    t = _trades(spark, 300).withColumn("x", F.when(F.col("ts") % 7 != 0, F.col("pnl")))
+    def run(s):
+        s = s.apply(Carry({"s": ("sum", F.col("x")), "n": ("count", F.col("x")), "hi": ("max", F.col("x")), "lo": ("min", F.col("x")), "l": ("last", F.col("x"))}))
+        s = s.map(lambda f: f.withColumn("d", F.col("hi") - F.col("s"))).apply(Carry({"top": ("max", F.col("d"))}))
+        s = s.apply(add(4, lambda w: {"back": F.lag("top", 4).over(w)}))
+        s = series.windowed_sums(s, {"w": (F.col("d"), 5)})
+        s = s.apply(Carry({"late": ("sum", F.col("w"))}), add(0, lambda w: {"next": F.lead("late", 2).over(w)}, after=2), Carry({"rs": ("sum", F.col("x"))}, reverse=True))
+        return {(r.strategy, r.ts): r for r in s.indexed().df.collect()}
+    want = run(Series.of(t, ["strategy"], ["ts"], rows))
+    got = run(Series.of(t, ["strategy"], ["ts"], rows).lending(lent))
+    assert got.keys() == want.keys() and len(got) == 900
+    for k, r in want.items():
+        assert got[k].asDict().keys() == r.asDict().keys()
+        assert all((a is None) == (b is None) and (a == b or a == pytest.approx(b, rel=1e-9, abs=1e-9)) for a, b in zip(r, (got[k][c] for c in r.asDict())))
+
+
 def _falls(rows, rule):
     """First row whose window's drawdown is over the limit, by a plain loop: (ts, drawdown)."""
     half = -(-rule.window // 2)

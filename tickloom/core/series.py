@@ -133,6 +133,11 @@ class Series:
         """Row number within the key, from 1."""
         return self.map(lambda f: f.withColumn(name, F.col("_rn")))
 
+    def lending(self, before: int) -> Series:
+        """The same series, dealt once with the ``before`` rows that each block borrows, for carries and steps that follow."""
+        f, rows = self._lent(before, 0)
+        return LentSeries(f.drop("_home"), self, before, before) if 0 < before and rows == self.block_rows else self
+
     def _lent(self, before: int, after: int) -> tuple[DataFrame, int]:
         """Rows with the blocks that use them (_blk) and the one they belong to (_home), and the rows of a block."""
         rows = max(self.block_rows, before, after)
@@ -144,7 +149,8 @@ class Series:
     def _windows(self, steps: list[Step]) -> Series:
         w = Window.partitionBy(*self.keys, "_blk").orderBy("_rn")
         f, rows = self._lent(sum(s.before for s in steps), sum(s.after for s in steps))
-        f = reduce(lambda g, s: s.fn(g, w), steps, f).where(F.col("_blk") == F.col("_home")).drop("_home")
+        # Dealt here, so that a step whose first window is finer than a block does not deal the rows twice.
+        f = reduce(lambda g, s: s.fn(g, w), steps, f.repartition(*self.keys, "_blk")).where(F.col("_blk") == F.col("_home")).drop("_home")
         laid = rows == self.block_rows
         f = f.drop("_own").withColumnRenamed("_blk", "_own") if laid else f.drop("_blk")
         return self._dealt(f, self.passes + 1, laid)
@@ -198,6 +204,56 @@ class Series:
         return self._dealt(out, self.passes + (not self.laid), True)
 
 
+class LentSeries(Series):
+    """A series whose blocks (``_blk``) already hold the rows they borrow from the block before (``_own``).
+
+    Carries start at the first borrowed row, so that steps after them find carried values in the borrowed rows too, and
+    nothing is dealt again. Steps use up the borrowed rows; what looks further, ahead or runs backwards goes by ``frame``.
+    """
+
+    def __init__(self, wide: DataFrame, like: Series, dealt: int, before: int):
+        self.wide, self.keys, self.order, self.block_rows = wide, like.keys, like.order, like.block_rows
+        # Rows that a block holds of the one before, and how many of them have all their columns.
+        self.dealt, self.before, self.passes, self.laid = dealt, before, 1, True
+
+    @property
+    def frame(self) -> DataFrame:
+        return self.wide.where(F.col("_blk") == F.col("_own")).drop("_own").withColumnRenamed("_blk", "_own")
+
+    def map(self, fn: Callable[[DataFrame], DataFrame]) -> Series:
+        wide = fn(self.wide)
+        return LentSeries(wide, self, self.dealt, self.before) if {"_blk", "_own", "_rn"} <= set(wide.columns) else super().map(fn)
+
+    def _windows(self, steps: list[Step]) -> Series:
+        before = sum(s.before for s in steps)
+        if before > self.before or any(s.after for s in steps):
+            return super()._windows(steps)
+        w = Window.partitionBy(*self.keys, "_blk").orderBy("_rn")
+        return LentSeries(reduce(lambda g, s: s.fn(g, w), steps, self.wide), self, self.dealt, self.before - before)
+
+    def _carry(self, carry: Carry) -> Series:
+        if carry.reverse or self.before < self.dealt:
+            return super()._carry(carry)
+        f = self.wide
+        w = Window.partitionBy(*self.keys, "_blk").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
+        own = f.withColumns({f"_own_{n}": _running(k, x).over(w) for n, (k, x) in carry.aggs.items()})
+        # Totals of the rows that a block lends and of those before them: a block begins where the one before it lends.
+        lends = F.pmod(F.col("_rn") - 1, F.lit(self.block_rows)) >= self.block_rows - self.dealt
+        totals = f.where(F.col("_blk") == F.col("_own")).groupBy(*self.keys, "_own", lends.alias("_lends")).agg(*[
+            (F.max_by(x, F.when(x.isNotNull(), F.col("_rn"))) if k == "last" else _running(k, x))
+            .alias(f"_tot_{n}") for n, (k, x) in carry.aggs.items()])
+        past = Window.partitionBy(*self.keys).orderBy("_own", "_lends").rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.select(*self.keys, (F.col("_own") + 1).alias("_blk"), "_lends", *[
+            _running("sum" if k == "count" else k, F.col(f"_tot_{n}")).over(past).alias(f"_in_{n}")
+            for n, (k, _) in carry.aggs.items()])
+        totals = landed(totals.where("_lends").drop("_lends"), "totals")
+        joined = own.join(totals, same(own, totals, [*self.keys, "_blk"]), "left")
+        out = joined.select(
+            *[own[c] for c in f.columns],
+            *[_merge(k, F.col(f"_in_{n}"), F.col(f"_own_{n}")).alias(n) for n, (k, _) in carry.aggs.items()])
+        return LentSeries(out, self, self.dealt, self.before)
+
+
 def rolling(agg: Callable[[Column], Column], x: Column, w: WindowSpec, rows: int,
             min_periods: int | None = None) -> Column:
     """Aggregate of the last ``rows`` rows; null until enough of them are non-null."""

@@ -259,11 +259,15 @@ def rolling_trade_stats(s: Series, win: int = 100, sharpe_rows: int = 200, rate_
         .drop("_i", "_won", "_pn", "_ps", "_pq", "_from"))
 
 
+# Rows that ``risk_adjusted_reward`` looks back by default: a run of its window and the one before it.
+REWARD_LOOK_BACK = 200
+
+
 def risk_adjusted_reward(s: Series, window: int = 100, risk_free: float = 0.05 / 252, annual: float = 252.0,
                          dd_penalty: float = 0.5, cost_penalty: float = 0.3) -> Series:
     """Rolling Sharpe of pnl - cost, less penalties for drawdown and cost; 0 on the first row.
 
-    Needs pnl, cost, equity; the peak starts at 1.
+    Needs pnl, cost, equity; the peak starts at 1. A series that lends two windows of rows is not dealt again.
     """
     s = s.map(lambda f: f.withColumn("_net", F.col("pnl") - F.col("cost")))
     s = s.apply(Carry({"_peak": ("max", F.greatest(F.col("equity"), F.lit(1.0)))}))

@@ -214,7 +214,7 @@ def monitoring_snapshot(spark, sf):
     SELECT strategy, ts, trade_id, CASE WHEN k < 2 THEN 0 ELSE ratio - 0.5 * greatest((greatest(pk, 1) - equity / {START}) / greatest(pk, 1), 0) - 0.3::DOUBLE * abs(cost) END AS reward FROM q""",
        "strategy, ts, trade_id", 6)
 def risk_adjusted_reward(spark, sf):
-    s = P.equity_curve(A.trade_series(spark, sf, "pnl", "cost"), start=START)
+    s = P.equity_curve(A.trade_series(spark, sf, "pnl", "cost").lending(P.REWARD_LOOK_BACK), start=START)
     s = s.map(lambda f: f.withColumn("equity", F.col("equity") / START))
     return P.risk_adjusted_reward(s).df.select("strategy", "ts", "trade_id", "reward")
 
