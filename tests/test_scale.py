@@ -152,6 +152,45 @@ def test_guard_over_many_slices(spark):
     assert len(want) > 10 and got == want.tolist()
 
 
+def test_stream_takes_turns(spark, tmp_path):
+    """Rows go through in order once the watermark of the turns before has passed them; state and held rows are tables, by turn."""
+    df = spark.createDataFrame([], "k string, ts timestamp, value double")
+    guard = G.page_hinkley(threshold=3.0, min_rows=2)
+    stream = G.guard_stream(df, guard, ["k"], ["ts"], delay="10 seconds")
+    time = lambda t: (pd.Timestamp("2024-01-01", tz="UTC") + pd.Timedelta(seconds=t)).to_pydatetime()
+    value = lambda t: 2.0 if t % 7 < 3 else -1.0
+    turns = {0: [8, 3, 21], 2: [5, 30, 12], 4: [11, 25, 40, 2, None], 6: [70, 33]}
+    for number, times in turns.items():
+        rows = spark.createDataFrame([(k, None if t is None else time(t), 0.0 if t is None else value(t)) for t in times for k in ("a", None)], df.schema)
+        for _ in range(2 if number in (2, 6) else 1):
+            stream.turn(rows, number, str(tmp_path / "turns"), str(tmp_path / "out"))
+    stream.turn(None, 7, str(tmp_path / "turns"), str(tmp_path / "out"))
+    got = {n: sorted((r.k or "", (r.ts.timestamp() - time(0).timestamp()), r.alarm) for r in spark.read.parquet(f"{tmp_path}/out/turn-{n}").collect()) for n in (2, 4, 6, 7)}
+    # Watermarks of the turns: none, 11, 20, 30 and 60; in turn 4 the rows at 11 and 2 are late.
+    passed = {2: [3, 5, 8], 4: [12], 6: [21, 25, 30], 7: [33, 40]}
+    order = [t for ts in passed.values() for t in ts]
+    alarms = dict(zip(order, guard.advance(guard.initial, [np.array([value(t) for t in order])])[1][0]))
+    assert any(alarms.values())
+    assert got == {n: sorted((k, float(t), bool(alarms[t])) for t in ts for k in ("a", "")) for n, ts in passed.items()}
+
+
+def test_stream_goes_through_in_blocks(spark, tmp_path):
+    n = 3000
+    df = spark.range(n).select(F.lit("a").alias("k"), F.timestamp_seconds("id").alias("ts"), F.when(F.pmod("id", F.lit(79)) < 5, 9.0).otherwise(-1.0).alias("value"))
+    guard = G.page_hinkley(threshold=30.0)
+    stream = G.guard_stream(df, guard, ["k"], ["ts"])
+    spark.conf.set("spark.tickloom.blockRows", "100")
+    try:
+        stream.turn(df.where("ts < timestamp_seconds(1500)"), 0, str(tmp_path / "turns"), str(tmp_path / "out"))
+        stream.turn(df.where("ts >= timestamp_seconds(1500)"), 2, str(tmp_path / "turns"), str(tmp_path / "out"))
+        stream.turn(None, 3, str(tmp_path / "turns"), str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.tickloom.blockRows")
+    got = [r.alarm for r in spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/out").orderBy("ts").collect()]
+    x = np.where(np.arange(n) % 79 < 5, 9.0, -1.0)
+    assert sum(got) > 10 and got == guard.advance(guard.initial, [x])[1][0].tolist()
+
+
 # --- order slices -----------------------------------------------------------------------
 
 def test_trajectory_once_for_each_number_of_slices(spark):

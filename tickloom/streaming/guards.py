@@ -8,21 +8,21 @@ The batch form cuts a key into blocks and runs all blocks at once, each from a g
 predecessor ended in another state than it was given runs again, until none does. Guards forget: after a halt,
 a new day, an alarm or a quiet gap the state no longer depends on where the block began, so few blocks run
 again, and no key is one task. A task passes over its sorted blocks a slice at a time, so its Python process
-holds a few slices however long the blocks are. The stream form keeps the state and the rows that may still be overtaken in
-Spark's state store and lets go only of rows that the watermark has passed, in order.
+holds a few slices however long the blocks are. The stream form writes the rows of each micro-batch once, sorted by time,
+and sends those that the watermark has passed through the same blocks, from the state in which the batch before left each key.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from tickloom.core.series import Carry, Series, add
 from tickloom.core.storage import landed
@@ -91,6 +91,14 @@ def guard_batch(df: DataFrame, guard: Guard, keys: Sequence[str], order: Sequenc
 
 def run_guard(s: Series, guard: Guard) -> DataFrame:
     """Run a guard over a series; the loop ends when every block began where the one before it ended."""
+    return _guarded(s, guard)[0]
+
+
+def _guarded(s: Series, guard: Guard, begun: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows with the guard's columns, and the state in which each key ends; ``begun``: the states in which keys begin, if not the initial one.
+
+    States are tables of _key and the columns of the state.
+    """
     frame = s.frame.withColumnRenamed("_own", "_blk")
     rows = landed(frame.select("*", F.to_json(F.struct(*s.keys)).alias("_key")), "guard-rows")
     entry, states = [f"_in_{c}" for c in guard.states], guard.states
@@ -123,8 +131,13 @@ def run_guard(s: Series, guard: Guard) -> DataFrame:
         ends = sorted_blocks(needed.join(given, ["_key", "_blk"])).mapInPandas(ended, f"_key string, _blk long, {state_of}")
         return landed(ends, "guard-states")
 
-    first = [F.lit(v).cast(c.split()[1]).alias(f"_in_{c.split()[0]}") for v, c in zip(guard.initial, guard.state.split(", "))]
-    known = run(landed(rows.select("_key", "_blk").distinct().select("_key", "_blk", *first), "guard-states"))
+    initial = [F.lit(v).cast(c.split()[1]).alias(f"_in_{c.split()[0]}") for v, c in zip(guard.initial, guard.state.split(", "))]
+    first = rows.select("_key", "_blk").distinct().select("_key", "_blk", *initial)
+    if begun is not None:
+        # A key's first block begins as told; the others are guessed.
+        named = begun.select("_key", F.lit(0).cast("long").alias("_blk"), *[F.col(c).alias(f"_old_{c}") for c in states])
+        first = first.join(named, ["_key", "_blk"], "left").select("_key", "_blk", *[F.coalesce(f"_old_{c}", f"_in_{c}").alias(f"_in_{c}") for c in states])
+    known = run(landed(first, "guard-states"))
     ahead = Window.partitionBy("_key").orderBy("_blk")
     while True:
         found = known.withColumns({f"_now_{c}": F.coalesce(F.lag(f"_out_{c}").over(ahead), F.col(f"_in_{c}")) for c in states})
@@ -137,37 +150,75 @@ def run_guard(s: Series, guard: Guard) -> DataFrame:
         redone = run(again)
         known = landed(known.join(redone.select("_key", "_blk"), ["_key", "_blk"], "left_anti").unionByName(redone), "guard-states")
     given = known.select("_key", "_blk", *entry)
-    return sorted_blocks(rows.join(given, ["_key", "_blk"])).mapInPandas(through, _schema(s.df, guard.out))
+    ends = known.groupBy("_key").agg(*[F.max_by(f"_out_{c}", "_blk").alias(c) for c in states])
+    return sorted_blocks(rows.join(given, ["_key", "_blk"])).mapInPandas(through, _schema(s.df, guard.out)), ends
 
 
 def guard_stream(df: DataFrame, guard: Guard, keys: Sequence[str], order: Sequence[str], time: str = "ts",
-                 delay: str = "0 seconds") -> DataFrame:
-    """Run a guard over a stream whose rows may come up to ``delay`` out of order.
+                 delay: str = "0 seconds") -> GuardStream:
+    """Run a guard over a stream whose rows may come up to ``delay`` out of order; ``ticks.drain`` runs it.
 
     Rows are held until the watermark has passed their ``time`` and then go through in order; what is newer
-    than the last watermark comes out when a later row, of any key, moves it on.
+    than the last watermark comes out when a later row, of any key, moves it on. Later rows than that, and rows
+    without a time, are dropped.
+    """
+    return GuardStream(df, guard, list(keys), list(order), time, delay)
+
+
+@dataclass(frozen=True)
+class GuardStream:
+    """A guard over a stream, turn by turn. A micro-batch is a turn, and so is the end of what is available (no rows).
+
+    As in Spark's stateful operators, a turn's watermark comes from the rows of the turns before. All it keeps are tables
+    named by the turn: its rows sorted by time, the state of every key, its watermark. A repeated turn writes them anew.
     """
-    order = list(order)
-    columns = df.columns
-
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        *now, held = tuple(state.get) if state.exists else (*guard.initial, b"")
-        parts = [pickle.loads(held)] if held else []
-        parts += [f[columns] for f in frames if len(f)]
-        if not parts:
-            return
-        rows = pd.concat(parts).sort_values(order, kind="stable").reset_index(drop=True)
-        at = pd.to_datetime(rows[time]).astype("datetime64[us]").astype("int64") // 1000
-        done = at <= state.getCurrentWatermarkMs()
-        later = rows[~done]
-        now, out = guard.over(tuple(now), rows[done]) if done.any() else (tuple(now), rows[:0])
-        state.update((*now, pickle.dumps(later) if len(later) else b""))
-        if len(later):
-            state.setTimeoutTimestamp(max(int(at[~done].min()), state.getCurrentWatermarkMs() + 1))
-        if len(out):
-            yield out
-    return df.withWatermark(time, delay).groupBy(*keys).applyInPandasWithState(
-        run, _schema(df, guard.out), f"{guard.state}, _held binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+    df: DataFrame
+    guard: Guard
+    keys: list[str]
+    order: list[str]
+    time: str
+    delay: str
+
+    @property
+    def sparkSession(self):  # noqa: N802
+        return self.df.sparkSession
+
+    @property
+    def schema(self) -> StructType:
+        return StructType.fromDDL(_schema(self.df, self.guard.out))
+
+    def turn(self, rows: DataFrame | None, number: int, folder: str, out: str) -> None:
+        """Take the rows of turn ``number`` and write what the watermark has passed to a folder of ``out``."""
+        spark = rows.sparkSession if rows is not None else self.sparkSession
+        at = lambda kind, k: f"{folder}/{kind}/turn={k}"
+        marks = spark.read.schema("turn long, mark long, seen long, top long, states long").option("recursiveFileLookup", True)
+        past = [] if number == 0 else marks.parquet(f"{folder}/marks").where(F.col("turn") < number).orderBy("turn").collect()
+        late, mark = (past[-1]["mark"], past[-1]["seen"]) if past else (None, None)
+        seen, stated = mark, past[-1]["states"] if past else None
+        ms = F.unix_millis(F.col(self.time).cast("timestamp"))
+        top = None
+        if rows is not None:
+            known = rows.where(F.col(self.time).isNotNull() if late is None else F.unix_micros(F.col(self.time).cast("timestamp")) > late * 1000)
+            known.repartitionByRange(self.time).sortWithinPartitions(self.time).write.mode("overwrite").parquet(at("rows", number))
+            span = spark.sql(f"SELECT unix_millis(timestamp_millis(0) + INTERVAL {self.delay}) AS ms").first()["ms"]
+            top = spark.read.schema(self.df.schema).parquet(at("rows", number)).agg(F.max(ms)).first()[0]
+            seen = max(x for x in (seen, top - span) if x is not None) if top is not None else seen
+        if mark is not None:
+            read = spark.read.schema(self.df.schema)
+            turns = [r["turn"] for r in past if r["top"] is not None and (late is None or r["top"] > late)]
+            parts = [read.parquet(*[at("rows", k) for k in turns]).where(F.lit(True) if late is None else ms > late)] if turns else []
+            parts += [read.parquet(at("rows", number))] if top is not None else []
+            done = reduce(DataFrame.unionByName, parts).where(ms <= mark) if parts else None
+            if done is not None and (late is None or mark > late or top is not None) and done.limit(1).count():
+                begun = spark.read.parquet(at("states", stated)) if stated is not None else None
+                result, ends = _guarded(Series.of(done, self.keys, self.order), self.guard, begun)
+                result.write.mode("overwrite").parquet(f"{out}/turn-{number}")
+                ends = ends if begun is None else ends.unionByName(begun.join(ends, "_key", "left_anti"))
+                ends.write.mode("overwrite").parquet(at("states", number))
+                stated = number
+        row = spark.createDataFrame([(number, mark, seen, top, stated)], "turn long, mark long, seen long, top long, states long")
+        row.coalesce(1).write.mode("overwrite").parquet(at("marks", number))
 
 
 # --- drawdown exits ------------------------------------------------------------------

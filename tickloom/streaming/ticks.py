@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tickloom.core.storage import fresh_path
 from tickloom.operators.bars import bar_aggregates
 from tickloom.sources import tables
+from tickloom.streaming.guards import GuardStream
 
 TICK_MESSAGE = "time timestamp, pair string, bid double, ask double, volume double"
 NEWS_MESSAGE = "time timestamp, headline string, sentiment double, source string"
@@ -67,7 +68,7 @@ def live_bars(ticks: DataFrame, freq: str = "1 minute", late: str = "10 seconds"
                          "spread_avg", "bid_close", "ask_close", "n_ticks"))
 
 
-def drain(stream: DataFrame, tag: str, closing: Callable[[], None] | None = None, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame | GuardStream, tag: str, closing: Callable[[], None] | None = None, mode: str = "append") -> DataFrame:
     """Run a stream over what is available now into a table of the shared folder and read it back.
 
     ``closing`` may add rows to the source after that, and the stream goes on from its checkpoint.
@@ -77,6 +78,26 @@ def drain(stream: DataFrame, tag: str, closing: Callable[[], None] | None = None
     for more in (None, closing) if closing else (None,):
         if more:
             more()
+        if isinstance(stream, GuardStream):
+            _taken(stream, path)
+            continue
         (stream.writeStream.format("parquet").outputMode(mode).option("path", path)
                .option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination())
+    if isinstance(stream, GuardStream):
+        return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{path}/out")
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def _taken(stream: GuardStream, path: str) -> None:
+    """Turns of a guard: one for each micro-batch that there is now, and one that lets go of what those have moved the watermark past."""
+    spark = stream.sparkSession
+    # The folder is there even if no row comes out.
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{path}/out/none")
+    last = []
+
+    def each(rows: DataFrame, batch: int) -> None:
+        stream.turn(rows, 2 * batch, f"{path}/turns", f"{path}/out")
+        last.append(batch)
+    run(stream.df, f"{path}/checkpoint", each).awaitTermination()
+    if last:
+        stream.turn(None, 2 * last[-1] + 1, f"{path}/turns", f"{path}/out")
