@@ -165,13 +165,13 @@ def test_stream_takes_turns(spark, tmp_path):
         for _ in range(2 if number in (2, 6) else 1):
             stream.turn(rows, number, str(tmp_path / "turns"), str(tmp_path / "out"))
     stream.turn(None, 7, str(tmp_path / "turns"), str(tmp_path / "out"))
-    got = {n: sorted((r.k or "", (r.ts.timestamp() - time(0).timestamp()), r.alarm) for r in spark.read.parquet(f"{tmp_path}/out/turn-{n}").collect()) for n in (2, 4, 6, 7)}
-    # Watermarks of the turns: none, 11, 20, 30 and 60; in turn 4 the rows at 11 and 2 are late.
-    passed = {2: [3, 5, 8], 4: [12], 6: [21, 25, 30], 7: [33, 40]}
+    got = {n: sorted((r.k or "", r.ts.timestamp() - time(0).timestamp() if r.ts else -1.0, r.alarm) for r in spark.read.parquet(f"{tmp_path}/out/turn-{n}").collect()) for n in (2, 4, 6, 7)}
+    # Watermarks of the turns: none, 11, 20, 30 and 60; in turn 4 the rows at 11 and 2 are late, one has no time.
+    passed = {2: [3, 5, 8], 4: [12, None], 6: [21, 25, 30], 7: [33, 40]}
     order = [t for ts in passed.values() for t in ts]
-    alarms = dict(zip(order, guard.advance(guard.initial, [np.array([value(t) for t in order])])[1][0]))
+    alarms = dict(zip(order, guard.advance(guard.initial, [np.array([0.0 if t is None else value(t) for t in order])])[1][0]))
     assert any(alarms.values())
-    assert got == {n: sorted((k, float(t), bool(alarms[t])) for t in ts for k in ("a", "")) for n, ts in passed.items()}
+    assert got == {n: sorted((k, -1.0 if t is None else float(t), bool(alarms[t])) for t in ts for k in ("a", "")) for n, ts in passed.items()}
 
 
 def test_stream_goes_through_in_blocks(spark, tmp_path):

@@ -159,8 +159,8 @@ def guard_stream(df: DataFrame, guard: Guard, keys: Sequence[str], order: Sequen
     """Run a guard over a stream whose rows may come up to ``delay`` out of order; ``ticks.drain`` runs it.
 
     Rows are held until the watermark has passed their ``time`` and then go through in order; what is newer
-    than the last watermark comes out when a later row, of any key, moves it on. Later rows than that, and rows
-    without a time, are dropped.
+    than the last watermark comes out when a later row, of any key, moves it on. Rows that the watermark had passed
+    before they came are dropped; rows without a time go through at once, after the others of their batch.
     """
     return GuardStream(df, guard, list(keys), list(order), time, delay)
 
@@ -198,25 +198,31 @@ class GuardStream:
         seen, stated = mark, past[-1]["states"] if past else None
         ms = F.unix_millis(F.col(self.time).cast("timestamp"))
         top = None
+        undated = F.col(self.time).isNull()
         if rows is not None:
-            known = rows.where(F.col(self.time).isNotNull() if late is None else F.unix_micros(F.col(self.time).cast("timestamp")) > late * 1000)
+            known = rows if late is None else rows.where(undated | (F.unix_micros(F.col(self.time).cast("timestamp")) > late * 1000))
             known.repartitionByRange(self.time).sortWithinPartitions(self.time).write.mode("overwrite").parquet(at("rows", number))
             span = spark.sql(f"SELECT unix_millis(timestamp_millis(0) + INTERVAL {self.delay}) AS ms").first()["ms"]
             top = spark.read.schema(self.df.schema).parquet(at("rows", number)).agg(F.max(ms)).first()[0]
             seen = max(x for x in (seen, top - span) if x is not None) if top is not None else seen
-        if mark is not None:
-            read = spark.read.schema(self.df.schema)
-            turns = [r["turn"] for r in past if r["top"] is not None and (late is None or r["top"] > late)]
-            parts = [read.parquet(*[at("rows", k) for k in turns]).where(F.lit(True) if late is None else ms > late)] if turns else []
-            parts += [read.parquet(at("rows", number))] if top is not None else []
-            done = reduce(DataFrame.unionByName, parts).where(ms <= mark) if parts else None
-            if done is not None and (late is None or mark > late or top is not None) and done.limit(1).count():
-                begun = spark.read.parquet(at("states", stated)) if stated is not None else None
-                result, ends = _guarded(Series.of(done, self.keys, self.order), self.guard, begun)
-                result.write.mode("overwrite").parquet(f"{out}/turn-{number}")
-                ends = ends if begun is None else ends.unionByName(begun.join(ends, "_key", "left_anti"))
-                ends.write.mode("overwrite").parquet(at("states", number))
-                stated = number
+        read = spark.read.schema(self.df.schema)
+        turns = [r["turn"] for r in past if r["top"] is not None and (late is None or r["top"] > late)]
+        parts = []
+        if turns and mark is not None and (late is None or mark > late):
+            parts.append(read.parquet(*[at("rows", k) for k in turns]).where((ms <= mark) if late is None else (ms > late) & (ms <= mark)))
+        if rows is not None:
+            parts.append(read.parquet(at("rows", number)).where(undated if mark is None else undated | (ms <= mark)))
+        done = reduce(DataFrame.unionByName, parts) if parts else None
+        if done is not None and done.limit(1).count():
+            begun = spark.read.parquet(at("states", stated)) if stated is not None else None
+            # What has no value for a column of the order comes last.
+            order = [x for c in self.order for x in (f"_no_{c}", c)]
+            s = Series.of(done.withColumns({f"_no_{c}": F.col(c).isNull() for c in self.order}), self.keys, order)
+            result, ends = _guarded(s, self.guard, begun)
+            result.select(*self.schema.names).write.mode("overwrite").parquet(f"{out}/turn-{number}")
+            ends = ends if begun is None else ends.unionByName(begun.join(ends, "_key", "left_anti"))
+            ends.write.mode("overwrite").parquet(at("states", number))
+            stated = number
         row = spark.createDataFrame([(number, mark, seen, top, stated)], "turn long, mark long, seen long, top long, states long")
         row.coalesce(1).write.mode("overwrite").parquet(at("marks", number))
 
